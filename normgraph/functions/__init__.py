@@ -1 +1 @@
-"""Part of the engine."""
+"""Column functions: text, identifiers, translation and score bands."""
