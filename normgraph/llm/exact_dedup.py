@@ -29,7 +29,8 @@ def frequent_digests(digests: DataFrame, column: str, capacity: int = CAPACITY)
     """
     tracked = 4 * capacity
     part = digests.groupBy(F.pmod(F.spark_partition_id(), F.lit(FAN_IN)).alias("_part")).agg(F.expr(f"approx_top_k_accumulate({column}, {tracked})").alias("_s"))
-    whole = part.agg(F.expr(f"approx_top_k_combine(_s, {tracked})").alias("_s"))
+    # grouped by one key, so that tasks without rows send no empty sketch
+    whole = part.groupBy(F.pmod("_part", F.lit(1)).alias("_all")).agg(F.expr(f"approx_top_k_combine(_s, {tracked})").alias("_s"))
     return whole.select(F.explode(F.expr(f"approx_top_k_estimate(_s, {capacity})")).alias("_e")).select(F.col("_e.item").alias(column))
 
 
