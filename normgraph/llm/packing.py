@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from normgraph.llm.common import materialize
 CAPACITY = 4096
 EOS = 1
 #: Words whose ids a worker remembers at once, and the longest one it does.
-MEMO, MEMO_CHARS = 200_000, 48
+MEMO, MEMO_CHARS = 300_000, 48
 #: Pieces of one length that are ranked in one task, about.
 SHARD_ROWS = 500_000
 
@@ -31,39 +32,73 @@ PIECES = "id {id}, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds(dict):
-    """Ids of white-space-free words as little-endian bytes, computed at first use.
+    """Ids of white-space-free chunks as little-endian bytes, computed at first use.
 
     The tokenizer drops white space before its merges, so a text's ids are its
-    words' ids in a row; the memory is emptied when full.
+    chunks' ids in a row.  It also splits letters from punctuation and
+    lower-cases, so a plain word with punctuation after it is looked up as the
+    lower-cased word and the punctuation.  The memory is emptied when full.
     """
 
+    #: White space for str.split() but an ordinary character for the tokenizer.
+    SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+    PUNCTUATION = ".,;:!?"
+
     def __init__(self, tokenizer_json: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.model = self.tokenizer.model
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = str.maketrans({c: to_bytes.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xA1, 0x100)) if c.isalpha()})
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def direct(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.direct(word)
-        if len(word) <= MEMO_CHARS:
+    def word(self, word: str) -> bytes:
+        """Ids of lower-case Latin-1 letters, or of punctuation: what the merges get as one word."""
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.older.pop(word, None)
+            if ids is None:
+                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word.translate(self.spelling))])
+            if len(word) <= MEMO_CHARS:
+                if len(self.words) >= MEMO:
+                    self.words, self.older = {}, self.words  # words in use come back from there
+                self.words[word] = ids
+        return ids
+
+    def __missing__(self, chunk: str) -> bytes:
+        head = chunk.rstrip(self.PUNCTUATION)
+        # Latin-1 letters have one lower-case letter each, whatever stands around them
+        if head.isalpha() and max(head) <= "\xff":
+            ids = self.word(head.lower())
+            if len(head) < len(chunk):
+                ids += self.word(chunk[len(head) :])
+        else:
+            ids = self.direct(chunk)
+        if len(chunk) <= MEMO_CHARS:
             if len(self) >= MEMO:
                 self.clear()
-            self[word] = ids
+            self[chunk] = ids
         return ids
 
-    #: White space for str.split() but an ordinary character for the tokenizer.
-    SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
-
     def of(self, text: str) -> bytes:
         if not self.SEPARATORS.isdisjoint(text):
             return self.direct(text)
         return b"".join(map(self.__getitem__, text.split()))
 
 
+@lru_cache(maxsize=1)
+def word_ids(tokenizer_json: str) -> WordIds:
+    """One memory for all tasks of a worker process."""
+    return WordIds(tokenizer_json)
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, eos: int = EOS) -> DataFrame:
     """(id, piece, start, length, ids_crc32): every text's ids and ``eos``, cut at ``capacity``."""
     with open(tokenizer_path, encoding="utf-8") as f:  # read by the driver: executors need no such file
@@ -73,7 +108,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = None
         for batch in batches:
-            ids_of = ids_of or WordIds(shared.value)
+            ids_of = ids_of or word_ids(shared.value)
             keys, piece, start, length, crc = [], [], [], [], []
             for row, text in enumerate(batch.column(1)):
                 ids = ids_of.of(text.as_py() or "") + end
