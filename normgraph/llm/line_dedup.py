@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normgraph.llm.common import BROADCAST_ROWS, LOWER, UPPER, WHITE, materialize, text_or_empty, weighted_lookup
+from normgraph.llm.common import LOWER, UPPER, WHITE, materialize, text_or_empty, weighted_lookup
 
 #: Second seed of the 128-bit line hash.
 SALT = 7_046_029_254_386_353_131
@@ -125,9 +125,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     gone = dropped_lines(docs, id_col, text_col, min_chars, min_docs, batches, fanout)
     gone = materialize(gone.withColumnsRenamed({"doc": "_doc", "gone": "_gone"}), "line-gone")
-    rows, hashes = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()
-    if rows <= BROADCAST_ROWS and hashes <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
+    # what documents lose grows with the input, so this is a shuffled join at any size
+    gone = gone.hint("merge")
     base = docs.drop("n_lines", "n_dropped")
     joined = base.join(gone, base[id_col].eqNullSafe(gone["_doc"]), "left")
     lines = F.split(text_or_empty(text_col), "\n", -1)
