@@ -1,0 +1,47 @@
+"""Connected components of an edge table by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from normgraph.llm.common import materialize
+
+
+def _lowest(pairs: DataFrame) -> DataFrame:
+    """(u, low): the smallest of each node and its neighbours, as a written table.
+
+    The group sums are partial before they are shuffled; written out, both
+    sides of the join that follows are plain exchanges, which the optimizer may
+    split where a node has very many neighbours.
+    """
+    return materialize(pairs.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")), "star-low")
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+
+
+def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """(node, component) of every node that has an edge; component is its smallest node.
+
+    Each round hangs every node's larger neighbours, then its smaller ones, on
+    the smallest node it sees; the depth shrinks geometrically.  Links and
+    components stay distributed; only a count and two check sums reach the
+    driver.  Rows with a null end and loops are ignored.
+    """
+    stars = materialize(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct(), "stars")
+    state = _state(stars)
+    while True:
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.join(_lowest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
+        large = materialize(large, "stars-large")
+        low = _lowest(large)
+        hung = large.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        stars = materialize(hung.unionByName(low.select("u", F.col("low").alias("v"))).where("u <> v").distinct(), "stars")
+        now = _state(stars)
+        if now == state:
+            break
+        state = now
+    roots = stars.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return materialize(stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")

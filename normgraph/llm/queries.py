@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from normgraph.llm import exact_dedup, line_dedup, packing, secret_scan
+from normgraph.llm import chat_format, exact_dedup, license_scan, line_dedup, minhash, packing, secret_scan, sentencepiece_codec, topk_search, toxicity
 
 QUERIES = {
+    "op1_license_scan": (license_scan.op1_license_scan, license_scan.SQL),
+    "op2_toxicity": (toxicity.op2_toxicity, toxicity.SQL),
     "op3_exact_dedup": (exact_dedup.op3_exact_dedup, exact_dedup.SQL),
     "op4_secret_scan": (secret_scan.op4_secret_scan, secret_scan.SQL),
+    "op5_topk_search": (topk_search.op5_topk_search, topk_search.SQL),
+    "op6_sentencepiece": (sentencepiece_codec.op6_sentencepiece, sentencepiece_codec.SQL),
     "op7_best_fit_packing": (packing.op7_best_fit_packing, packing.SQL),
+    "op8_minhash_dedup": (minhash.op8_minhash_dedup, minhash.SQL),
     "op9_line_dedup": (line_dedup.op9_line_dedup, line_dedup.SQL),
+    "op10_chat_format": (chat_format.op10_chat_format, chat_format.SQL),
 }
 
 
