@@ -1 +1 @@
-"""Part of the engine."""
+"""Graph operators: similarity joins, metrics, contraction, components, reports."""

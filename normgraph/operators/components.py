@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normgraph.llm.common import materialize
+from normgraph.storage import materialize
 
 
 def _lowest(pairs: DataFrame) -> DataFrame:

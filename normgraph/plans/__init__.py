@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from normgraph.plans.queries import QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}

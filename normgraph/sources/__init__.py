@@ -1 +1,127 @@
-"""Part of the engine."""
+"""Readers: graph JSON, incident JSON, document folders, literals, generated rows, logs."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from normgraph.functions.text import DEFAULT_YEAR, base_name, class_from_path, node_id, split_provisions, year_from_name
+from normgraph.model import Graph
+
+INCIDENT_SCHEMA = T.StructType([
+    T.StructField("id", T.StringType()),
+    T.StructField("peristiwa_hukum_kronologi", T.StringType()),
+    T.StructField("kualifikasi_peristiwa", T.StringType()),
+    T.StructField("pemetaan_fakta_hukum", T.StructType([T.StructField(n, T.StringType()) for n in ("subjek_pelaku", "subjek_korban", "subjek_pse", "objek_hukum", "akibat_hukum", "nexus_kausalitas")])),
+    T.StructField("severity", T.StringType()),
+    T.StructField("year", T.IntegerType()),
+    T.StructField("type", T.StringType()),
+])
+GRAPH_SCHEMA = "nodes array<struct<id string, label string, `group` string, classification string, value bigint, title string, year int>>, edges array<struct<`from` string, `to` string, label string, arrows string, type string, value double>>"
+LOG_SCHEMA = "message string, source string, lineno int, colno int, stack string"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_graph(spark: SparkSession, path: str) -> Graph:
+    """A graph document; places in its arrays become ord, edges keep their label and value."""
+    doc = spark.read.schema(GRAPH_SCHEMA).option("multiLine", True).json(path)
+    nodes = doc.select(F.posexplode("nodes").alias("ord", "n")).select("n.id", F.col("ord").cast("long").alias("ord"), F.coalesce("n.label", "n.id").alias("label"), "n.group", "n.classification", "n.year", "n.value", "n.title")
+    edges = doc.select(F.posexplode("edges").alias("ord", "e")).select(F.col("e.from").alias("src"), F.col("e.to").alias("dst"), F.coalesce("e.type", "e.label").alias("type"), F.col("e.value").alias("weight"), F.col("ord").cast("long").alias("ord"), "e.label", "e.arrows")
+    return Graph(nodes, edges)
+
+
+def read_incidents(spark: SparkSession, path: str, lang: str = "") -> DataFrame:
+    """Incidents of a document, by language suffix; a missing file gives none, rows without facts are left out."""
+    if lang:
+        stem, _, kind = path.rpartition(".")
+        path = f"{stem}_{lang}.{kind}"
+    if not exists(spark, path):
+        return spark.createDataFrame([], T.StructType([*INCIDENT_SCHEMA.fields, T.StructField("ord", T.LongType())]))
+    doc = spark.read.schema(T.StructType([T.StructField("incidents", T.ArrayType(INCIDENT_SCHEMA))])).option("multiLine", True).json(path)
+    rows = doc.select(F.posexplode("incidents").alias("ord", "i")).select("i.*", F.col("ord").cast("long").alias("ord"))
+    return rows.where(F.col("pemetaan_fakta_hukum").isNotNull())
+
+
+def incident_text(facts: str = "pemetaan_fakta_hukum") -> Column:
+    """Narrative, qualification and facts in one text."""
+    fields = [F.col(f"{facts}.{f.name}") for f in INCIDENT_SCHEMA[facts].dataType.fields]
+    return F.concat_ws(" ", "peristiwa_hukum_kronologi", "kualifikasi_peristiwa", *fields)
+
+
+def list_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
+    """(path, content) of the files in a folder tree."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", "content")
+
+
+def plain_text(content: bytes, max_pages: int | None = None) -> list[str]:
+    """Default extractor: UTF-8 text with pages split at form feeds; anything else has no pages."""
+    if content.startswith(b"%PDF"):
+        raise ValueError("no PDF extractor is installed: pass one")
+    return content.decode("utf-8").split("\f")[:max_pages]
+
+
+def extract_texts(files: DataFrame, extractor: Callable[[bytes, int | None], list[str]] = plain_text, max_pages: int | None = None) -> DataFrame:
+    """(path, text): non-empty pages, each followed by a line end; a file that can't be read has an empty text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for content in batch.column(1):
+                try:
+                    texts.append("".join(p + "\n" for p in extractor(content.as_py(), max_pages) if p))
+                except Exception:  # a damaged file costs its own provisions, not the job
+                    texts.append("")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["path", "text"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, text string")
+
+
+def corpus_from_texts(texts: DataFrame, side: str, prefix: str = "") -> DataFrame:
+    """(id, ord, label, group, classification, year, text) of the provisions of (path, text) rows, in path order."""
+    named = texts.withColumn("doc", base_name(F.col("path")))
+    facts = named.select("path", "doc", class_from_path(F.col("path"), side).alias("classification"), year_from_name(F.col("doc"), DEFAULT_YEAR[side]).alias("year"))
+    rows = split_provisions(named.select(F.col("path").alias("doc"), "text")).withColumnRenamed("doc", "path").join(facts, "path")
+    from normgraph.operators.ranking import global_rank
+
+    ordered = rows.withColumn("_key", F.struct("path", "ord"))
+    ranked = global_rank(ordered.withColumn("_zero", F.lit(0)), F.col("_zero"), "_place", "_key")
+    return ranked.select(node_id(F.col("doc"), F.col("title"), prefix).alias("id"), (F.col("_place") - 1).alias("ord"), F.concat_ws(" - ", "doc", "title").alias("label"), F.col("doc").alias("group"), "classification", "year", F.col("content").alias("text"))
+
+
+def literal_between(text: Column, start: str, end: str) -> Column:
+    """What stands between two literals, over line ends."""
+    import re
+
+    return F.regexp_extract(text, f"(?s){re.escape(start)}(.*?){re.escape(end)}", 1)
+
+
+def parse_log(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Error records of JSON lines; what can't be parsed gives nulls."""
+    return lines.select(F.from_json(column, LOG_SCHEMA, {"mode": "PERMISSIVE"}).alias("r")).select("r.message", "r.source", "r.lineno", "r.stack")
+
+
+# Kinds of generated incidents and how severe each is.
+ATTACKS = (("data_breach", "sedang"), ("ransomware", "tinggi"), ("ai_fraud", "tinggi"), ("ai_misuse", "sedang"))
+GENERATOR_CITIES = ("Surabaya", "Malang", "Kediri", "Madiun", "Tuban", "Gresik", "Jember", "Blitar")
+GENERATOR_INSTITUTIONS = ("Dinas Kesehatan", "Dinas Pendidikan", "Pengadilan Negeri", "Pemkot", "Pemkab", "Universitas", "RSUD")
+
+
+def generate_incidents(spark: SparkSession, rows: int = 95, seed: int = 42) -> DataFrame:
+    """Synthetic incidents: (id, ord, type, severity, year, text), the same for the same seed."""
+
+    def pick(salt: int, values: tuple) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
+
+    base = spark.range(1, rows + 1)
+    kind = pick(1, tuple(k for k, _ in ATTACKS))
+    severity = F.element_at(F.create_map(*[F.lit(x) for kv in ATTACKS for x in kv]), kind)
+    place = F.concat_ws(" ", pick(2, GENERATOR_INSTITUTIONS), pick(3, GENERATOR_CITIES))
+    return base.select(F.concat(F.lit("incident-auto-"), F.col("id").cast("string")).alias("id"), F.col("id").alias("ord"), kind.alias("type"), severity.alias("severity"), (F.lit(2020) + F.pmod(F.xxhash64("id", F.lit(seed), F.lit(4)), F.lit(6))).cast("int").alias("year"), F.concat(F.lit("Serangan "), kind, F.lit(" milik instansi "), place, F.lit(".")).alias("text"))
