@@ -1,107 +1,49 @@
-"""Helpers shared by the corpus operators: shared storage, skew-safe joins."""
+"""Helpers shared by the corpus operators."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from normgraph.storage import materialize, new_path, release, shared_dir, written
+
+__all__ = ["materialize", "new_path", "release", "shared_dir", "text_or_empty", "weighted_lookup", "written"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: \x20 and \x09-\x0D, the white space of every contract here.
 WHITE = " \t\n\x0b\x0c\r"
 
-#: Rows up to which a two- or three-column table of fixed-width values is
-#: broadcast (about 8 MB serialised); larger ones take a shuffled join.
+#: Rows of fixed-width values, or their like, up to which a table is broadcast
+#: (about 8 MB serialised); larger ones take a shuffled join.
 BROADCAST_ROWS = 200_000
 #: A key is heavy when it holds more than 1 / HEAVY of all rows, so there are
 #: never more than HEAVY such keys: that is the proven bound of their broadcast.
 HEAVY = 2000
-
-_written: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor can reach.
-
-    ``spark.checkpoint.dir`` names it.  Only where that is unset (a local
-    session, as in tests) a folder of our own is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if have.isDefined():
-            found = have.get()
-        else:
-            found = tempfile.mkdtemp(prefix="normgraph-")
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/normgraph/{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(release_all)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts lineage.
-
-    A lost executor then costs a re-read, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, keep: set[str] = frozenset()) -> None:
-    """Remove every intermediate table written so far but those in ``keep``."""
-    sc = spark.sparkContext
-    paths = _written.get(sc.applicationId, [])
-    for path in [p for p in paths if p not in keep]:
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-        paths.remove(path)
-
-
-def written(spark: SparkSession) -> set[str]:
-    return set(_written.get(spark.sparkContext.applicationId, []))
-
-
-def release_all() -> None:
-    """At the driver's end; the session may be gone by then."""
-    with contextlib.suppress(Exception):
-        spark = SparkSession.getActiveSession()
-        if spark is not None:
-            release(spark)
+#: Parts that the rows of a heavy key are dealt to.
+SALTS = 32
 
 
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("string")
 
 
-def weighted_lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
-    """Join ``left`` to ``right``, whose ``keys`` are unique, safely under skew.
+def weighted_lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner", width: Column | None = None) -> DataFrame:
+    """Join ``left`` to ``right``, whose ``keys`` are unique and not null, safely under skew.
 
-    ``weight`` holds how many rows of ``left`` a key of ``right`` has and
-    ``total`` how many rows ``left`` has.  A right side of at most
-    ``BROADCAST_ROWS`` rows is broadcast.  Beyond that, the heavy keys (never
-    more than ``HEAVY``, see above) are broadcast and the others, none of which
-    holds more than ``total / HEAVY`` rows, are joined by an ordinary shuffle.
-    ``how`` is ``inner`` or ``left``.
+    ``weight`` holds how many rows of ``left`` a key of ``right`` has, ``total``
+    how many rows ``left`` has and ``width`` how many fixed-width values a row
+    of ``right`` stands for (1 by default).  A right side of at most
+    ``BROADCAST_ROWS`` such values is broadcast.  Beyond that both sides are
+    shuffled; only the heavy keys themselves (see above) are broadcast, to deal
+    their rows to SALTS parts.  ``how`` is ``inner`` or ``left``.
     """
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    size = right.agg(F.coalesce(F.sum(width if width is not None else F.lit(1)), F.lit(0))).first()[0]
+    if size <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), keys, how)
-    heavy = right.where(F.col(weight) * F.lit(HEAVY) > F.lit(total))
-    rest = right.where(F.col(weight) * F.lit(HEAVY) <= F.lit(total))
-    hot = left.join(F.broadcast(heavy), keys, "inner")
-    cold = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(rest, keys, how)
-    return hot.unionByName(cold)
+    heavy = F.col(weight) * F.lit(HEAVY) > F.lit(total)
+    hot = F.broadcast(right.where(heavy).select(*keys, F.lit(True).alias("_hot")))
+    dealt = left.withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")).join(hot, keys, "left")
+    dealt = dealt.withColumn("_part", F.when(F.col("_hot"), F.col("_part")).otherwise(0)).drop("_hot")
+    copies = right.withColumn("_part", F.explode(F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [*keys, "_part"], how).drop("_part")

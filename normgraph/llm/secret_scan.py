@@ -138,7 +138,7 @@ def scan_versions(versions: DataFrame, id_col: str = "doc_id", text_col: str = "
     if old is not None:
         found = found.unionByName(old)
     weighed = found.join(counts, "blob")
-    result = weighted_lookup(paths, materialize(weighed, "weighed"), ["blob"], "n", total, "left")
+    result = weighted_lookup(paths, materialize(weighed, "weighed"), ["blob"], "n", total, "left", 2 + F.size("found"))
     result = result.select(F.col("path").alias(id_col), "blob", F.coalesce("found", F.array().cast(T.ArrayType(FOUND))).alias("found"))
     return result, new
 
