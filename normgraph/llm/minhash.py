@@ -11,7 +11,8 @@ band are candidates; every link is confirmed on the full sets of 64-bit shingle
 hashes.  All pairs of a bucket are never emitted: rows with equal sets are one
 class; a bucket's classes are first compared with one pivot, then with the
 best-linked one; only classes that are then still in different components are
-compared with each other, in blocks of bounded size inside a task.
+compared with each other, in blocks of bounded size inside a task, and one link
+for each two components comes out.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normgraph.llm.common import BROADCAST_ROWS, materialize, weighted_lookup
-from normgraph.llm.components import connected_components
+from normgraph.operators.components import connected_components
 
 SLOTS = 1 << 20
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 #: Members of a bucket that are compared with each other in one block.
-BLOCK = 1024
+BLOCK = 512
 #: Standard deviations below the threshold at which a signature's estimate
 #: rules a pair out (a miss of about 1 in 10 million at the threshold itself).
 SIGMAS = 5.2
@@ -183,62 +184,92 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     return both.where(shared * den >= (F.size("x") + F.size("y") - shared) * num).select("a", "b").distinct()
 
 
+def crossing_links(component: np.ndarray, sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked rows of ``first`` and ``second`` in different components, one pair for each two components.
+
+    Intersection sizes of all pairs come from products of 0/1 matrices whose
+    columns are the shingles that two or more rows have.
+    """
+    none = np.empty(0, np.int64)
+    kinds, sizes = np.unique(component, return_counts=True)
+    if len(kinds) < 2:
+        return none, none
+    # two rows of the commonest component need no look, so one is outside it
+    common = kinds[sizes.argmax()]
+    looks = [(first[component[first] != common], second)]
+    if len(first) != len(second) or (first != second).any():
+        looks.append((second[component[second] != common], first))
+    n = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times[column] > 1
+    owner, column = owner[several], np.unique(column[several], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width, columns = 4096, int(column[-1]) + 1 if len(column) else 0
+    shared = [np.zeros((len(x), len(y)), dtype=np.float32) for x, y in looks]
+    for at in range(0, columns, width):
+        s, e = np.searchsorted(column, [at, at + width])
+        m = np.zeros((len(sets), min(width, columns - at)), dtype=np.float32)
+        m[owner[s:e], column[s:e] - at] = 1
+        for total, (x, y) in zip(shared, looks):
+            if len(x):
+                total += m[x] @ m[y].T
+    xs, ys = [none], [none]
+    for total, (x, y) in zip(shared, looks):
+        linked = (total * den >= (n[x, None] + n[None, y] - total) * num) & (component[x, None] != component[None, y])
+        i, j = np.nonzero(linked)
+        xs.append(x[i])
+        ys.append(y[j])
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    pair = np.stack([np.minimum(component[x], component[y]), np.maximum(component[x], component[y])], axis=1)
+    once = np.unique(pair, axis=0, return_index=True)[1] if len(x) else none
+    return x[once], y[once]
+
+
 def within_buckets(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Likely (a, b) among ``members`` (bucket, rep, component, n, sig) of one bucket but of different components.
+    """Links (a, b) among ``members`` (bucket, rep, component, set) of one bucket that join different components.
 
-    A bucket of more than BLOCK members is cut into blocks; each pair of blocks
-    meets in one group, so a group never has more than about 2 * BLOCK rows.
+    Every pair of a bucket's rows in different components is decided on its
+    full sets, but inside a task: one link for each two components comes out of
+    a group.  A bucket of more than BLOCK members is cut into blocks; each pair
+    of blocks meets in one group of at most about 2 * BLOCK rows.
     """
     sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "rep", "component", "n", "sig")
+    dealt = dealt.select("bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "rep", "component", "set")
     spark = members.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = dealt.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    least = least_agreement(num, den)
 
-    def pairs_of(lo, hi, mine, rep, component, n, sig):
-        first = np.flatnonzero(mine == lo)
-        second = first if lo == hi else np.flatnonzero(mine == hi)
-        for at in range(0, len(first), 64):
-            i = first[at : at + 64]
-            ok = (component[i, None] != component[None, second]) & (np.minimum(n[i, None], n[None, second]) * den >= np.maximum(n[i, None], n[None, second]) * num)
-            x, y = np.nonzero(ok)
-            x, y = i[x], second[y]
-            good = (sig[x] == sig[y]).sum(axis=1) >= least if len(x) else np.empty(0, bool)
-            x, y = x[good], y[good]
-            yield np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
+    def of_cell(keys: tuple, rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        table = pa.Table.from_batches(rows)
+        mine, rep, component = (table.column(k).to_numpy() for k in (3, 4, 5))
+        sets = [x.values.to_numpy() for x in table.column(6)]
+        first = np.flatnonzero(mine == keys[1])
+        second = first if keys[1] == keys[2] else np.flatnonzero(mine == keys[2])
+        x, y = crossing_links(component, sets, first, second, num, den)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y]))], names=["a", "b"]) if len(x) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in [*[], *()] or batches:
-            rest = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            yield from split(rest, False)
-            rest = split.rest
-        if rest is not None:
-            yield from split(rest, True)
-
-    def split(batch: pa.RecordBatch, last: bool) -> list[pa.RecordBatch]:
-        """Pairs of the batch's groups; its last one may go on in the next batch."""
-        split.rest = None
-        if not batch.num_rows:
-            return []
-        bucket, lo, hi, mine, rep, component, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
-        edges = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
-        bounds = [0, *edges.tolist(), batch.num_rows]
-        if not last:
-            split.rest = batch.slice(bounds[-2])
-            bounds = bounds[:-1]
-        if len(bounds) < 2:
-            return []
-        sig = np.frombuffer(b"".join(batch.column(7).slice(0, bounds[-1]).to_pylist()), np.uint8).reshape(-1, COORDINATES)
-        a, b = [], []
-        for s, e in zip(bounds, bounds[1:]):
-            for x, y in pairs_of(lo[s], hi[s], mine[s:e], rep[s:e], component[s:e], n[s:e], sig[s:e]):
-                a.append(x)
-                b.append(y)
-        return [pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])] if a else []
+        cell, rows = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(k).to_numpy() for k in range(3)]
+            cuts = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                here = tuple(int(k[s]) for k in keys)
+                if here != cell:
+                    found = of_cell(cell, rows) if rows else None
+                    if found is not None:
+                        yield found
+                    cell, rows = here, []
+                rows.append(batch.slice(s, e - s))
+        found = of_cell(cell, rows) if rows else None
+        if found is not None:
+            yield found
 
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
@@ -285,14 +316,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = materialize(likely(second, classes, num, den), "tested")
     if not second.isEmpty():
         more = materialize(confirmed(second, texts, width, num, den), "links")
-        tested = tested.unionByName(second)
         found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
         rest = open_buckets()
 
-    members = rest.join(classes.select("rep", "n", "sig"), "rep").select("bucket", "rep", "component", "n", "sig")
-    third = materialize(within_buckets(members, num, den).join(tested, ["a", "b"], "left_anti"), "tested")
-    if not third.isEmpty():
-        more = materialize(confirmed(third, texts, width, num, den), "links")
+    # What is still open is decided inside tasks, on the full sets.
+    ids = materialize(rest.select(F.col("rep").alias("id")).distinct(), "minhash-ids")
+    few = ids.count() <= BROADCAST_ROWS
+    sets = materialize(shingle_sets(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), width).withColumnRenamed("id", "rep").dropDuplicates(["rep"]), "minhash-sets")
+    more = materialize(within_buckets(rest.join(sets, "rep").select("bucket", "rep", "component", "set"), num, den), "links")
+    if not more.isEmpty():
         found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
 
     named = classes.select("f1", "f2", "rep", "copies").join(found.withColumnsRenamed({"node": "rep"}), "rep", "left")

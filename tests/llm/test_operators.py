@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from normgraph.llm import chat_format, common, components, exact_dedup, license_scan, line_dedup, minhash, packing, secret_scan, sentencepiece_codec, topk_search, toxicity
+from normgraph.llm import chat_format, common, exact_dedup, license_scan, line_dedup, minhash, packing, secret_scan, sentencepiece_codec, topk_search, toxicity
 from normgraph.llm.queries import QUERIES
+from normgraph.operators import components
 from tests.conftest import SF, duck_rows, rows_of
 from tests.llm.helpers import AWKWARD, clashing, documents
 
