@@ -1,6 +1,74 @@
-STAGES = []
+"""The corpus pipeline: toxicity, line dedup, near-dedup, secret scans, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a table; all but the last
+return the columns of ``documents``.  Every stage's result is written to the
+shared folder and read again as the next one's input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from normgraph.llm import line_dedup, minhash, packing, secret_scan, toxicity
+from normgraph.llm.common import BROADCAST_ROWS, materialize, new_path, release, written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents, n_chars brought up to date with the text."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model calls toxic go."""
+    model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.reject_toxic(docs, model).select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that three or more documents hold stay in one of them; every document stays."""
+    return _documents(line_dedup.line_dedup(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays (five-word shingles, 0.8)."""
+    found = materialize(minhash.near_duplicates(docs), "near-duplicates")
+    gone = found.where(~F.col("kept")).select("doc_id")
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(gone), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Found secrets are replaced by a mark; every document stays."""
+    return _documents(secret_scan.redact(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their sequence and place in it."""
+    return packing.pack_documents(docs, packing.tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("secret_scan", redact_secrets),
+    ("packing", pack_sequences),
+]
+
+#: The first stage applies a fitted model; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs, others = spark.read.parquet(f"{sf_dir}/documents.parquet"), written(spark)
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        release(spark, keep=others | {path})  # what this stage and the one before it wrote
+    return STAGES[-1][1](spark, docs, sf_dir)
