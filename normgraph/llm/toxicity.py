@@ -62,7 +62,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score - self.thresholds, -500, 500)))
 
 
-def fit_ordinal(rows: list[dict[int, int]], grades: np.ndarray, n_features: int, n_grades: int, l2: float = 2e-3, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[dict[int, int]], grades: np.ndarray, n_features: int, n_grades: int, l2: float = 2e-5, steps: int = 500, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds that minimise the penalised negative log-likelihood (Adam, whole batches)."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.fromiter((k for r in rows for k in r), dtype=np.int64, count=len(at))
