@@ -10,12 +10,14 @@ the pieces of the same length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,9 @@ from normgraph.llm.common import materialize
 
 CAPACITY = 4096
 EOS = 1
-#: Words whose ids a worker remembers at once, and the longest one it does.
+#: Texts whose chunks are told apart together.
+TEXTS = 2000
+#: Words whose ids a worker remembers at least when it forgets others, and the longest one it does.
 MEMO, MEMO_CHARS = 300_000, 48
 #: Pieces of one length that are ranked in one task, about.
 SHARD_ROWS = 500_000
@@ -31,23 +35,22 @@ SHARD_ROWS = 500_000
 PIECES = "id {id}, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds(dict):
-    """Ids of white-space-free chunks as little-endian bytes, computed at first use.
+class WordIds:
+    """Ids of white-space-free chunks as little-endian bytes, each computed once.
 
     The tokenizer drops white space before its merges, so a text's ids are its
     chunks' ids in a row.  It also splits letters from punctuation and
     lower-cases, so a plain word with punctuation after it is looked up as the
-    lower-cased word and the punctuation.  The memory is emptied when full.
+    lower-cased word and the punctuation.  Words in use are remembered.
     """
 
-    #: White space for str.split() but an ordinary character for the tokenizer.
-    SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+    #: White space when texts are split, but ordinary characters for the tokenizer.
+    SEPARATORS = re.compile("[\x1c-\x1f]")
     PUNCTUATION = ".,;:!?"
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.model = self.tokenizer.model
@@ -72,25 +75,35 @@ class WordIds(dict):
                 self.words[word] = ids
         return ids
 
-    def __missing__(self, chunk: str) -> bytes:
+    def chunk(self, chunk: str) -> bytes:
         head = chunk.rstrip(self.PUNCTUATION)
         # Latin-1 letters have one lower-case letter each, whatever stands around them
         if head.isalpha() and max(head) <= "\xff":
             ids = self.word(head.lower())
-            if len(head) < len(chunk):
-                ids += self.word(chunk[len(head) :])
-        else:
-            ids = self.direct(chunk)
-        if len(chunk) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        if not self.SEPARATORS.isdisjoint(text):
-            return self.direct(text)
-        return b"".join(map(self.__getitem__, text.split()))
+            return ids + self.word(chunk[len(head) :]) if len(head) < len(chunk) else ids
+        return self.direct(chunk)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts`` in a row, and where each text's begin and end.
+
+        Chunks are told apart and counted in columns: only distinct ones are
+        looked up one by one.
+        """
+        odd = [k for k, t in enumerate(texts.to_pylist()) if self.SEPARATORS.search(t)]
+        plain = texts if not odd else pc.if_else(pc.is_in(pa.array(range(len(texts))), pa.array(odd)), "", texts)
+        words = pc.utf8_split_whitespace(plain)
+        coded = words.flatten().dictionary_encode()
+        ends = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
+        known = [self.chunk(c) if c else b"" for c in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        table = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(known), dtype="<u4")))
+        ids = table.take(coded.indices).flatten().to_numpy(zero_copy_only=False)
+        at = np.concatenate([[0], np.cumsum(sizes[coded.indices.to_numpy(zero_copy_only=False)])])[ends]
+        for k in reversed(odd):
+            own = np.frombuffer(self.direct(texts[k].as_py()), dtype="<u4")
+            ids = np.concatenate([ids[: at[k]], own, ids[at[k] :]])
+            at[k + 1 :] += len(own)
+        return ids, at
 
 
 @lru_cache(maxsize=1)
@@ -103,26 +116,33 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """(id, piece, start, length, ids_crc32): every text's ids and ``eos``, cut at ``capacity``."""
     with open(tokenizer_path, encoding="utf-8") as f:  # read by the driver: executors need no such file
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    end, width = np.asarray([eos], dtype="<u4").tobytes(), 4 * capacity
+    end = np.asarray([eos], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = None
-        for batch in batches:
-            ids_of = ids_of or word_ids(shared.value)
-            keys, piece, start, length, crc = [], [], [], [], []
-            for row, text in enumerate(batch.column(1)):
-                ids = ids_of.of(text.as_py() or "") + end
-                for k, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    keys.append(row)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keys, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                names=["id", "piece", "start", "length", "ids_crc32"],
-            )
+        ids_of = word_ids(shared.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                yield cut_part(ids_of, whole.slice(at, TEXTS))
+
+    def cut_part(ids_of: WordIds, batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, bounds = ids_of.of(batch.column(1).fill_null(""))
+        data = memoryview(ids.astype("<u4", copy=False)).cast("B")
+        keys, piece, start, length, crc = [], [], [], [], []
+        for row, (s, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            for k, at in enumerate(range(0, e - s + 1, capacity)):
+                stop = min(at + capacity, e - s)
+                value = zlib.crc32(data[4 * (s + at) : 4 * (s + stop)])
+                if e - s + 1 <= at + capacity:
+                    value = zlib.crc32(end, value)
+                keys.append(row)
+                piece.append(k)
+                start.append(at)
+                length.append(min(capacity, e - s + 1 - at))
+                crc.append(value)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(keys, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+            names=["id", "piece", "start", "length", "ids_crc32"],
+        )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(cut, PIECES.format(id=rows.schema["id"].dataType.simpleString()))
