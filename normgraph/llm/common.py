@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normgraph.storage import materialize, new_path, release, shared_dir, written
 
-__all__ = ["materialize", "new_path", "release", "shared_dir", "text_or_empty", "weighted_lookup", "written"]
+__all__ = ["free_name", "lean", "materialize", "new_path", "release", "shared_dir", "text_or_empty", "weighted_lookup", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -28,6 +33,33 @@ def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("string")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on after a task, and their heaps with them."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, giving memory back when its task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def weighted_lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner", width: Column | None = None) -> DataFrame:
     """Join ``left`` to ``right``, whose ``keys`` are unique and not null, safely under skew.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normgraph.llm.common import LOWER, UPPER, WHITE, materialize, text_or_empty, weighted_lookup
+from normgraph.llm.common import LOWER, UPPER, WHITE, free_name, materialize, text_or_empty, weighted_lookup
 
 #: Second seed of the 128-bit line hash.
 SALT = 7_046_029_254_386_353_131
@@ -123,18 +123,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns pass through unless they are named n_lines or n_dropped, which are
     replaced.  An empty table gives an empty result.
     """
+    doc_name, gone_name, kept_name = (free_name(docs, n) for n in ("_doc", "_gone", "_kept"))
     gone = dropped_lines(docs, id_col, text_col, min_chars, min_docs, batches, fanout)
-    gone = materialize(gone.withColumnsRenamed({"doc": "_doc", "gone": "_gone"}), "line-gone")
+    gone = materialize(gone.withColumnsRenamed({"doc": doc_name, "gone": gone_name}), "line-gone")
     # what documents lose grows with the input, so this is a shuffled join at any size
-    gone = gone.hint("merge")
     base = docs.drop("n_lines", "n_dropped")
-    joined = base.join(gone, base[id_col].eqNullSafe(gone["_doc"]), "left")
-    lines = F.split(text_or_empty(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x: (F.char_length(F.btrim(x, F.lit(WHITE))) < min_chars) | ~F.array_contains(F.col("_gone"), line_hash(x)))
-    joined = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept)).withColumn("n_lines", F.size(lines).cast("long"))
-    joined = joined.withColumn("n_dropped", F.when(F.col("_gone").isNotNull(), F.col("n_lines") - F.size("_kept")).otherwise(F.lit(0)).cast("long"))
-    joined = joined.withColumn(text_col, F.when(F.col("_gone").isNotNull(), F.array_join("_kept", "\n")).otherwise(text_or_empty(text_col)))
-    return joined.drop("_doc", "_gone", "_kept")
+    joined = base.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col(doc_name)), "left")
+    lines, loses = F.split(text_or_empty(text_col), "\n", -1), F.col(gone_name).isNotNull()
+    kept = F.filter(lines, lambda x: (F.char_length(F.btrim(x, F.lit(WHITE))) < min_chars) | ~F.array_contains(F.col(gone_name), line_hash(x)))
+    joined = joined.withColumn(kept_name, F.when(loses, kept)).withColumn("n_lines", F.size(lines).cast("long"))
+    joined = joined.withColumn("n_dropped", F.when(loses, F.col("n_lines") - F.size(kept_name)).otherwise(F.lit(0)).cast("long"))
+    joined = joined.withColumn(text_col, F.when(loses, F.array_join(kept_name, "\n")).otherwise(text_or_empty(text_col)))
+    return joined.drop(doc_name, gone_name, kept_name)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from normgraph.llm.common import BROADCAST_ROWS, materialize, text_or_empty, weighted_lookup
+from normgraph.llm.common import BROADCAST_ROWS, free_name, materialize, text_or_empty, weighted_lookup
 
 
 @dataclass(frozen=True)
@@ -87,8 +87,6 @@ def find_secrets(blobs: DataFrame, text_col: str, rules: tuple[Rule, ...] = RULE
     text = text_or_empty(text_col)
     hits = blobs.select("blob", F.concat(*[_matches(text, r, k) for k, r in enumerate(rules)]).alias("m")).where(F.size("m") > 0)
     rows = hits.select("blob", F.posexplode("m").alias("pos", "x")).select("blob", "pos", "x.*").where(F.col("len").isNotNull())
-    from pyspark.sql import Window
-
     upto = Window.partitionBy("blob", "rule").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     ends = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto).cast("long"))
     least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("rule") + 1)
@@ -161,24 +159,23 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     Overlapping spans are replaced together.  Rows without secrets keep their
     text as it was, null included; extra columns pass through.
     """
+    key, blob, found = (free_name(docs, n) for n in ("_key", "_blob", "_found"))
     findings, _ = scan_versions(docs, id_col, text_col, rules=rules)
-    hits = findings.where(F.size("found") > 0).select("blob", "found").dropDuplicates(["blob"]).withColumnsRenamed({"blob": "_blob", "found": "_found"})
+    hits = findings.where(F.size("found") > 0).select("blob", "found").dropDuplicates(["blob"]).withColumnsRenamed({"blob": blob, "found": found})
     hits = materialize(hits, "secret-blobs")
-    rows, spans = hits.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_found")), F.lit(0))).first()
+    rows, spans = hits.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(found)), F.lit(0))).first()
     if rows <= BROADCAST_ROWS // 4 and spans <= BROADCAST_ROWS // 2:
         hits = F.broadcast(hits)
-    joined = docs.withColumn("_key", blob_of(text_col)).join(hits, F.col("_key") == F.col("_blob"), "left")
-    step = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    joined = docs.withColumn(key, blob_of(text_col)).join(hits, F.col(key) == F.col(blob), "left")
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def pass_over(acc: Column, span: Column) -> Column:
-        skip = F.substring(F.col(text_col), acc["at"].cast("int") + 1, F.greatest(span["start"] - acc["at"], F.lit(0)).cast("int"))
-        inside = span["end"] <= acc["at"]
-        joint = span["start"] < acc["at"]
-        out = F.when(inside | joint, acc["out"]).otherwise(F.concat(acc["out"], skip, F.lit(mark)))
+        between = F.substring(F.col(text_col), acc["at"].cast("int") + 1, F.greatest(span["start"] - acc["at"], F.lit(0)).cast("int"))
+        out = F.when(span["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], between, F.lit(mark)))
         return F.struct(out.alias("out"), F.greatest(acc["at"], span["end"]).alias("at"))
 
-    done = F.aggregate("_found", step, pass_over, lambda a: F.concat(a["out"], F.substring(F.col(text_col), a["at"].cast("int") + 1, F.lit(2_147_483_647))))
-    return joined.withColumn(text_col, F.when(F.col("_blob").isNotNull(), done).otherwise(F.col(text_col))).drop("_key", "_blob", "_found")
+    done = F.aggregate(found, start, pass_over, lambda a: F.concat(a["out"], F.substring(F.col(text_col), a["at"].cast("int") + 1, F.lit(2_147_483_647))))
+    return joined.withColumn(text_col, F.when(F.col(blob).isNotNull(), done).otherwise(F.col(text_col))).drop(key, blob, found)
 
 
 def _joined(found: Column) -> Column:

@@ -13,7 +13,7 @@ def clashing(df):
     """The table with extra columns whose names operators use inside."""
     from pyspark.sql import functions as F
 
-    for name in ("id", "_id", "_d", "_n", "n", "rep", "blob", "path", "found", "doc", "h1", "h2", "gone", "kept", "keep_id", "component_id", "bucket", "rank", "length", "piece", "word", "label", "conv", "example", "d", "v", "kind", "score", "toxic", "ids", "f", "y"):
+    for name in ("id", "_id", "_d", "_n", "n", "rep", "blob", "path", "found", "doc", "h1", "h2", "gone", "kept", "keep_id", "component_id", "bucket", "rank", "length", "piece", "word", "label", "conv", "example", "d", "v", "kind", "score", "toxic", "ids", "f", "y", "_doc", "_gone", "_kept", "_key", "_blob", "_found", "_b", "_p", "_text"):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(f"x-{name}"))
     return df

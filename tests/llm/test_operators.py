@@ -136,6 +136,13 @@ def test_redact(spark):
     assert got == ["x [SECRET] y", None, "", "\U0001f600 [SECRET]", "[SECRET]"]
 
 
+def test_rewriting_operators_keep_clashing_columns(spark):
+    docs = clashing(documents(spark, AWKWARD))
+    for out in (line_dedup.line_dedup(docs), secret_scan.redact(docs), toxicity.reject_toxic(docs, toxicity.Model({}, np.zeros(0), np.full(3, 40.0)))):
+        assert set(docs.columns) <= set(out.columns) and out.count() == len(AWKWARD)
+        assert {r[0] for r in out.select("_gone").collect()} == {"x-_gone"}
+
+
 def brute_top_k(df, k, is_query):
     rows = [(r.vec_id, r.embedding) for r in df.collect() if r.vec_id is not None and r.embedding is not None and all(x is not None and np.isfinite(x) for x in r.embedding)]
     m = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows]
