@@ -10,7 +10,6 @@ the pieces of the same length.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,14 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from normgraph.llm.common import materialize
+from normgraph.llm.common import lean, materialize
 
 CAPACITY = 4096
 EOS = 1
-#: Texts whose chunks are told apart together.
-TEXTS = 2000
+#: Bytes of texts whose chunks are told apart together, about.
+PART_BYTES = 12_000_000
 #: Words whose ids a worker remembers at least when it forgets others, and the longest one it does.
-MEMO, MEMO_CHARS = 300_000, 48
+MEMO, MEMO_CHARS = 100_000, 48
 #: Pieces of one length that are ranked in one task, about.
 SHARD_ROWS = 500_000
 
@@ -45,7 +44,7 @@ class WordIds:
     """
 
     #: White space when texts are split, but ordinary characters for the tokenizer.
-    SEPARATORS = re.compile("[\x1c-\x1f]")
+    SEPARATORS = "[\x1c-\x1f]"
     PUNCTUATION = ".,;:!?"
 
     def __init__(self, tokenizer_json: str):
@@ -89,8 +88,9 @@ class WordIds:
         Chunks are told apart and counted in columns: only distinct ones are
         looked up one by one.
         """
-        odd = [k for k, t in enumerate(texts.to_pylist()) if self.SEPARATORS.search(t)]
-        plain = texts if not odd else pc.if_else(pc.is_in(pa.array(range(len(texts))), pa.array(odd)), "", texts)
+        has = pc.match_substring_regex(texts, self.SEPARATORS)
+        odd = np.flatnonzero(has.to_numpy(zero_copy_only=False)).tolist()
+        plain = pc.if_else(has, "", texts) if odd else texts
         words = pc.utf8_split_whitespace(plain)
         coded = words.flatten().dictionary_encode()
         ends = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
@@ -121,8 +121,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(shared.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS):
-                yield cut_part(ids_of, whole.slice(at, TEXTS))
+            if not whole.num_rows:
+                continue
+            ends = np.cumsum(pc.binary_length(whole.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // PART_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), whole.num_rows]
+            for s, e in zip(cuts, cuts[1:]):
+                yield cut_part(ids_of, whole.slice(s, e - s))
 
     def cut_part(ids_of: WordIds, batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, bounds = ids_of.of(batch.column(1).fill_null(""))
@@ -145,7 +149,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(cut, PIECES.format(id=rows.schema["id"].dataType.simpleString()))
+    return rows.mapInArrow(lean(cut), PIECES.format(id=rows.schema["id"].dataType.simpleString()))
 
 
 def fullest(counts: dict[int, int], space: int) -> dict[int, int]:
@@ -237,7 +241,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     rows = ranked.select("id", "piece", "start", "length", "ids_crc32", F.col("_rank").cast("long").alias("rank"))
     schema = PIECES.format(id=rows.schema["id"].dataType.simpleString()) + ", sequence_id long, offset long"
-    return rows.mapInArrow(assign, schema)
+    return rows.mapInArrow(lean(assign), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, eos: int = EOS) -> DataFrame:
