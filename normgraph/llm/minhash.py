@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normgraph.llm.common import BROADCAST_ROWS, materialize, weighted_lookup
+from normgraph.llm.common import BROADCAST_ROWS, lean, materialize, weighted_lookup
 from normgraph.operators.components import connected_components
 
 SLOTS = 1 << 20
@@ -37,7 +37,7 @@ BLOCK = 512
 #: Standard deviations below the threshold at which a signature's estimate
 #: rules a pair out (a miss of about 1 in 10 million at the threshold itself).
 SIGMAS = 5.2
-MEMO = 500_000
+MEMO = 200_000
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -132,7 +132,7 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sigs, pa.binary()), lists], names=["id", "n", "f1", "f2", "sig", "bands"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, f1 long, f2 long, sig binary, bands array<long>")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, n long, f1 long, f2 long, sig binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -141,12 +141,14 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            sets = [shingle_hashes(x.as_py() or b"", width, memo).view(np.int64) for x in batch.column(1).cast(pa.binary())]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "set"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingle_hashes(x.as_py() or b"", width, memo).view(np.int64) for x in part.column(1).cast(pa.binary())]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "set"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, set array<long>")
+    return docs.mapInArrow(lean(run), f"id {docs.schema['id'].dataType.simpleString()}, set array<long>")
 
 
 def least_agreement(num: int, den: int) -> float:
@@ -170,7 +172,7 @@ def likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return both.mapInArrow(lean(run), f"a {kind}, b {kind}")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -227,8 +229,8 @@ def crossing_links(component: np.ndarray, sets: list[np.ndarray], first: np.ndar
     return x[once], y[once]
 
 
-def within_buckets(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) among ``members`` (bucket, rep, component, set) of one bucket that join different components.
+def within_buckets(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) among ``members`` (bucket, rep, component) of one bucket that join different components.
 
     Every pair of a bucket's rows in different components is decided on its
     full sets, but inside a task: one link for each two components comes out of
@@ -238,7 +240,9 @@ def within_buckets(members: DataFrame, num: int, den: int) -> DataFrame:
     sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "rep", "component", "set")
+    dealt = dealt.select("bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "rep", "component")
+    # sets come last: they are shuffled once with their rows
+    dealt = dealt.join(sets, "rep").select("bucket", "lo", "hi", "mine", "rep", "component", "set")
     spark = members.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = dealt.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
@@ -271,7 +275,7 @@ def within_buckets(members: DataFrame, num: int, den: int) -> DataFrame:
         if found is not None:
             yield found
 
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -323,7 +327,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = materialize(rest.select(F.col("rep").alias("id")).distinct(), "minhash-ids")
     few = ids.count() <= BROADCAST_ROWS
     sets = materialize(shingle_sets(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), width).withColumnRenamed("id", "rep").dropDuplicates(["rep"]), "minhash-sets")
-    more = materialize(within_buckets(rest.join(sets, "rep").select("bucket", "rep", "component", "set"), num, den), "links")
+    more = materialize(within_buckets(rest, sets, num, den), "links")
     if not more.isEmpty():
         found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
 
