@@ -195,9 +195,9 @@ def _sql() -> str:
     for order, r in enumerate(RULES):
         pattern = r.pattern.replace("'", "''")
         parts.append(
-            f"SELECT rid, {order} AS o, '{r.kind}' AS kind, {r.least} AS least, i, length(string_split_regex(text, '{pattern}')[i]) AS gap, "
-            f"length(regexp_extract_all(text, '{pattern}')[i]) AS len, length(regexp_extract_all(text, '{pattern}', {r.group})[i]) AS size "
-            f"FROM (SELECT rid, text, unnest(generate_series(1, len(regexp_extract_all(text, '{pattern}')))) AS i FROM d WHERE regexp_matches(text, '{pattern}'))"
+            f"SELECT rid, {order} AS o, '{r.kind}' AS kind, {r.least} AS least, i, length(b) AS gap, length(w) AS len, length(g) AS size FROM ("
+            f"SELECT rid, unnest(string_split_regex(text, '{pattern}')) AS b, unnest(regexp_extract_all(text, '{pattern}')) AS w, unnest(regexp_extract_all(text, '{pattern}', {r.group})) AS g, "
+            f"unnest(generate_series(1, len(regexp_extract_all(text, '{pattern}')) + 1)) AS i FROM d WHERE regexp_matches(text, '{pattern}')) WHERE w IS NOT NULL"
         )
     return (
         "WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents), m AS (" + " UNION ALL ".join(parts) + "), "
