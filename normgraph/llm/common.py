@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from normgraph.storage import materialize, new_path, release, shared_dir, written
 
-__all__ = ["free_name", "lean", "materialize", "new_path", "release", "shared_dir", "text_or_empty", "weighted_lookup", "written"]
+__all__ = ["arrow_map", "free_name", "lean", "materialize", "new_path", "release", "shared_dir", "text_or_empty", "weighted_lookup", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -25,6 +25,8 @@ BROADCAST_ROWS = 200_000
 #: A key is heavy when it holds more than 1 / HEAVY of all rows, so there are
 #: never more than HEAVY such keys: that is the proven bound of their broadcast.
 HEAVY = 2000
+#: Bytes of a batch that an Arrow kernel gets.
+ARROW_BYTES = 8 << 20
 #: Parts that the rows of a heavy key are dealt to.
 SALTS = 32
 
@@ -52,6 +54,18 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow by batches of at most ARROW_BYTES, so that long texts fit beside the executor's heap.
+
+    The session keeps a smaller limit of its own.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name)
+    if not now.endswith("b") or int(now.rstrip("b")) > ARROW_BYTES:
+        conf.set(name, f"{ARROW_BYTES}b")
+    return df.mapInArrow(lean(run), schema)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a longer one where ``df`` has such a column."""
     taken = {c.lower() for c in df.columns}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normgraph.llm.common import LOWER, UPPER, lean
+from normgraph.llm.common import LOWER, UPPER, arrow_map
 
 #: Contract: phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -74,7 +74,7 @@ def word_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[byte
                 seen.update(vocabulary.intersection(words_of(text.as_py() or b"")))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "word binary, n long").groupBy("word").agg(F.sum("n"))
+    counts = arrow_map(docs.select(F.col("text").cast("string").alias("text")), run, "word binary, n long").groupBy("word").agg(F.sum("n"))
     return {bytes(w): n for w, n in counts.collect()}
 
 
@@ -178,7 +178,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, kinds))], names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return rows.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
+    return arrow_map(rows, run, schema).withColumnRenamed("id", id_col)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normgraph.llm.common import BROADCAST_ROWS, lean, materialize, weighted_lookup
+from normgraph.llm.common import BROADCAST_ROWS, arrow_map, materialize, weighted_lookup
 from normgraph.operators.components import connected_components
 
 SLOTS = 1 << 20
@@ -132,7 +132,7 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sigs, pa.binary()), lists], names=["id", "n", "f1", "f2", "sig", "bands"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, n long, f1 long, f2 long, sig binary, bands array<long>")
+    return arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, n long, f1 long, f2 long, sig binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -148,7 +148,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "set"])
 
-    return docs.mapInArrow(lean(run), f"id {docs.schema['id'].dataType.simpleString()}, set array<long>")
+    return arrow_map(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, set array<long>")
 
 
 def least_agreement(num: int, den: int) -> float:
@@ -172,7 +172,7 @@ def likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(lean(run), f"a {kind}, b {kind}")
+    return arrow_map(both, run, f"a {kind}, b {kind}")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -275,7 +275,7 @@ def within_buckets(members: DataFrame, sets: DataFrame, num: int, den: int) -> D
         if found is not None:
             yield found
 
-    return ordered.mapInArrow(lean(run), "a long, b long").distinct()
+    return arrow_map(ordered, run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:

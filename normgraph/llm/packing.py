@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from normgraph.llm.common import lean, materialize
+from normgraph.llm.common import arrow_map, materialize
 
 CAPACITY = 4096
 EOS = 1
@@ -149,7 +149,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lean(cut), PIECES.format(id=rows.schema["id"].dataType.simpleString()))
+    return arrow_map(rows, cut, PIECES.format(id=rows.schema["id"].dataType.simpleString()))
 
 
 def fullest(counts: dict[int, int], space: int) -> dict[int, int]:
@@ -241,7 +241,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     rows = ranked.select("id", "piece", "start", "length", "ids_crc32", F.col("_rank").cast("long").alias("rank"))
     schema = PIECES.format(id=rows.schema["id"].dataType.simpleString()) + ", sequence_id long, offset long"
-    return rows.mapInArrow(lean(assign), schema)
+    return arrow_map(rows, assign, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, eos: int = EOS) -> DataFrame:

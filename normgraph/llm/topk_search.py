@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from normgraph.llm.common import lean, materialize
+from normgraph.llm.common import arrow_map, materialize
 
 #: Queries in a query block (one shuffled group), in a tile, candidates in a chunk.
 QUERY_BLOCK, TILE, CHUNK = 4096, 128, 4096
@@ -161,7 +161,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
                         t.scan(ids[c : c + CHUNK], columns, tails)
         yield from result(tiles)
 
-    found = grid.select("kind", "id", "v", "d", "qb", "cb").mapInArrow(lean(run), "query_id long, id long, score long")
+    found = arrow_map(grid.select("kind", "id", "v", "d", "qb", "cb"), run, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 

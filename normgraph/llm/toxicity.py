@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normgraph.llm.common import lean, materialize
+from normgraph.llm.common import arrow_map, materialize
 
 #: Labelled rows that the model is fitted on, chosen by a hash of their ids.
 SAMPLE_ROWS = 20_000
@@ -119,7 +119,7 @@ def choose_features(sample: DataFrame, limit: int = MAX_FEATURES) -> list[tuple[
         names = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([s[x] for x in names], pa.int64()) for s in (seen[1], seen[0]))], names=["f", "t", "c"])
 
-    sums = materialize(sample.mapInArrow(lean(run), "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "features")
+    sums = materialize(arrow_map(sample, run, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "features")
     whole = sums.where(F.col("f") == "").first()
     if whole is None or not whole.t or not whole.c:
         return []
@@ -149,7 +149,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             found = [shell.counts(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["y", "k", "n"])
 
-    got = sample.mapInArrow(lean(run), "y int, k array<int>, n array<int>").collect()  # ``sample_rows`` rows of few numbers
+    got = arrow_map(sample, run, "y int, k array<int>, n array<int>").collect()  # ``sample_rows`` rows of few numbers
     rows, y = [dict(sorted(zip(r.k, r.n))) for r in got], np.array([int(r.y > 0) for r in got])
     order = sorted(range(len(rows)), key=lambda i: (y[i], sorted(rows[i].items())))  # whatever order the tasks had
     rows, y = [rows[i] for i in order], y[order]
@@ -175,7 +175,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             severity = p.sum(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(severity), pa.array(np.rint(severity).astype(np.int32)), pa.array(p[:, 0]), pa.array(p[:, 0] >= 0.5)], names=["id", "severity", "grade", "p_toxic", "toxic"])
 
-    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, severity double, grade int, p_toxic double, toxic boolean").withColumnRenamed("id", id_col)
+    return arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, severity double, grade int, p_toxic double, toxic boolean").withColumnRenamed("id", id_col)
 
 
 def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -186,7 +186,7 @@ def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataF
         for batch in batches:
             yield batch.filter(pa.array([model.above(t.as_py())[0] < 0.5 for t in batch.column(k)], pa.bool_()))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
