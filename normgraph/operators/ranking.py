@@ -11,7 +11,7 @@ from normgraph.storage import materialize
 def top(df: DataFrame, by: Column, k: int, tie: str = "ord") -> DataFrame:
     """The ``k`` best rows with their 1-based ``rank``; only they are sorted together."""
     best = df.withColumn("_by", by).orderBy(F.col("_by").desc(), F.col(tie).asc()).limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("_by").desc(), F.col(tie).asc()))).drop("_by")
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("_by").desc(), F.col(tie).asc())).cast("long")).drop("_by")
 
 
 def global_rank(df: DataFrame, by: Column, name: str = "rank", tie: str = "ord") -> DataFrame:
