@@ -4,8 +4,9 @@ An Aho-Corasick automaton over the pieces drives a single-pass Viterbi: at each
 position the automaton's output links list every piece that ends there, longest
 first, and each relaxes the best score of that position.  Piece scores come from
 the model file; a character that no piece holds alone falls back to its UTF-8
-bytes.  Text without white space marks and line ends inside decomposes the
-search: pieces never reach over them, so words are encoded once and remembered.
+bytes.  No piece of the model is left out.  Texts are cut only where no piece
+reaches over: around line ends and before a run of white space marks, which
+stays together with the word after it.  Such chunks are encoded once and remembered.
 """
 
 from __future__ import annotations
@@ -40,10 +41,7 @@ def load_pieces(path: str) -> tuple[tuple[tuple[str, float, int], ...], tuple[in
         if model.is_byte(i):
             at_byte[int(text[3:5], 16)] = i
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-            # a piece that reaches over a white space mark is never better than
-            # the marks alone; without them words can be searched one by one
-            if SPACE not in text[1:] and "\n" not in text:
-                pieces.append((text, float(model.get_score(i)), i))
+            pieces.append((text, float(model.get_score(i)), i))
     if min(at_byte) < 0:
         raise ValueError("the model has no byte pieces to fall back to")
     return tuple(pieces), tuple(at_byte), model.get_piece_size()
@@ -53,7 +51,10 @@ class Codec(dict):
     """Encodes texts; remembers (ids, score) of words and empties itself when full."""
 
     PUNCTUATION = ".,;:!?"
-    WORDS = re.compile(f"{SPACE}[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+    WORDS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+    WHOLE = re.compile(".+", re.DOTALL)
+    #: Inside a piece, a place where WORDS cuts.
+    CROSSING = re.compile(f"[^{SPACE}]{SPACE}|.\n|\n.", re.DOTALL)
 
     def __init__(self, pieces, at_byte, size):
         import ahocorasick
@@ -66,6 +67,8 @@ class Codec(dict):
         self.automaton.make_automaton()
         self.alone = frozenset(text for text, _, _ in pieces if len(text) == 1)
         self.joined = frozenset(text[k : k + 2] for text, _, _ in pieces for k in range(len(text) - 1))
+        # a model with a piece that WORDS would cut has its texts searched as they are
+        self.chunks = self.WHOLE if any(self.CROSSING.search(text) for text, _, _ in pieces) else self.WORDS
         self.words: dict[str, tuple[bytes, float]] = {}
         self.older: dict[str, tuple[bytes, float]] = {}
         self.unknown = min(score for _, score, _ in pieces) - UNKNOWN_PENALTY
@@ -149,7 +152,7 @@ class Codec(dict):
             if k:
                 out.append(mark)
                 score += self.unknown
-            words = self.WORDS.findall(("" if k else SPACE) + part.replace(" ", SPACE))
+            words = self.chunks.findall(("" if k else SPACE) + part.replace(" ", SPACE))
             found = list(map(self.__getitem__, words))
             out.extend(x for x, _ in found)
             score += sum(s for _, s in found)

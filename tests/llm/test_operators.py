@@ -329,6 +329,40 @@ def test_viterbi_against_dynamic_programming():
         assert codec.search(mapped)[1] == pytest.approx(score)
 
 
+def test_viterbi_over_the_whole_piece_list():
+    import sentencepiece
+
+    path = sentencepiece_codec.model_path()
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    plain = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    table = {model.id_to_piece(i): model.get_score(i) for i in plain}
+    longest = max(map(len, table))
+    codec = sentencepiece_codec.Codec(*sentencepiece_codec.load_pieces(path))
+    texts = ["a    return value", "x  in", "def f(x):\n    if x:\n        return 1\n\n\n\tb   \n   c", " " * 100, "  a,  b.   c  ", "1" + " " * 15 + "2" + " " * 17 + "\u6f22" + " " * 40 + "end.  "]
+    for text in texts:
+        mapped = "▁" + text.replace(" ", "▁")
+        best = [0.0] + [float("-inf")] * len(mapped)
+        for e in range(1, len(mapped) + 1):
+            for s in range(max(0, e - longest), e):
+                score = table.get(mapped[s:e], codec.unknown if e - s == 1 else None)
+                if score is not None:
+                    best[e] = max(best[e], best[s] + score)
+        found, score = codec.encode(text)
+        ids = np.frombuffer(found, "<i4").tolist()
+        assert score == best[-1] and ids == codec.search(mapped)[0]
+        if set(mapped) <= table.keys():
+            assert sum(model.get_score(i) for i in ids) == best[-1]
+        assert codec.decode(ids) == text
+    assert codec.encode("a    return value")[1] == -1000000562
+
+
+def test_viterbi_with_pieces_that_reach_over_words():
+    pieces = (("▁", -5.0, 256), ("a", -5.0, 257), ("b", -5.0, 258), ("a▁b", -1.0, 259), ("b\na", -1.0, 260))
+    codec = sentencepiece_codec.Codec(pieces, tuple(range(256)), 261)
+    assert np.frombuffer(codec.encode("a b")[0], "<i4").tolist() == [256, 259]
+    assert np.frombuffer(codec.encode("b\na")[0], "<i4").tolist() == [256, 260]
+
+
 def test_sentencepiece_round_trip(spark):
     path = sentencepiece_codec.model_path()
     docs = clashing(documents(spark, AWKWARD))
