@@ -7,7 +7,7 @@ of all pairs nor a cartesian product is ever built.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +20,8 @@ BLOCK = 2048
 
 # Thresholds of the four edge kinds.
 THRESHOLDS = {"intl": 0.70, "natl": 0.70, "cross": 0.55, "governs": 0.50}
+#: Parts in which scores are counted, scores that are sorted at once, and more than a score's rounding error.
+BINS, FEW_SCORES, ROUNDING = 1 << 14, 500_000, 1e-12
 
 
 def unit(v: Column) -> Column:
@@ -54,12 +56,12 @@ def _blocks(df: DataFrame, size: int) -> tuple[DataFrame, int]:
     return rows.withColumn("block", F.pmod(F.xxhash64("ord"), F.lit(n)).cast("int")), n
 
 
-def similar_pairs(pairs: Pairs, block: int = BLOCK) -> DataFrame:
-    """(src, dst, score) by ord: pairs with cosine >= threshold.
+def _by_cells(pairs: Pairs, block: int, kernel: Callable, schema: str) -> DataFrame:
+    """What ``kernel`` makes of the cells.
 
-    Inputs have ord (unique long), group and vector.  Rows with a null ord or
-    vector, or a null in it, take no part; vectors of different lengths are
-    never compared; zero vectors have similarity 0 with everything.
+    ``kernel()`` is called once a task and gives two functions: one takes a
+    cell's scores, which of them are candidate pairs, and the ords of both
+    sides; one is called at the end.  Both return a record batch or None.
     """
     left, n = _blocks(pairs.left, block)
     if pairs.right is None:
@@ -73,35 +75,34 @@ def similar_pairs(pairs: Pairs, block: int = BLOCK) -> DataFrame:
         cells = a.unionByName(b)
     spark = pairs.left.sparkSession
     ordered = cells.withColumn("d", F.size("vector")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p", "q", "d").sortWithinPartitions("p", "q", "d")
-    alone, threshold, cross = pairs.right is None, pairs.threshold, pairs.cross_group
+    alone, cross = pairs.right is None, pairs.cross_group
 
-    def product(p: int, q: int, side, ids, groups, rows) -> pa.RecordBatch | None:
+    def product(meet: Callable, p: int, q: int, side, ids, groups, rows) -> pa.RecordBatch | None:
         first, second = side == 0, (side == 0 if alone and p == q else side == 1)
         if not first.any() or not second.any():
             return None
         norms = np.linalg.norm(rows, axis=1, keepdims=True)
         rows = np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
-        score = rows[first] @ rows[second].T
-        i, j = np.nonzero(score >= threshold)
-        s, a, b, ga, gb = score[i, j], ids[first][i], ids[second][j], groups[first][i], groups[second][j]
-        keep = np.ones(len(s), bool)
+        a, b = ids[first], ids[second]
+        keep = np.ones((len(a), len(b)), bool)
         if alone:
-            keep &= a != b
-            if p == q:
-                keep &= a < b
-            a, b = np.minimum(a, b), np.maximum(a, b)
+            keep &= a[:, None] < b if p == q else a[:, None] != b
         if cross:
-            keep &= ga != gb
-        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(s[keep])], names=["src", "dst", "score"]) if keep.any() else None
+            # a null group differs from every group but another null one
+            number: dict = {}
+            group = np.array([number.setdefault(x, len(number)) for x in groups])
+            keep &= group[first][:, None] != group[second]
+        return meet(rows[first] @ rows[second].T, keep, a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, kept = None, []
+        meet, finish = kernel()
 
         def close() -> pa.RecordBatch | None:
             if not kept:
                 return None
             side, ids, groups, rows = (np.concatenate(x) for x in zip(*kept))
-            return product(cell[0], cell[1], side, ids, groups, rows)
+            return product(meet, cell[0], cell[1], side, ids, groups, rows)
 
         for whole in batches:
             if not whole.num_rows:
@@ -117,11 +118,101 @@ def similar_pairs(pairs: Pairs, block: int = BLOCK) -> DataFrame:
                     cell, kept = here, []
                 rows = part.column(5).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                 kept.append((part.column(2).to_numpy(), part.column(3).to_numpy(), part.column(4).to_numpy(zero_copy_only=False), rows))
-        done = close()
-        if done is not None:
-            yield done
+        for done in (close(), finish()):
+            if done is not None:
+                yield done
+
+    return ordered.select("p", "q", "side", "ord", "group", "vector", "d").mapInArrow(run, schema)
+
+
+def similar_pairs(pairs: Pairs, block: int = BLOCK) -> DataFrame:
+    """(src, dst, score) by ord: pairs with cosine >= threshold.
+
+    Inputs have ord (unique long), group and vector.  Rows with a null ord or
+    vector, or a null in it, take no part; vectors of different lengths are
+    never compared; zero vectors have similarity 0 with everything.
+    """
+    threshold, alone = pairs.threshold, pairs.right is None
+
+    def kernel():
+        def meet(score, keep, a, b):
+            i, j = np.nonzero((score >= threshold) & keep)
+            if not len(i):
+                return None
+            src, dst = (np.minimum(a[i], b[j]), np.maximum(a[i], b[j])) if alone else (a[i], b[j])
+            return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(score[i, j])], names=["src", "dst", "score"])
 
-    return ordered.select("p", "q", "side", "ord", "group", "vector", "d").mapInArrow(run, "src long, dst long, score double")
+        return meet, lambda: None
+
+    return _by_cells(pairs, block, kernel, "src long, dst long, score double")
+
+
+def pair_percentile(pairs: Pairs, spec: str, block: int = BLOCK, few: int = FEW_SCORES) -> float:
+    """``pNN`` of the scores of all candidate pairs (linear interpolation); the threshold of ``pairs`` isn't looked at.
+
+    Scores are counted in bins inside the cells and the bins of the two ranks
+    refined, until few scores are left to be sorted; pairs are never written out.
+    """
+    share = float(spec.lstrip("p")) / 100
+
+    def counts(low: float, high: float) -> tuple[int, np.ndarray]:
+        """Scores in all and in each of BINS equal parts; what lies beyond counts in the first and last."""
+
+        def kernel():
+            total = np.zeros(BINS, np.int64)
+
+            def meet(score, keep, a, b):
+                x = score[keep]
+                x = x[~np.isnan(x)]
+                at = np.clip((x - low) * (BINS / (high - low)), 0, BINS - 1).astype(np.int64)
+                total[:] += np.bincount(at, minlength=BINS)
+
+            def finish():
+                k = np.flatnonzero(total)
+                return pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["bin", "n"]) if len(k) else None
+
+            return meet, finish
+
+        found = _by_cells(pairs, block, kernel, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+        total = np.zeros(BINS, np.int64)
+        for r in found:
+            total[r.bin] = r.n
+        return int(total.sum()), total
+
+    low, high = -1.0 - ROUNDING, 1.0 + ROUNDING
+    while True:
+        n, found = counts(low, high)
+        if not n:
+            return 0.0
+        place = share * (n - 1)
+        ranks, upto = (int(np.floor(place)), int(np.ceil(place))), np.cumsum(found)
+        first, last = (int(np.searchsorted(upto, r, "right")) for r in ranks)
+        width = (high - low) / BINS
+        # a product may come out otherwise by a rounding error in the next pass
+        low, high = low + first * width - ROUNDING, low + (last + 1) * width + ROUNDING
+        # ranks in bins far apart leave nothing between them to count
+        if found[first : last + 1].sum() <= few or width <= ROUNDING or last - first > 1:
+            break
+
+    def kernel():
+        below, seen = 0, []
+
+        def meet(score, keep, a, b):
+            nonlocal below
+            x = score[keep]
+            below += int(np.count_nonzero(x < low))
+            seen.append(np.unique(x[(x >= low) & (x <= high)], return_counts=True))
+
+        def finish():
+            x, k = (np.concatenate(v) for v in zip(*seen)) if seen else (np.empty(0), np.empty(0, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(np.append(x, float("-inf"))), pa.array(np.append(k, below))], names=["score", "n"])
+
+        return meet, finish
+
+    rows = _by_cells(pairs, block, kernel, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).toPandas().sort_values("score")
+    upto, scores = np.cumsum(rows.n.to_numpy()), rows.score.to_numpy()
+    x, y = (float(scores[np.searchsorted(upto, r, "right")]) for r in ranks)
+    return x + (y - x) * (place - ranks[0])
 
 
 def pair_statistics(groups: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from normgraph.operators import report
 from normgraph.operators.centrality import betweenness
 from normgraph.operators.embedding import hashed_tfidf
 from normgraph.operators.ranking import head, top
-from normgraph.operators.similarity import THRESHOLDS, Pairs, percentile_threshold, similar_pairs
+from normgraph.operators.similarity import ROUNDING, THRESHOLDS, Pairs, pair_percentile, similar_pairs
 from normgraph.sources import corpus_from_texts, incident_text, sinks
 from normgraph.storage import materialize
 
@@ -43,7 +44,7 @@ def build(nodes: DataFrame, vectors: Callable[[DataFrame], DataFrame] = hashed_t
     """The master graph: nodes and the edges of all four kinds.
 
     ``vectors`` gives (id, vector) for (id, text) rows.  A threshold may be a
-    number or a percentile like ``p95`` of the kind's non-negative scores.
+    number or a percentile like ``p95`` of the scores of all the kind's pairs.
     """
     v = materialize(nodes.join(vectors(nodes.select("id", "text")), "id").select("id", "ord", "group", "side", "vector"), "node-vectors")
     side = {"intl": v.where("side = 'intl'"), "natl": v.where("side = 'natl'"), "inc": v.where("side = 'inc'"), "reg": v.where("side <> 'inc'")}
@@ -52,10 +53,10 @@ def build(nodes: DataFrame, vectors: Callable[[DataFrame], DataFrame] = hashed_t
     for k, (kind, a, b, label, cross) in enumerate(KINDS):
         t = thresholds[kind]
         pairs = Pairs(side[a], 0.0 if isinstance(t, str) else float(t), None if a == b else side[b], cross)
-        found = similar_pairs(pairs)
         if isinstance(t, str):
-            found = materialize(found, "scores")
-            found = found.where(F.col("score") >= percentile_threshold(found, t))
+            # the cut-off may be a pair's own score, which a second product may miss by a rounding error
+            pairs = replace(pairs, threshold=pair_percentile(pairs, t) - ROUNDING)
+        found = similar_pairs(pairs)
         named = found.join(place.withColumnsRenamed({"ord": "src", "id": "s"}), "src").join(place.withColumnsRenamed({"ord": "dst", "id": "d"}), "dst")
         rows = named.select(F.col("s").alias("src"), F.col("d").alias("dst"), F.lit(label).alias("type"), F.round("score", 4).alias("weight"), (F.lit(k * 10**16) + F.col("src") * 10**8 + F.col("dst")).cast("long").alias("ord"))
         edges = rows if edges is None else edges.unionByName(rows)

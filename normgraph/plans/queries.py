@@ -10,8 +10,8 @@ from normgraph.operators import graph as g
 from normgraph.operators import registry, report, tfidf
 from normgraph.operators.centrality import betweenness
 from normgraph.operators.ranking import global_rank, head, top
-from normgraph.operators.similarity import pair_statistics, percentile_threshold, threshold_sweep
-from normgraph.plans.tables import LEVELS, MASTER_SQL, NATIONS_SQL, PATHS_SQL, edges_of, master, nations, provisions, read, scored
+from normgraph.operators.similarity import pair_percentile, pair_statistics, percentile_threshold, threshold_sweep
+from normgraph.plans.tables import LEVELS, MASTER_SQL, NATIONS_SQL, PATHS_SQL, candidates, edges_of, master, nations, provisions, read, scored
 from normgraph.sources import generate_incidents, literal_between, parse_log
 from normgraph.sources import sinks
 
@@ -76,6 +76,12 @@ def percentile_cutoff(spark, d):
     return spark.createDataFrame([(percentile_threshold(pairs, "p90"),)], "cutoff double").select(r6("cutoff").alias("cutoff"))
 
 
+@query("percentile_cutoff_all", MASTER_SQL + " SELECT round(quantile_cont(score, 0.9), 6) AS cutoff FROM p WHERE kind = 'cross'")
+def percentile_cutoff_all(spark, d):
+    """The cut-off over every candidate pair; ``percentile_cutoff`` looks at those from 0.1 on."""
+    return spark.createDataFrame([(pair_percentile(candidates(spark, d, "cross"), "p90"),)], "cutoff double").select(r6("cutoff").alias("cutoff"))
+
+
 _SWEEP = (0.1, 0.15, 0.2, 0.25, 0.3)
 
 

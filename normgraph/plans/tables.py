@@ -32,15 +32,20 @@ def provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "ord", F.concat(F.lit("P "), F.col("id")).alias("label"), group.alias("group"), cls.alias("classification"), (F.lit(2000) + F.col("ord") % 25).cast("int").alias("year"), "side", F.col("embedding").alias("vector"))
 
 
-def scored(spark: SparkSession, sf_dir: str, kind: str, threshold: float | None = None) -> DataFrame:
-    """(src, dst, score) of one of the four kinds of pairs, by ord."""
+def candidates(spark: SparkSession, sf_dir: str, kind: str, threshold: float | None = None) -> Pairs:
+    """The pairs of one of the four kinds."""
     p = provisions(spark, sf_dir)
     t = LEVELS[kind] if threshold is None else threshold
     if kind in ("intl", "natl"):
-        return similar_pairs(Pairs(p.where(F.col("side") == kind), t))
+        return Pairs(p.where(F.col("side") == kind), t)
     if kind == "cross":
-        return similar_pairs(Pairs(p.where("side = 'intl'"), t, p.where("side = 'natl'")))
-    return similar_pairs(Pairs(p.where("side <> 'inc'"), t, p.where("side = 'inc'"), cross_group=False))
+        return Pairs(p.where("side = 'intl'"), t, p.where("side = 'natl'"))
+    return Pairs(p.where("side <> 'inc'"), t, p.where("side = 'inc'"), cross_group=False)
+
+
+def scored(spark: SparkSession, sf_dir: str, kind: str, threshold: float | None = None) -> DataFrame:
+    """(src, dst, score) of one of the four kinds of pairs, by ord."""
+    return similar_pairs(candidates(spark, sf_dir, kind, threshold))
 
 
 def edges_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 
 from normgraph import sources
 from normgraph.operators.embedding import embed
+from normgraph.operators.similarity import Pairs, pair_percentile
 from normgraph.plans import pipeline
 
 TOPICS = {"privacy": "consent data subject privacy controller processing", "risk": "risk management oversight audit system safety", "fraud": "fraud bank account identity theft loan"}
@@ -44,6 +45,31 @@ def test_run(spark, tmp_path):
     assert by_rank.edges.where("type = 'semantic_link'").count() >= 1
 
 
+def test_percentile_over_all_scores(spark):
+    x = np.random.RandomState(3).normal(size=(40, 3))
+    x[1] = -x[0]
+    rows = [(f"n{k}", k, f"n{k}", f"g{k % 4}", "c", 2000, "t", "intl" if k % 4 < 2 else "natl") for k in range(40)]
+    nodes = spark.createDataFrame(rows, "id string, ord long, label string, group string, classification string, year int, text string, side string")
+    vectors = spark.createDataFrame([(f"n{k}", v.tolist()) for k, v in enumerate(x)], "id string, vector array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = u @ u.T
+    pairs = {
+        "intl": [(a, b) for a in range(40) for b in range(a + 1, 40) if a % 4 < 2 and b % 4 < 2 and a % 4 != b % 4],
+        "cross": [(a, b) for a in range(40) for b in range(40) if a % 4 < 2 <= b % 4],
+    }
+    expected = set()
+    for p, found in pairs.items():
+        scores = np.array([cosine[a, b] for a, b in found])
+        cut = np.percentile(scores, {"intl": 30, "cross": 80}[p]) - 1e-12
+        expected |= {(f"n{a}", f"n{b}") for (a, b), s in zip(found, scores) if s >= cut}
+    graph = pipeline.build(nodes, lambda _: vectors, {"intl": "p30", "natl": 2.0, "cross": "p80", "governs": 2.0})
+    assert {(r.src, r.dst) for r in graph.edges.collect()} == expected
+    own = nodes.join(vectors, "id")
+    across = Pairs(own.where("side = 'intl'"), 0.0, own.where("side = 'natl'"))
+    for p, few in ((0, 1000), (12.5, 5), (90, 1000), (100, 5)):
+        assert np.isclose(pair_percentile(across, f"p{p}", block=7, few=few), np.percentile(scores, p), atol=1e-11)
+
+
 def test_encoder(spark):
     df = spark.createDataFrame([("a", "xx"), ("b", None), ("c", "y")], "id string, text string")
     got = {r.id: r.vector for r in embed(df, lambda ts: np.array([[len(t), 1.0] for t in ts]), batch=2).collect()}
