@@ -27,16 +27,16 @@ DIM_BLOCK = 16
 #: Share of a tile's pairs below which survivors are compacted to a pair list.
 SPARSE = 0.05
 SLACK = 1 + 1e-9
-#: Components are clamped to this size, so that a long holds any score.
-LARGEST = 1 << 28
+#: Sums below this bound are exact as doubles, below that one as longs; wider ones are added up as Python's integers.
+DOUBLE, LONG = 2.0**52, 2.0**62
 
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v array<int>) of the vectors without nulls and non-finite components."""
+    """(id, v array<long>) of the vectors without nulls and non-finite components."""
     x = F.col(vector_col).cast("array<double>")
     whole = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    clamp = lambda c: F.greatest(F.lit(-float(LARGEST)), F.least(F.lit(float(LARGEST)), F.floor(c * scale).cast("double"))).cast("int")
-    return vectors.where(whole).select(F.col(id_col).cast("long").alias("id"), F.transform(x, clamp).alias("v"))
+    floor = lambda c: F.when(F.abs(c * scale) < 2.0**63, F.floor(c * scale)).otherwise(F.raise_error(F.lit("a component doesn't fit a long")))
+    return vectors.where(whole).select(F.col(id_col).cast("long").alias("id"), F.transform(x, floor).alias("v"))
 
 
 def tails_of(columns: np.ndarray) -> np.ndarray:
@@ -58,8 +58,13 @@ class Tile:
         """Meet one chunk: ``columns`` is dimensions x candidates, ``tails`` the norms of what is left."""
         dims, n = columns.shape
         q = self.q
-        if np.abs(q).max(initial=0) * float(np.abs(columns).max(initial=0)) * dims < 2.0**52:
+        largest = float(np.abs(q).max(initial=0)) * float(np.abs(columns).max(initial=0)) * dims
+        if largest < DOUBLE:
             q, columns = q.astype(np.float64), columns.astype(np.float64)  # exact, and faster than integers
+        elif largest >= LONG:
+            q, columns = q.astype(object), columns.astype(object)
+        # the slack covers the rounding of the square roots, the margin that of scores beyond DOUBLE
+        margin = 1.0 + largest * 1e-12
         score = np.zeros((len(self.ids), n), dtype=q.dtype)
         pairs = None
         for at in range(0, dims, DIM_BLOCK):
@@ -68,8 +73,7 @@ class Tile:
                 score += q[:, at:to] @ columns[at:to]
                 if to == dims:
                     break
-                # the slack covers the rounding of the square roots
-                alive = score + self.tails[:, to, None] * (tails[None, to] * SLACK) + 1.0 >= self.floor[:, None]
+                alive = score.astype(np.float64) + self.tails[:, to, None] * (tails[None, to] * SLACK) + margin >= self.floor[:, None]
                 if np.count_nonzero(alive) < SPARSE * alive.size:
                     x, y = np.nonzero(alive)
                     pairs, score = (x, y), score[x, y]
@@ -78,14 +82,14 @@ class Tile:
                 for d in range(at, to):
                     score += q[x, d] * columns[d, y]
                 if to < dims:
-                    alive = score + self.tails[x, to] * (tails[to, y] * SLACK) + 1.0 >= self.floor[x]
+                    alive = score.astype(np.float64) + self.tails[x, to] * (tails[to, y] * SLACK) + margin >= self.floor[x]
                     pairs, score = (x[alive], y[alive]), score[alive]
         if pairs is None:
-            pairs = np.nonzero(score >= self.floor[:, None])
+            pairs = np.nonzero(score.astype(np.float64) >= self.floor[:, None])
             score = score[pairs]
         x, y = pairs
         own = ids[y] != self.ids[x]
-        good = own & (score >= self.floor[x])
+        good = own & (score.astype(np.float64) >= self.floor[x])
         x, y, score = x[good], y[good], score[good].astype(np.int64)
         bounds = np.searchsorted(x, np.arange(len(self.ids) + 1))
         for r in np.unique(x):
@@ -100,7 +104,9 @@ class Tile:
 def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """(query_id, rank, id, score): the k best candidates of each query, all if fewer.
 
-    Components are floor(scale * x).  ``is_query`` is a condition on the id
+    Components are floor(scale * x) and scores exact at any size; a component, or
+    the score of a pair that isn't ruled out, that no long holds raises an error
+    (as it does in SQL).  ``is_query`` is a condition on the id
     column; every row but those of the query's own id is a candidate.  Ties go
     to the smaller id, repeated rows (same id) are listed row by row.  A vector
     that is null, or has a null or non-finite component, and a null id take no

@@ -396,6 +396,30 @@ def test_license_templates_by_brute_force(spark):
     assert got[texts.index(AWKWARD[17])].n_base == 4
 
 
+def test_top_k_of_components_of_any_size(spark):
+    rng = np.random.RandomState(8)
+    for size, d in ((2.0**23, 4), (1.0e7, 5), (1.2e7, 40)):  # sums as longs, and wider bounds
+        x = np.round(rng.uniform(-size, size, (60, d)))
+        x[1::2] = x[::2] + rng.randint(-1, 2, (30, d))  # scores that only differ in their last digits
+        if d == 40:
+            x[:, 6:] = rng.randint(-3, 4, (60, 34))
+        rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+        whole = [[int(64 * c) for c in v] for v in x.tolist()]
+        score = lambda a, b: sum(p * q for p, q in zip(whole[a], whole[b]))
+        assert max(abs(c) for v in whole for c in v) > 2**28
+        expected = {(a, r, b, score(a, b)) for a in range(0, 60, 20) for r, b in enumerate(sorted((b for b in range(60) if b != a), key=lambda b: (-score(a, b), b))[:5], 1)}
+        got = topk_search.top_k(rows, lambda i: i % 20 == 0, k=5).collect()
+        assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == expected
+
+
+def test_top_k_of_a_score_beyond_a_long(spark):
+    # each product is wider than a long, their sum isn't
+    rows = spark.createDataFrame([(0, [2.0**27, 2.0**27]), (1, [2.0**27, -(2.0**27)]), (2, [2.0**27 + 1, -(2.0**27)])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk_search.top_k(rows, lambda i: i == 0).collect()] == [(2, 2**39), (1, 0)]
+    with pytest.raises(Exception, match="too large"):
+        topk_search.top_k(rows, lambda i: i == 1).collect()
+
+
 def test_rows_repeat(spark):
     docs = documents(spark, ["same text here"] * 3, [5, 5, 6])
     assert [r.kept for r in exact_dedup.exact_dedup(docs).orderBy("doc_id").collect()] == [True, True, False]
