@@ -1,7 +1,8 @@
 """License scans by an exact set-similarity join with templates.
 
 Text blocks are windows of BLOCK words, one every half window, so that any
-notice of up to half a window lies within one.  A block meets a template when it
+notice of up to half a window lies within one; a template of more words than
+that has windows of twice its words.  A block meets a template when it
 holds at least THRESHOLD of the template's distinct words.  Words are ordered by
 their frequency over all documents, rarest first; then, with need = the words
 that have to be shared,
@@ -60,6 +61,14 @@ def template_sets(templates=TEMPLATES) -> list[tuple[str, frozenset[bytes]]]:
     return [(label, frozenset(words_of(text.encode()))) for label, text in templates]
 
 
+def windows_of(templates, block: int) -> dict[int, list[int]]:
+    """Places of the templates by the windows they are sought in: ``block`` words, twice its own for a longer one."""
+    found: dict[int, list[int]] = {}
+    for t, (_, text) in enumerate(templates):
+        found.setdefault(max(block, 2 * len(words_of(text.encode()))), []).append(t)
+    return found
+
+
 def need_of(size: int, threshold: Fraction = THRESHOLD) -> int:
     return math.ceil(size * threshold)
 
@@ -153,7 +162,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = template_sets(templates)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     frequencies = word_frequencies(rows, frozenset(w for _, s in sets for w in s))
-    index = TemplateIndex(sets, frequencies, threshold)
+    indexes = [(size, TemplateIndex([sets[t] for t in places], frequencies, threshold)) for size, places in windows_of(templates, block).items()]
     sought = [(words_of(p.encode()), label) for p, label in phrases]
     ends = frozenset(p[-1] for p, _ in sought)
 
@@ -166,8 +175,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 places = [] if ends.isdisjoint(distinct) else phrase_places(words, sought)
                 score, base = float(bool(places)), {label for _, label in places}
                 labels = set(base)
-                if not index.rare.isdisjoint(distinct):
-                    for words_in in blocks_of(words, index.order, block).values():
+                for size, index in indexes:
+                    if index.rare.isdisjoint(distinct):
+                        continue
+                    for words_in in blocks_of(words, index.order, size).values():
                         for label, share in index.met(words_in):
                             labels.add(label)
                             score = max(score, share)

@@ -396,6 +396,14 @@ def test_license_templates_by_brute_force(spark):
     assert got[texts.index(AWKWARD[17])].n_base == 4
 
 
+def test_license_templates_longer_than_a_window(spark):
+    long = " ".join(f"w{k}" for k in range(100))
+    templates = (("long", long), ("short", "alpha beta gamma"))
+    texts = ["x " * pad + long for pad in (0, 31, 50, 99, 163)] + ["x " * 40 + long.replace("w50 ", "") + " y" * 90, " ".join(f"w{k}" for k in range(89)), "alpha beta " + "x " * 100 + "gamma", "x " * 63 + "alpha beta gamma"]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_scan(documents(spark, texts), templates=templates).collect()}
+    assert got == {**{k: ("long", 1.0) for k in range(5)}, 5: ("long", 0.99), 6: ("", 0.0), 7: ("", 0.0), 8: ("short", 1.0)}
+
+
 def test_top_k_of_components_of_any_size(spark):
     rng = np.random.RandomState(8)
     for size, d in ((2.0**23, 4), (1.0e7, 5), (1.2e7, 40)):  # sums as longs, and wider bounds
