@@ -325,6 +325,45 @@ def top_betweenness(spark, d):
     return top(b, F.round("betweenness", 12), 10).select(F.col("rank"), "id", r6("betweenness").alias("bc"))
 
 
+# The same on the provision network, too large for PATHS_SQL; tested against a search in plain Python.
+
+
+@query("betweenness_provisions", None)
+def betweenness_provisions(spark, d):
+    return betweenness(master(spark, d)).select("id", r6("betweenness").alias("betweenness"))
+
+
+@query("betweenness_distributed_provisions", None)
+def betweenness_distributed_provisions(spark, d):
+    return betweenness(master(spark, d), broadcast_edges=0).select("id", r6("betweenness").alias("betweenness"))
+
+
+@query("betweenness_dashboard_provisions", None)
+def betweenness_dashboard_provisions(spark, d):
+    return betweenness(master(spark, d), "dashboard").select("id", r6("betweenness").alias("betweenness"))
+
+
+@query("interpretive_roles_provisions", None)
+def interpretive_roles_provisions(spark, d):
+    return report.node_metrics(master(spark, d)).select("id", "role")
+
+
+@query("legal_uncertainty_provisions", None)
+def legal_uncertainty_provisions(spark, d):
+    return report.node_metrics(master(spark, d)).select("id", "uncertainty")
+
+
+@query("full_node_table_provisions", None)
+def full_node_table_provisions(spark, d):
+    return report.node_metrics(master(spark, d)).drop("ord").withColumns({"dc": r6("dc"), "bc": r6("bc")})
+
+
+@query("top_betweenness_provisions", None)
+def top_betweenness_provisions(spark, d):
+    b = betweenness(master(spark, d), "dashboard")
+    return top(b, F.round("betweenness", 12), 10).select(F.col("rank"), "id", r6("betweenness").alias("bc"))
+
+
 # --- modularity and dashboard tables ------------------------------------------
 
 _CLUSTERS = """, k AS (SELECT *, coalesce(cls, grp) AS c FROM g), m AS (SELECT count(*) AS m FROM e), cl AS (

@@ -15,6 +15,56 @@ def test_query_matches_sql(spark, sf_dir, name):
     assert rows_of(plans.queries()[name](spark, sf_dir)) == duck_rows(plans.oracle_sql()[name], TABLES)
 
 
+def carried(near, sources):
+    """Brandes' sums over ``sources``, node by node."""
+    total = dict.fromkeys(near, 0.0)
+    for s in sources:
+        depth, paths, order = {s: 0}, {s: 1}, [s]
+        for u in order:
+            for v in near[u]:
+                if v not in depth:
+                    depth[v], paths[v] = depth[u] + 1, 0
+                    order.append(v)
+                if depth[v] == depth[u] + 1:
+                    paths[v] += paths[u]
+        share = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            for u in near[v]:
+                if depth[u] == depth[v] - 1:
+                    share[u] += paths[u] / paths[v] * (1 + share[v])
+            if v != s:
+                total[v] += share[v]
+    return total
+
+
+def test_betweenness_on_the_provision_network(spark, sf_dir):
+    q = plans.queries()
+    nodes = sorted((r.id for r in q["degree"](spark, sf_dir).collect()), key=int)
+    n, near = len(nodes), {x: set() for x in nodes}
+    for kind in ("intl", "natl", "cross", "governs"):
+        for r in q[f"edges_{kind}"](spark, sf_dir).collect():
+            near[r.src].add(r.dst)
+            near[r.dst].add(r.src)
+    assert n == 500
+    want = {x: c / ((n - 1) * (n - 2)) for x, c in carried(near, nodes).items()}
+    assert max(want.values()) > 0
+    for name in ("betweenness_provisions", "betweenness_distributed_provisions"):
+        assert {r.id: r.betweenness for r in q[name](spark, sf_dir).collect()} == pytest.approx(want, abs=1e-6)
+    scale = n / 200 * 2 / ((n - 1) * (n - 2))
+    want = {x: c * scale for x, c in carried(near, nodes[:200]).items()}
+    assert {r.id: r.betweenness for r in q["betweenness_dashboard_provisions"](spark, sf_dir).collect()} == pytest.approx(want, abs=1e-6)
+    order = sorted(nodes, key=lambda x: (-round(want[x], 12), int(x)))
+    assert [r.id for r in q["top_betweenness_provisions"](spark, sf_dir).orderBy("rank").collect()] == order[:10]
+    high, middle = (round(want[order[int(n * share)]], 12) for share in (0.1, 0.3))
+    roles = {x: "KUNCI" if round(want[x], 12) >= high else "Pendukung" if round(want[x], 12) >= middle else "Periferal" for x in nodes}
+    dc = {x: len(near[x]) / (n - 1) for x in nodes}
+    unsure = {x: "KRITIS" if not near[x] else "TINGGI" if dc[x] > 0.15 and want[x] < 0.01 else "SEDANG" if dc[x] < 0.03 and want[x] < 0.005 else "RENDAH" for x in nodes}
+    table = {r.id: r for r in q["full_node_table_provisions"](spark, sf_dir).collect()}
+    assert {x: (r.degree, r.rank_bc, r.role, r.uncertainty) for x, r in table.items()} == {x: (len(near[x]), order.index(x) + 1, roles[x], unsure[x]) for x in nodes}
+    assert {r.id: r.role for r in q["interpretive_roles_provisions"](spark, sf_dir).collect()} == roles
+    assert {r.id: r.uncertainty for r in q["legal_uncertainty_provisions"](spark, sf_dir).collect()} == unsure
+
+
 def test_generator_is_the_same_for_the_same_seed(spark, sf_dir):
     a = rows_of(plans.queries()["generator"](spark, sf_dir))
     assert len(a) == 95 and a == rows_of(plans.queries()["generator"](spark, sf_dir))
