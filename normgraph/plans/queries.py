@@ -14,6 +14,7 @@ from normgraph.operators.similarity import pair_percentile, pair_statistics, per
 from normgraph.plans.tables import LEVELS, MASTER_SQL, NATIONS_SQL, PATHS_SQL, candidates, edges_of, master, nations, provisions, read, scored
 from normgraph.sources import generate_incidents, literal_between, parse_log
 from normgraph.sources import sinks
+from normgraph.storage import materialize
 
 QUERIES: dict[str, tuple] = {}
 
@@ -640,6 +641,24 @@ def tfidf_sweep(spark, d):
     return threshold_sweep(tfidf.term_pairs(weights, min(tfidf.SWEEP)), tfidf.SWEEP)
 
 
+# All documents, too many pairs for SQL; tested by brute force.
+
+
+@query("tfidf_weights_documents", None)
+def tfidf_weights_documents(spark, d):
+    return tfidf.tfidf(read(spark, d, "documents"), "doc_id", "text").withColumn("weight", r6("weight"))
+
+
+@query("tfidf_sweep_documents", None)
+def tfidf_sweep_documents(spark, d):
+    """Pairs of documents whose names, source and id, differ in their prefix."""
+    docs = read(spark, d, "documents")
+    name = F.concat_ws("_", F.coalesce("source", F.lit("")), F.col("doc_id").cast("string"))
+    weights = materialize(tfidf.tfidf(docs, "doc_id", "text"), "tfidf")
+    prefixes = docs.select(F.col("doc_id").alias("id"), tfidf.document_prefix(name).alias("prefix"))
+    return tfidf.cross_prefix_sweep(weights, prefixes)
+
+
 @query("document_prefix", "SELECT c_custkey, split_part(substr('a' || (c_custkey % 3) || '_' || c_name, 1, 15), '_', 1) AS prefix FROM customer")
 def document_prefix(spark, d):
     name = F.concat(F.lit("a"), (F.col("c_custkey") % 3).cast("string"), F.lit("_"), F.col("c_name"))

@@ -15,6 +15,35 @@ def test_query_matches_sql(spark, sf_dir, name):
     assert rows_of(plans.queries()[name](spark, sf_dir)) == duck_rows(plans.oracle_sql()[name], TABLES)
 
 
+def test_tfidf_of_all_documents(spark, sf_dir):
+    import re
+    from collections import Counter
+    from math import log, sqrt
+
+    from normgraph.operators import tfidf
+    from normgraph.operators.tfidf import STOP_WORDS, SWEEP
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").collect()
+    terms = {r.doc_id: Counter(w for w in re.findall(r"\b\w\w+\b", (r.text or "").lower()) if w not in STOP_WORDS) for r in docs}
+    df = Counter(w for c in terms.values() for w in c)
+    want = {}
+    for k, c in terms.items():
+        v = {w: n * (log((1 + len(docs)) / (1 + df[w])) + 1) for w, n in c.items()}
+        norm = sqrt(sum(x * x for x in v.values()))
+        want[k] = {w: x / norm for w, x in v.items()}
+    got = {(r.id, r.term): r.weight for r in plans.queries()["tfidf_weights_documents"](spark, sf_dir).collect()}
+    assert got == pytest.approx({(k, w): x for k, v in want.items() for w, x in v.items()}, abs=1e-6)
+    prefix = {r.doc_id: f"{r.source}_{r.doc_id}"[:15].split("_")[0] for r in docs}
+    ids = sorted(want)
+    scores = [sum(x * want[b].get(w, 0.0) for w, x in want[a].items()) for i, a in enumerate(ids) for b in ids[i + 1 :] if prefix[a] != prefix[b]]
+    assert 0 < len(scores) < len(ids) * (len(ids) - 1) / 2
+    found = {r.threshold: r.n_pairs for r in plans.queries()["tfidf_sweep_documents"](spark, sf_dir).collect()}
+    assert found == {t: sum(x > t for x in scores) for t in SWEEP}
+    weights = tfidf.tfidf(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    named = spark.createDataFrame(list(prefix.items()), "id long, prefix string")
+    assert {r.threshold: r.n_pairs for r in tfidf.cross_prefix_sweep(weights, named, block=30).collect()} == found
+
+
 def carried(near, sources):
     """Brandes' sums over ``sources``, node by node."""
     total = dict.fromkeys(near, 0.0)
