@@ -6,36 +6,69 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: dict[str, list[str]] = {}
+_ORDERED_BUCKETS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+class _Written:
+    """Paths that one application wrote, the bucketed tables among them, and how to remove them after it stopped."""
+
+    def __init__(self, spark: SparkSession):
+        self.root = f"{shared_dir(spark)}/normgraph/{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
+        self.jvm = spark.sparkContext._jvm
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.paths: list[str] = []
+        self.tables: dict[str, str] = {}
+        where = self.jvm.org.apache.hadoop.fs.Path(self.root)
+        files = where.getFileSystem(self.conf)
+        files.mkdirs(where)
+        files.deleteOnExit(where)  # whatever ends the driver: the JVM removes the folder when it closes
+
+    def delete(self, path: str) -> None:
+        where = self.jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.conf).delete(where, True)
+
+
+_written: dict[str, _Written] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach.
 
-    ``spark.checkpoint.dir`` names it.  Only where that is unset (a local
-    session, as in tests) a folder of our own is made and set.
+    ``spark.checkpoint.dir`` names it.  Only a local session (as in tests) may
+    leave that unset: a folder of our own is made and set.  Elsewhere executors
+    would write to disks of their own, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isDefined():
             found = have.get()
+        elif spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             found = tempfile.mkdtemp(prefix="normgraph-")
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _of(spark: SparkSession) -> _Written:
+    application = spark.sparkContext.applicationId
+    if application not in _written:
+        if not _written:
+            atexit.register(release_all)
+        _written[application] = _Written(spark)
+    return _written[application]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/normgraph/{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(release_all)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
+    own = _of(spark)
+    own.paths.append(f"{own.root}/{name}-{uuid.uuid4().hex}")
+    return own.paths[-1]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -49,24 +82,58 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()`` materialized; every table written on the way to it is removed at once."""
+    before = written(spark)
+    out = materialize(make(), name)
+    release(spark, keep=before | {_of(spark).paths[-1]})
+    return out
+
+
+@contextlib.contextmanager
+def ordered_buckets(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, bucketed tables of one file a bucket are read as sorted as they are; the session's setting comes back."""
+    had = spark.conf.get(_ORDERED_BUCKETS)
+    spark.conf.set(_ORDERED_BUCKETS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_ORDERED_BUCKETS, had)
+
+
+def materialize_bucketed(df: DataFrame, name: str, keys: tuple[str, ...], buckets: int) -> DataFrame:
+    """``df`` written as a table of ``buckets`` files, dealt and sorted by ``keys``.
+
+    Tables of the same keys and number of buckets are joined and grouped by
+    these keys without an exchange, and inside ``ordered_buckets`` without a sort.
+    """
+    spark = df.sparkSession
+    path, table = new_path(spark, name), f"normgraph_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *keys).sortWithinPartitions(*keys)
+    with ordered_buckets(spark):
+        dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    _of(spark).tables[path] = table
+    return spark.table(table)
+
+
 def release(spark: SparkSession, keep: set[str] = frozenset()) -> None:
     """Remove every intermediate table written so far but those in ``keep``."""
-    sc = spark.sparkContext
-    paths = _written.get(sc.applicationId, [])
-    for path in [p for p in paths if p not in keep]:
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-        paths.remove(path)
+    own = _written.get(spark.sparkContext.applicationId)
+    for path in [p for p in own.paths if p not in keep] if own else ():
+        if path in own.tables:
+            spark.sql(f"DROP TABLE IF EXISTS {own.tables.pop(path)}")
+        own.delete(path)
+        own.paths.remove(path)
 
 
 def written(spark: SparkSession) -> set[str]:
     """Paths of the intermediate tables that are still there."""
-    return set(_written.get(spark.sparkContext.applicationId, []))
+    own = _written.get(spark.sparkContext.applicationId)
+    return set(own.paths) if own else set()
 
 
 def release_all() -> None:
-    """At the driver's end; the session may be gone by then."""
-    with contextlib.suppress(Exception):
-        spark = SparkSession.getActiveSession()
-        if spark is not None:
-            release(spark)
+    """At the driver's end: the sessions may have stopped, their JVM hasn't."""
+    for own in _written.values():
+        with contextlib.suppress(Exception):  # a driver that was killed leaves this to the JVM
+            own.delete(own.root)
