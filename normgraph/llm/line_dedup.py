@@ -4,9 +4,11 @@ Batches of documents are taken in descending order of id.  A batch's distinct
 line hashes are merge-anti-joined with the runs written so far: a hash that no
 run has is new, and its largest document of this batch is its keeper for good;
 a hash that is known only adds to the count.  The batch becomes a run of its
-own, ordered by hash; when a level holds ``fanout`` runs they are merged into
-one run of the next level.  At the end the runs say which lines repeat and
-where each of them stays.
+own; when a level holds ``fanout`` runs they are merged into one run of the next
+level.  Runs are bucketed tables, dealt and sorted by hash once when they are
+written, so that later batches and compactions merge them bucket by bucket
+without shuffling or sorting them again.  At the end the runs say which lines
+repeat and where each of them stays.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normgraph.llm.common import LOWER, UPPER, WHITE, free_name, materialize, text_or_empty, weighted_lookup
+from normgraph.storage import materialize_bucketed, ordered_buckets, settled
 
 #: Second seed of the 128-bit line hash.
 SALT = 7_046_029_254_386_353_131
+HASH = ("h1", "h2")
 
 
 def line_key(line: Column) -> Column:
@@ -25,49 +29,39 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(WHITE)), UPPER, LOWER)
 
 
-def line_hash(line: Column) -> Column:
+def hash_of(key: Column) -> tuple[Column, Column]:
     """128 bits of a line's key as two longs."""
-    key = line_key(line)
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(SALT), key).alias("h2"))
+    return F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(SALT), key).alias("h2")
 
 
 class LineRuns:
-    """Levelled runs: (h1, h2, keeper, n_docs), each ordered by hash.
+    """Levelled runs: (h1, h2, keeper, n_docs), each bucketed and ordered by hash.
 
     Only the row of a hash's first run has a keeper; later rows carry null.
     """
 
-    def __init__(self, fanout: int = 3):
-        self.fanout = fanout
+    def __init__(self, fanout: int = 3, buckets: int | None = None):
+        self.fanout, self.buckets = fanout, buckets
         self.levels: list[list[DataFrame]] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    @staticmethod
-    def _write(rows: DataFrame, name: str) -> DataFrame:
-        return materialize(rows.sortWithinPartitions("h1", "h2"), name)
-
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for run in runs[1:]:
-            rows = rows.unionByName(run)
-        return rows.groupBy("h1", "h2").agg(F.max("keeper").alias("keeper"), F.sum("n_docs").alias("n_docs"))
+    def _write(self, rows: DataFrame, name: str) -> DataFrame:
+        if self.buckets is None:
+            # as many as shuffles have, so that a batch's own sums are dealt the same way
+            self.buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return materialize_bucketed(rows, name, HASH, self.buckets)
 
     def add(self, postings: DataFrame) -> None:
         """Add one batch of (doc, h1, h2), whose docs precede all earlier ones."""
-        own = postings.groupBy("h1", "h2").agg(F.max("doc").alias("keeper"), F.count(F.lit(1)).alias("n_docs"))
-        runs = self.runs()
-        if runs:
-            own = materialize(own, "line-batch")
-            known = runs[0].select("h1", "h2")
-            for run in runs[1:]:
-                known = known.unionByName(run.select("h1", "h2"))
-            known = known.hint("merge")
-            fresh = own.join(known, ["h1", "h2"], "left_anti")
-            again = own.join(known, ["h1", "h2"], "left_semi").withColumn("keeper", F.lit(None).cast(own.schema["keeper"].dataType))
-            own = fresh.unionByName(again)
+        rows = postings.groupBy(*HASH).agg(F.max("doc").alias("keeper"), F.count(F.lit(1)).alias("n_docs"))
+        known = F.lit(False)
+        for k, run in enumerate(self.runs()):
+            # unmatched rows are the anti-join's; matched ones stay for their counts
+            seen = run.select(*HASH, F.lit(True).alias(f"in_{k}")).hint("merge")
+            rows, known = rows.join(seen, list(HASH), "left"), known | F.col(f"in_{k}").isNotNull()
+        own = rows.select(*HASH, F.when(~known, F.col("keeper")).alias("keeper"), "n_docs")
         level, run = 0, self._write(own, "line-run-0")
         while True:
             if level == len(self.levels):
@@ -79,6 +73,14 @@ class LineRuns:
             self.levels[level] = []
             level += 1
 
+    @staticmethod
+    def _merged(runs: list[DataFrame]) -> DataFrame:
+        """One row for each hash of the runs; buckets of all runs meet where they are."""
+        rows = runs[0]
+        for run in runs[1:]:
+            rows = rows.union(run)
+        return rows.groupBy(*HASH).agg(F.max("keeper").alias("keeper"), F.sum("n_docs").alias("n_docs"))
+
     def repeated(self, min_docs: int) -> DataFrame:
         """Hashes that at least ``min_docs`` documents have, with their keeper."""
         return self._merged(self.runs()).where(F.col("n_docs") >= min_docs)
@@ -86,15 +88,15 @@ class LineRuns:
 
 def line_postings(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(doc, h1, h2), one row for each document and distinct key that counts."""
-    lines = F.filter(F.split(text_or_empty(text_col), "\n", -1), lambda x: F.char_length(F.btrim(x, F.lit(WHITE))) >= min_chars)
-    hashed = docs.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(F.transform(lines, line_hash))).alias("h"))
-    return hashed.select("doc", "h.h1", "h.h2")
+    keys = F.filter(F.transform(F.split(text_or_empty(text_col), "\n", -1), line_key), lambda k: F.char_length(k) >= min_chars)
+    # told apart as strings, which array_distinct looks up in a hash set; hashes come after that
+    rows = docs.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(keys)).alias("key"))
+    return rows.select("doc", *hash_of(F.col("key")))
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """(doc, gone array of hashes): what each document loses; others are absent."""
+def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
+    """(h1, h2, keeper, n_docs) of the keys that at least ``min_docs`` rows hold."""
     postings = materialize(line_postings(docs, id_col, text_col, min_chars), "line-postings")
-    total = postings.count()
     cuts = postings.agg(F.percentile_approx("doc", [k / batches for k in range(batches - 1, 0, -1)], 10_000)).first()[0] or []
     cuts = sorted(set(cuts), reverse=True)
     runs = LineRuns(fanout)
@@ -107,9 +109,25 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             part = part.where((F.col("doc") < above) if cut is not None else (F.col("doc") < above) | F.col("doc").isNull())
         runs.add(part)
         above = cut
-    repeated = materialize(runs.repeated(min_docs), "line-repeats")
-    hits = weighted_lookup(postings, repeated, ["h1", "h2"], "n_docs", total).where(~F.col("doc").eqNullSafe(F.col("keeper")))
-    return hits.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    return runs.repeated(min_docs)
+
+
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
+    """(doc, mark, gone array of line numbers): what rows lose; others are absent.
+
+    mark is a hash of the text: it tells rows of one id apart.
+    """
+    spark = docs.sparkSession
+    with ordered_buckets(spark):  # everything that reads the runs is written before this ends
+        repeated = settled(spark, "line-repeats", lambda: repeated_lines(docs, id_col, text_col, min_chars, min_docs, batches, fanout))
+    # the mark is taken below the generator, once a text
+    marked = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_or_empty(text_col)).alias("mark"), text_or_empty(text_col).alias("text"))
+    lines = marked.select("doc", "mark", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    keyed = lines.select("doc", "mark", "at", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars).select("doc", "mark", "at", *hash_of(F.col("key")))
+    # a key's rows are at least its lines' documents: the weight only has to find the heavy keys
+    total = repeated.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    hits = weighted_lookup(keyed, repeated, list(HASH), "n_docs", total).where(~F.col("doc").eqNullSafe(F.col("keeper")))
+    return hits.groupBy("doc", "mark").agg(F.collect_list("at").alias("gone"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
@@ -121,20 +139,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines stay as they were.  Repeated rows count one by one; a null id is below
     every other and, where only null ids hold a key, its lines stay.  Extra
     columns pass through unless they are named n_lines or n_dropped, which are
-    replaced.  An empty table gives an empty result.
+    replaced.  An empty table gives an empty result.  Work on a text grows with
+    its length, however many lines it has.
     """
-    doc_name, gone_name, kept_name = (free_name(docs, n) for n in ("_doc", "_gone", "_kept"))
+    doc_name, mark_name, gone_name, kept_name = (free_name(docs, n) for n in ("_doc", "_mark", "_gone", "_kept"))
     gone = dropped_lines(docs, id_col, text_col, min_chars, min_docs, batches, fanout)
-    gone = materialize(gone.withColumnsRenamed({"doc": doc_name, "gone": gone_name}), "line-gone")
+    gone = materialize(gone.withColumnsRenamed({"doc": doc_name, "mark": mark_name, "gone": gone_name}), "line-gone")
     # what documents lose grows with the input, so this is a shuffled join at any size
     base = docs.drop("n_lines", "n_dropped")
-    joined = base.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col(doc_name)), "left")
+    joined = base.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col(doc_name)) & (F.xxhash64(text_or_empty(text_col)) == F.col(mark_name)), "left")
     lines, loses = F.split(text_or_empty(text_col), "\n", -1), F.col(gone_name).isNotNull()
-    kept = F.filter(lines, lambda x: (F.char_length(F.btrim(x, F.lit(WHITE))) < min_chars) | ~F.array_contains(F.col(gone_name), line_hash(x)))
-    joined = joined.withColumn(kept_name, F.when(loses, kept)).withColumn("n_lines", F.size(lines).cast("long"))
+    # array_except looks numbers up in a hash set and keeps the order
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone_name))
+    joined = joined.withColumn("n_lines", F.size(lines).cast("long")).withColumn(kept_name, F.when(loses, numbers))
     joined = joined.withColumn("n_dropped", F.when(loses, F.col("n_lines") - F.size(kept_name)).otherwise(F.lit(0)).cast("long"))
-    joined = joined.withColumn(text_col, F.when(loses, F.array_join(kept_name, "\n")).otherwise(text_or_empty(text_col)))
-    return joined.drop(doc_name, gone_name, kept_name)
+    rest = F.array_join(F.transform(F.arrays_zip(F.array(lines).alias("l"), F.array(F.col(kept_name)).alias("k")), lambda x: F.array_join(F.transform(x["k"], lambda i: F.get(x["l"], i)), "\n")), "")
+    joined = joined.withColumn(text_col, F.when(loses, rest).otherwise(text_or_empty(text_col)))
+    return joined.drop(doc_name, mark_name, gone_name, kept_name)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

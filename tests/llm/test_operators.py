@@ -1,6 +1,7 @@
 """Operators against SQL or brute force, on awkward rows and on the small tables."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -99,6 +100,41 @@ def test_line_runs_do_not_depend_on_batches(spark, sf_dir, batches):
     assert pick(line_dedup.line_dedup(docs, batches=batches, fanout=2)) == pick(line_dedup.line_dedup(docs))
 
 
+def test_line_dedup_of_very_long_texts(spark, tmp_path):
+    """Time grows with the lines of a text, not with their square."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 200_000
+    text = "\n".join(f"line number {k} of a long text" for k in range(n))
+    pq.write_table(pa.table({"doc_id": [0, 1, 2, 3], "text": [text, text, "short\n" + text, "own"]}), f"{tmp_path}/long.parquet")
+    began = time.monotonic()
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.size, r.head) for r in line_dedup.line_dedup(spark.read.parquet(f"{tmp_path}/long.parquet")).select("*", F.length("text").alias("size"), F.substring("text", 1, 6).alias("head")).collect()}
+    assert got == {0: (n, n, 0, ""), 1: (n, n, 0, ""), 2: (n + 1, 0, len(text) + 6, "short\n"), 3: (1, 0, 3, "own")}
+    assert time.monotonic() - began < 60
+
+
+def test_rows_of_one_id_lose_their_own_lines(spark):
+    a, b = "the first of two lines that repeat", "the second of two lines that repeat"
+    docs = documents(spark, [f"x\n{a}\n{b}", f"{b}\ny\n{b}", f"{a}\n{b}", f"{b}\n{a}", "z"], [1, 1, 5, 9, None])
+    got = sorted((r.doc_id or 0, r.text) for r in line_dedup.line_dedup(docs).collect())
+    assert got == [(0, "z"), (1, "x"), (1, "y"), (5, ""), (9, f"{b}\n{a}")]
+
+
+def test_runs_merge_without_another_exchange(spark, sf_dir):
+    from normgraph.storage import ordered_buckets
+
+    postings = line_dedup.line_postings(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", 20)
+    runs = line_dedup.LineRuns(fanout=9)
+    with ordered_buckets(spark):
+        for k in range(3):
+            runs.add(postings.where(F.col("doc") % 3 == k))
+        merged = runs._merged(runs.runs())._jdf.queryExecution().executedPlan().toString()
+        joined = runs.runs()[0].join(runs.runs()[1].hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in merged and "SortMergeJoin" in joined and "Exchange" not in joined and "Sort [" not in joined
+    assert runs.repeated(1).count() == postings.select("h1", "h2").distinct().count()
+
+
 def test_weighted_lookup_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
     monkeypatch.setattr(common, "HEAVY", 4)
