@@ -101,11 +101,13 @@ def ordered_buckets(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_ORDERED_BUCKETS, had)
 
 
-def materialize_bucketed(df: DataFrame, name: str, keys: tuple[str, ...], buckets: int) -> DataFrame:
-    """``df`` written as a table of ``buckets`` files, dealt and sorted by ``keys``.
+def materialize_bucketed(df: DataFrame, name: str, keys: tuple[str, ...], buckets: int) -> tuple[DataFrame, str]:
+    """``df`` written as a table of ``buckets`` files, dealt and sorted by ``keys``, and its path.
 
-    Tables of the same keys and number of buckets are joined and grouped by
-    these keys without an exchange, and inside ``ordered_buckets`` without a sort.
+    Tables of the same keys and number of buckets are joined by these keys
+    without an exchange, and inside ``ordered_buckets`` without a sort.  Don't
+    unite such tables: a columnar union claims their buckets but does not keep
+    them, so that sums over it come out in parts.  Read their paths together.
     """
     spark = df.sparkSession
     path, table = new_path(spark, name), f"normgraph_{uuid.uuid4().hex}"
@@ -113,7 +115,7 @@ def materialize_bucketed(df: DataFrame, name: str, keys: tuple[str, ...], bucket
     with ordered_buckets(spark):
         dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
     _of(spark).tables[path] = table
-    return spark.table(table)
+    return spark.table(table), path
 
 
 def release(spark: SparkSession, keep: set[str] = frozenset()) -> None:
