@@ -6,9 +6,9 @@ run has is new, and its largest document of this batch is its keeper for good;
 a hash that is known only adds to the count.  The batch becomes a run of its
 own; when a level holds ``fanout`` runs they are merged into one run of the next
 level.  Runs are bucketed tables, dealt and sorted by hash once when they are
-written, so that later batches and compactions merge them bucket by bucket
-without shuffling or sorting them again.  At the end the runs say which lines
-repeat and where each of them stays.
+written, so that later batches merge with them bucket by bucket without
+shuffling or sorting them again.  At the end the runs say which lines repeat and
+where each of them stays.
 """
 
 from __future__ import annotations
@@ -42,12 +42,13 @@ class LineRuns:
 
     def __init__(self, fanout: int = 3, buckets: int | None = None):
         self.fanout, self.buckets = fanout, buckets
-        self.levels: list[list[DataFrame]] = []
+        self.levels: list[list[tuple[DataFrame, str]]] = []
 
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[tuple[DataFrame, str]]:
+        """Tables and their paths."""
         return [run for level in self.levels for run in level]
 
-    def _write(self, rows: DataFrame, name: str) -> DataFrame:
+    def _write(self, rows: DataFrame, name: str) -> tuple[DataFrame, str]:
         if self.buckets is None:
             # as many as shuffles have, so that a batch's own sums are dealt the same way
             self.buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -57,7 +58,7 @@ class LineRuns:
         """Add one batch of (doc, h1, h2), whose docs precede all earlier ones."""
         rows = postings.groupBy(*HASH).agg(F.max("doc").alias("keeper"), F.count(F.lit(1)).alias("n_docs"))
         known = F.lit(False)
-        for k, run in enumerate(self.runs()):
+        for k, (run, _) in enumerate(self.runs()):
             # unmatched rows are the anti-join's; matched ones stay for their counts
             seen = run.select(*HASH, F.lit(True).alias(f"in_{k}")).hint("merge")
             rows, known = rows.join(seen, list(HASH), "left"), known | F.col(f"in_{k}").isNotNull()
@@ -74,11 +75,10 @@ class LineRuns:
             level += 1
 
     @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        """One row for each hash of the runs; buckets of all runs meet where they are."""
-        rows = runs[0]
-        for run in runs[1:]:
-            rows = rows.union(run)
+    def _merged(runs: list[tuple[DataFrame, str]]) -> DataFrame:
+        """One row for each hash of the runs."""
+        table = runs[0][0]
+        rows = table.sparkSession.read.schema(table.schema).parquet(*[path for _, path in runs])
         return rows.groupBy(*HASH).agg(F.max("keeper").alias("keeper"), F.sum("n_docs").alias("n_docs"))
 
     def repeated(self, min_docs: int) -> DataFrame:
