@@ -2,19 +2,21 @@
 
 A version's text is addressed by its SHA-256.  The ledger holds, for each blob
 and rule version, what the scan found.  A run scans only the pairs that no
-ledger row has, once per blob however many paths carry it, appends its findings
-and joins them back to every path and version.
+ledger row has, once per blob however many paths carry it, and appends them,
+found or not.  Findings are then joined from the ledger back to every path of
+every version.  A pair that two runs appended at once stands twice and counts once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from normgraph.llm.common import BROADCAST_ROWS, free_name, materialize, text_or_empty, weighted_lookup
+from normgraph.llm.common import BROADCAST_ROWS, free_name, materialize, new_path, text_or_empty, weighted_lookup
+from normgraph.sources import exists
 
 
 @dataclass(frozen=True)
@@ -47,6 +49,10 @@ GATES = {"access": "AKIA[A-Z0-9]{12}", "hex": "[0-9a-f]{32}", "github": "gh[pous
 RULES = BASE_RULES + EXTRA_RULES
 #: To be raised with any change of the rules above.
 RULE_VERSION = 1
+#: Numbers that are summed up in one go, see running_sums.
+SUM_CHUNK = 512
+#: Versions that the query's documents come in.
+VERSIONS = 2
 
 FOUND = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 LEDGER = T.StructType([
@@ -60,108 +66,132 @@ def blob_of(text_col: str) -> Column:
     return F.unhex(F.sha2(text_or_empty(text_col), 256))
 
 
-def _matches(text: Column, rule: Rule, order: int) -> Column:
-    """Array of (rule, place among matches, code points since the last match, of the match, of the group)."""
+def running_sums(a: Column, chunk: int = SUM_CHUNK) -> Column:
+    """Sums of an array's numbers up to each place.
+
+    Spark appends to an array by copying it, so sums are made within chunks and
+    of whole chunks: the work per number is bounded by a chunk, not by the array.
+    """
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<long>")
+    upto = lambda part: F.aggregate(part, none, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), zero) + x)))
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), F.lit(chunk)), lambda at: upto(F.slice(a, at, chunk)))
+    start = F.struct(zero.alias("total"), F.array().cast("array<array<long>>").alias("done"))
+    add = lambda acc, part: F.struct((acc["total"] + F.coalesce(F.try_element_at(part, F.lit(-1)), zero)).alias("total"), F.concat(acc["done"], F.array(F.transform(part, lambda x: x + acc["total"]))).alias("done"))
+    return F.flatten(F.aggregate(parts, start, add, lambda acc: acc["done"]))
+
+
+SPAN = "array<struct<start:bigint,rule:int,kind:string,end:bigint>>"
+
+
+def _spans(text: Column, rule: Rule, order: int) -> Column:
+    """A rule's spans in code points.
+
+    Spark has no function for the places of all matches, so they come from the
+    lengths of what lies between them: a match ends after all gaps and matches
+    up to it.
+    """
     between = F.split(text, rule.pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     group = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    each = F.transform(
-        F.arrays_zip(between.alias("b"), whole.alias("w"), group.alias("g")),
-        lambda x: F.struct(F.lit(order).alias("rule"), F.char_length(x["b"]).alias("gap"), F.char_length(x["w"]).alias("len"), F.char_length(x["g"]).alias("size")),
-    )
-    gate = text.rlike(GATES.get(rule.kind, rule.pattern))
-    return F.when(gate, each).otherwise(F.array().cast(each_type()))
+    lengths = F.zip_with(F.slice(between, 1, F.size(whole)), whole, lambda b, w: F.struct((F.char_length(b) + F.char_length(w)).cast("long").alias("step"), F.char_length(w).alias("len")))
+    steps = F.transform(lengths, lambda x: x["step"])
+    each = F.zip_with(F.arrays_zip(running_sums(steps).alias("end"), lengths.alias("x")), group, lambda e, g: F.struct((e["end"] - e["x"]["len"]).alias("start"), F.lit(order).alias("rule"), F.lit(rule.kind).alias("kind"), e["end"].alias("end"), F.char_length(g).alias("size")))
+    kept = F.transform(F.filter(each, lambda x: x["size"] >= rule.least), lambda x: F.struct(x["start"], x["rule"], x["kind"], x["end"]))
+    return F.when(text.rlike(GATES.get(rule.kind, rule.pattern)), kept.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
-def each_type() -> T.ArrayType:
-    return T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("rule", "gap", "len", "size")]))
+def find_secrets(blobs: DataFrame, text_col: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, found) for the blobs with findings; built-in functions only, each row by itself."""
+    text = text_or_empty(text_col)
+    spans = blobs.select("blob", F.array_sort(F.concat(*[_spans(text, r, k) for k, r in enumerate(rules)])).alias("s")).where(F.size("s") > 0)
+    return spans.select("blob", F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("found"))
 
 
-def find_secrets(blobs: DataFrame, text_col: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, found) for the blobs with findings; built-in functions only.
+def paths_of(versions: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(path, blob) of every row."""
+    return materialize(versions.select(F.col(id_col).alias("path"), blob_of(text_col).alias("blob")), "paths")
 
-    Spark has no function for the places of all matches, so a rule's places
-    come from the lengths of what lies between its matches: start = all gaps up
-    to the match plus all earlier matches, in code points.
-    """
-    text = text_or_empty(text_col)
-    hits = blobs.select("blob", F.concat(*[_matches(text, r, k) for k, r in enumerate(rules)]).alias("m")).where(F.size("m") > 0)
-    rows = hits.select("blob", F.posexplode("m").alias("pos", "x")).select("blob", "pos", "x.*").where(F.col("len").isNotNull())
-    upto = Window.partitionBy("blob", "rule").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ends = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto).cast("long"))
-    least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("rule") + 1)
-    kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("rule") + 1)
-    good = ends.where(F.col("size") >= least).select("blob", F.struct((F.col("end") - F.col("len")).alias("start"), F.col("rule"), kind.alias("kind"), F.col("end")).alias("s"))
-    listed = good.groupBy("blob").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    return listed.select("blob", F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("found"))
-
-
-def unseen_blobs(paths: DataFrame, ledger: DataFrame | None, rule_version: int) -> DataFrame:
-    """(blob, rep, n): blobs without a ledger row of this rule version."""
-    blobs = paths.groupBy("blob").agg(F.min("path").alias("rep"), F.count(F.lit(1)).alias("n"))
-    if ledger is None:
-        return blobs
-    return blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-
-
-def scan_versions(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(findings, ledger rows to append).
-
-    findings has one row per input row: the id, blob and found, an array of
-    (kind, start, end) ordered by start and then by rule, empty without any.
-    A null text counts as empty; ids may be null or repeat with other texts (a
-    path's history).  The second result holds a row for every blob scanned now,
-    found or not.  An empty table gives two empty results.
-    """
-    paths = materialize(versions.select(F.col(id_col).alias("path"), blob_of(text_col).alias("blob")), "paths")
-    total = paths.count()
-    unseen = materialize(unseen_blobs(paths, ledger, rule_version), "unseen")
+
+def scan_unseen(versions: DataFrame, paths: DataFrame, ledger: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Ledger rows of the blobs that ``ledger`` lacks under this rule version, one for each, found or not."""
+    blobs = paths.groupBy("blob").agg(F.min("path").alias("rep"))
+    if ledger is not None:
+        blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
+    unseen = materialize(blobs, "unseen")
     texts = versions.select(F.col(id_col).alias("path"), F.col(text_col).alias("_text"), blob_of(text_col).alias("blob"))
     # One row of each unseen blob is scanned.  Where the rows to skip are few
     # they are broadcast, so that no text is shuffled; else the rows to take are
     # joined by an ordinary shuffle.
-    take = unseen.select("blob", "rep")
-    skip = paths.join(take, (paths["blob"] == take["blob"]) & paths["path"].eqNullSafe(take["rep"]), "left_anti").distinct()
+    skip = paths.join(unseen, (paths["blob"] == unseen["blob"]) & paths["path"].eqNullSafe(unseen["rep"]), "left_anti").distinct()
     skip = materialize(skip.withColumnsRenamed({"path": "_p", "blob": "_b"}), "skipped")
     if skip.count() <= broadcast_rows:
         chosen = texts.join(F.broadcast(skip), (F.col("blob") == F.col("_b")) & F.col("path").eqNullSafe(F.col("_p")), "left_anti")
     else:
-        want = take.withColumnsRenamed({"blob": "_b", "rep": "_p"})
+        want = unseen.withColumnsRenamed({"blob": "_b", "rep": "_p"})
         chosen = texts.join(want, (F.col("blob") == F.col("_b")) & F.col("path").eqNullSafe(F.col("_p")), "left_semi")
-    found = find_secrets(chosen.select("blob", "_text"), "_text", rules).dropDuplicates(["blob"])
-    found = materialize(found, "found")
-    new = unseen.select("blob").join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("found", F.array().cast(T.ArrayType(FOUND))).alias("found"))
-    old = ledger.where((F.col("rule_version") == rule_version) & (F.size("found") > 0)).select("blob", "found") if ledger is not None else None
-    counts = paths.groupBy("blob").agg(F.count(F.lit(1)).alias("n"))
-    if old is not None:
-        found = found.unionByName(old)
-    weighed = found.join(counts, "blob")
-    result = weighted_lookup(paths, materialize(weighed, "weighed"), ["blob"], "n", total, "left", 2 + F.size("found"))
-    result = result.select(F.col("path").alias(id_col), "blob", F.coalesce("found", F.array().cast(T.ArrayType(FOUND))).alias("found"))
-    return result, new
-
-
-def update_ledger(versions: DataFrame, ledger_path: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION) -> DataFrame:
-    """Scan what the ledger at ``ledger_path`` lacks, append it and return the findings of all ``versions``."""
-    spark = versions.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(ledger_path)
-    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    ledger = spark.read.schema(LEDGER).parquet(ledger_path) if there else None
-    findings, new = scan_versions(versions, id_col, text_col, ledger, rules, rule_version)
-    findings = materialize(findings, "findings")  # before the ledger that it reads grows
+    found = materialize(find_secrets(chosen.select("blob", "_text"), "_text", rules).dropDuplicates(["blob"]), "found")
+    new = unseen.select("blob").join(found, "blob", "left")
+    return new.select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("found", F.array().cast(T.ArrayType(FOUND))).alias("found"))
+
+
+def open_ledger(spark: SparkSession, ledger_path: str) -> DataFrame | None:
+    return spark.read.schema(LEDGER).parquet(ledger_path) if exists(spark, ledger_path) else None
+
+
+def update_ledger(versions: DataFrame, ledger_path: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Scan what the ledger at ``ledger_path`` lacks and append it; gives (path, blob) of ``versions``.
+
+    A null text counts as empty; ids may be null or repeat with other texts (a
+    path's history).  An empty table appends nothing.
+    """
+    paths = paths_of(versions, id_col, text_col)
+    ledger = open_ledger(versions.sparkSession, ledger_path)
+    new = scan_unseen(versions, paths, ledger, id_col, text_col, rules, rule_version, broadcast_rows)
     new.write.mode("append").parquet(ledger_path)
-    return findings
+    return paths
+
+
+def findings(paths: DataFrame, ledger_path: str, rule_version: int = RULE_VERSION) -> DataFrame:
+    """(path, blob, found) of every row of ``paths``, joined from the ledger.
+
+    found is an array of (kind, start, end) ordered by start and then by rule,
+    empty without any.  Rows that stand twice in the ledger count once.
+    """
+    ledger = open_ledger(paths.sparkSession, ledger_path)
+    counts = paths.groupBy("blob").agg(F.count(F.lit(1)).alias("n"))
+    known = ledger.where((F.col("rule_version") == rule_version) & (F.size("found") > 0)).groupBy("blob").agg(F.min("found").alias("found"))
+    weighed = materialize(known.join(counts, "blob"), "weighed")
+    result = weighted_lookup(paths, weighed, ["blob"], "n", paths.count(), "left", 2 + F.size("found"))
+    return result.select("path", "blob", F.coalesce("found", F.array().cast(T.ArrayType(FOUND))).alias("found"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
+def scan_versions(versions: list[DataFrame], ledger_path: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION) -> DataFrame:
+    """(id, blob, found) of every row of all versions, which are taken into the ledger one after the other.
+
+    Nulls, repeated rows and an empty table: as ``update_ledger`` and
+    ``findings`` say; every input row has one result row.  Extra columns are
+    ignored.
+    """
+    every = None
+    for version in versions:
+        paths = update_ledger(version, ledger_path, id_col, text_col, rules, rule_version)
+        every = paths if every is None else every.unionByName(paths)
+    return findings(every, ledger_path, rule_version).withColumnRenamed("path", id_col)
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]", ledger_path: str | None = None) -> DataFrame:
     """``docs`` with each found secret's characters replaced by ``mark``.
 
-    Overlapping spans are replaced together.  Rows without secrets keep their
-    text as it was, null included; extra columns pass through.
+    Blobs that the ledger at ``ledger_path`` knows aren't scanned again; without
+    a path a ledger of this run's own is used.  Overlapping spans are replaced
+    together.  Rows without secrets keep their text as it was, null included;
+    repeated rows are each rewritten; extra columns of any name pass through; an
+    empty table gives an empty result.
     """
     key, blob, found = (free_name(docs, n) for n in ("_key", "_blob", "_found"))
-    findings, _ = scan_versions(docs, id_col, text_col, rules=rules)
-    hits = findings.where(F.size("found") > 0).select("blob", "found").dropDuplicates(["blob"]).withColumnsRenamed({"blob": blob, "found": found})
+    ledger_path = ledger_path or new_path(docs.sparkSession, "ledger")
+    paths = update_ledger(docs, ledger_path, id_col, text_col, rules)
+    hits = findings(paths.select(F.lit(None).alias("path"), "blob").distinct(), ledger_path).where(F.size("found") > 0).select(F.col("blob").alias(blob), F.col("found").alias(found))
     hits = materialize(hits, "secret-blobs")
     rows, spans = hits.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(found)), F.lit(0))).first()
     if rows <= BROADCAST_ROWS // 4 and spans <= BROADCAST_ROWS // 2:
@@ -183,10 +213,17 @@ def _joined(found: Column) -> Column:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = scan_versions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All documents through a ledger, as versions that come one after the other: what an earlier one held isn't scanned again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(VERSIONS))
+    found = scan_versions([docs.where(turn == k) for k in range(VERSIONS)], new_path(spark, "ledger"))
+    return digests(found)
+
+
+def digests(found: DataFrame) -> DataFrame:
     base = [r.kind for r in BASE_RULES]
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return findings.select("doc_id", *[count(k) for k in base], F.sha2(_joined(F.filter("found", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in base], F.sha2(_joined(F.filter("found", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
 
 
 def _sql() -> str:

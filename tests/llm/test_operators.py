@@ -150,21 +150,56 @@ def test_secret_ledger_scans_only_what_it_lacks(spark, tmp_path):
     path = f"{tmp_path}/ledger"
     first = documents(spark, ["password=abcdefgh1", "nothing", "password=abcdefgh1"])
     again = documents(spark, ["nothing", "token=0123456789", "password=abcdefgh1"])
-    one = secret_scan.update_ledger(first, path)
-    assert sorted(len(r.found) for r in one.collect()) == [0, 1, 1]
+    spans = lambda df: sorted((r.doc_id, [tuple(f) for f in r.found]) for r in df.collect())
+    one = secret_scan.scan_versions([first], path)
+    assert spans(one) == [(0, [("assign", 0, 18)]), (1, []), (2, [("assign", 0, 18)])]
     assert spark.read.parquet(path).count() == 2
-    two = {r.doc_id: [tuple(f) for f in r.found] for r in secret_scan.update_ledger(again, path).collect()}
-    assert two == {0: [], 1: [("assign", 0, 16)], 2: [("assign", 0, 18)]}
+    paths = secret_scan.paths_of(again, "doc_id", "text")
+    assert secret_scan.scan_unseen(again, paths, secret_scan.open_ledger(spark, path)).count() == 1
+    two = secret_scan.scan_versions([again], path)
+    assert spans(two) == [(0, []), (1, [("assign", 0, 16)]), (2, [("assign", 0, 18)])]
     assert spark.read.parquet(path).count() == 3
+    assert secret_scan.scan_unseen(again, paths, secret_scan.open_ledger(spark, path)).count() == 0
     secret_scan.update_ledger(again, path, rule_version=2)
     assert spark.read.parquet(path).where("rule_version = 2").count() == 3
+    # rows that two runs appended at once do no harm
+    spark.read.parquet(path).write.parquet(f"{tmp_path}/copy")
+    spark.read.parquet(f"{tmp_path}/copy").write.mode("append").parquet(path)
+    assert spans(secret_scan.scan_versions([first, again], path)) == sorted(spans(one) + spans(two))
+    assert spark.read.parquet(path).count() == 12
 
 
-def test_secret_scan_without_the_broadcast(spark):
+def test_secret_query_scans_no_blob_twice(spark, sf_dir, monkeypatch):
+    ledgers = []
+    monkeypatch.setattr(secret_scan, "new_path", lambda spark, name: ledgers.append(common.new_path(spark, name)) or ledgers[-1])
+    secret_scan.op4_secret_scan(spark, sf_dir).collect()
+    ledger, docs = spark.read.parquet(ledgers[0]), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    blobs = docs.select(F.sha2("text", 256)).distinct().count()
+    assert ledger.count() == ledger.select("blob").distinct().count() == blobs < docs.count()
+
+
+def test_secret_scan_without_the_broadcast(spark, tmp_path):
     docs = documents(spark, AWKWARD + AWKWARD)
-    a, _ = secret_scan.scan_versions(docs)
-    b, _ = secret_scan.scan_versions(docs, broadcast_rows=0)
-    assert rows_of(a) == rows_of(b)
+    found = []
+    for rows in (common.BROADCAST_ROWS, 0):
+        paths = secret_scan.update_ledger(docs, f"{tmp_path}/{rows}", broadcast_rows=rows)
+        found.append(rows_of(secret_scan.findings(paths, f"{tmp_path}/{rows}")))
+    assert found[0] == found[1] and len(found[0]) == 2 * len(AWKWARD)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 512])
+def test_running_sums(spark, chunk):
+    rows = spark.createDataFrame([([],), ([5],), (list(range(20)),), ([1] * 1500,)], "a array<long>")
+    got = [r[0] for r in rows.select(secret_scan.running_sums(F.col("a"), chunk)).collect()]
+    assert got == [list(np.cumsum(a, dtype=int)) for a in ([], [5], range(20), [1] * 1500)]
+
+
+def test_secrets_of_a_text_with_very_many(spark):
+    text = "token=abcdefgh9 " * 40_000
+    began = time.monotonic()
+    (row,) = secret_scan.find_secrets(documents(spark, [text]).withColumn("blob", F.lit(b"x")), "text").select(F.size("found").alias("n"), F.element_at("found", -1).alias("last")).collect()
+    assert row.n == 40_000 and tuple(row.last) == ("assign", 16 * 39_999, 16 * 39_999 + 15)
+    assert time.monotonic() - began < 60
 
 
 def test_redact(spark):
