@@ -448,17 +448,57 @@ def test_sentencepiece_whole_table(spark, sf_dir):
     assert got.where(F.col("decoded_sha256") == F.sha2("text", 256)).count() == docs.count()
 
 
-def test_chat_examples_written_out(spark):
-    examples = chat_format.format_chats(clashing(chats(spark)))
-    whole = {(r.conv_id, r.example): r for r in chat_format.whole_examples(examples).collect()}
-    a, b = whole[3, 0], whole[3, 1]
-    assert b.text.startswith(a.text) and b.text[b.loss_start : b.loss_end] == "\U0001f600\n"
-    assert whole[1, 1].loss_start is None and "tail" in whole[1, 1].text
-    assert len([k for k in whole if k[0] == 4]) == 150
-    for text in AWKWARD:
+def brute_examples(rows):
+    """(text, reply) of each example, by the rules of the template."""
+    convs = {}
+    for c, turn, role, text in sorted(rows, key=lambda r: (r[0], r[1], r[2] or "", r[3] or "")):
+        convs.setdefault(c, []).append((role or "", text or ""))
+    out = {}
+    for c, turns in convs.items():
+        so_far, k, open_turns = "", 0, False
+        for role, text in turns:
+            so_far += f"{chat_format.START}{chat_format.escape(role)}{chat_format.SEP}{chat_format.escape(text)}{chat_format.END}"
+            open_turns = role != "assistant"
+            if role == "assistant":
+                out[c, k] = (so_far, chat_format.escape(text))
+                k += 1
+        if open_turns:
+            out[c, k] = (so_far, None)
+    return out
+
+
+@pytest.mark.parametrize("written", [0, 500, chat_format.WRITTEN])
+def test_chat_examples_written_out(spark, written):
+    examples = chat_format.format_chats(clashing(chats(spark)), written=written)
+    got = {(r.conv_id, r.example): (r.text, None if r.loss_start is None else r.text[r.loss_start : r.loss_end]) for r in chat_format.whole_examples(examples).collect()}
+    assert got == brute_examples([tuple(r) for r in chats(spark).collect()])
+    contexts = examples.where("context IS NOT NULL").count()
+    assert contexts == examples.count() if written > 500 else contexts < examples.count()
+    whole = chat_format.format_chats(chats(spark))
+    assert rows_of(chat_format.read_back(examples)) == rows_of(chat_format.read_back(whole))
+
+
+def test_chat_contexts_that_do_not_fit_are_told(spark):
+    examples = chat_format.format_chats(chats(spark))
+    wrong = examples.withColumn("context", F.when(F.col("example") == 1, F.lit("else")).otherwise(F.col("context")))
+    with pytest.raises(Exception, match="isn't what precedes it"):
+        chat_format.read_back(wrong).collect()
+
+
+def test_chat_escapes(spark):
+    marks = ("<|", "</s>", "<s>", "<bos>", "<eos>", "<unk>", "<pad>", "<end_of_turn>", "[INST]", "[/INST]", "[TOOL_CALLS]", "[SYSTEM_PROMPT]", "<<SYS>>")
+    for text in [*AWKWARD, "".join(marks), "\\".join(marks), "<<<<s>", "[[INST]"]:
         escaped = chat_format.escape(text or "")
         assert chat_format.unescape(escaped) == (text or "")
-        assert not any(mark in escaped for mark in ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>"))
+        assert not any(mark in escaped for mark in marks)
+
+
+def test_chat_rows_with_nulls_and_repeats(spark):
+    rows = [(None, 0, "user", "a"), (None, None, "assistant", "b"), (1, 0, None, None), (1, 0, None, None), (1, 1, "assistant", "x" * 100_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat_format.read_back(chat_format.format_chats(df)).collect()}
+    assert got == {None: (2, 1), 1: (3, 100_000)}
+    assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
 def test_license_templates_by_brute_force(spark):
