@@ -8,17 +8,19 @@ one contiguous window of the second permutation.
 With BANDS bands of ROWS coordinates, two sets of similarity s share no band
 with probability (1 - s**ROWS)**BANDS: below 5e-8 at 0.8.  Pairs that share a
 band are candidates; every link is confirmed on the full sets of 64-bit shingle
-hashes.  All pairs of a bucket are never emitted: rows with equal sets are one
-class; a bucket's classes are first compared with one pivot, then with the
-best-linked one; only classes that are then still in different components are
-compared with each other, in blocks of bounded size inside a task, and one link
-for each two components comes out.
+hashes.  All pairs of a bucket are never emitted: rows of equal sets (by size and
+a 128-bit digest of all their hashes in order) are one class; a bucket's classes
+are first compared with one pivot, then with the best-linked one; only classes
+that are then still in different components are compared with each other, in
+blocks of bounded size inside a task, and one link for each two components comes
+out.  Sizes and signatures are compared before any set is sent, and a pivot's
+set is sent once to each chunk of the classes that it meets.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +28,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normgraph.llm.common import BROADCAST_ROWS, arrow_map, materialize, weighted_lookup
+from normgraph.llm.common import BROADCAST_ROWS, arrow_map, free_name, materialize, text_or_empty, weighted_lookup
 from normgraph.operators.components import connected_components
+from normgraph.storage import settled
 
 SLOTS = 1 << 20
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 #: Members of a bucket that are compared with each other in one block.
 BLOCK = 512
+#: Classes that meet a pivot's set in one chunk.
+CHUNK = 512
 #: Standard deviations below the threshold at which a signature's estimate
 #: rules a pair out (a miss of about 1 in 10 million at the threshold itself).
 SIGMAS = 5.2
@@ -103,10 +108,11 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, f1, f2, sig, bands) of every row; the last four null for an empty set.
+def sketches(docs: DataFrame, width: int, id_col: str, text_col: str, mark: str) -> DataFrame:
+    """(id, n, f1, f2, sig, bands, mark) of every row; those from f1 to bands null for an empty set.
 
-    f1 and f2 are a 128-bit fingerprint of the set, sig a byte of each coordinate.
+    f1 and f2 are a 128-bit digest of the set's hashes in order, sig a byte of
+    each coordinate.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +123,9 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                 s = shingle_hashes(text.as_py() or b"", width, memo)
                 n.append(len(s))
                 if len(s):
-                    f1.append(int(mix(s ^ M2).sum(dtype=np.uint64).view(np.int64)))
-                    f2.append(int(mix(s + M3).sum(dtype=np.uint64).view(np.int64)))
+                    digest = np.frombuffer(xxhash.xxh3_128_digest(s), dtype=np.int64)
+                    f1.append(int(digest[0]))
+                    f2.append(int(digest[1]))
                     sig = signature(s, windows)
                     sigs.append(sig.astype(np.uint8).tobytes())
                     bands.append(band_keys(sig))
@@ -129,10 +136,10 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
             flat = [b for b in bands if b is not None]
             values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([b is None for b in bands], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sigs, pa.binary()), lists], names=["id", "n", "f1", "f2", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sigs, pa.binary()), lists, batch.column(2)], names=["id", "n", "f1", "f2", "sig", "bands", "mark"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, n long, f1 long, f2 long, sig binary, bands array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(mark).alias("mark"))
+    return arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, n long, f1 long, f2 long, sig binary, bands array<long>, mark long")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -158,10 +165,13 @@ def least_agreement(num: int, den: int) -> float:
 
 
 def likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) that set sizes and signatures don't rule out."""
+    """The (pivot, rep) that set sizes and signatures don't rule out.
+
+    An id that stands for several classes is kept if any two of them fit.
+    """
     facts = classes.select("rep", "n", "sig")
-    both = pairs.join(facts.withColumnsRenamed({"rep": "a", "n": "na", "sig": "sa"}), "a").join(facts.withColumnsRenamed({"rep": "b", "n": "nb", "sig": "sb"}), "b")
-    both = both.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b", "sa", "sb")
+    both = pairs.join(facts.withColumnsRenamed({"rep": "pivot", "n": "na", "sig": "sa"}), "pivot").join(facts.withColumnsRenamed({"n": "nb", "sig": "sb"}), "rep")
+    both = both.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("pivot", "rep", "sa", "sb")
     least = least_agreement(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,21 +179,78 @@ def likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in batch.columns[2:])
                 good = pa.array((x == y).sum(axis=1) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["pivot", "rep"])
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return arrow_map(both, run, f"a {kind}, b {kind}")
+    return arrow_map(both, run, "pivot long, rep long").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The (a, b) whose full sets reach the threshold; ``docs`` has id and text."""
-    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "minhash-ids")
+def sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, set) of the ids, a row for each distinct set; ``docs`` has id and text."""
     few = ids.count() <= BROADCAST_ROWS
     texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    sets = materialize(shingle_sets(texts, width), "minhash-sets")
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "y"}), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared * den >= (F.size("x") + F.size("y") - shared) * num).select("a", "b").distinct()
+    hashed = shingle_sets(texts, width).withColumn("mark", F.xxhash64("set"))
+    return materialize(hashed.dropDuplicates(["id", "mark"]).drop("mark"), "minhash-sets")
+
+
+def grouped_map(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], of_group: Callable[[list[pa.RecordBatch]], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``of_group`` applied to each group of integer ``keys``, the first columns of ``df``, in the order of ``order``; groups are of bounded size."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = [batch.column(k).to_numpy() for k in range(len(keys))]
+            cuts = np.flatnonzero(np.any([np.diff(v) != 0 for v in values], axis=0)) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                here = tuple(int(v[s]) for v in values)
+                if here != group:
+                    found = of_group(rows) if rows else None
+                    if found is not None:
+                        yield found
+                    group, rows = here, []
+                rows.append(batch.slice(s, e - s))
+        found = of_group(rows) if rows else None
+        if found is not None:
+            yield found
+
+    return arrow_map(ordered, run, schema)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The (a, b) whose full sets reach the threshold; ``docs`` has id and text.
+
+    ``pairs`` has few distinct ``pivot`` ends with possibly very many others
+    (``rep``).  These are dealt to chunks, and the pivot's set goes once to each.
+    """
+    pairs = pairs.select(F.col("pivot").cast("long").alias("pivot"), F.col("rep").cast("long").alias("rep"))
+    counts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    counts = materialize(counts, "pivot-chunks")
+    sets = sets_of(materialize(pairs.select(F.col("pivot").alias("id")).union(pairs.select("rep")).distinct(), "minhash-ids"), docs, width)
+    dealt = pairs.join(counts, "pivot").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    others = dealt.select("pivot", "chunk", "rep").join(sets.withColumnRenamed("id", "rep"), "rep").select("pivot", "chunk", F.lit(1).alias("side"), "rep", "set")
+    heads = counts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).join(sets.withColumnRenamed("id", "pivot"), "pivot").select("pivot", "chunk", F.lit(0).alias("side"), F.col("pivot").alias("rep"), "set")
+
+    def meet(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        table = pa.Table.from_batches(rows)
+        pivot, side, rep = (table.column(k).to_numpy() for k in (0, 2, 3))
+        sets = [x.values.to_numpy() for x in table.column(4)]
+        own = [x for x, s in zip(sets, side) if s == 0]
+        linked = []
+        for k in np.flatnonzero(side == 1):
+            for x in own:
+                shared = len(np.intersect1d(x, sets[k], assume_unique=True))
+                if shared * den >= (len(x) + len(sets[k]) - shared) * num:
+                    linked.append(k)
+                    break
+        if not linked:
+            return None
+        a, b = pivot[linked], rep[linked]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return grouped_map(heads.unionByName(others), ("pivot", "chunk"), ("side",), meet, "a long, b long").distinct()
 
 
 def crossing_links(component: np.ndarray, sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,77 +296,100 @@ def crossing_links(component: np.ndarray, sets: list[np.ndarray], first: np.ndar
     return x[once], y[once]
 
 
-def within_buckets(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def likely_members(component: np.ndarray, n: np.ndarray, sig: np.ndarray, first: np.ndarray, second: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Places of the rows that sizes and signatures leave a possible partner in another component of the other side."""
+    least, keep = least_agreement(num, den), np.zeros(len(n), bool)
+    for at in range(0, len(first), 64):
+        x = first[at : at + 64]
+        pair = (component[x, None] != component[None, second]) & (np.minimum(n[x, None], n[None, second]) * den >= np.maximum(n[x, None], n[None, second]) * num)
+        i, j = np.nonzero(pair)
+        for s in range(0, len(i), 16_384):
+            p, q = x[i[s : s + 16_384]], second[j[s : s + 16_384]]
+            good = (sig[p] == sig[q]).sum(axis=1) >= least
+            keep[p[good]] = keep[q[good]] = True
+    return np.flatnonzero(keep)
+
+
+def within_buckets(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links (a, b) among ``members`` (bucket, rep, component) of one bucket that join different components.
 
-    Every pair of a bucket's rows in different components is decided on its
-    full sets, but inside a task: one link for each two components comes out of
-    a group.  A bucket of more than BLOCK members is cut into blocks; each pair
-    of blocks meets in one group of at most about 2 * BLOCK rows.
+    Every pair of a bucket's rows in different components is decided, but inside
+    a task: one link for each two components comes out of a group.  A bucket of
+    more than BLOCK members is cut into blocks; each pair of blocks meets in one
+    group of at most about 2 * BLOCK rows.  Groups are first made of sizes and
+    signatures; only rows that these leave a possible partner get their sets.
     """
     sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "rep", "component")
+    facts = dealt.join(classes.select("rep", "n", "sig"), "rep")
+    spread = facts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = spread.select("bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "rep", "component", "n", "sig")
+    keys = ("bucket", "lo", "hi")
+
+    def sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        lo, hi, mine = (table.column(k).to_numpy() for k in (1, 2, 3))
+        first = np.flatnonzero(mine == lo[0])
+        return first, first if lo[0] == hi[0] else np.flatnonzero(mine == hi[0])
+
+    def hopeful(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        table = pa.Table.from_batches(rows)
+        component, n = (table.column(k).to_numpy() for k in (5, 6))
+        sig = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        keep = likely_members(component, n, sig, *sides(table), num, den)
+        return table.select(range(6)).take(pa.array(keep)).combine_chunks().to_batches()[0] if len(keep) else None
+
+    shape = "bucket long, lo int, hi int, mine int, rep long, component long"
+    open_rows = materialize(grouped_map(cells, keys, (), hopeful, shape), "open-cells")
+    sets = sets_of(materialize(open_rows.select(F.col("rep").alias("id")).distinct(), "minhash-ids"), docs, width)
     # sets come last: they are shuffled once with their rows
-    dealt = dealt.join(sets, "rep").select("bucket", "lo", "hi", "mine", "rep", "component", "set")
-    spark = members.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    whole = open_rows.join(sets.withColumnRenamed("id", "rep"), "rep").select(*keys, "mine", "rep", "component", "set")
 
-    def of_cell(keys: tuple, rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    def decide(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         table = pa.Table.from_batches(rows)
-        mine, rep, component = (table.column(k).to_numpy() for k in (3, 4, 5))
-        sets = [x.values.to_numpy() for x in table.column(6)]
-        first = np.flatnonzero(mine == keys[1])
-        second = first if keys[1] == keys[2] else np.flatnonzero(mine == keys[2])
-        x, y = crossing_links(component, sets, first, second, num, den)
+        rep, component = (table.column(k).to_numpy() for k in (4, 5))
+        x, y = crossing_links(component, [v.values.to_numpy() for v in table.column(6)], *sides(table), num, den)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y]))], names=["a", "b"]) if len(x) else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, rows = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = [batch.column(k).to_numpy() for k in range(3)]
-            cuts = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
-            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-                here = tuple(int(k[s]) for k in keys)
-                if here != cell:
-                    found = of_cell(cell, rows) if rows else None
-                    if found is not None:
-                        yield found
-                    cell, rows = here, []
-                rows.append(batch.slice(s, e - s))
-        found = of_cell(cell, rows) if rows else None
-        if found is not None:
-            yield found
-
-    return arrow_map(ordered, run, "a long, b long").distinct()
+    return grouped_map(whole, keys, (), decide, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept.
+    """One row per input row: id, n_shingles, component_id, kept, text_mark.
 
     Rows are linked when num / den of their shingle sets' union is shared;
     component_id is the smallest id reachable.  A null or empty text, or one of
     white space only, has no shingles and no links; a text of fewer than
-    ``width`` words is one shingle.  Rows of one id count as one document.  A
-    null id takes its class's component, and null where the class has no other
-    id.  Ids are integers; extra columns are ignored; an empty table gives an
+    ``width`` words is one shingle.  Rows of one id count as one document, with
+    the links of all its texts.  A null id takes its class's component, and null
+    where the class has no other id; it is kept in the latter case only.
+    text_mark is a hash of the row's text, which tells rows of one id (or none)
+    apart.  Ids are integers; extra columns are ignored; an empty table gives an
     empty result.
     """
-    facts = materialize(sketches(docs, width, id_col, text_col), "sketches")
+    mark = free_name(docs, "_mark")
+    facts = materialize(sketches(docs.withColumn(mark, F.xxhash64(text_or_empty(text_col))), width, id_col, text_col, mark), "sketches")
     total = facts.count()
-    classes = facts.where("f1 IS NOT NULL").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = materialize(classes.withColumn("rep", F.col("rep").cast("long")), "classes")
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    named = settled(spark, "class-components", lambda: class_components(facts, texts, width, num, den))
+    out = weighted_lookup(facts.where("f1 IS NOT NULL").select("id", "n", "f1", "f2", "mark"), named, ["n", "f1", "f2"], "copies", total)
+    out = out.select("id", "n", "component", "mark").unionByName(facts.where("f1 IS NULL").select("id", "n", F.col("id").cast("long").alias("component"), "mark"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").cast("long").eqNullSafe(F.col("component")).alias("kept"), F.col("mark").alias("text_mark"))
+
+
+def class_components(facts: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(n, f1, f2, copies, component) of every class of equal non-empty sets."""
+    classes = facts.where("f1 IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("id").cast("long").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = materialize(classes, "classes")
 
     listed = classes.where("rep IS NOT NULL").select("rep", F.explode("bands").alias("bucket"))
-    buckets = listed.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("bucket", "pivot")
-    shared = materialize(listed.join(buckets, "bucket"), "buckets")
+    buckets = listed.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("size")).where("pivot < last").select("bucket", "pivot", "size")
+    buckets = materialize(buckets, "buckets")
+    # a bucket may hold a third of all classes
+    shared = weighted_lookup(listed, buckets, ["bucket"], "size", classes.count() * BANDS).select("bucket", "rep", "pivot")
+    shared = materialize(shared, "bucket-members")
 
-    tested = shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    tested = shared.where("rep <> pivot").select("pivot", "rep").distinct()
     tested = materialize(likely(tested, classes, num, den), "tested")
     links = materialize(confirmed(tested, texts, width, num, den), "links")
     found = connected_components(links, "a", "b")
@@ -313,10 +403,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = open_buckets()
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("d"))
     ranked = rest.join(degree, "rep", "left").withColumn("d", F.coalesce("d", F.lit(0)))
-    best = materialize(ranked.groupBy("bucket").agg(F.max("d").alias("d")), "best-degree")
-    pivots = materialize(ranked.join(best, ["bucket", "d"]).groupBy("bucket").agg(F.max("rep").alias("pivot")), "pivots")
+    pivots = materialize(ranked.groupBy("bucket").agg(F.max(F.struct("d", "rep")).alias("best")).select("bucket", F.col("best.rep").alias("pivot")), "pivots")
     crossing = rest.join(pivots, "bucket").join(found.withColumnsRenamed({"node": "pivot", "component": "pc"}), "pivot", "left").where(F.col("component") != F.coalesce("pc", "pivot"))
-    second = crossing.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    second = crossing.select("pivot", "rep").distinct().join(tested, ["pivot", "rep"], "left_anti")
     second = materialize(likely(second, classes, num, den), "tested")
     if not second.isEmpty():
         more = materialize(confirmed(second, texts, width, num, den), "links")
@@ -324,22 +413,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = open_buckets()
 
     # What is still open is decided inside tasks, on the full sets.
-    ids = materialize(rest.select(F.col("rep").alias("id")).distinct(), "minhash-ids")
-    few = ids.count() <= BROADCAST_ROWS
-    sets = materialize(shingle_sets(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), width).withColumnRenamed("id", "rep").dropDuplicates(["rep"]), "minhash-sets")
-    more = materialize(within_buckets(rest, sets, num, den), "links")
+    more = materialize(within_buckets(rest, classes, texts, width, num, den), "links")
     if not more.isEmpty():
         found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
-
-    named = classes.select("f1", "f2", "rep", "copies").join(found.withColumnsRenamed({"node": "rep"}), "rep", "left")
-    named = materialize(named.select("f1", "f2", "copies", F.coalesce("component", "rep").alias("component")), "class-components")
-    out = weighted_lookup(facts.where("f1 IS NOT NULL").select("id", "n", "f1", "f2"), named, ["f1", "f2"], "copies", total)
-    out = out.select("id", "n", "component").unionByName(facts.where("f1 IS NULL").select("id", "n", F.col("id").cast("long").alias("component")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").cast("long").eqNullSafe(F.col("component")).alias("kept"))
+    return classes.select("n", "f1", "f2", "rep", "copies").join(found.withColumnsRenamed({"node": "rep"}), "rep", "left").select("n", "f1", "f2", "copies", F.coalesce("component", "rep").alias("component"))
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), width=4)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), width=4).drop("text_mark")
 
 
 SQL = r"""
