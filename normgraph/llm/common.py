@@ -55,13 +55,14 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow by batches of at most ARROW_BYTES, so that long texts fit beside the executor's heap.
+    """mapInArrow, giving memory back when a task ends.
 
-    The session keeps a smaller limit of its own.
+    Batches go by bytes, so that long texts fit beside the executor's heap.  A
+    limit that the session was given, in whatever unit, stays as it is; where it
+    has none, Spark's default of 64 MB gives way to ARROW_BYTES.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = conf.get(name)
-    if not now.endswith("b") or int(now.rstrip("b")) > ARROW_BYTES:
+    if name not in conf.getAll:
         conf.set(name, f"{ARROW_BYTES}b")
     return df.mapInArrow(lean(run), schema)
 

@@ -156,8 +156,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one after the other, first_word and last_word are the smallest and largest
     of them (null without any).  labels adds the labels of the templates that a
     block meets; score is the largest containment found, 1 where a phrase
-    stands, 0 without any.  A null text counts as empty; extra columns are
-    ignored; repeated rows get a row each; an empty table gives an empty result.
+    stands, 0 without any.  Windows have ``block`` words, twice a template's
+    words where it has more than half of that, so templates may be of any length.
+    A null text counts as empty; extra columns are ignored; repeated rows get a
+    row each; an empty table gives an empty result.
     """
     sets = template_sets(templates)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

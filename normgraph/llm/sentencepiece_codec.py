@@ -172,8 +172,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """One row per input row: id, ids array<int>, score double.
 
     A space becomes the model's mark and one mark is put before a text that
-    isn't empty.  A null or empty text has no ids.  Repeated rows get a row
-    each; extra columns are ignored.
+    isn't empty.  A null or empty text has no ids.  Of segmentations of one score
+    the automaton's first stays, which is the same for every run.  Repeated rows
+    get a row each; extra columns are ignored; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(model_path))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -194,7 +195,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, text, n_pieces, n_bytes, ids_crc32) of rows with ids; null ids count as none."""
+    """(id, text, n_pieces, n_bytes, ids_crc32) of rows with ids.
+
+    Null or empty ids give an empty text; bytes that are no UTF-8 give
+    replacement characters.  Repeated rows get a row each; extra columns are
+    ignored; an empty table gives an empty result.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(load_pieces(model_path))
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
 

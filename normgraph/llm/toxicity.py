@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +36,7 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().encode().translate(_TABLE).decode().split()
 
 
-def stems_of(words: set[str]) -> list[str]:
+def stems_of(words: Iterable[str]) -> list[str]:
     """Beginnings of the distinct longer words; the star keeps them apart from words."""
     return [w[:STEM] + "*" for w in words if len(w) > STEM]
 
@@ -50,10 +50,9 @@ class Model:
     thresholds: np.ndarray
 
     def counts(self, text: str | None) -> dict[int, int]:
-        words = words_of(text)
-        distinct, get = set(words), self.features.get
-        found = {k: words.count(w) for w in distinct if (k := get(w)) is not None}
-        found.update(Counter(k for s in stems_of(distinct) if (k := get(s)) is not None))
+        words, get = Counter(words_of(text)), self.features.get
+        found = {k: n for w, n in words.items() if (k := get(w)) is not None}
+        found.update(Counter(k for s in stems_of(words) if (k := get(s)) is not None))
         return found
 
     def above(self, text: str | None) -> np.ndarray:
@@ -135,7 +134,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     ``labels`` says 0 or 1.  A toxic row's grade is its third by how many words
     it has that the sample knows almost only from toxic rows.  Without rows of
-    both kinds the model has no features and calls everything clean.
+    both kinds (empty tables too) the model has no features and calls everything
+    clean.  Labels without an id or a label don't count; of repeated ones each does.
     """
     sample = materialize(labelled_sample(docs, labels, id_col, text_col, label_col, sample_rows), "toxic-sample")
     chosen = choose_features(sample)
@@ -164,8 +164,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, severity (expected grade), grade (nearest), p_toxic, toxic (p_toxic >= 0.5).
 
-    A null or empty text has no features and is scored as such (clean).
-    Repeated rows get a row each; extra columns are ignored.
+    A null or empty text has no features and is scored as such (clean).  A
+    severity half-way between two grades goes to the even one.  Repeated rows get
+    a row each; extra columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -179,7 +180,11 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
 
 def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the model calls toxic; all columns as they were."""
+    """``docs`` without the rows that the model calls toxic; all columns, of any name, as they were.
+
+    A row at exactly p_toxic = 0.5 goes.  A null or empty text is clean;
+    repeated rows share their fate; an empty table gives an empty result.
+    """
     k = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,11 +53,9 @@ def test_query_matches_sql(spark, sf_dir, name):
     assert rows_of(query(spark, sf_dir)) == duck_rows(sql, TABLES)
 
 
-@pytest.mark.parametrize("name", BY_SQL)
+@pytest.mark.parametrize("name", [n for n in BY_SQL if not n.startswith("op8")])  # its SQL takes ids to be unique; see the brute force below
 def test_query_matches_sql_on_awkward_rows(spark, awkward_dir, name):
     query, sql = QUERIES[name]
-    if name.startswith("op8"):  # the SQL takes ids to be unique
-        return
     assert rows_of(query(spark, awkward_dir)) == duck_rows(sql, tables_of(awkward_dir))
 
 
@@ -77,6 +75,13 @@ def test_rows_with_null_ids_and_texts(spark, tmp_path, name):
     assert QUERIES[name][0](spark, str(tmp_path)).count() == 8
 
 
+def test_top_k_of_rows_with_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, [1.0, 0.0], 0), (20, [1.0, 0.0], 0), (20, [0.5, 0.5], 0), (7, [1.0, 0.0], 0), (7, [1.0, 0.0], 0), (8, None, 0), (9, [], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["op5_topk_search"][0](spark, str(tmp_path)).collect()
+    assert {r.query_id for r in got} == {20} and {r.vec_id for r in got} == {7}
+
+
 def test_exact_dedup_of_a_heavy_group(spark):
     docs = documents(spark, ["same  text"] * 300 + ["same text"] * 200 + [f"own {i}" for i in range(300)])
     found = exact_dedup.exact_dedup(docs, capacity=8)
@@ -359,11 +364,74 @@ def test_toxicity_on_held_out_rows(spark):
     got = toxicity.score_toxicity(docs.join(held, "doc_id", "left_semi"), model).join(held.withColumnRenamed("toxic", "truth"), "doc_id").toPandas()
     hits = (got.toxic & (got.truth > 0)).sum()
     # a third of a thousand toxic rows to learn from, three languages' insults among them
-    assert hits / (got.truth > 0).sum() > 0.8 and hits / got.toxic.sum() > 0.95
+    assert hits / (got.truth > 0).sum() >= 0.9 and hits / got.toxic.sum() > 0.95
     assert got[got.truth > 0].severity.mean() > 1 > 0.2 > got[got.truth == 0].severity.mean()
     assert got.severity.between(0, toxicity.TOXIC_GRADES).all()
 
 
+def test_toxicity_query_by_brute_force(spark, sf_dir):
+    """The whole query against a scorer of plain Python over the fitted weights."""
+    import math
+    import re
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert model.features and len(model.thresholds) == toxicity.TOXIC_GRADES and list(model.thresholds) == sorted(model.thresholds)
+    got = {r.doc_id: r for r in toxicity.op2_toxicity(spark, sf_dir).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        words = re.findall(r"[^\x00-&(-/:-`{-\x7f]+", (r.text or "").lower())
+        names = words + [w[:4] + "*" for w in set(words) if len(w) > 4]
+        score = sum(model.weights[model.features[x]] * math.log(1 + names.count(x)) for x in set(names) if x in model.features)
+        above = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        severity = sum(above)
+        found = got[r.doc_id]
+        assert (found.severity, found.p_toxic) == pytest.approx((severity, above[0]), abs=1e-9)
+        assert found.grade == round(severity) and found.toxic == (above[0] >= 0.5)
+
+
+def test_toxicity_grades_follow_the_insults(spark):
+    """Grades are thirds of the toxic rows by how many telling words they hold."""
+    import random
+
+    pick = random.Random(3)
+    texts, toxic = [], []
+    for k in range(900):
+        insults = 0 if k % 3 else 1 + k % 9 // 3 * 4
+        texts.append(" ".join(pick.choices([f"plain{j}" for j in range(80)], k=40) + pick.choices(["foul", "vile", "nasty"], k=insults)))
+        toxic.append(int(insults > 0))
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).collect()}
+    by = {n: np.mean([got[k].severity for k in range(900) if k % 3 == 0 and k % 9 // 3 == n]) for n in range(3)}
+    assert all(got[k].toxic == bool(toxic[k]) for k in range(900))
+    assert by[0] < by[1] < by[2] and by[0] < 1.8 and by[2] > 2.2
+
+
+def test_toxicity_of_a_text_with_very_many_features(spark):
+    model = toxicity.Model({f"w{k}": k for k in range(4000)}, np.full(4000, 0.001), np.array([1.0, 2.0, 3.0]))
+    began = time.monotonic()
+    assert len(model.counts(" ".join(f"w{k % 4000}" for k in range(400_000)))) == 4000
+    assert time.monotonic() - began < 5
+
+
+def test_arrow_limit_of_the_session_stays(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(name)
+    same = lambda batches: batches
+    try:
+        for limit in ("256mb", "4m", "1000000"):
+            spark.conf.set(name, limit)
+            assert common.arrow_map(spark.range(10), same, "id long").count() == 10
+            assert spark.conf.get(name) == limit
+        spark.conf.unset(name)
+        assert common.arrow_map(spark.range(10), same, "id long").count() == 10
+        assert spark.conf.get(name) == f"{common.ARROW_BYTES}b"
+    finally:
+        spark.conf.set(name, had)
+
+
 def test_ordinal_gradient_and_order():
     rng = np.random.RandomState(1)
     rows = [{int(k): int(rng.randint(1, 5)) for k in set(rng.randint(0, 6, 3))} for _ in range(400)]
