@@ -5,11 +5,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from normgraph.llm import packing, secret_scan, toxicity
 from normgraph.storage import written
-from tests.llm.helpers import documents
+from tests.llm.helpers import clashing, documents
 from tests.llm.test_operators import brute_near, check_bins
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -68,12 +69,47 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     assert before <= written(spark)
 
 
-def test_stages_keep_the_columns(spark, sf_dir):
-    docs = documents(spark, [None, "", "plain text", "password=abcdefgh1 here", "plain text"])
+def awkward(spark):
+    line = "a line of more than twenty characters"
+    texts = [None, "", "plain text of a few words", "password=abcdefgh1 here", "plain text of a few words", "plain text of a few words", "no other row has this text at all", "plain text of a few words", f"{line}\nx y", f"{line}\nx z", line]
+    ids = [1, None, 4, 5, 6, None, None, 4, 8, 9, None]
+    return clashing(documents(spark, texts, ids).withColumn("lang", F.lit(None).cast("string")))
+
+
+def test_stages_on_awkward_rows(spark, sf_dir):
+    docs = awkward(spark)
+    line = "a line of more than twenty characters"
+    kept = {
+        "toxicity": 11,
+        "line_dedup": 11,
+        "near_dedup": 9,  # the copies of 6 and of no id go, both rows of 4 stay
+        "secret_scan": 11,
+    }
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         assert tuple(out.columns) == corpus_pipeline.COLUMNS, name
-        assert out.count() == (4 if name == "near_dedup" else 5), name
+        assert out.count() == kept[name], name
+        assert out.where("lang IS NOT NULL").count() == 0
+    near = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect() if r.text and r.text.startswith(("plain", "no ")))
+    assert near == [(0, "no other row has this text at all"), (4, "plain text of a few words"), (4, "plain text of a few words")]
+    lines = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, sf_dir).where("doc_id IN (8, 9)").collect()}
+    assert lines == {8: "x y", 9: f"{line}\nx z"}
+    assert corpus_pipeline.redact_secrets(spark, docs, sf_dir).where("text = '[SECRET] here' AND n_chars = 13").count() == 1
+    packed = corpus_pipeline.pack_sequences(spark, docs, sf_dir)
+    assert packed.count() == 11 and packed.where("doc_id IS NULL").count() == 4
+
+
+def test_stages_on_an_empty_table(spark, sf_dir):
+    docs = awkward(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).count() == 0, name
+
+
+def test_pipeline_leaves_only_its_last_tables(spark, sf_dir):
+    before = written(spark)
+    out = corpus_pipeline.run(spark, sf_dir)
+    names = {p.rsplit("/", 1)[-1].split("-")[0] for p in written(spark) - before}
+    assert names <= {"stage", "pieces"} and out.count() > 0
 
 
 def test_order_of_stages():
