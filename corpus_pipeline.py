@@ -1,8 +1,10 @@
 """The corpus pipeline: toxicity, line dedup, near-dedup, secret scans, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a table; all but the last
-return the columns of ``documents``.  Every stage's result is written to the
-shared folder and read again as the next one's input.
+return the columns of ``documents`` (doc_id, text, lang, source, n_chars) and no
+others that ``docs`` may have.  Every stage's result is written to the shared
+folder and read again as the next one's input.  In every stage nulls may stand
+in any column, rows may repeat, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normgraph.llm import line_dedup, minhash, packing, secret_scan, toxicity
-from normgraph.llm.common import BROADCAST_ROWS, materialize, new_path, release, written
+from normgraph.llm.common import BROADCAST_ROWS, materialize, new_path, release, text_or_empty, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,32 +24,52 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the severity model calls toxic go."""
+    """Documents that the severity model calls toxic go.
+
+    The model is fitted on the labelled rows of ``docs``; where there are none
+    of both kinds, all documents stay.  A null or empty text is clean; repeated
+    rows share their fate.
+    """
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.reject_toxic(docs, model).select(*COLUMNS)
+    return toxicity.reject_toxic(docs.select(*COLUMNS), model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that three or more documents hold stay in one of them; every document stays."""
-    return _documents(line_dedup.line_dedup(docs))
+    """Lines that three or more documents hold stay in the one of the largest id; every document stays.
+
+    A null text becomes an empty one.  Repeated rows count one by one, and all
+    rows of the largest id keep the line; a null id is below every other.
+    """
+    return _documents(line_dedup.line_dedup(docs.select(*COLUMNS)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (five-word shingles, 0.8)."""
+    """The document of the smallest id stays of each group of near-duplicates (five-word shingles, 0.8).
+
+    Texts without words are in no group and stay.  Rows of one id count as one
+    document: all of them stay or, those of one text together, go.  A row without
+    an id goes if its group has a row with one; rows without ids can't be told
+    apart, so a group of such rows only stays.
+    """
     found = materialize(minhash.near_duplicates(docs), "near-duplicates")
-    gone = found.where(~F.col("kept")).select("doc_id")
-    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return docs.join(F.broadcast(gone), "doc_id", "left_anti").select(*COLUMNS)
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark")).distinct()
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    mark = F.xxhash64(text_or_empty("text"))
+    rows = docs.select(*COLUMNS)
+    return rows.join(F.broadcast(gone) if few else gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (mark == F.col("_mark")), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Found secrets are replaced by a mark; every document stays."""
-    return _documents(secret_scan.redact(docs))
+    """Found secrets are replaced by a mark; every document stays, a null text as it is."""
+    return _documents(secret_scan.redact(docs.select(*COLUMNS)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their sequence and place in it."""
+    """Pieces of the documents with their sequence and place in it.
+
+    A null or empty text is one piece of the end token; repeated rows and rows
+    without an id are packed row by row; ties in length go by id.
+    """
     return packing.pack_documents(docs, packing.tokenizer_path())
 
 
