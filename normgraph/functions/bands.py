@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from normgraph.functions.text import fixed
 from normgraph.model import INCIDENT
 
 # Cut-offs of the bands below.
@@ -42,7 +43,7 @@ def cross_tier(score: Column, full: float = CROSS_FULL, partial: float = CROSS_P
 
 def edge_label(kind: Column, weight: Column, cuts=TIER_CUTS) -> Column:
     """``type (Tier 71.2%)``; a weight of 0 leaves the bracket out."""
-    tier = F.format_string(" (%s %.1f%%)", weight_tier(weight, cuts), weight * 100)
+    tier = F.concat(F.lit(" ("), weight_tier(weight, cuts), F.lit(" "), fixed(weight * 100, 1), F.lit("%)"))
     return F.concat(F.replace(kind, F.lit("_"), F.lit(" ")), F.when(weight == 0, "").otherwise(tier))
 
 
@@ -109,18 +110,47 @@ def cluster_status(isolated: Column, size: Column) -> Column:
     return band(isolated / F.greatest(size, F.lit(1)), [(0.7, "KRITIS"), (0.3, "PERHATIAN")], "MODERAT", strict=True)
 
 
-def hole_kind(classification: Column) -> Column:
-    """What kind of structural hole an isolated node is, by its class."""
+# What an isolated node means, by the beginning of its class: kind, and effects on remedy, certainty and policy.
+HOLES = (
+    ("Intl:", "Norma Internasional TIDAK DIADOPSI", "Hakim tidak bisa merujuk norma internasional ini karena tidak ada padanannya di hukum nasional yang mengikat", "Warga & perusahaan AI tidak dapat mengantisipasi kewajiban hukum yang akan berlaku", "GAGAL ADOPSI: Pemerintah tidak menyediakan mekanisme transplantasi norma internasional ke regulasi domestik"),
+    ("Natl:", "Norma Nasional TERISOLASI", "Pasal ini tidak memiliki koneksi ke kasus/insiden manapun — existentially irrelevant untuk kasus AI", "Pasal ada namun tidak operasional dalam konteks AI — menciptakan ilusi kepastian hukum", "DESAIN GAGAL: Pasal dirancang terlalu sempit atau tidak memperhitung perkembangan AI"),
+    ("", "Insiden Tanpa Warrant Normatif", "Tidak ada norma yang bisa dirujuk hakim untuk menentukan pelanggaran hukum kasus ini", "KEKOSONGAN ABSOLUT: Pelaku tidak dapat ditindak, korban tidak mendapat kepastian ganti rugi", "POLICY GAP KRITIS: Pemerintah belum mengantisipasi tipologi kejahatan AI ini dalam desain regulasi"),
+)
+# Colours of themes and of tiers.
+THEME_COLOURS = (
+    ("Transparansi & Eksplainabilitas", "#0ea5e9"),
+    ("Manajemen Risiko", "#f59e0b"),
+    ("Pengawasan Manusia", "#10b981"),
+    ("Tata Kelola Data", "#6366f1"),
+    ("Akuntabilitas", "#a855f7"),
+    ("Larangan Penggunaan AI Berbahaya", "#f43f5e"),
+    ("Kewajiban Penyedia AI", "#ec4899"),
+    ("Conformity & Sertifikasi", "#14b8a6"),
+    ("Regulatory Sandbox", "#84cc16"),
+)
+TIER_COLOURS, WEAK_COLOUR, PLAIN_COLOUR = ((95, "#10b981"), (80, "#f59e0b")), "#f43f5e", "rgba(203, 213, 225, 0.35)"
+
+
+def hole(classification: Column) -> dict[str, Column]:
+    """What kind of structural hole an isolated node is and what follows from it: kind, remedy, certainty, policy."""
     cls = F.coalesce(classification, F.lit(""))
-    return F.when(cls.startswith("Intl:"), "Norma Internasional TIDAK DIADOPSI").when(cls.startswith("Natl:"), "Norma Nasional TERISOLASI").otherwise("Insiden Tanpa Warrant Normatif")
+    pick = lambda k: F.when(cls.startswith(HOLES[0][0]), HOLES[0][k]).when(cls.startswith(HOLES[1][0]), HOLES[1][k]).otherwise(HOLES[2][k])
+    return {name: pick(k) for k, name in enumerate(("kind", "remedy", "certainty", "policy"), 1)}
+
+
+def hole_kind(classification: Column) -> Column:
+    return hole(classification)["kind"]
 
 
 def edge_colour(graph: str, label: Column) -> Column:
-    """Colour name of an edge: by tier in the cross graph, else by whether it has a theme."""
-    if graph != "cross":
-        return F.lit("default")
-    share = F.coalesce(F.nullif(F.regexp_extract(label, r"([0-9.]+)\s*%", 1), F.lit("")).try_cast("double"), F.lit(0.0))
-    return band(share, [(95, "identical"), (80, "strong")], "weak")
+    """Colour of an edge: in the cross graph by the percentage in its label, else (and without one) by the theme that the label names."""
+    out = F.lit(PLAIN_COLOUR)
+    for theme, colour in reversed(THEME_COLOURS):
+        out = F.when(F.contains(label, F.lit(theme)), colour).otherwise(out)
+    if graph == "cross":
+        tiered = F.nullif(F.regexp_extract(label, r"(?i)(?:Identik|Sangat Kuat|Lemah|Sim)\s*([0-9.]+)%", 1), F.lit("")).try_cast("double")
+        out = F.when(tiered.isNotNull(), band(tiered, list(TIER_COLOURS), WEAK_COLOUR)).otherwise(out)
+    return out
 
 
 def type_badge(kind: Column) -> Column:

@@ -24,10 +24,42 @@ INSTITUTIONS = [
     ("DPRD", "DPRD"),
     ("BPR", "BPR"),
 ]
-# Cities whose code isn't their name's first eight letters in
-# capitals, or is longer; every other listed city is written out in capitals.
-CITY_CODES = {"tulungagung": "TLGAGUNG", "yogyakarta": "YOGYA", "bojonegoro": "BOJONGORO"}
-CITIES_IN_FULL = ("bangkalan", "trenggalek", "pamekasan", "probolinggo", "banyuwangi", "mojokerto", "situbondo", "bondowoso")
+# Codes of the listed cities.
+CITY_CODES = {
+    "Tulungagung": "TLGAGUNG",
+    "Sidoarjo": "SIDOARJO",
+    "Magetan": "MAGETAN",
+    "Tuban": "TUBAN",
+    "Bangkalan": "BANGKALAN",
+    "Yogyakarta": "YOGYA",
+    "Blitar": "BLITAR",
+    "Ponorogo": "PONOROGO",
+    "Pasuruan": "PASURUAN",
+    "Jember": "JEMBER",
+    "Trenggalek": "TRENGGALEK",
+    "Madiun": "MADIUN",
+    "Ngawi": "NGAWI",
+    "Pacitan": "PACITAN",
+    "Pamekasan": "PAMEKASAN",
+    "Probolinggo": "PROBOLINGGO",
+    "Bojonegoro": "BOJONGORO",
+    "Semarang": "SEMARANG",
+    "Lamongan": "LAMONGAN",
+    "Nganjuk": "NGANJUK",
+    "Malang": "MALANG",
+    "Banyuwangi": "BANYUWANGI",
+    "Jombang": "JOMBANG",
+    "Surabaya": "SURABAYA",
+    "Kediri": "KEDIRI",
+    "Mojokerto": "MOJOKERTO",
+    "Gresik": "GRESIK",
+    "Situbondo": "SITUBONDO",
+    "Bondowoso": "BONDOWOSO",
+    "Lumajang": "LUMAJANG",
+    "Sampang": "SAMPANG",
+    "Sumenep": "SUMENEP",
+    "Bangil": "BANGIL",
+}
 
 INSTITUTION_PATTERN = r"(?i)milik instansi\s+(.+?)(?:\.|$)"
 
@@ -39,7 +71,7 @@ def institution(text: Column) -> Column:
 
 def city_code(city: Column) -> Column:
     plain = strip(city)
-    known = F.create_map(*[F.lit(x) for c, code in [*CITY_CODES.items(), *((c, c.upper()) for c in CITIES_IN_FULL)] for x in (c, code)])
+    known = F.create_map(*[F.lit(x) for c, code in CITY_CODES.items() for x in (c.lower(), code)])
     rest = F.when(plain == "", F.lit("UNK")).otherwise(F.substring(F.upper(plain), 1, 8))
     return F.coalesce(F.element_at(known, F.lower(plain)), rest)
 
@@ -56,13 +88,25 @@ def institution_code(name: Column) -> Column:
 def rename_incidents(incidents: DataFrame, id_col: str = "id", text_col: str = "text", year_col: str = "year", ord_col: str = "ord", prefix: str = "incident-auto-") -> DataFrame:
     """Incidents with ``new_id``: generated ids become institution-year, in lower case.
 
-    The second, third, ... row of a generated id gets -2, -3, ... in row order;
-    one more where a fixed id further up already has that name.
+    Rows are taken in order; the second, third, ... one of a name gets -2, -3,
+    ..., without names that a fixed id further up already has.
     """
     auto = F.col(id_col).startswith(prefix)
     code = F.coalesce(institution_code(institution(F.col(text_col))), F.concat(F.lit("AUTO-"), F.element_at(F.split(F.col(id_col), "-"), -1)))
     named = incidents.withColumn("_auto", auto).withColumn("_base", F.when(auto, F.lower(F.concat_ws("-", code, F.coalesce(F.col(year_col), F.lit(2024)).cast("string")))).otherwise(F.col(id_col)))
-    order = Window.partitionBy("_base").orderBy(ord_col).rowsBetween(Window.unboundedPreceding, 0)
-    nth = F.sum(F.col("_auto").cast("int")).over(order) + F.max((~F.col("_auto")).cast("int")).over(order)
-    out = named.withColumn("_n", nth)
-    return out.withColumn("new_id", F.when(F.col("_auto") & (F.col("_n") > 1), F.concat_ws("-", "_base", F.col("_n").cast("string"))).otherwise(F.col("_base"))).drop("_auto", "_base", "_n")
+    # a fixed id takes number 1 of its own name, and number k of the name before a final -k
+    tail = F.regexp_extract("_base", r"^(.+)-([1-9]\d{0,8})$", 2).try_cast("int")
+    stem = F.regexp_extract("_base", r"^(.+)-([1-9]\d{0,8})$", 1)
+    places = F.when(F.col("_auto"), F.array(F.struct(F.col("_base").alias("base"), F.lit(0).alias("k")))).when(tail >= 2, F.array(F.struct(F.col("_base").alias("base"), F.lit(1).alias("k")), F.struct(stem.alias("base"), tail.alias("k")))).otherwise(F.array(F.struct(F.col("_base").alias("base"), F.lit(1).alias("k"))))
+    rows = named.select(F.col(ord_col).alias("_at"), F.explode(places).alias("p")).select("_at", "p.base", "p.k")
+    upto = Window.partitionBy("base").orderBy("_at", "k").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.withColumn("nth", F.sum((F.col("k") == 0).cast("int")).over(upto))
+    taken = counted.where("k > 0").groupBy("base").agg(F.array_sort(F.collect_set(F.struct("k", "_at", "nth"))).alias("taken"))
+    # a number counts as taken unless generated names had reached it before the fixed id came
+    none = F.array().cast("array<struct<k:int,_at:bigint,nth:bigint>>")
+    in_time = F.aggregate(F.transform("taken", lambda t: F.struct(t["k"].cast("int").alias("k"), t["_at"].cast("long").alias("_at"), t["nth"].cast("long").alias("nth"))), none, lambda acc, t: F.when((t["nth"] + F.size(F.filter(acc, lambda x: x["_at"] < t["_at"])) < t["k"]) & ~F.exists(acc, lambda x: x["k"] == t["k"]), F.concat(acc, F.array(t))).otherwise(acc))
+    numbers = counted.where("k = 0").join(taken.select("base", in_time.alias("taken")), "base", "left")
+    skipped = F.aggregate(F.coalesce("taken", none), F.col("nth").cast("long"), lambda n, t: F.when((t["_at"] < F.col("_at")) & (t["k"] <= n), n + 1).otherwise(n))
+    numbered = numbers.select(F.col("_at").alias("_o"), skipped.alias("_n"))
+    out = named.join(numbered, F.col("_auto") & (F.col(ord_col) == F.col("_o")), "left")
+    return out.withColumn("new_id", F.when(F.col("_auto") & (F.col("_n") > 1), F.concat_ws("-", "_base", F.col("_n").cast("string"))).otherwise(F.col("_base"))).drop("_auto", "_base", "_n", "_o")

@@ -37,9 +37,9 @@ def normalise_title(c: Column) -> Column:
     return sentence_case(full)
 
 
-def heading_pattern(keywords=KEYWORDS) -> str:
-    """A keyword, white space, digits and perhaps one letter; no word boundary before it."""
-    return "((?:" + "|".join(keywords) + r")\s+\d+[A-Za-z]?)"
+def heading_pattern(keywords=KEYWORDS, letter: bool = True) -> str:
+    """A keyword, white space, digits and, if asked for, perhaps one letter; no word boundary before it."""
+    return "((?:" + "|".join(keywords) + r")\s+\d+" + ("[A-Za-z]?)" if letter else ")")
 
 
 def year_from_name(c: Column, default: int) -> Column:
@@ -88,7 +88,7 @@ def node_id(doc: Column, title: Column, prefix: str = "") -> Column:
     return F.concat(F.lit(prefix), doc, F.lit("_"), F.replace(title, F.lit(" "), F.lit("_")))
 
 
-def split_provisions(texts: DataFrame, doc: str = "doc", text: str = "text", keywords=KEYWORDS, fallback: str | None = None, min_length: int = MIN_LENGTH) -> DataFrame:
+def split_provisions(texts: DataFrame, doc: str = "doc", text: str = "text", keywords=KEYWORDS, fallback: str | None = None, min_length: int = MIN_LENGTH, letter: bool = True) -> DataFrame:
     """(doc, ord, title, content): one row for each heading and what follows it.
 
     A repeated title keeps its first place and its last content; content is cut
@@ -96,7 +96,7 @@ def split_provisions(texts: DataFrame, doc: str = "doc", text: str = "text", key
     ``min_length``.  ``fallback`` is a second pattern for texts without headings.
     A null text has no provisions.
     """
-    pattern = "(?i)" + heading_pattern(keywords)
+    pattern = "(?i)" + heading_pattern(keywords, letter)
 
     def parts(p: str) -> Column:
         heads = F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1))
@@ -109,3 +109,38 @@ def split_provisions(texts: DataFrame, doc: str = "doc", text: str = "text", key
     content = strip(F.substring(F.col("p.b"), 1, TEXT_CAP))
     rows = rows.select("doc", "ord", normalise_title(F.col("p.h")).alias("title"), content.alias("content")).where(F.char_length("content") > min_length)
     return rows.groupBy("doc", "title").agg(F.min("ord").cast("long").alias("ord"), F.max_by("content", "ord").alias("content")).select("doc", "ord", "title", "content")
+
+
+def explore_provisions(texts: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
+    """Provisions by the short keywords, without a letter after the number; texts without any are split at numbered paragraphs."""
+    return split_provisions(texts, doc, text, SHORT_KEYWORDS, NUMBERED, MIN_LENGTH_EXPLORE, letter=False)
+
+
+def distinct_headings(texts: DataFrame, doc: str = "doc", text: str = "text", keywords=KEYWORDS) -> DataFrame:
+    """(doc, titles): the distinct titles of each text's provisions, sorted."""
+    return split_provisions(texts, doc, text, keywords).groupBy("doc").agg(F.sort_array(F.collect_set("title")).alias("titles"))
+
+
+def html_escape(c: Column) -> Column:
+    """``<`` and ``>`` as entities."""
+    return F.replace(F.replace(c, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def fixed(c: Column, places: int) -> Column:
+    """A number with that many decimals (8 at most), as C and Python write it; null stays.
+
+    The double's exact value is rounded, ties to even; ``format_string`` rounds
+    its shortest decimal form instead, and up.  A product and its rounding error
+    (from the factor's two halves) are exact together.
+    """
+    scale = float(10**places)
+    x = F.abs(c.cast("double"))
+    up = x * 134_217_729.0
+    high = up - (up - x)
+    whole = x * scale
+    error = (high * scale - whole) + (x - high) * scale
+    below = F.floor(whole)
+    over = (whole - below) + error
+    n = F.when((over > 0.5) | ((over == 0.5) & (below % 2 == 1)), below + 1).otherwise(below)
+    text = F.concat(F.floor(n / int(scale)).cast("string"), F.lit("." if places else ""), F.lpad((n % int(scale)).cast("string"), places, "0") if places else F.lit(""))
+    return F.concat(F.when(c < 0, "-").otherwise(""), text)

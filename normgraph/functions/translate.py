@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from normgraph.functions.tables import INCIDENT_DICTIONARY, SECTOR_PHRASES
+
 # What is replaced in texts that name an electronic system operator.
 OPERATOR_PHRASE = "selaku Penyelenggara Sistem Elektronik / Lembaga Pemerintah."
 OPERATOR_PAIRS = [
@@ -25,7 +27,13 @@ CONTAINED = {"Pengembang Foundation Model": "AI Foundation Model Developers and
 
 def replace_all(c: Column, pairs: list[tuple[str, str]]) -> Column:
     """Every pair replaced in turn; a later pair sees what an earlier one wrote."""
-    return reduce(lambda acc, p: F.replace(acc, F.lit(p[0]), F.lit(p[1])), pairs, c)
+    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in pairs])
+    return F.aggregate(table, c, lambda acc, p: F.replace(acc, p["k"], p["v"])) if pairs else c
+
+
+def _then(c: Column, step: Callable[[Column], Column]) -> Column:
+    """``step`` of ``c``, which is computed once however often the step looks at it."""
+    return F.get(F.transform(F.array(c), step), F.lit(0))
 
 
 def lookup(c: Column, table: dict[str, str]) -> Column:
@@ -46,9 +54,8 @@ def translate(c: Column, dictionary: list[tuple[str, str]]) -> Column:
     Null and empty texts stay as they are.
     """
     exact = dict(dictionary)
-    text = replace_all(c, dictionary)
-    text = F.when(F.contains(text, F.lit(OPERATOR_PHRASE)), replace_all(text, OPERATOR_PAIRS)).otherwise(text)
-    text = lookup(text, WHOLE_TEXT)
+    text = _then(replace_all(c, dictionary), lambda t: F.when(F.contains(t, F.lit(OPERATOR_PHRASE)), replace_all(t, OPERATOR_PAIRS)).otherwise(t))
+    text = _then(text, lambda t: lookup(t, WHOLE_TEXT))
     for part, whole in CONTAINED.items():
         text = F.when(F.contains(text, F.lit(part)), F.lit(whole)).otherwise(text)
     done = F.when(F.coalesce(c, F.lit("")) == "", c)
@@ -65,10 +72,19 @@ def interface_text(c: Column, table: dict[str, str]) -> Column:
     return F.when(key.isin(*table), lookup(key, table)).otherwise(c) if table else c
 
 
-def translate_incident(fields: tuple[str, ...], nested: str, nested_fields: tuple[str, ...], dictionary: list[tuple[str, str]]) -> dict[str, Column]:
-    """Columns to set on an incident table: ``fields`` and some fields of a struct."""
-    out = {f: translate(F.col(f), dictionary) for f in fields}
-    struct = F.col(nested)
-    for f in nested_fields:
-        struct = struct.withField(f, translate(F.col(f"{nested}.{f}"), dictionary))
-    return out | {nested: struct}
+#: Fields of an incident that the dictionary is applied to, and those of its facts.
+FIELDS = ("peristiwa_hukum_kronologi", "kualifikasi_peristiwa")
+FACTS, FACT_FIELDS = "pemetaan_fakta_hukum", ("subjek_pelaku", "subjek_pse", "nexus_kausalitas")
+
+
+def translate_incidents(incidents: DataFrame, dictionary: list[tuple[str, str]] = INCIDENT_DICTIONARY) -> DataFrame:
+    """Incidents with their narrative, qualification and three facts in English."""
+    facts = F.col(FACTS)
+    for f in FACT_FIELDS:
+        facts = facts.withField(f, translate(F.col(f"{FACTS}.{f}"), dictionary))
+    return incidents.withColumns({f: translate(F.col(f), dictionary) for f in FIELDS} | {FACTS: facts})
+
+
+def sector_text(c: Column) -> Column:
+    """Texts of the sector cards in English, phrase by phrase."""
+    return replace_all(c, SECTOR_PHRASES)

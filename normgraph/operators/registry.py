@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normgraph.functions.tables import COMPLIANCE
+
 # Sectors with their coverage scores (constants, not derived from
 # the statuses) and how many provisions are covered, partial and missing.
 SECTORS = [
@@ -14,58 +16,23 @@ SECTORS = [
     ("content", "AI-Generated Content & Media", 35, 0, 3, 3),
     ("judicial", "AI di Peradilan & Hukum", 18, 1, 1, 3),
 ]
-# Compliance rules by sector: status and title.
-COMPLIANCE = [
-    ("fintech", "covered", "UU PDP Ps. 16-23 (Prinsip Pemrosesan Data)"),
-    ("fintech", "partial", "POJK 11/2022 Manajemen Risiko TI"),
-    ("fintech", "partial", "POJK 77/2016 Peer-to-Peer Lending"),
-    ("fintech", "gap", "⚠️ Sandbox Regulasi AI Keuangan"),
-    ("fintech", "gap", "⚠️ Kewajiban Audit Bias Algoritma"),
-    ("facial", "partial", "UU PDP Ps. 26 (Data Biometrik Sensitif)"),
-    ("facial", "partial", "PP PSTE 71/2019 Ps. 28 (Keamanan SE)"),
-    ("facial", "gap", "⚠️ Izin Penggunaan FR di Ruang Publik"),
-    ("facial", "gap", "⚠️ Standar Akurasi & Anti-Bias FR"),
-    ("ecommerce", "covered", "UU Perdagangan Ps. 65 (Informasi Produk)"),
-    ("ecommerce", "partial", "UU Perlindungan Konsumen Ps. 7"),
-    ("ecommerce", "gap", "⚠️ Kewajiban Transparansi Algoritma Ranking"),
-    ("ecommerce", "gap", "⚠️ Larangan Self-Preferencing"),
-    ("content", "partial", "UU ITE Ps. 27A (Konten Asusila)"),
-    ("content", "partial", "UU ITE Ps. 28 (Informasi Bohong)"),
-    ("content", "covered", "UU Hak Cipta Ps. 9 (Hak Ekonomi)"),
-    ("content", "gap", "⚠️ Kewajiban Label/Watermark Konten AI"),
-    ("content", "gap", "⚠️ Akuntabilitas Penyedia Model Generatif"),
-    ("judicial", "covered", "UU Kekuasaan Kehakiman Ps. 1 (Kekuasaan Yudisial)"),
-    ("judicial", "partial", "KUHAP Ps. 183 (Standar Pembuktian)"),
-    ("judicial", "gap", "⚠️ Regulasi AI di Peradilan"),
-    ("judicial", "gap", "⚠️ Hak Terdakwa atas Informasi AI"),
-    ("health", "covered", "UU Kesehatan No. 17/2023"),
-    ("health", "partial", "UU PDP Ps. 26 (Data Kesehatan Sensitif)"),
-    ("health", "gap", "⚠️ Regulasi AI Diagnostik Medis"),
-    ("government", "covered", "Perpres 95/2018 SPBE"),
-    ("government", "partial", "UU PDP (Pemerintah sebagai Pengendali Data)"),
-    ("government", "gap", "⚠️ Panduan Pengadaan AI Pemerintah"),
-    ("other", "partial", "UU PDP (Prinsip Umum)"),
-    ("other", "partial", "UU ITE (Sistem Elektronik)"),
-    ("other", "gap", "⚠️ Regulasi AI Sektoral Spesifik"),
-]
 OTHER = "other"
 # Curated links between provisions of one theme.
-_EU, _OECD, _COE = "EU_AI_Act_2024_", "OECD_AI_Principles_2024_", "Council_of_Europe_Framework_Convention_on_AI_CETS225_"
 THEMATIC = [
-    (_EU + "Article_13", _OECD + "Section_1", "Transparansi & Eksplainabilitas"),
-    (_EU + "Article_13", _COE + "Article_5", "Transparansi & Eksplainabilitas"),
-    (_EU + "Article_9", _OECD + "Section_2", "Manajemen Risiko"),
-    (_EU + "Article_9", _COE + "Article_9", "Manajemen Risiko"),
-    (_EU + "Article_6", _COE + "Article_6", "Manajemen Risiko"),
-    (_EU + "Article_14", _OECD + "Article_5", "Pengawasan Manusia"),
-    (_EU + "Article_14", _COE + "Article_10", "Pengawasan Manusia"),
-    (_EU + "Article_10", _COE + "Article_11", "Tata Kelola Data"),
-    (_EU + "Article_16", _OECD + "Section_2", "Akuntabilitas"),
-    (_EU + "Article_16", _COE + "Article_8", "Akuntabilitas"),
-    (_EU + "Article_5", _COE + "Article_5", "Larangan Penggunaan AI Berbahaya"),
-    (_EU + "Article_26", _COE + "Article_7", "Kewajiban Penyedia AI"),
-    (_EU + "Article_39", _COE + "Article_25", "Conformity & Sertifikasi"),
-    (_EU + "Article_54", _OECD + "Section_1", "Regulatory Sandbox"),
+    ("EU_AI_Act_2024_Article_13", "OECD_AI_Principles_2024_Section_1", "Transparansi & Eksplainabilitas"),
+    ("EU_AI_Act_2024_Article_13", "Council_of_Europe_Framework_Convention_on_AI_CETS225_Article_5", "Transparansi & Eksplainabilitas"),
+    ("EU_AI_Act_2024_Article_9", "OECD_AI_Principles_2024_Section_2", "Manajemen Risiko"),
+    ("EU_AI_Act_2024_Article_9", "Council_of_Europe_Framework_Convention_on_AI_CETS225_Article_9", "Manajemen Risiko"),
+    ("EU_AI_Act_2024_Article_6", "Council_of_Europe_Framework_Convention_on_AI_CETS225_Article_6", "Manajemen Risiko"),
+    ("EU_AI_Act_2024_Article_14", "OECD_AI_Principles_2024_Article_5", "Pengawasan Manusia"),
+    ("EU_AI_Act_2024_Article_14", "Council_of_Europe_Framework_Convention_on_AI_CETS225_Article_10", "Pengawasan Manusia"),
+    ("EU_AI_Act_2024_Article_10", "Council_of_Europe_Framework_Convention_on_AI_CETS225_Article_11", "Tata Kelola Data"),
+    ("EU_AI_Act_2024_Article_16", "OECD_AI_Principles_2024_Section_2", "Akuntabilitas"),
+    ("EU_AI_Act_2024_Article_16", "Council_of_Europe_Framework_Convention_on_AI_CETS225_Article_8", "Akuntabilitas"),
+    ("EU_AI_Act_2024_Article_5", "Council_of_Europe_Framework_Convention_on_AI_CETS225_Article_5", "Larangan Penggunaan AI Berbahaya"),
+    ("EU_AI_Act_2024_Article_26", "Council_of_Europe_Framework_Convention_on_AI_CETS225_Article_7", "Kewajiban Penyedia AI"),
+    ("EU_AI_Act_2024_Article_39", "Council_of_Europe_Framework_Convention_on_AI_CETS225_Article_25", "Conformity & Sertifikasi"),
+    ("EU_AI_Act_2024_Article_54", "OECD_AI_Principles_2024_Section_1", "Regulatory Sandbox"),
 ]
 
 
@@ -91,21 +58,29 @@ def status_counts(rows: DataFrame, by: str, status: str = "status", values: tupl
 
 
 def compliance_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(*r, k) for k, r in enumerate(COMPLIANCE)], "sector string, status string, title string, ord long")
+    """(sector, status, title, desc, recom, ord)."""
+    return spark.createDataFrame([(*r, k) for k, r in enumerate(COMPLIANCE)], "sector string, status string, title string, desc string, recom string, ord long")
 
 
 def navigate(requests: DataFrame, rules: DataFrame, sector: str = "sector") -> DataFrame:
     """Rules of each request's sector; an unknown or null one gets those of ``other``."""
     known = rules.select("sector").distinct().withColumnRenamed("sector", "_known")
-    asked = requests.join(F.broadcast(known), F.col(sector) == F.col("_known"), "left").withColumn("_use", F.coalesce("_known", F.lit(OTHER))).drop("_known")
+    asked = requests.join(known, F.col(sector) == F.col("_known"), "left").withColumn("_use", F.coalesce("_known", F.lit(OTHER))).drop("_known")
     named = rules.withColumnsRenamed({"sector": "_use", "ord": "rule_ord"})
-    return asked.join(F.broadcast(named), "_use").drop("_use")  # the rules are a fixed table
+    return asked.join(named, "_use").drop("_use")
 
 
 def thematic_edges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*r, k) for k, r in enumerate(THEMATIC)], "src string, dst string, type string, ord long")
 
 
+def rule_lines(rules: DataFrame, by: str = "sector") -> DataFrame:
+    """(by, lines): a key's rules, one to a line, as prompts list them."""
+    line = F.concat(F.lit("- ["), F.upper("status"), F.lit("] "), "title", F.lit(": "), "desc")
+    listed = rules.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("x"))
+    return listed.select(by, F.array_join(F.transform("x", lambda e: e["line"]), "\n").alias("lines"))
+
+
 def prompt(template: str, fields: dict[str, Column]) -> Column:
     """A prompt text with ``{name}`` replaced by columns; no model is called here."""
     out = F.lit(template)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from normgraph.functions.tables import ATTACKS, CITIES, INSTITUTIONS, SEED_INCIDENTS, YEARS
 from normgraph.functions.text import DEFAULT_YEAR, base_name, class_from_path, node_id, split_provisions, year_from_name
 from normgraph.model import Graph
 
@@ -30,8 +31,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def read_graph(spark: SparkSession, path: str) -> Graph:
-    """A graph document; places in its arrays become ord, edges keep their label and value."""
+def localized(path: str, lang: str = "") -> str:
+    """The path of a document, graph or report in a language: its suffix comes before the extension."""
+    stem, dot, kind = path.rpartition(".")
+    return path if not lang else f"{stem}_{lang}.{kind}" if dot and "/" not in kind else f"{path}_{lang}"
+
+
+def read_graph(spark: SparkSession, path: str, lang: str = "") -> Graph:
+    """A graph document, by language suffix; places in its arrays become ord, edges keep their label and value."""
+    path = localized(path, lang)
     doc = spark.read.schema(GRAPH_SCHEMA).option("multiLine", True).json(path)
     nodes = doc.select(F.posexplode("nodes").alias("ord", "n")).select("n.id", F.col("ord").cast("long").alias("ord"), F.coalesce("n.label", "n.id").alias("label"), "n.group", "n.classification", "n.year", "n.value", "n.title")
     edges = doc.select(F.posexplode("edges").alias("ord", "e")).select(F.col("e.from").alias("src"), F.col("e.to").alias("dst"), F.coalesce("e.type", "e.label").alias("type"), F.col("e.value").alias("weight"), F.col("ord").cast("long").alias("ord"), "e.label", "e.arrows")
@@ -40,9 +48,7 @@ def read_graph(spark: SparkSession, path: str) -> Graph:
 
 def read_incidents(spark: SparkSession, path: str, lang: str = "") -> DataFrame:
     """Incidents of a document, by language suffix; a missing file gives none, rows without facts are left out."""
-    if lang:
-        stem, _, kind = path.rpartition(".")
-        path = f"{stem}_{lang}.{kind}"
+    path = localized(path, lang)
     if not exists(spark, path):
         return spark.createDataFrame([], T.StructType([*INCIDENT_SCHEMA.fields, T.StructField("ord", T.LongType())]))
     doc = spark.read.schema(T.StructType([T.StructField("incidents", T.ArrayType(INCIDENT_SCHEMA))])).option("multiLine", True).json(path)
@@ -50,6 +56,12 @@ def read_incidents(spark: SparkSession, path: str, lang: str = "") -> DataFrame:
     return rows.where(F.col("pemetaan_fakta_hukum").isNotNull())
 
 
+def read_report(spark: SparkSession, path: str, lang: str = "") -> DataFrame:
+    """(ord, line): the lines of a Markdown report, by language suffix."""
+    whole = spark.read.option("wholetext", True).text(localized(path, lang))
+    return whole.select(F.posexplode(F.split("value", "\r?\n", -1)).alias("ord", "line"))
+
+
 def incident_text(facts: str = "pemetaan_fakta_hukum") -> Column:
     """Narrative, qualification and facts in one text."""
     fields = [F.col(f"{facts}.{f.name}") for f in INCIDENT_SCHEMA[facts].dataType.fields]
@@ -61,27 +73,39 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Data
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", "content")
 
 
+class MissingExtractor(RuntimeError):
+    """There is no way to read such files: this must not pass for empty texts."""
+
+
 def plain_text(content: bytes, max_pages: int | None = None) -> list[str]:
-    """Default extractor: UTF-8 text with pages split at form feeds; anything else has no pages."""
+    """Default extractor: UTF-8 text with pages split at form feeds; for PDF files another one has to be passed."""
     if content.startswith(b"%PDF"):
-        raise ValueError("no PDF extractor is installed: pass one")
+        raise MissingExtractor("no PDF extractor is installed: pass one to extract_texts")
     return content.decode("utf-8").split("\f")[:max_pages]
 
 
 def extract_texts(files: DataFrame, extractor: Callable[[bytes, int | None], list[str]] = plain_text, max_pages: int | None = None) -> DataFrame:
-    """(path, text): non-empty pages, each followed by a line end; a file that can't be read has an empty text."""
+    """(path, text, damaged): non-empty pages, each followed by a line end.
+
+    A file that the extractor fails on has an empty text and is marked as
+    damaged; without an extractor for its kind the job fails.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
+            texts, damaged = [], []
             for content in batch.column(1):
                 try:
                     texts.append("".join(p + "\n" for p in extractor(content.as_py(), max_pages) if p))
+                    damaged.append(False)
+                except (MissingExtractor, ImportError):
+                    raise
                 except Exception:  # a damaged file costs its own provisions, not the job
                     texts.append("")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["path", "text"])
+                    damaged.append(True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(damaged, pa.bool_())], names=["path", "text", "damaged"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, text string")
+    return files.select("path", "content").mapInArrow(run, "path string, text string, damaged boolean")
 
 
 def corpus_from_texts(texts: DataFrame, side: str, prefix: str = "") -> DataFrame:
@@ -108,20 +132,40 @@ def parse_log(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(F.from_json(column, LOG_SCHEMA, {"mode": "PERMISSIVE"}).alias("r")).select("r.message", "r.source", "r.lineno", "r.stack")
 
 
-# Kinds of generated incidents and how severe each is.
-ATTACKS = (("data_breach", "sedang"), ("ransomware", "tinggi"), ("ai_fraud", "tinggi"), ("ai_misuse", "sedang"))
-GENERATOR_CITIES = ("Surabaya", "Malang", "Kediri", "Madiun", "Tuban", "Gresik", "Jember", "Blitar")
-GENERATOR_INSTITUTIONS = ("Dinas Kesehatan", "Dinas Pendidikan", "Pengadilan Negeri", "Pemkot", "Pemkab", "Universitas", "RSUD")
+ORDERED_INCIDENTS = T.StructType([*INCIDENT_SCHEMA.fields, T.StructField("ord", T.LongType())])
+
+
+def seed_incidents(spark: SparkSession) -> DataFrame:
+    """The incidents that are always in the registry, as ``read_incidents`` gives them."""
+    return spark.createDataFrame([(*row, k) for k, row in enumerate(SEED_INCIDENTS)], ORDERED_INCIDENTS)
 
 
 def generate_incidents(spark: SparkSession, rows: int = 95, seed: int = 42) -> DataFrame:
-    """Synthetic incidents: (id, ord, type, severity, year, text), the same for the same seed."""
+    """Synthetic incidents as ``read_incidents`` gives them, the same for the same seed."""
 
     def pick(salt: int, values: tuple) -> Column:
-        return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
-
-    base = spark.range(1, rows + 1)
-    kind = pick(1, tuple(k for k, _ in ATTACKS))
-    severity = F.element_at(F.create_map(*[F.lit(x) for kv in ATTACKS for x in kv]), kind)
-    place = F.concat_ws(" ", pick(2, GENERATOR_INSTITUTIONS), pick(3, GENERATOR_CITIES))
-    return base.select(F.concat(F.lit("incident-auto-"), F.col("id").cast("string")).alias("id"), F.col("id").alias("ord"), kind.alias("type"), severity.alias("severity"), (F.lit(2020) + F.pmod(F.xxhash64("id", F.lit(seed), F.lit(4)), F.lit(6))).cast("int").alias("year"), F.concat(F.lit("Serangan "), kind, F.lit(" milik instansi "), place, F.lit(".")).alias("text"))
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.xxhash64("n", F.lit(seed), F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
+
+    base = spark.range(1, rows + 1).select(F.col("id").alias("n"))
+    drawn = base.select("n", pick(1, tuple(k for k, _, _ in ATTACKS)).alias("type"), F.concat_ws(" ", pick(2, INSTITUTIONS), pick(3, CITIES)).alias("place"), pick(4, YEARS).alias("year"))
+    kind = F.col("type")
+    of_kind = lambda k: F.element_at(F.create_map(*[F.lit(x) for a in ATTACKS for x in (a[0], a[k])]), kind)
+    # What a kind of attack is qualified as, strikes at and leads to.
+    qualified = F.when(kind == "ransomware", "Tindak Pidana Ekstorsi & Illegal Access (Pasal 27 ayat 4 & Pasal 30 UU ITE)").when(kind == "data_breach", "Pelanggaran UU Pelindungan Data Pribadi (Kegagalan Pseudo-Anonimisasi)").when(kind.isin("ai_misuse", "ai_fraud"), "Tindak Pidana Penipuan Siber Identitas Sintetis (Social Engineering)").otherwise("Perbuatan Melawan Hukum Siber")
+    struck = F.when(kind == "data_breach", "Data Demografi dan Rekam Medis/Administratif Warga").when(kind.isin("ai_misuse", "ai_fraud"), "Kehormatan Pejabat & Harta Benda Korban Finansial").otherwise("Ketersediaan Sistem & Keamanan Data Spesifik")
+    effect = F.when(kind.isin("ai_misuse", "ai_fraud"), "Kerugian finansial perdata warga yang tertipu oleh algoritma deepfake.").otherwise("Kerugian akses layanan publik dan hilangnya kredibilitas PSE.")
+    facts = F.struct(
+        F.lit("Sindikat kejahatan siber tak berpola (Anonymous/Scammers).").alias("subjek_pelaku"),
+        F.concat(F.lit("Masyarakat pengguna layanan dan pejabat "), "place", F.lit(".")).alias("subjek_korban"),
+        F.concat("place", F.lit(" selaku Penyelenggara Sistem Elektronik / Lembaga Pemerintah.")).alias("subjek_pse"),
+        struck.alias("objek_hukum"),
+        effect.alias("akibat_hukum"),
+        F.lit("Ketidakpatuhan pembaruan (patching) sistem keamanan SPBE daerah berujung pada invasi peretas.").alias("nexus_kausalitas"),
+    )
+    return drawn.select(F.concat(F.lit("incident-auto-"), F.col("n").cast("string")).alias("id"), F.concat(of_kind(2), F.lit(" milik instansi "), "place", F.lit(".")).alias("peristiwa_hukum_kronologi"), qualified.alias("kualifikasi_peristiwa"), facts.alias("pemetaan_fakta_hukum"), of_kind(1).alias("severity"), F.col("year").cast("int").alias("year"), "type", F.col("n").alias("ord"))
+
+
+def registry_incidents(spark: SparkSession, rows: int = 95, seed: int = 42) -> DataFrame:
+    """The fixed incidents, then the generated ones."""
+    first = seed_incidents(spark)
+    return first.unionByName(generate_incidents(spark, rows, seed).withColumn("ord", F.col("ord") + len(SEED_INCIDENTS) - 1))

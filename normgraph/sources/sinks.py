@@ -12,6 +12,8 @@ from normgraph.model import Graph
 from normgraph.operators.graph import degrees, with_ends
 from normgraph.sources import exists
 
+#: Nodes and edges of a graph that one document may hold.
+DOCUMENT_ROWS = 1_000_000
 #: Code points that mark a UTF-8 file for spreadsheets.
 BOM = "﻿"
 
@@ -28,6 +30,23 @@ def export_edges(graph: Graph, chronological: bool = True) -> DataFrame:
     return e.select(*[c.alias(n) for n, c in way.items()], bands.edge_label(F.col("type"), F.coalesce("weight", F.lit(0.0))).alias("label"), F.col("weight").alias("value"), "ord")
 
 
+def export_groups(graph: Graph) -> DataFrame:
+    """Nodes of a contraction: value is five times a group's nodes."""
+    return graph.nodes.select("id", F.coalesce("label", "id").alias("label"), "group", "classification", F.col("value").cast("long").alias("value"), F.concat(F.lit("Klaster: "), F.coalesce("classification", F.lit(""))).alias("title"), "ord")
+
+
+def export_links(graph: Graph) -> DataFrame:
+    """Edges of a contraction: how many edges they stand for, without an arrow."""
+    n = F.coalesce(F.col("weight"), F.lit(1.0)).cast("long")
+    return graph.edges.select(F.col("src").alias("from"), F.col("dst").alias("to"), F.concat(F.lit("korelasi ("), n.cast("string"), F.lit(" edge)")).alias("label"), F.lit("").alias("arrows"), n.alias("value"), "ord")
+
+
+def write_contraction(graph: Graph, path: str) -> None:
+    """The contraction of a graph as line-wise JSON, as ``write_graph`` writes graphs."""
+    export_groups(graph).orderBy("ord").drop("ord").write.mode("overwrite").json(f"{path}/nodes")
+    export_links(graph).orderBy("ord").drop("ord").write.mode("overwrite").json(f"{path}/edges")
+
+
 def write_graph(graph: Graph, path: str, title: str = "Degree", chronological: bool = True) -> None:
     """Nodes and edges as line-wise JSON in source order, in two folders below ``path``.
 
@@ -39,7 +58,10 @@ def write_graph(graph: Graph, path: str, title: str = "Degree", chronological: b
 
 
 def graph_document(graph: Graph, title: str = "Degree", chronological: bool = True) -> DataFrame:
-    """One row (value): the JSON document {nodes, edges} of a graph of report size."""
+    """One row (value): the JSON document {nodes, edges} of a graph of report size; a larger one is an error."""
+    size = graph.nodes.count() + graph.edges.count()
+    if size > DOCUMENT_ROWS:
+        raise ValueError(f"{size} nodes and edges are too many for one document: use write_graph")
     listed = lambda df: df.agg(F.array_sort(F.collect_list(F.struct("ord", F.struct(*[c for c in df.columns if c != "ord"]).alias("x")))).alias("a")).select(F.transform("a", lambda r: r["x"]).alias("a"))
     n, e = listed(export_nodes(graph, title)), listed(export_edges(graph, chronological))
     return n.select(F.col("a").alias("nodes")).crossJoin(e.select(F.col("a").alias("edges"))).select(F.to_json(F.struct("nodes", "edges")).alias("value"))
@@ -91,17 +113,28 @@ def markdown_report(title: str, tables: list[tuple[str, DataFrame]], limit: int
 
 def log_lines(records: DataFrame, stamp: str) -> DataFrame:
     """(line): formatted error records; source and stack only where there are any."""
-    at = F.concat(F.lit("  at "), F.col("source"), F.lit(":"), F.coalesce(F.col("lineno").cast("string"), F.lit("?")))
+    at = F.concat(F.lit("  Location: "), F.col("source"), F.lit(":"), F.coalesce(F.col("lineno").cast("string"), F.lit("")))
     some = lambda c, x: F.when(F.coalesce(F.col(c), F.lit("")) != "", x)
-    return records.select(F.concat_ws("\n", F.concat(F.lit(f"[{stamp}] "), F.coalesce("message", F.lit("Unknown Error"))), some("source", at), some("stack", F.col("stack"))).alias("line"))
+    head = F.concat(F.lit(f"[{stamp}] ERROR: "), F.coalesce("message", F.lit("Unknown Error")))
+    return records.select(F.concat_ws("\n", head, some("source", at), some("stack", F.concat(F.lit("  Stack Trace:\n"), "stack")), F.lit("=" * 50), F.lit("")).alias("line"))
 
 
 def append_log(records: DataFrame, path: str, stamp: str) -> None:
     log_lines(records, stamp).withColumnRenamed("line", "value").write.mode("append").text(path)
 
 
+def incident_document(incidents: DataFrame) -> DataFrame:
+    """One row (value): the JSON document {incidents} in source order, as ``read_incidents`` reads it."""
+    n = incidents.count()
+    if n > DOCUMENT_ROWS:
+        raise ValueError(f"{n} incidents are too many for one document")
+    row = F.struct(*[c for c in incidents.columns if c != "ord"])
+    listed = incidents.agg(F.array_sort(F.collect_list(F.struct("ord", row.alias("x")))).alias("a"))
+    return listed.select(F.to_json(F.struct(F.transform("a", lambda r: r["x"]).alias("incidents"))).alias("value"))
+
+
 def write_incidents(incidents: DataFrame, path: str) -> None:
-    incidents.orderBy("ord").drop("ord").write.mode("overwrite").json(path)
+    incident_document(incidents).coalesce(1).write.mode("overwrite").text(path)
 
 
 def audit(spark: SparkSession, graphs: dict[str, Graph]) -> DataFrame:
@@ -114,5 +147,21 @@ def audit(spark: SparkSession, graphs: dict[str, Graph]) -> DataFrame:
 
 
 def audit_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, present) of expected outputs."""
-    return spark.createDataFrame([(p, exists(spark, p)) for p in paths], "path string, present boolean")
+    """(path, present, bytes) of expected outputs; a folder's size is that of all it holds."""
+    rows = []
+    for p in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        there = exists(spark, p)
+        rows.append((p, there, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength() if there else None))
+    return spark.createDataFrame(rows, "path string, present boolean, bytes long")
+
+
+def audit_graphs(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, present, n_nodes, n_edges) of written graphs, counted in what was written."""
+    out = None
+    for p in paths:
+        there = exists(spark, f"{p}/nodes") and exists(spark, f"{p}/edges")
+        counts = [spark.read.text(f"{p}/{part}").count() if there else None for part in ("nodes", "edges")]
+        row = spark.createDataFrame([(p, there, *counts)], "path string, present boolean, n_nodes long, n_edges long")
+        out = row if out is None else out.unionByName(row)
+    return out

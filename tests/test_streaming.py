@@ -10,4 +10,4 @@ def test_error_log(spark, tmp_path):
     streaming.write_error_log(streaming.error_stream(spark, str(inbox)), out, state, "t").awaitTermination()
     (inbox / "b.json").write_text('{"message":"n"}\n')
     streaming.write_error_log(streaming.error_stream(spark, str(inbox)), out, state, "t").awaitTermination()
-    assert sorted(r.value for r in spark.read.text(out).collect()) == ["  at s:3", "[t] Unknown Error", "[t] m", "[t] n"]
+    assert sorted(r.value for r in spark.read.text(out).collect() if r.value) == ["  Location: s:3", *["=" * 50] * 3, "[t] ERROR: Unknown Error", "[t] ERROR: m", "[t] ERROR: n"]

@@ -45,7 +45,7 @@ def test_identifiers(spark):
     story = "Serangan milik instansi Dinas Kesehatan Tulungagung."
     rows = [("incident-auto-1", story, 2023, 0), ("dinkes-tlgagung-2023", "fixed", 2023, 1), ("incident-auto-2", story, 2023, 2), ("incident-auto-7", "nothing", None, 3)]
     df = spark.createDataFrame(rows, "id string, text string, year int, ord long")
-    assert [r.new_id for r in ident.rename_incidents(df).orderBy("ord").collect()] == ["dinkes-tlgagung-2023", "dinkes-tlgagung-2023", "dinkes-tlgagung-2023-3", "auto-7-2024"]
+    assert [r.new_id for r in ident.rename_incidents(df).orderBy("ord").collect()] == ["dinkes-tlgagung-2023", "dinkes-tlgagung-2023", "dinkes-tlgagung-2023-2", "auto-7-2024"]
     assert one(spark, ident.institution_code(F.lit("Pemkot New Banjarmasin"))) == "PEMKOT-NEW BANJ"
 
 
@@ -83,7 +83,7 @@ def test_documents_of_a_folder(spark, tmp_path):
     folder = tmp_path / "x" / "b_global_soft_law"
     folder.mkdir(parents=True)
     (folder / "Doc_2021.pdf").write_text("Article 1 " + "a" * 40 + "\fArticle 2 " + "b" * 40)
-    (folder / "Broken.pdf").write_bytes(b"%PDF-1.4 \xff")
+    (folder / "Broken.pdf").write_bytes(b"\xff\xfe broken")
     texts = sources.extract_texts(sources.list_files(spark, str(tmp_path)))
     rows = sources.corpus_from_texts(texts, "intl").orderBy("ord").collect()
     assert [(r.id, r.classification, r.year) for r in rows] == [("Doc_2021_Article_1", "Intl: Soft Law", 2021), ("Doc_2021_Article_2", "Intl: Soft Law", 2021)]
@@ -97,7 +97,7 @@ def test_csv_markdown_and_logs(spark, tmp_path):
     sinks.write_csv_sections([("s", df)], str(tmp_path / "csv"))
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv/00-s")).count() == 2
     log = spark.createDataFrame([('{"message":"m","source":"s","lineno":3,"colno":1}',), ("broken",)], "value string")
-    assert [r.line for r in sinks.log_lines(sources.parse_log(log), "t").collect()] == ["[t] m\n  at s:3", "[t] Unknown Error"]
+    assert [r.line for r in sinks.log_lines(sources.parse_log(log), "t").collect()] == ["[t] ERROR: m\n  Location: s:3\n" + "=" * 50 + "\n", "[t] ERROR: Unknown Error\n" + "=" * 50 + "\n"]
 
 
 def test_registry(spark):
@@ -107,3 +107,94 @@ def test_registry(spark):
     assert {r.k: r["count"] for r in got} == {1: 5, 2: 3, 3: 3}
     assert registry.search(asked, "", ("sector",)).count() == 3
     assert registry.thematic_edges(spark).count() == 14
+
+
+def renamed(rows, prefix="incident-auto-"):
+    """New ids one row after the other: the first free name."""
+    used, out = set(), []
+    for old, base in rows:
+        new = old
+        if old.startswith(prefix):
+            names = (base if k == 1 else f"{base}-{k}" for k in range(1, 10_000))
+            new = next(x for x in names if x not in used)
+        used.add(new)
+        out.append(new)
+    return out
+
+
+def test_renaming_skips_names_already_taken(spark):
+    import random
+
+    pick = random.Random(5)
+    fixed = ["pemkot-malang-2024", *(f"pemkot-malang-2024-{k}" for k in range(2, 9)), "other-1", "pemkot-malang-2024-02"]
+    for _ in range(4):
+        rows = [(f"incident-auto-{k}", "Serangan milik instansi Pemkot Malang.", 2024, "pemkot-malang-2024") for k in range(12)] + [(x, "", 2020, x) for x in pick.sample(fixed, 6)]
+        pick.shuffle(rows)
+        df = spark.createDataFrame([(i, t, y, k) for k, (i, t, y, _) in enumerate(rows)], "id string, text string, year int, ord long")
+        assert [r.new_id for r in ident.rename_incidents(df).orderBy("ord").collect()] == renamed([(i, b) for i, _, _, b in rows])
+
+
+def test_a_pdf_without_an_extractor_is_an_error(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7 ...")
+    with pytest.raises(Exception, match="no PDF extractor"):
+        sources.extract_texts(sources.list_files(spark, str(tmp_path))).collect()
+    pages = lambda content, most: ["one", "", "two", "three"][:most]
+    got = sources.extract_texts(sources.list_files(spark, str(tmp_path)), pages).first()
+    assert (got.text, got.damaged) == ("one\ntwo\nthree\n", False)
+    assert sources.extract_texts(sources.list_files(spark, str(tmp_path)), pages, 3).first().text == "one\ntwo\n"
+
+
+def test_a_damaged_file_is_marked(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"\xff\xfe\xff")
+    (tmp_path / "b.pdf").write_bytes(b"<html>Page not found</html>")
+    got = {r.path.rsplit("/", 1)[-1]: (r.text, r.damaged) for r in sources.extract_texts(sources.list_files(spark, str(tmp_path))).collect()}
+    assert got == {"a.pdf": ("", True), "b.pdf": ("<html>Page not found</html>\n", False)}
+
+
+def test_fixed_decimals_are_those_of_python(spark):
+    import random
+
+    pick = random.Random(1)
+    values = [0.0, 31.25, 56.25, 31.15, 2.85, 1.15, 0.5, 2.5, 1234567.125, -0.25, 99.95, 0.000004999] + [round(pick.uniform(0, 100), 2) for _ in range(500)] + [pick.uniform(-1e6, 1e6) for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for places in (0, 1, 4, 5):
+        assert [r[0] for r in df.select(text.fixed(F.col("v"), places)).collect()] == [f"{v:.{places}f}" for v in values]
+
+
+def test_paths_in_a_language():
+    assert sources.localized("/d/legal.json", "en") == "/d/legal_en.json" and sources.localized("/d.x/legal", "en") == "/d.x/legal_en" and sources.localized("/d/a.md") == "/d/a.md"
+
+
+def test_reports_in_a_language(spark, tmp_path):
+    (tmp_path / "r_en.md").write_text("# T\n\n| a |")
+    assert [r.line for r in sources.read_report(spark, f"{tmp_path}/r.md", "en").orderBy("ord").collect()] == ["# T", "", "| a |"]
+
+
+def test_generated_incidents_are_whole_and_can_be_renamed(spark):
+    rows = sources.registry_incidents(spark)
+    assert rows.count() == 100 and rows.select("ord").distinct().count() == 100
+    made = rows.where("id LIKE 'incident-auto-%'")
+    assert made.where("year BETWEEN 2021 AND 2025 AND pemetaan_fakta_hukum.subjek_pse LIKE '% selaku Penyelenggara%'").count() == 95
+    named = ident.rename_incidents(rows, text_col="peristiwa_hukum_kronologi")
+    assert named.select("new_id").distinct().count() == 100 and named.where("new_id LIKE 'incident-auto-%'").count() == 0
+    english = translate.translate_incidents(rows)
+    assert english.where("pemetaan_fakta_hukum.subjek_pelaku LIKE 'Sindikat%'").count() == 0
+
+
+def test_too_large_graphs_are_no_document(spark, monkeypatch):
+    import pytest
+
+    from normgraph.model import EDGE_SCHEMA, NODE_SCHEMA, Graph
+
+    monkeypatch.setattr(sinks, "DOCUMENT_ROWS", 1)
+    graph = Graph(spark.createDataFrame([(str(k), k, "l", "g", "c", 2000) for k in range(2)], NODE_SCHEMA), spark.createDataFrame([], EDGE_SCHEMA))
+    with pytest.raises(ValueError, match="too many"):
+        sinks.graph_document(graph)
+
+
+def test_sizes_of_outputs(spark, tmp_path):
+    (tmp_path / "x").write_text("12345")
+    got = [(r.present, r.bytes) for r in sinks.audit_files(spark, [f"{tmp_path}/x", f"{tmp_path}/y"]).collect()]
+    assert got == [(True, 5), (False, None)]
