@@ -47,24 +47,26 @@ def _dependencies(sources: np.ndarray, start: np.ndarray, ends: np.ndarray, n: i
             new = depth[v] < 0
             depth[v[new]] = len(levels) + 1
             on = depth[v] == len(levels) + 1
-            np.add.at(paths, v[on], paths[u[on]])
+            paths += np.bincount(v[on], weights=paths[u[on]], minlength=n)
             levels.append((u[on], v[on]))
             level = np.unique(v[new])
         carried = np.zeros(n)
         for u, v in reversed(levels):
-            np.add.at(carried, u, paths[u] / paths[v] * (1 + carried[v]))
+            carried += np.bincount(u, weights=paths[u] / paths[v] * (1 + carried[v]), minlength=n)
         carried[s] = 0
         total += carried
     return total
 
 
 def _by_broadcast(spark, pairs: DataFrame, sources: DataFrame) -> DataFrame:
-    rows = pairs.toPandas()  # at most BROADCAST_EDGES rows of two numbers
-    names = np.unique(np.concatenate([rows.u.to_numpy(), rows.v.to_numpy()])) if len(rows) else np.empty(0, np.int64)
-    u, v = np.searchsorted(names, rows.u.to_numpy()), np.searchsorted(names, rows.v.to_numpy())
+    rows = pairs.toArrow()  # at most BROADCAST_EDGES rows of two numbers, column by column
+    names = np.unique(np.concatenate([rows["u"].to_numpy(), rows["v"].to_numpy()]))
+    u, v = (np.searchsorted(names, rows[c].to_numpy()).astype(np.int32) for c in ("u", "v"))
+    del rows
     order = np.argsort(u, kind="stable")
     start = np.concatenate([[0], np.cumsum(np.bincount(u, minlength=len(names)))]).astype(np.int64)
     shared = spark.sparkContext.broadcast((names, start, v[order]))
+    del u, v, order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, start, ends = shared.value

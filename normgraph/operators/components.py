@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normgraph.storage import materialize
+from normgraph.storage import materialize, settled
 
 
 def _lowest(pairs: DataFrame) -> DataFrame:
@@ -30,6 +30,10 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     components stay distributed; only a count and two check sums reach the
     driver.  Rows with a null end and loops are ignored.
     """
+    return settled(edges.sparkSession, "components", lambda: _components(edges, left, right))
+
+
+def _components(edges: DataFrame, left: str, right: str) -> DataFrame:
     stars = materialize(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct(), "stars")
     state = _state(stars)
     while True:
@@ -44,4 +48,4 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
             break
         state = now
     roots = stars.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return materialize(stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -40,6 +40,11 @@ def value_at(df: DataFrame, by: str, share: float, tie: str = "ord") -> DataFram
     return hit.agg(F.coalesce(F.max(by), F.lit(0.0)).alias("value"))
 
 
+def newest_first(df: DataFrame, year: str = "year", default: int = 2024, tie: str = "ord") -> DataFrame:
+    """Every row with its 1-based rank by year, newest first; a missing year counts as ``default``, ties stay in source order."""
+    return global_rank(df, F.coalesce(F.col(year), F.lit(default)), "rank", tie)
+
+
 def head(df: DataFrame, k: int, order: str = "ord") -> DataFrame:
     """The first ``k`` rows in source order and, if more, a last one with ``more`` = how many."""
     first = df.orderBy(order).limit(k).withColumn("more", F.lit(None).cast("long"))

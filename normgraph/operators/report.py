@@ -10,7 +10,8 @@ from normgraph.model import INCIDENT, Graph
 from normgraph.operators.centrality import betweenness
 from normgraph.operators.components import connected_components
 from normgraph.operators.graph import degree_centrality, degrees, isolated, neighbour_labels, with_ends
-from normgraph.operators.ranking import global_rank, top, value_at
+from normgraph.operators.ranking import global_rank, top
+from normgraph.storage import materialize
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -131,11 +132,13 @@ def modularity(graph: Graph) -> DataFrame:
 
 def node_metrics(graph: Graph, convention: str = "dashboard") -> DataFrame:
     """Every node with degree, dc, bc, ranks, roles, uncertainty, policy flag and neighbours."""
-    base = degree_centrality(graph, 0.0 if convention == "dashboard" else 1.0).join(betweenness(graph, convention).select("id", F.col("betweenness").alias("bc")), "id")
-    ranks = global_rank(base, F.round("dc", 12), "rank_dc").select("id", "rank_dc")
-    bc = global_rank(base, F.round("bc", 12), "rank_bc").select("id", "rank_bc")
-    high, middle = (value_at(base.withColumn("bc", F.round("bc", 12)), "bc", share).select(F.col("value").alias(name)) for share, name in ((bands.KEY_RANK, "_high"), (bands.SUPPORT_RANK, "_middle")))
-    out = base.join(ranks, "id").join(bc, "id").join(neighbour_labels(graph), "id", "left").crossJoin(F.broadcast(high)).crossJoin(F.broadcast(middle))
+    # written once: ranks and thresholds below read it several times
+    base = materialize(degree_centrality(graph, 0.0 if convention == "dashboard" else 1.0).join(betweenness(graph, convention).select("id", F.col("betweenness").alias("bc")), "id"), "node-metrics")
+    ranked = global_rank(global_rank(base, F.round("dc", 12), "rank_dc"), F.round("bc", 12), "rank_bc")
+    n = base.count()
+    at = lambda share: F.coalesce(F.max(F.when(F.col("rank_bc") - 1 == int(n * share), F.round("bc", 12))), F.lit(0.0))
+    cuts = ranked.agg(at(bands.KEY_RANK).alias("_high"), at(bands.SUPPORT_RANK).alias("_middle"))
+    out = ranked.join(neighbour_labels(graph), "id", "left").crossJoin(F.broadcast(cuts))  # one row
     return out.select(
         "id", "ord", F.coalesce("label", "id").alias("label"), "group", "classification", "degree", "dc", "bc", "rank_dc", "rank_bc",
         bands.dominance(F.col("dc")).alias("dominance"),

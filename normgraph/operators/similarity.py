@@ -226,14 +226,6 @@ def pair_statistics(groups: DataFrame, pairs: DataFrame, threshold: float) -> Da
     return total.select(F.coalesce(candidates, F.lit(0)).alias("candidates")).crossJoin(F.broadcast(pairs.agg(F.count(F.lit(1)).alias("kept")))).select(F.lit(threshold).alias("threshold"), "kept", "candidates")
 
 
-def percentile_threshold(pairs: DataFrame, spec: str | float) -> float:
-    """A number as it is; ``pNN`` is the NNth percentile (linear interpolation) of the scores."""
-    if not isinstance(spec, str):
-        return float(spec)
-    found = pairs.agg(F.percentile("score", float(spec.lstrip("p")) / 100)).first()[0]
-    return float(found) if found is not None else 0.0
-
-
 def threshold_sweep(pairs: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
     """(threshold, n_pairs): pairs strictly above each threshold, in one pass."""
     counts = pairs.agg(*[F.coalesce(F.sum((F.col("score") > t).cast("long")), F.lit(0)).alias(f"t{k}") for k, t in enumerate(thresholds)])

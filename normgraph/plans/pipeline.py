@@ -8,13 +8,14 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normgraph.functions.text import DEFAULT_YEAR, shorten
+from normgraph.functions import bands
+from normgraph.functions.text import DEFAULT_YEAR, fixed, shorten
 from normgraph.model import INCIDENT, Graph
 from normgraph.operators import graph as g
 from normgraph.operators import report
 from normgraph.operators.centrality import betweenness
 from normgraph.operators.embedding import hashed_tfidf
-from normgraph.operators.ranking import head, top
+from normgraph.operators.ranking import global_rank, head, top
 from normgraph.operators.similarity import ROUNDING, THRESHOLDS, Pairs, pair_percentile, similar_pairs
 from normgraph.sources import corpus_from_texts, incident_text, sinks
 from normgraph.storage import materialize
@@ -58,9 +59,15 @@ def build(nodes: DataFrame, vectors: Callable[[DataFrame], DataFrame] = hashed_t
             pairs = replace(pairs, threshold=pair_percentile(pairs, t) - ROUNDING)
         found = similar_pairs(pairs)
         named = found.join(place.withColumnsRenamed({"ord": "src", "id": "s"}), "src").join(place.withColumnsRenamed({"ord": "dst", "id": "d"}), "dst")
-        rows = named.select(F.col("s").alias("src"), F.col("d").alias("dst"), F.lit(label).alias("type"), F.round("score", 4).alias("weight"), (F.lit(k * 10**16) + F.col("src") * 10**8 + F.col("dst")).cast("long").alias("ord"))
+        rows = named.select(F.col("s").alias("src"), F.col("d").alias("dst"), F.lit(label).alias("type"), F.round("score", 4).alias("weight"), F.struct(F.lit(k).alias("kind"), "src", "dst").alias("place"))
         edges = rows if edges is None else edges.unionByName(rows)
-    return Graph(nodes.drop("text", "side"), materialize(edges, "edges"))
+    return Graph(nodes.drop("text", "side"), materialize(in_order(edges), "edges"))
+
+
+def in_order(edges: DataFrame, place: str = "place") -> DataFrame:
+    """Edges with ord, their number from 0 in the order of ``place``, which may be a struct."""
+    ranked = global_rank(edges.withColumn("_all", F.lit(0)), F.col("_all"), "ord", place)
+    return ranked.withColumn("ord", F.col("ord") - 1).drop("_all", place)
 
 
 def subgraphs(graph: Graph) -> dict[str, Graph]:
@@ -78,11 +85,11 @@ def subgraphs(graph: Graph) -> dict[str, Graph]:
 def report_tables(graphs: dict[str, Graph]) -> dict[str, list[tuple[str, DataFrame]]]:
     """Per report, its tables in order."""
     m = graphs["legal"]
-    ranked = lambda x: top(g.degree_centrality(x), F.col("dc"), 10).select("rank", "id", "label", "degree", F.round("dc", 4).alias("dc"))
-    between = lambda x: top(betweenness(x), F.round("betweenness", 12), 10).select("rank", "id", F.round("betweenness", 5).alias("betweenness"))
+    ranked = lambda x: top(g.degree_centrality(x), F.col("dc"), 10).select("rank", "id", "label", "degree", fixed(F.col("dc"), 4).alias("dc"))
+    between = lambda x: top(betweenness(x), F.round("betweenness", 12), 10).select("rank", "id", fixed(F.col("betweenness"), 5).alias("betweenness"))
     alone = lambda x: head(g.isolated(x).select("id", "label", "ord"), 20).drop("ord")
     side = report.side_degrees(graphs["cross"])
-    best = lambda s: top(side.where(F.col("side") == s), F.col("degree"), 15).select("rank", "id", "degree", F.round("avg_score", 4).alias("avg_score"))
+    best = lambda s: top(side.where(F.col("side") == s), F.col("degree"), 15).select("rank", "id", "degree", fixed(F.col("avg_score") * 100, 1).alias("avg_score_pct"))
     return {
         "master": [("Summary", report.macro_counts(m)), ("Degree centrality", ranked(m)), ("Betweenness", between(m)), ("Isolated", alone(m)), ("Coverage", report.group_coverage(m).orderBy("group")), ("Components", report.component_summary(m))],
         "intl": [("Density", g.density(graphs["intl"])), ("Groups", report.group_coverage(graphs["intl"]).orderBy("group")), ("Degree centrality", ranked(graphs["intl"])), ("Betweenness", between(graphs["intl"])), ("Isolated", alone(graphs["intl"]))],
@@ -101,7 +108,7 @@ def csv_sections(graph: Graph) -> list[tuple[str, DataFrame]]:
         ("degree", m.where("rank_dc <= 50").orderBy("rank_dc").select("rank_dc", "id", "label", "group", "classification", "degree", "dc", "dominance", "uncertainty", "neighbours")),
         ("betweenness", m.where("rank_bc <= 50").orderBy("rank_bc").select("rank_bc", "id", "label", "group", "classification", "degree", "bc", "role", "neighbours")),
         ("clusters", report.clusters(graph).orderBy(F.col("size").desc(), "ord").drop("ord")),
-        ("holes", g.isolated(graph).orderBy("ord").select("id", "label", "group", "classification")),
+        ("holes", g.isolated(graph).orderBy("ord").select("id", "label", "group", "classification", *[c.alias(n) for n, c in bands.hole(F.col("classification")).items()])),
         ("nodes", m.orderBy("ord").drop("ord")),
         ("edges", report.edge_list(graph).orderBy(F.col("ord").asc_nulls_last()).drop("ord")),
     ]
@@ -111,7 +118,10 @@ def run(spark: SparkSession, graph: Graph, folder: str) -> DataFrame:
     """Write every graph, report and export below ``folder``; returns the audit.  Any failure stops the run."""
     graphs = subgraphs(graph)
     for name, x in graphs.items():
-        sinks.write_graph(x, f"{folder}/{name}", chronological=name == "legal")
+        if name == "gap":
+            sinks.write_contraction(x, f"{folder}/{name}")
+        else:
+            sinks.write_graph(x, f"{folder}/{name}", "Degree" if name == "legal" else "Degree Semantik", name == "legal")
     for name, tables in report_tables(graphs).items():
         text = sinks.markdown_report(name, tables)
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/reports/{name}")

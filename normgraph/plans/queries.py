@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from normgraph.functions import bands, ident, text, translate
+from normgraph.functions import bands, ident, tables, text, translate
 from normgraph.model import INCIDENT, Graph
 from normgraph.operators import graph as g
 from normgraph.operators import registry, report, tfidf
 from normgraph.operators.centrality import betweenness
-from normgraph.operators.ranking import global_rank, head, top
-from normgraph.operators.similarity import pair_percentile, pair_statistics, percentile_threshold, threshold_sweep
+from normgraph.operators.ranking import global_rank, head, newest_first, top
+from normgraph.operators.similarity import pair_percentile, pair_statistics, threshold_sweep
+from normgraph.plans import pipeline
 from normgraph.plans.tables import LEVELS, MASTER_SQL, NATIONS_SQL, PATHS_SQL, candidates, edges_of, master, nations, provisions, read, scored
-from normgraph.sources import generate_incidents, literal_between, parse_log
-from normgraph.sources import sinks
-from normgraph.storage import materialize
+from normgraph.sources import INCIDENT_SCHEMA, generate_incidents, incident_text, literal_between, localized, parse_log, read_graph, read_incidents, registry_incidents, sinks
+from normgraph.storage import materialize, new_path
 
 QUERIES: dict[str, tuple] = {}
 
@@ -60,10 +60,9 @@ def edge_orientation(spark, d):
     return sinks.export_edges(master(spark, d)).select("from", "to", "arrows", "value")
 
 
-@query("edge_labels", MASTER_SQL + """ SELECT src, dst, replace(type, '_', ' ') || ' (Lemah)' AS label FROM e WHERE weight < 0.8""")
+@query("edge_labels", MASTER_SQL + """ SELECT src, dst, replace(type, '_', ' ') || ' (' || CASE WHEN weight >= 0.95 THEN 'Identik' WHEN weight >= 0.8 THEN 'Sangat Kuat' ELSE 'Lemah' END || ' ' || printf('%.1f', weight * 100) || '%)' AS label FROM e""")
 def edge_labels(spark, d):
-    short = F.regexp_replace(bands.edge_label(F.col("type"), F.col("weight")), r" [0-9.]+%\)$", ")")
-    return master(spark, d).edges.select("src", "dst", short.alias("label"))
+    return master(spark, d).edges.select("src", "dst", bands.edge_label(F.col("type"), F.col("weight")).alias("label"))
 
 
 @query("pair_stats", MASTER_SQL + f""" SELECT CAST({LEVELS['intl']} AS DOUBLE) AS threshold, (SELECT count(*) FROM e WHERE kind = 'intl') AS kept, (SELECT count(*) FROM n a JOIN n b ON a.ord < b.ord AND a.grp <> b.grp WHERE a.side = 'intl' AND b.side = 'intl') AS candidates""")
@@ -71,15 +70,9 @@ def pair_stats(spark, d):
     return pair_statistics(provisions(spark, d).where("side = 'intl'"), edges_of(spark, d, "intl"), LEVELS["intl"])
 
 
-@query("percentile_cutoff", MASTER_SQL + " SELECT round(quantile_cont(score, 0.9), 6) AS cutoff FROM p WHERE kind = 'cross' AND score >= 0.1")
+@query("percentile_cutoff", MASTER_SQL + " SELECT round(quantile_cont(score, 0.9), 6) AS cutoff FROM p WHERE kind = 'cross'")
 def percentile_cutoff(spark, d):
-    pairs = scored(spark, d, "cross", 0.1)
-    return spark.createDataFrame([(percentile_threshold(pairs, "p90"),)], "cutoff double").select(r6("cutoff").alias("cutoff"))
-
-
-@query("percentile_cutoff_all", MASTER_SQL + " SELECT round(quantile_cont(score, 0.9), 6) AS cutoff FROM p WHERE kind = 'cross'")
-def percentile_cutoff_all(spark, d):
-    """The cut-off over every candidate pair; ``percentile_cutoff`` looks at those from 0.1 on."""
+    """The cut-off over every candidate pair."""
     return spark.createDataFrame([(pair_percentile(candidates(spark, d, "cross"), "p90"),)], "cutoff double").select(r6("cutoff").alias("cutoff"))
 
 
@@ -439,9 +432,12 @@ def hidden_flags(spark, d):
     return g.hidden_flags(master(spark, d)).select("id", "hidden", bands.connectivity(F.col("degree")).alias("badge"))
 
 
-@query("structural_holes", MASTER_SQL + " SELECT id, CASE WHEN starts_with(cls, 'Intl:') THEN 'Norma Internasional TIDAK DIADOPSI' WHEN starts_with(cls, 'Natl:') THEN 'Norma Nasional TERISOLASI' ELSE 'Insiden Tanpa Warrant Normatif' END AS kind FROM g WHERE degree = 0")
+_HOLES = ", ".join("CASE WHEN starts_with(cls, 'Intl:') THEN '{}' WHEN starts_with(cls, 'Natl:') THEN '{}' ELSE '{}' END AS {}".format(*(h[k] for h in bands.HOLES), name) for k, name in enumerate(("kind", "remedy", "certainty", "policy"), 1))
+
+
+@query("structural_holes", MASTER_SQL + f" SELECT id, {_HOLES} FROM g WHERE degree = 0")
 def structural_holes(spark, d):
-    return g.isolated(master(spark, d)).select("id", bands.hole_kind(F.col("classification")).alias("kind"))
+    return g.isolated(master(spark, d)).select("id", *[c.alias(n) for n, c in bands.hole(F.col("classification")).items()])
 
 
 @query("palette", MASTER_SQL + """ SELECT grp AS "group", CAST((row_number() OVER (ORDER BY min(ord)) - 1) % 20 AS INTEGER) AS colour FROM n GROUP BY grp""")
@@ -484,11 +480,14 @@ _SPLIT = r"""WITH t AS (
 ), r AS (SELECT doc, title, min(ord) AS ord, max_by(content, ord) AS content FROM c WHERE length(content) > 30 GROUP BY doc, title)"""
 
 
-def _provisions(spark, d):
+def _bodies(spark, d):
     c = read(spark, d, "conversations")
     line = F.concat(F.lit("Section "), F.col("turn").cast("string"), F.lit(" "), F.coalesce("text", F.lit("")))
-    docs = c.groupBy(F.col("conv_id").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("x")).select("doc", F.array_join(F.transform("x", lambda e: e["line"]), "\n").alias("text"))
-    return text.split_provisions(docs)
+    return c.groupBy(F.col("conv_id").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("x")).select("doc", F.array_join(F.transform("x", lambda e: e["line"]), "\n").alias("text"))
+
+
+def _provisions(spark, d):
+    return text.split_provisions(_bodies(spark, d))
 
 
 @query("provision_split", _SPLIT + " SELECT doc, ord, title, md5(content) AS content FROM r")
@@ -503,7 +502,7 @@ def provision_count(spark, d):
 
 @query("heading_set", _SPLIT + " SELECT doc, string_agg(DISTINCT title, ',' ORDER BY title) AS titles FROM r GROUP BY doc")
 def heading_set(spark, d):
-    return _provisions(spark, d).groupBy("doc").agg(F.array_join(F.sort_array(F.collect_set("title")), ",").alias("titles"))
+    return text.distinct_headings(_bodies(spark, d)).select("doc", F.array_join("titles", ",").alias("titles"))
 
 
 @query("title_normalise", r"SELECT p_partkey, upper(substr(t, 1, 1)) || lower(substr(t, 2)) AS title FROM (SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'Article ' ELSE 'Recommendation ' END || p_size || ' ' || trim(regexp_replace(p_name, '\s+', ' ', 'g')) AS t FROM part)")
@@ -557,10 +556,49 @@ def rename_dedupe(spark, d):
     return ident.rename_incidents(_named(spark, d)).select("k", "new_id")
 
 
-@query("translate_dict", """SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'construction' ELSE replace(replace(c_mktsegment, 'MA', 'ma'), 'maC', 'mac') END AS segment FROM customer""")
-def translate_dict(spark, d):
-    pairs = [("BUILDING", "construction"), ("MA", "ma"), ("maC", "mac")]
-    return read(spark, d, "customer").select("c_custkey", translate.translate(F.col("c_mktsegment"), pairs).alias("segment"))
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join(map(_quoted, values)) + "]"
+
+
+_KEYS, _VALUES = _listed(k for k, _ in tables.INCIDENT_DICTIONARY), _listed(v for _, v in tables.INCIDENT_DICTIONARY)
+_PHRASE = "t"
+for _k, _v in tables.SECTOR_PHRASES:
+    _PHRASE = f"replace({_PHRASE}, {_quoted(_k)}, {_quoted(_v)})"
+
+
+def _pick(values, by: str):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(by) % len(values) + 1).cast("int"))
+
+
+@query("translate_incidents", f"""SELECT c_custkey AS k, ({_VALUES})[c_custkey % {len(tables.INCIDENT_DICTIONARY)} + 1] AS narrative,
+CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE c_name END AS qualification,
+CASE c_custkey % 2 WHEN 0 THEN 'National Civil Service Agency (BKN).' ELSE 'Health Agency ' || c_name || ' as Electronic System Operator / Government Agency.' END AS operator, c_name AS victim,
+'(' || ({_VALUES})[c_custkey % {len(tables.INCIDENT_DICTIONARY)} + 1] || ')' AS nexus FROM customer""")
+def translate_incidents(spark, d):
+    key = _pick([k for k, _ in tables.INCIDENT_DICTIONARY], "c_custkey")
+    operator = F.when(F.col("c_custkey") % 2 == 0, "Badan Kepegawaian Negara (BKN).").otherwise(F.concat(F.lit("Dinas Kesehatan "), "c_name", F.lit(" selaku Penyelenggara Sistem Elektronik / Lembaga Pemerintah.")))
+    facts = F.struct(F.lit(None).cast("string").alias("subjek_pelaku"), F.col("c_name").alias("subjek_korban"), operator.alias("subjek_pse"), F.concat(F.lit("("), key, F.lit(")")).alias("nexus_kausalitas"))
+    rows = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), key.alias("peristiwa_hukum_kronologi"), F.when(F.col("c_custkey") % 3 == 0, F.lit(None)).when(F.col("c_custkey") % 3 == 1, "").otherwise(F.col("c_name")).alias("kualifikasi_peristiwa"), facts.alias("pemetaan_fakta_hukum"))
+    done = translate.translate_incidents(rows)
+    return done.select("k", F.col("peristiwa_hukum_kronologi").alias("narrative"), F.col("kualifikasi_peristiwa").alias("qualification"), F.col("pemetaan_fakta_hukum.subjek_pse").alias("operator"), F.col("pemetaan_fakta_hukum.subjek_korban").alias("victim"), F.col("pemetaan_fakta_hukum.nexus_kausalitas").alias("nexus"))
+
+
+@query("sector_phrases", f"SELECT k, {_PHRASE} AS t FROM (SELECT p_partkey AS k, ({_listed(k for k, _ in tables.SECTOR_PHRASES)})[p_partkey % {len(tables.SECTOR_PHRASES)} + 1] || ' / ' || p_name || ' / ' || ({_listed(k for k, _ in tables.SECTOR_PHRASES)})[p_size % {len(tables.SECTOR_PHRASES)} + 1] AS t FROM part)")
+def sector_phrases(spark, d):
+    phrases = [k for k, _ in tables.SECTOR_PHRASES]
+    raw = F.concat(_pick(phrases, "p_partkey"), F.lit(" / "), "p_name", F.lit(" / "), _pick(phrases, "p_size"))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("k"), translate.sector_text(raw).alias("t"))
+
+
+@query("interface_texts", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE '  ' || o_orderstatus || ' ' END AS shown, CASE o_orderstatus WHEN 'F' THEN 'F' WHEN 'O' THEN 'X' ELSE '  ' || o_orderstatus || ' ' END AS back FROM orders")
+def interface_texts(spark, d):
+    names = {"F": "done", "O": "open", "X": "open"}
+    shown = translate.interface_text(F.concat(F.lit("  "), "o_orderstatus", F.lit(" ")), names)
+    return read(spark, d, "orders").select("o_orderkey", shown.alias("shown"), translate.interface_text(shown, translate.inverse(names)).alias("back"))
 
 
 @query("lookup_passthrough", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS status FROM orders")
@@ -588,10 +626,40 @@ def status_counts(spark, d):
     return registry.status_counts(read(spark, d, "labels"), "toxic", "quality", (1, 0))
 
 
-@query("compliance_rules", "SELECT c_custkey, CAST(CASE c_custkey % 4 WHEN 0 THEN 5 WHEN 1 THEN 4 ELSE 3 END AS BIGINT) AS n_rules FROM customer")
+_RULES = ", ".join(f"({', '.join(map(_quoted, r))}, {k})" for k, r in enumerate(tables.COMPLIANCE))
+_SECTORS = _listed(("fintech", "facial", "health", "elsewhere"))
+
+
+@query("compliance_rules", f"""WITH r AS (SELECT * FROM (VALUES {_RULES}) AS r(sector, status, title, desc_, recom, ord))
+SELECT c_custkey, status, title, desc_ AS "desc", recom FROM (SELECT c_custkey, ({_SECTORS})[c_custkey % 4 + 1] AS s FROM customer) JOIN r ON r.sector = CASE s WHEN 'elsewhere' THEN 'other' ELSE s END""")
 def compliance_rules(spark, d):
-    asked = read(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, "fintech").when(F.col("c_custkey") % 4 == 1, "facial").when(F.col("c_custkey") % 4 == 2, "unknown").alias("sector"))
-    return registry.navigate(asked, registry.compliance_rules(spark)).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_rules"))
+    asked = read(spark, d, "customer").select("c_custkey", _pick(("fintech", "facial", "health", "elsewhere"), "c_custkey").alias("sector"))
+    return registry.navigate(asked, registry.compliance_rules(spark)).select("c_custkey", "status", "title", "desc", "recom")
+
+
+@query("rule_icons", "SELECT doc_id, CASE WHEN toxic = 1 THEN '❌' WHEN quality = 1 THEN '✅' ELSE '⚠️' END AS icon FROM labels")
+def rule_icons(spark, d):
+    status = F.when(F.col("toxic") == 1, "gap").when(F.col("quality") == 1, "covered").otherwise("partial")
+    return read(spark, d, "labels").select("doc_id", bands.status_icon(status).alias("icon"))
+
+
+@query("type_badges", "SELECT c_custkey, (['Ransomware', 'Data Breach', 'AI Misuse', 'AI Fraud', 'Other'])[c_custkey % 5 + 1] AS badge FROM customer")
+def type_badges(spark, d):
+    return read(spark, d, "customer").select("c_custkey", bands.type_badge(_pick(("ransomware", "data_breach", "ai_misuse", "ai_fraud", "phishing"), "c_custkey")).alias("badge"))
+
+
+@query("edge_colours", f"""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN CASE WHEN p_size * 2 >= 95 THEN '#10b981' WHEN p_size * 2 >= 80 THEN '#f59e0b' ELSE '#f43f5e' END WHEN 1 THEN ({_listed(c for _, c in bands.THEME_COLOURS)})[p_size % 9 + 1] ELSE '{bands.PLAIN_COLOUR}' END AS cross_colour,
+CASE p_partkey % 3 WHEN 1 THEN ({_listed(c for _, c in bands.THEME_COLOURS)})[p_size % 9 + 1] ELSE '{bands.PLAIN_COLOUR}' END AS other_colour FROM part""")
+def edge_colours(spark, d):
+    tiered = F.concat(F.lit("semantic link (Lemah "), (F.col("p_size") * 2).cast("string"), F.lit(".0%)"))
+    label = F.when(F.col("p_partkey") % 3 == 0, tiered).when(F.col("p_partkey") % 3 == 1, _pick([t for t, _ in bands.THEME_COLOURS], "p_size")).otherwise("governs")
+    return read(spark, d, "part").select("p_partkey", bands.edge_colour("cross", label).alias("cross_colour"), bands.edge_colour("intl", label).alias("other_colour"))
+
+
+@query("label_percents", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size || '.5' AS DOUBLE) / 100 ELSE 0.05 END AS share FROM part")
+def label_percents(spark, d):
+    label = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("link (Sim "), F.col("p_size").cast("string"), F.lit(".5%)"))).otherwise("link (Lemah 71.2%)")
+    return read(spark, d, "part").select("p_partkey", bands.label_percent(label, bands.CROSS_DEFAULT).alias("share"))
 
 
 @query("prompts", "SELECT page_id, 'Which rule covers ' || url || '?' AS prompt FROM pages")
@@ -599,13 +667,149 @@ def prompts(spark, d):
     return read(spark, d, "pages").select("page_id", registry.prompt("Which rule covers {url}?", {"url": F.col("url")}).alias("prompt"))
 
 
-@query("client_errors", "SELECT event_id, '[t] ' || event_type || chr(10) || '  at app:' || user_id AS line FROM events")
+@query("rule_prompts", f"""SELECT sector, 'Sektor: ' || sector || chr(10) || string_agg('- [' || upper(status) || '] ' || title || ': ' || desc_, chr(10) ORDER BY ord) AS prompt FROM (VALUES {_RULES}) AS r(sector, status, title, desc_, recom, ord) GROUP BY sector""")
+def rule_prompts(spark, d):
+    lines = registry.rule_lines(registry.compliance_rules(spark))
+    return lines.select("sector", registry.prompt("Sektor: {sector}\n{rules}", {"sector": F.col("sector"), "rules": F.col("lines")}).alias("prompt"))
+
+
+@query("seed_incidents", f"SELECT * FROM (VALUES {', '.join(f'({_quoted(r[0])}, {_quoted(r[1])}, {_quoted(r[3][5])}, {_quoted(r[4])}, CAST({r[5]} AS INTEGER), {_quoted(r[6])})' for r in tables.SEED_INCIDENTS)}) AS t(id, narrative, nexus, severity, year, type)")
+def seed_incidents(spark, d):
+    first = registry_incidents(spark).where(~F.col("id").startswith("incident-auto-"))
+    return first.select("id", F.col("peristiwa_hukum_kronologi").alias("narrative"), F.col("pemetaan_fakta_hukum.nexus_kausalitas").alias("nexus"), "severity", "year", "type")
+
+
+@query("facts_joined", "SELECT p_partkey, concat_ws(' ', p_name, CASE WHEN p_partkey % 2 = 0 THEN 'q' END, CAST(p_size AS VARCHAR), 'b', 'c', 'd', 'f') AS text FROM part")
+def facts_joined(spark, d):
+    given = dict(zip(INCIDENT_SCHEMA["pemetaan_fakta_hukum"].dataType.names, (F.col("p_size").cast("string"), F.lit("b"), F.lit("c"), F.lit("d"), F.lit(None).cast("string"), F.lit("f"))))
+    rows = read(spark, d, "part").select("p_partkey", F.col("p_name").alias("peristiwa_hukum_kronologi"), F.when(F.col("p_partkey") % 2 == 0, "q").alias("kualifikasi_peristiwa"), F.struct(*[c.alias(n) for n, c in given.items()]).alias("pemetaan_fakta_hukum"))
+    return rows.select("p_partkey", incident_text().alias("text"))
+
+
+_LOGGED = "'[t] ERROR: ' || event_type || ' ' || event_id || chr(10) || '  Location: app:' || user_id || chr(10) || CASE WHEN event_id % 2 = 0 THEN '  Stack Trace:' || chr(10) || 'at x' || chr(10) ELSE '' END || repeat('=', 50) || chr(10)"
+
+
+def _errors(spark, d):
+    message = F.concat_ws(" ", "event_type", F.col("event_id").cast("string"))
+    body = F.struct(message.alias("message"), F.lit("app").alias("source"), F.col("user_id").alias("lineno"), F.lit(7).alias("colno"), F.when(F.col("event_id") % 2 == 0, "at x").alias("stack"))
+    return parse_log(read(spark, d, "events").select(F.to_json(body).alias("value")))
+
+
+@query("client_errors", f"SELECT {_LOGGED} AS line FROM events")
 def client_errors(spark, d):
-    rows = read(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("message"), F.lit("app").alias("source"), F.col("user_id").alias("lineno"))).alias("value"))
-    parsed = rows.select("event_id", F.from_json("value", "message string, source string, lineno int, stack string").alias("r")).select("event_id", "r.*")
-    assert parse_log(rows).columns == ["message", "source", "lineno", "stack"]
-    at = F.concat(F.lit("  at "), F.col("source"), F.lit(":"), F.col("lineno").cast("string"))
-    return parsed.select("event_id", F.concat_ws("\n", F.concat(F.lit("[t] "), F.col("message")), at).alias("line"))
+    return sinks.log_lines(_errors(spark, d), "t")
+
+
+@query("log_file", "SELECT '[t] ERROR: ' || event_type || ' ' || event_id AS value FROM events UNION ALL SELECT '[t] ERROR: ' || event_type || ' ' || event_id FROM events")
+def log_file(spark, d):
+    """Two appends to a log, read back."""
+    path = new_path(spark, "log")
+    for _ in range(2):
+        sinks.append_log(_errors(spark, d), path, "t")
+    return spark.read.text(path).where(F.col("value").startswith("[t]"))
+
+
+@query("html_escaped", "SELECT page_id, replace(replace(html, '<', '&lt;'), '>', '&gt;') AS html FROM pages")
+def html_escaped(spark, d):
+    return read(spark, d, "pages").select("page_id", text.html_escape(F.col("html")).alias("html"))
+
+
+@query("report_numbers", "SELECT o_orderkey, printf('%.1f', o_totalprice) AS one, printf('%.4f', o_totalprice / 7) AS four, printf('%.5f', -o_totalprice / 1000000) AS five FROM orders")
+def report_numbers(spark, d):
+    price = F.col("o_totalprice").cast("double")
+    return read(spark, d, "orders").select("o_orderkey", text.fixed(price, 1).alias("one"), text.fixed(price / 7, 4).alias("four"), text.fixed(-price / 1000000, 5).alias("five"))
+
+
+# --- what is written and read back --------------------------------------------
+
+_GROUPED = """ SELECT CASE WHEN fa <= fb THEN ga ELSE gb END AS "from", CASE WHEN fa <= fb THEN gb ELSE ga END AS "to", 'korelasi (' || count(*) || ' edge)' AS label, '' AS arrows, count(*) AS value
+FROM (SELECT a.grp AS ga, b.grp AS gb, (SELECT min(ord) FROM n z WHERE z.grp = a.grp) AS fa, (SELECT min(ord) FROM n z WHERE z.grp = b.grp) AS fb FROM e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst WHERE a.grp <> b.grp) GROUP BY 1, 2"""
+
+
+@query("contraction_links", MASTER_SQL + _GROUPED)
+def contraction_links(spark, d):
+    """The exported edges of a contraction, read back."""
+    path = new_path(spark, "gap")
+    sinks.write_contraction(g.contract(master(spark, d)), path)
+    return spark.read.schema("`from` string, `to` string, label string, arrows string, value long").json(f"{path}/edges")
+
+
+@query("contraction_groups", MASTER_SQL + """ SELECT grp AS id, grp AS label, count(*) * 5 AS value, 'Klaster: ' || min_by(cls, ord) AS title FROM n GROUP BY grp""")
+def contraction_groups(spark, d):
+    return sinks.export_groups(g.contract(master(spark, d))).select("id", "label", "value", "title")
+
+
+@query("graph_round_trip", NATIONS_SQL + """ SELECT 'node' AS kind, id AS a, NULL AS b, CAST(10 + 4 * degree AS DOUBLE) AS value FROM g UNION ALL SELECT 'edge', src, dst, weight FROM e""")
+def graph_round_trip(spark, d):
+    """A graph document in a language of its own, written and read back."""
+    path = new_path(spark, "document")
+    document = sinks.graph_document(nations(spark, d))
+    document.write.text(localized(f"{path}.json", "en"))
+    back = read_graph(spark, f"{path}.json", "en")
+    n = back.nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), F.col("value").cast("double").alias("value"))
+    return n.unionByName(back.edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("value")))
+
+
+@query("incidents_written", "SELECT 'case ' || event_id AS id, event_type AS type, CAST(2020 + event_id % 5 AS INTEGER) AS year FROM events WHERE event_id % 2 = 0")
+def incidents_written(spark, d):
+    """Incidents as one document in English, read back; those without facts are left out."""
+    e = read(spark, d, "events")
+    none = {f.name: F.lit(None).cast(f.dataType) for f in INCIDENT_SCHEMA.fields}
+    facts = F.when(F.col("event_id") % 2 == 0, F.from_json(F.lit('{"subjek_pse": "x"}'), INCIDENT_SCHEMA["pemetaan_fakta_hukum"].dataType))
+    rows = e.select(*[c.alias(n) for n, c in (none | {"id": F.concat(F.lit("case "), F.col("event_id").cast("string")), "type": F.col("event_type"), "year": (F.lit(2020) + F.col("event_id") % 5).cast("int"), "pemetaan_fakta_hukum": facts}).items()], F.col("event_id").alias("ord"))
+    path = new_path(spark, "incidents")
+    sinks.write_incidents(rows, localized(path, "en"))
+    assert read_incidents(spark, path).isEmpty()  # there is none in the first language
+    return read_incidents(spark, path, "en").select("id", "type", "year")
+
+
+@query("output_audit", NATIONS_SQL + " SELECT true AS present, (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) FROM e) AS n_edges UNION ALL SELECT false, NULL, NULL")
+def output_audit(spark, d):
+    path = new_path(spark, "audit")
+    sinks.write_graph(nations(spark, d), path)
+    return sinks.audit_graphs(spark, [path, f"{path}-missing"]).drop("path")
+
+
+@query("csv_sections", MASTER_SQL + """, k AS (SELECT count(*) AS n, count(DISTINCT cls) AS c, count(*) FILTER (degree = 0) AS h, (SELECT count(*) FROM e) AS m FROM g)
+SELECT unnest(['metrics', 'degree', 'betweenness', 'clusters', 'holes', 'nodes', 'edges']) AS section, unnest([9, least(n, 50), least(n, 50), c, h, n, least(m, 2000) + CASE WHEN m > 2000 THEN 1 ELSE 0 END]) AS n_rows FROM k""")
+def csv_sections(spark, d):
+    out = None
+    for name, rows in pipeline.csv_sections(master(spark, d)):
+        row = rows.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("section"), "n_rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("cross_ranking", MASTER_SQL + """ SELECT row_number() OVER (PARTITION BY side ORDER BY degree DESC, first) AS rank, id, side, degree FROM (SELECT n.id, substr(n.cls, 1, 4) AS side, count(*) AS degree, min(x.ord) AS first FROM x JOIN n ON n.id = x.id WHERE kind = 'cross' GROUP BY n.id, n.cls)
+QUALIFY row_number() OVER (PARTITION BY side ORDER BY degree DESC, first) <= 15""")
+def cross_ranking(spark, d):
+    """The best of both sides; of equal degrees the one whose first edge comes first."""
+    side = materialize(report.side_degrees(g.typed_subgraph(master(spark, d), "cross_jurisdiction")), "side-degrees")
+    best = [top(side.where(F.col("side") == s), F.col("degree"), 15).select("rank", "id", "side", "degree") for s in ("Intl", "Natl")]
+    return best[0].unionByName(best[1])
+
+
+@query("incidents_by_year", MASTER_SQL + f""" SELECT row_number() OVER (ORDER BY year DESC, ord) AS rank, id FROM n WHERE cls = '{INCIDENT}'""")
+def incidents_by_year(spark, d):
+    return newest_first(master(spark, d).nodes.where(F.col("classification") == INCIDENT)).select("rank", "id")
+
+
+@query("explore_split", r"""WITH t AS (
+  SELECT conv_id AS doc, string_agg(CASE WHEN conv_id % 2 = 0 THEN 'Section ' || turn || 'b ' ELSE chr(10) || chr(10) || turn || '. ' END || coalesce(text, ''), chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id
+), p AS (
+  SELECT *, '(?i)((?:Article|Principle|Section|Paragraph|Recommendation|Guideline)\s+\d+)' AS a, '(\n\n\d+\.\s+)' AS b FROM t
+), h AS (
+  SELECT doc, CASE WHEN len(regexp_extract_all(body, a, 1)) > 0 THEN regexp_extract_all(body, a, 1) ELSE regexp_extract_all(body, b, 1) END AS hs,
+    CASE WHEN len(regexp_extract_all(body, a, 1)) > 0 THEN regexp_split_to_array(body, a) ELSE regexp_split_to_array(body, b) END AS bs FROM p
+), u AS (SELECT doc, i, hs[i] AS head, bs[i + 1] AS body FROM (SELECT *, unnest(generate_series(1, len(hs))) AS i FROM h)
+), c AS (
+  SELECT doc, i - 1 AS ord, regexp_replace(regexp_replace(regexp_replace(head, '\s+', ' ', 'g'), '^\s+', ''), '\s+$', '') AS title, regexp_replace(regexp_replace(substr(body, 1, 2000), '^\s+', ''), '\s+$', '') AS content FROM u
+) SELECT doc, upper(substr(title, 1, 1)) || lower(substr(title, 2)) AS title, md5(max_by(content, ord)) AS content FROM c WHERE length(content) > 50 GROUP BY doc, 2""")
+def explore_split(spark, d):
+    c = read(spark, d, "conversations")
+    head = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Section "), F.col("turn").cast("string"), F.lit("b "))).otherwise(F.concat(F.lit("\n\n"), F.col("turn").cast("string"), F.lit(". ")))
+    bodies = c.groupBy(F.col("conv_id").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(head, F.coalesce("text", F.lit(""))).alias("line")))).alias("x")).select("doc", F.array_join(F.transform("x", lambda e: e["line"]), "\n").alias("text"))
+    return text.explore_provisions(bodies).select("doc", "title", F.md5("content").alias("content"))
 
 
 @query("literal_between", "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages")

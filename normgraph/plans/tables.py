@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normgraph.model import INCIDENT, Graph
 from normgraph.operators.similarity import Pairs, similar_pairs
-from normgraph.storage import materialize
+from normgraph.plans.pipeline import in_order
+from normgraph.storage import materialize, settled, written
 
 #: Thresholds on these vectors, whose largest cosine is about 0.5.
 LEVELS = {"intl": 0.30, "natl": 0.30, "cross": 0.28, "governs": 0.25}
 KINDS = ("intl", "natl", "cross", "governs")
 TYPES = {"intl": "semantic_link", "natl": "semantic_link", "cross": "cross_jurisdiction", "governs": "governs"}
-#: An edge's ord is its kind, then its ends.
-KIND_STEP, SRC_STEP = 10**14, 10**7
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,33 +46,57 @@ def scored(spark: SparkSession, sf_dir: str, kind: str, threshold: float | None
 
 
 def edges_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Edges of one kind; place orders them by kind, then by their ends."""
     a, b = F.least("src", "dst"), F.greatest("src", "dst")
-    place = F.lit(KINDS.index(kind) * KIND_STEP) + a * SRC_STEP + b
-    return scored(spark, sf_dir, kind).select(a.cast("string").alias("src"), b.cast("string").alias("dst"), F.lit(TYPES[kind]).alias("type"), F.round("score", 4).alias("weight"), place.cast("long").alias("ord"))
+    return scored(spark, sf_dir, kind).select(a.cast("string").alias("src"), b.cast("string").alias("dst"), F.lit(TYPES[kind]).alias("type"), F.round("score", 4).alias("weight"), F.struct(F.lit(KINDS.index(kind)).alias("kind"), a.alias("a"), b.alias("b")).alias("place"))
+
+
+_graphs: dict[tuple, tuple[Graph, tuple, set[str]]] = {}
+
 
+def _state(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> tuple:
+    """What tells a table's files of one moment from those of another: their paths, sizes and times."""
+    found = []
+    for t in tables:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(where))
+    return tuple(found)
 
-@lru_cache(maxsize=8)
-def _master(spark: SparkSession, application: str, sf_dir: str) -> Graph:
-    nodes = provisions(spark, sf_dir).drop("side", "vector")
-    edges = None
-    for kind in KINDS:
-        e = edges_of(spark, sf_dir, kind)
-        edges = e if edges is None else edges.unionByName(e)
-    return Graph(nodes, materialize(edges, "master-edges"))
+
+def _shared(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], make) -> Graph:
+    """``make()``'s graph, kept while the tables' files stay the same and its own tables are there."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    state = _state(spark, sf_dir, tables)
+    if key in _graphs:
+        graph, had, paths = _graphs[key]
+        if had == state and paths <= written(spark):
+            return graph
+    before = written(spark)
+    graph = make()
+    _graphs[key] = graph, state, written(spark) - before
+    return graph
 
 
 def master(spark: SparkSession, sf_dir: str) -> Graph:
-    """The similarity graph of all provisions; its edges are computed once per session."""
-    return _master(spark, spark.sparkContext.applicationId, sf_dir)
+    """The similarity graph of all provisions; queries of one session share its edges."""
+
+    def make() -> Graph:
+        edges = None
+        for kind in KINDS:
+            e = edges_of(spark, sf_dir, kind)
+            edges = e if edges is None else edges.unionByName(e)
+        return Graph(provisions(spark, sf_dir).drop("side", "vector"), settled(spark, "master-edges", lambda: in_order(edges)))
+
+    return _shared(spark, sf_dir, "master", ("embeddings",), make)
 
 
 #: Share of the mean weight from which a pair of nations is an edge.
 NATION_CUT = 1.2
 
 
-@lru_cache(maxsize=8)
-def _nations(spark: SparkSession, application: str, sf_dir: str) -> Graph:
-    nodes = read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("id"), F.col("n_nationkey").cast("long").alias("ord"), F.col("n_name").alias("label"), F.col("r_name").alias("group"), F.col("r_name").alias("classification"), F.lit(2000).alias("year"))
+def _trade(spark: SparkSession, sf_dir: str) -> Graph:
+    nodes = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("id"), F.col("n_nationkey").cast("long").alias("ord"), F.col("n_name").alias("label"), F.col("r_name").alias("group"), F.col("r_name").alias("classification"), F.lit(2000).alias("year"))
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     buyers = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
     both = lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).join(read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).where("c_nationkey <> s_nationkey")
@@ -83,13 +104,13 @@ def _nations(spark: SparkSession, application: str, sf_dir: str) -> Graph:
     w = materialize(w, "nation-pairs")
     strong = w.crossJoin(F.broadcast(w.agg(F.avg("w").alias("mean")))).where(F.col("w") >= F.col("mean") * NATION_CUT)
     name = nodes.select("id", "ord")
-    e = strong.join(F.broadcast(name.withColumnsRenamed({"id": "src", "ord": "a"})), "a").join(F.broadcast(name.withColumnsRenamed({"id": "dst", "ord": "b"})), "b")  # nations: a fixed table
-    return Graph(nodes, materialize(e.select("src", "dst", F.lit("trade").alias("type"), F.col("w").cast("double").alias("weight"), (F.col("a") * 1000 + F.col("b")).cast("long").alias("ord")), "nation-edges"))
+    e = strong.join(name.withColumnsRenamed({"id": "src", "ord": "a"}), "a").join(name.withColumnsRenamed({"id": "dst", "ord": "b"}), "b")
+    return Graph(nodes, materialize(in_order(e.select("src", "dst", F.lit("trade").alias("type"), F.col("w").cast("double").alias("weight"), F.struct("a", "b").alias("place"))), "nation-edges"))
 
 
 def nations(spark: SparkSession, sf_dir: str) -> Graph:
     """Nations joined by how many order lines run between them."""
-    return _nations(spark, spark.sparkContext.applicationId, sf_dir)
+    return _shared(spark, sf_dir, "nations", ("nation", "region", "lineitem", "orders", "customer", "supplier"), lambda: _trade(spark, sf_dir))
 
 
 # The same inputs in SQL.
@@ -110,7 +131,7 @@ p AS (
 ), e AS (
   SELECT CAST(ao AS VARCHAR) AS src, CAST(bo AS VARCHAR) AS dst, CASE kind WHEN 'cross' THEN 'cross_jurisdiction' WHEN 'governs' THEN 'governs' ELSE 'semantic_link' END AS type,
     kind, score, round(score, 4) AS weight,
-    CASE kind WHEN 'intl' THEN 0 WHEN 'natl' THEN 1 WHEN 'cross' THEN 2 ELSE 3 END * {KIND_STEP} + ao * {SRC_STEP} + bo AS ord
+    CASE kind WHEN 'intl' THEN 0 WHEN 'natl' THEN 1 WHEN 'cross' THEN 2 ELSE 3 END * {10**14} + ao * {10**7} + bo AS ord
   FROM p WHERE score >= CASE kind WHEN 'cross' THEN {LEVELS['cross']} WHEN 'governs' THEN {LEVELS['governs']} ELSE {LEVELS['intl']} END
 ), x AS (
   SELECT src AS id, dst AS other, type, kind, weight, ord FROM e UNION ALL SELECT dst, src, type, kind, weight, ord FROM e
