@@ -132,8 +132,8 @@ def circle_layout(nodes: DataFrame, radius: float = 1.0) -> DataFrame:
     n = nodes.agg(F.count(F.lit(1)).alias("_n"))
     from normgraph.operators.ranking import global_rank
 
-    placed = global_rank(nodes, F.lit(0), "_place").crossJoin(F.broadcast(n))
-    angle = F.lit(2.0) * F.pi() * (F.col("_place") - 1) / F.col("_n")
+    placed = global_rank(nodes, F.lit(0), "_nth").crossJoin(F.broadcast(n))
+    angle = F.lit(2.0) * F.pi() * (F.col("_nth") - 1) / F.col("_n")
     return placed.select("id", (F.cos(angle) * radius).alias("x"), (F.sin(angle) * radius).alias("y"))
 
 

@@ -116,8 +116,8 @@ def corpus_from_texts(texts: DataFrame, side: str, prefix: str = "") -> DataFram
     from normgraph.operators.ranking import global_rank
 
     ordered = rows.withColumn("_key", F.struct("path", "ord"))
-    ranked = global_rank(ordered.withColumn("_zero", F.lit(0)), F.col("_zero"), "_place", "_key")
-    return ranked.select(node_id(F.col("doc"), F.col("title"), prefix).alias("id"), (F.col("_place") - 1).alias("ord"), F.concat_ws(" - ", "doc", "title").alias("label"), F.col("doc").alias("group"), "classification", "year", F.col("content").alias("text"))
+    ranked = global_rank(ordered.withColumn("_zero", F.lit(0)), F.col("_zero"), "_nth", "_key")
+    return ranked.select(node_id(F.col("doc"), F.col("title"), prefix).alias("id"), (F.col("_nth") - 1).alias("ord"), F.concat_ws(" - ", "doc", "title").alias("label"), F.col("doc").alias("group"), "classification", "year", F.col("content").alias("text"))
 
 
 def literal_between(text: Column, start: str, end: str) -> Column:
