@@ -339,15 +339,31 @@ def near_texts(seed, groups, size):
     return texts
 
 
-@pytest.mark.parametrize("width,block", [(4, 1024), (5, 8)])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, width, block):
+@pytest.mark.parametrize("width,block,rows", [(4, 1024, 200_000), (5, 8, 200_000), (4, 5, 3)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, width, block, rows):
+    """With bounds so low that blocks, chunks and shuffled joins take their turn too."""
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "CHUNK", block)
+    for module in (minhash, common):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", rows)
     texts = near_texts(7, 6, 25) | {1000 + k: t for k, t in enumerate(AWKWARD)} | {2000 + k: t for k, t in enumerate(AWKWARD)}
     got = minhash.near_duplicates(clashing(documents(spark, list(texts.values()), list(texts))), width=width)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_near(texts, width)
     assert got.where("kept <> (doc_id = component_id)").count() == 0
 
 
+def test_likely_members_lose_no_link():
+    """Rows whose sets are linked across components are all kept."""
+    windows, rng = minhash.second_permutation(), np.random.RandomState(9)
+    base = [np.unique(rng.randint(0, 2**62, 300).astype(np.uint64)) for _ in range(12)]
+    sets = base + [np.unique(np.concatenate([b[:-25], rng.randint(0, 2**62, 20).astype(np.uint64)])) for b in base] + [np.unique(rng.randint(0, 2**62, 300).astype(np.uint64)) for _ in range(30)]
+    sig = np.stack([minhash.signature(x, windows).astype(np.uint8) for x in sets])
+    n, every = np.array([len(x) for x in sets]), np.arange(len(sets))
+    kept = minhash.likely_members(every, n, sig, every, every, 80, 100)
+    assert set(range(24)) <= set(kept.tolist()) and len(kept) < len(sets)
+    assert not len(minhash.likely_members(np.zeros(len(sets), int), n, sig, every, every, 80, 100))
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 103), (103, 101), (7, 7), (200, 150), (200, 150)]
     got = components.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b")
