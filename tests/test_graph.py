@@ -1,10 +1,13 @@
 """Micro graphs with known answers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from normgraph.functions import bands
 from normgraph.model import INCIDENT, Graph
+from normgraph.operators import components
 from normgraph.operators import graph as g
 from normgraph.operators import report
 from normgraph.operators.centrality import betweenness
@@ -76,6 +79,44 @@ def test_modularity_and_components(spark):
     assert report.modularity(make(spark, "ab", [])).first().q == 0
 
 
+def lowest(pairs):
+    """Union-find: every node's smallest reachable node."""
+    up = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        lo, hi = sorted((root(a), root(b)))
+        up[hi] = lo
+    return {x: root(x) for x in up}
+
+
+def test_components_of_many_shapes(spark, monkeypatch):
+    rng = random.Random(3)
+    chain = list(range(1000, 1060))
+    rng.shuffle(chain)
+    pairs = list(zip(chain, chain[1:]))
+    pairs += [(2000, 2001 + k) for k in range(30)] + [(3030, 3000 + k) for k in range(30)]  # a hub that is smallest, and one that is largest
+    pairs += [(a, b) for a in range(4000, 4008) for b in range(4000, a)] + [(5000, 5001), (5001, 5000), (5002, 5001)]
+    pairs += [(rng.randrange(6000, 6080), rng.randrange(6000, 6080)) for _ in range(60)]
+    rounds = []
+    materialized = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, name: rounds.append(name) or materialized(df, name))
+    frame = spark.createDataFrame([*pairs, (7, 7), (None, 8), (9, None)], "a long, b long")
+    want = lowest([(a, b) for a, b in pairs if a != b])
+    assert {r.node: r.component for r in components.connected_components(frame, "a", "b").collect()} == want
+    assert rounds.count("stars") > 1
+    rounds.clear()
+    stars = spark.createDataFrame([(k, v) for k, v in want.items() if k != v], "a long, b long")
+    assert {r.node: r.component for r in components.connected_components(stars, "a", "b").collect()} == want
+    assert rounds == ["stars"]  # settled as they come: no round at all
+    assert components.connected_components(stars.limit(0), "a", "b").isEmpty()
+
+
 def test_contraction_keeps_cross_group_edges(spark):
     groups = dict(zip("abcdef", "xxyyzz"))
     graph = make(spark, "abcdef", ["ab", "ac", "bd", "ce", "fa"], groups)
