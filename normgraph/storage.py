@@ -71,14 +71,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return own.paths[-1]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts lineage.
 
-    A lost executor then costs a re-read, not a recomputation.
+    A lost executor then costs a re-read, not a recomputation.  ``codec`` is for
+    rows that repeat each other; None takes the session's.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
