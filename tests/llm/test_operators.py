@@ -565,8 +565,9 @@ def test_chat_examples_written_out(spark, written):
 def test_chat_contexts_that_do_not_fit_are_told(spark):
     examples = chat_format.format_chats(chats(spark))
     wrong = examples.withColumn("context", F.when(F.col("example") == 1, F.lit("else")).otherwise(F.col("context")))
-    with pytest.raises(Exception, match="isn't what precedes it"):
-        chat_format.read_back(wrong).collect()
+    for bad in (wrong, examples.where("example <> 0")):  # a context of other text, and a row that is missing
+        with pytest.raises(Exception, match="isn't what precedes it"):
+            chat_format.read_back(bad).collect()
 
 
 def test_chat_escapes(spark):
