@@ -1,8 +1,8 @@
-"""Queries and SQL of the ten corpus operators."""
+"""Queries and SQL of the corpus operators."""
 
 from __future__ import annotations
 
-from normgraph.llm import chat_format, exact_dedup, license_scan, line_dedup, minhash, packing, secret_scan, sentencepiece_codec, topk_search, toxicity
+from normgraph.llm import chat_format, decontaminate, exact_dedup, importance, infilling, license_scan, line_dedup, minhash, packing, secret_scan, sentencepiece_codec, topk_search, toxicity
 
 QUERIES = {
     "op1_license_scan": (license_scan.op1_license_scan, license_scan.SQL),
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_minhash_dedup": (minhash.op8_minhash_dedup, minhash.SQL),
     "op9_line_dedup": (line_dedup.op9_line_dedup, line_dedup.SQL),
     "op10_chat_format": (chat_format.op10_chat_format, chat_format.SQL),
+    "op11_benchmark_decontamination": (decontaminate.op11_benchmark_decontamination, decontaminate.SQL),
+    "op12_importance_resampling": (importance.op12_importance_resampling, importance.SQL),
+    "op13_fill_in_middle": (infilling.op13_fill_in_middle, infilling.SQL),
 }
 
 

@@ -15,7 +15,7 @@ from normgraph.operators import components
 from tests.conftest import SF, duck_rows, rows_of
 from tests.llm.helpers import AWKWARD, clashing, documents
 
-TABLES = {t: f"{SF}/{t}.parquet" for t in ("documents", "embeddings", "conversations", "labels")}
+TABLES = {t: f"{SF}/{t}.parquet" for t in ("documents", "embeddings", "conversations", "labels", "benchmark")}
 BY_SQL = sorted(name for name, (_, sql) in QUERIES.items() if sql)
 
 
@@ -26,6 +26,7 @@ def awkward_dir(spark, tmp_path_factory):
     clashing(documents(spark, AWKWARD + AWKWARD)).write.parquet(f"{d}/documents.parquet")
     clashing(vectors(spark)).write.parquet(f"{d}/embeddings.parquet")
     clashing(chats(spark)).write.parquet(f"{d}/conversations.parquet")
+    clashing(items(spark)).write.parquet(f"{d}/benchmark.parquet")
     return d
 
 
@@ -43,8 +44,15 @@ def chats(spark):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
 
+def items(spark):
+    """Benchmark items: long and short ones, some without words, an id or a text, one id of two texts."""
+    fox = "quick brown fox JUMPS over the lazy dog, again and again until it is very tired"
+    rows = [(1, fox), (2, f"other words {fox} of all"), (2, "gnu general public"), (10, "the"), (3, None), (4, " -- "), (None, "Été naïve"), (7, "word word"), (7, "word word"), (8, "not to be found anywhere at all in these few texts of ours")]
+    return spark.createDataFrame(rows, "item_id long, text string")
+
+
 def tables_of(d):
-    return {t: f"{d}/{t}.parquet/*.parquet" for t in ("documents", "embeddings", "conversations")}
+    return {t: f"{d}/{t}.parquet/*.parquet" for t in ("documents", "embeddings", "conversations", "benchmark")}
 
 
 @pytest.mark.parametrize("name", BY_SQL)
@@ -72,6 +80,7 @@ def test_rows_with_null_ids_and_texts(spark, tmp_path, name):
     texts = [None, "", "a repeated line of text, long enough to count", "a repeated line of text, long enough to count"] * 2
     documents(spark, texts, [None, 1, None, 2, None, 3, 4, 4]).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(None, 1, 1), (1, 1, None), (2, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    items(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
     assert QUERIES[name][0](spark, str(tmp_path)).count() == 8
 
 
