@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,19 +33,81 @@ SEED, MIN_WORDS, SHARE = 7, 20, 25
 MAX_NODES = 500_000
 
 
+def _crc_table() -> np.ndarray:
+    """What CRC-32 (reflected, polynomial 0xEDB88320) adds for each byte."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+CRC_TABLE = _crc_table()
+#: Bytes of a word up to which CRC states are taken on column by column; longer words go one by one.
+CRC_COLUMNS = 64
+
+
+class _Words:
+    """Distinct words in order of arrival, with their bytes."""
+
+    def __init__(self):
+        self.words = pa.array([], pa.string())
+        self.data, self.offsets = np.empty(0, np.uint8), np.zeros(1, np.int64)
+
+    def numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the distinct ``words``, new ones added, and which of them each word is."""
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary
+        found = pc.index_in(distinct, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(found < 0)
+        found[new] = len(self.words) + np.arange(len(new))
+        fresh = pa.concat_arrays([distinct.take(pa.array(new))])
+        ends = np.frombuffer(fresh.buffers()[1], np.int32)[: len(new) + 1].astype(np.int64) if len(new) else np.zeros(1, np.int64)
+        if len(new):
+            self.data = np.concatenate([self.data, np.frombuffer(fresh.buffers()[2], np.uint8)[: ends[-1]]])
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + ends[1:]])
+            self.words = pa.concat_arrays([self.words, fresh])
+        return found, coded.indices.to_numpy(zero_copy_only=False)
+
+    def go_on(self, crc: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """CRC states after the bytes of ``words``."""
+        at, size = self.offsets[words], self.offsets[words + 1] - self.offsets[words]
+        out = crc.astype(np.uint32)
+        for k in np.flatnonzero(size > CRC_COLUMNS).tolist():
+            out[k] = zlib.crc32(self.data[at[k] : at[k] + size[k]].tobytes(), int(out[k]))
+        on = np.flatnonzero((size > 0) & (size <= CRC_COLUMNS))
+        state = ~out[on]
+        for column in range(CRC_COLUMNS):
+            state = CRC_TABLE[(state ^ self.data[at[on] + column]) & 255] ^ state >> np.uint32(8)
+            more = size[on] > column + 1
+            if not more.all():
+                out[on[~more]] = ~state[~more]
+                on, state = on[more], state[more]
+            if not len(on):
+                break
+        return out
+
+
 class _Level:
     """Nodes of one depth: how they are found, the CRC state after their bytes, and a count or gain each."""
 
     def __init__(self):
-        self.children: dict[int, int] = {}
-        self.crc, self.value, self.size = np.empty(1024, np.int64), np.zeros(1024, np.int64), 0
+        #: Ordered, for finding nodes: parent << 32 | word, or the word at the top.
+        self.keys, self.nodes = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.crc, self.value = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes of distinct, ordered ``keys``, and which of them are new (numbered on from the last)."""
+        at = np.searchsorted(self.keys, keys)
+        there = np.append(self.keys, -1)[at] == keys
+        found = np.empty(len(keys), np.int64)
+        found[there] = self.nodes[at[there]]
+        new = np.flatnonzero(~there)
+        found[new] = len(self.crc) + np.arange(len(new))
+        self.keys, self.nodes = np.insert(self.keys, at[new], keys[new]), np.insert(self.nodes, at[new], found[new])
+        return found, new
 
-    def add(self, crc: list[int]) -> slice:
-        new = slice(self.size, self.size + len(crc))
-        while new.stop > len(self.crc):
-            self.crc, self.value = (np.concatenate([x, np.zeros_like(x)]) for x in (self.crc, self.value))
-        self.crc[new], self.value[new], self.size = crc, 0, new.stop
-        return new
+    def add(self, crc: np.ndarray, value: np.ndarray) -> None:
+        self.crc, self.value = np.concatenate([self.crc, crc]), np.concatenate([self.value, value])
 
 
 class WordTrie:
@@ -60,68 +123,56 @@ class WordTrie:
         self.n, self.buckets, self.gains, self.max_nodes = n, buckets, gains, max_nodes
         self.totals = np.zeros(buckets, np.int64)
         self.carry: list[str] = []
+        self.levels: list[_Level] = []
         self.clear()
 
     def clear(self) -> None:
         """Start anew, keeping what was counted."""
         if self.gains is None:
-            for level in getattr(self, "levels", ()):
-                np.add.at(self.totals, level.crc[: level.size] % self.buckets, level.value[: level.size])
-        self.levels = [_Level() for _ in range(self.n)]
-        self.words: dict[str, int] = {}
-        self.spelling: list[bytes] = []
-
-    def _nodes(self, depth: int, keys: list[int]) -> np.ndarray:
-        """Nodes of a depth by parent << 32 | word, or by word at the top; new ones go on from their parent's CRC state."""
+            for level in self.levels:
+                np.add.at(self.totals, level.crc % self.buckets, level.value)
+        self.levels, self.words = [_Level() for _ in range(self.n)], _Words()
+
+    def _nodes(self, depth: int, keys: np.ndarray) -> np.ndarray:
+        """Nodes of a depth by distinct, ordered keys; new ones go on from their parent's CRC state."""
         level = self.levels[depth]
-        known, new = level.children, []
-        above = self.levels[depth - 1].crc if depth else None
-        found = np.empty(len(keys), np.int64)
-        for i, key in enumerate(keys):
-            node = known.get(key)
-            if node is None:
-                node = known[key] = level.size + len(new)
-                new.append(zlib.crc32(self.spelling[key & 0xFFFFFFFF], int(above[key >> 32])) if depth else zlib.crc32(self.spelling[key][1:]))
-            found[i] = node
-        added = level.add(new)
-        if self.gains is not None:
-            level.value[added] = self.gains[level.crc[added] % self.buckets]
+        found, new = level.find(keys)
+        if len(new):
+            words = keys[new] & 0xFFFFFFFF
+            if depth:
+                before = self.levels[depth - 1].crc[keys[new] >> 32].astype(np.uint32)
+                state = ~before
+                before = ~(CRC_TABLE[(state ^ np.uint32(32)) & 255] ^ state >> np.uint32(8))  # the space between
+            else:
+                before = np.zeros(len(new), np.uint32)
+            crc = self.words.go_on(before, words).astype(np.int64)
+            level.add(crc, self.gains[crc % self.buckets] if self.gains is not None else np.zeros(len(new), np.int64))
         return found
 
-    def _numbers(self, words: pa.Array) -> np.ndarray:
-        if not len(words):
-            return np.empty(0, np.int64)
-        coded = words.dictionary_encode()
-        found = []
-        for w in coded.dictionary.to_pylist():
-            k = self.words.get(w)
-            if k is None:
-                k = self.words[w] = len(self.words)
-                self.spelling.append(b" " + w.encode())
-            found.append(k)
-        return np.array(found, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
-
     def walk(self, texts: pa.Array, limit: int = PART_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(row, gain) of every run of ``texts``, in parts; runs are counted where there are no gains (all gains 0)."""
         for part in word_parts(texts, limit):
-            if sum(level.size for level in self.levels) > self.max_nodes:
+            if sum(len(level.crc) for level in self.levels) > self.max_nodes:
                 self.clear()
             words, ends = part.words, part.offsets
             had = self.carry if part.again else []
             if had:  # a text that goes on: its last words begin runs
                 words, ends = pa.concat_arrays([pa.array(had, pa.string()), words]), np.concatenate([[0], ends[1:] + len(had)])
             row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-            numbers = self._numbers(words)
+            distinct, which = self.words.numbers(words)
+            numbers = distinct[which]
             places, nodes = np.arange(len(numbers)), None
             for depth, level in enumerate(self.levels):
                 if depth:  # places that have one more word of the same text before them
                     on = np.flatnonzero(places + 1 < len(numbers))
                     on = on[row[places[on]] == row[places[on] + 1]]
                     places, keys = places[on] + 1, nodes[on] << 32 | numbers[places[on] + 1]
+                    distinct, which = np.unique(keys, return_inverse=True)
+                    found = self._nodes(depth, distinct)
                 else:
-                    keys = numbers
-                distinct, which = np.unique(keys, return_inverse=True)
-                found = self._nodes(depth, distinct.tolist())
+                    order = np.argsort(distinct)
+                    found = np.empty(len(distinct), np.int64)
+                    found[order] = self._nodes(depth, distinct[order])
                 nodes = found[which]
                 new = places >= len(had)  # the others were met in the part before
                 if self.gains is None:
@@ -179,7 +230,7 @@ def scored(docs: DataFrame, gains: np.ndarray, id_col: str = "doc_id", text_col:
                 n_runs += runs
                 if k % n == 0:  # runs of one word
                     n_words += runs
-                np.add.at(total, row, gain)
+                total += np.bincount(row, weights=gain, minlength=batch.num_rows).astype(np.int64)  # whole numbers far below 2**53
             weight = np.where(n_runs > 0, total // np.maximum(n_runs, 1), 0)
             score = weight + np.array([noise(seed, x) for x in batch.column(2).to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(n_runs), pa.array(weight), pa.array(score)], names=["id", "n_words", "n_features", "weight", "score"])
