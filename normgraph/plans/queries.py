@@ -14,14 +14,14 @@ from normgraph.operators.similarity import pair_percentile, pair_statistics, thr
 from normgraph.plans import pipeline
 from normgraph.plans.tables import LEVELS, MASTER_SQL, NATIONS_SQL, PATHS_SQL, candidates, edges_of, master, nations, provisions, read, scored
 from normgraph.sources import INCIDENT_SCHEMA, generate_incidents, incident_text, literal_between, localized, parse_log, read_graph, read_incidents, registry_incidents, sinks
-from normgraph.storage import materialize, new_path
+from normgraph.storage import materialize, new_path, scoped
 
 QUERIES: dict[str, tuple] = {}
 
 
 def query(name: str, sql: str | None):
     def put(f):
-        QUERIES[name] = (f, sql)
+        QUERIES[name] = (scoped(f), sql)
         return f
 
     return put

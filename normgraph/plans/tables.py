@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normgraph.model import INCIDENT, Graph
 from normgraph.operators.similarity import Pairs, similar_pairs
 from normgraph.plans.pipeline import in_order
-from normgraph.storage import materialize, settled, written
+from normgraph.storage import materialize, scope, settled, written
 
 #: Thresholds on these vectors, whose largest cosine is about 0.5.
 LEVELS = {"intl": 0.30, "natl": 0.30, "cross": 0.28, "governs": 0.25}
@@ -52,30 +54,36 @@ def edges_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 
 _graphs: dict[tuple, tuple[Graph, tuple, set[str]]] = {}
+_making = threading.RLock()
 
 
 def _state(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> tuple:
-    """What tells a table's files of one moment from those of another: their paths, sizes and times."""
+    """What tells a table's files of one moment from those of another: their paths, sizes and times, in folders of any depth."""
     found = []
     for t in tables:
         where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
-        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        found += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(where))
+        files, here = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True), []
+        while files.hasNext():
+            f = files.next()
+            here.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        found += sorted(here)
     return tuple(found)
 
 
 def _shared(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], make) -> Graph:
-    """``make()``'s graph, kept while the tables' files stay the same and its own tables are there."""
+    """``make()``'s graph, kept while the tables' files stay the same and its own tables are there; one thread makes it."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    state = _state(spark, sf_dir, tables)
-    if key in _graphs:
-        graph, had, paths = _graphs[key]
-        if had == state and paths <= written(spark):
-            return graph
-    before = written(spark)
-    graph = make()
-    _graphs[key] = graph, state, written(spark) - before
-    return graph
+    with _making:
+        state = _state(spark, sf_dir, tables)
+        if key in _graphs:
+            graph, had, paths = _graphs[key]
+            if had == state and paths <= written(spark):
+                return graph
+        with scope(spark, lasting=True) as own:
+            graph = make()
+            paths = set(own.paths)
+        _graphs[key] = graph, state, paths
+        return graph
 
 
 def master(spark: SparkSession, sf_dir: str) -> Graph:

@@ -4,23 +4,46 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ORDERED_BUCKETS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
+class Scope:
+    """Paths that one call wrote: nobody else releases them."""
+
+    def __init__(self, within: Scope | None = None):
+        self.within, self.paths, self._lock = within, [], threading.Lock()
+
+    def add(self, *paths: str) -> None:
+        with self._lock:
+            self.paths += paths
+
+    def take(self, keep: set[str] = frozenset()) -> list[str]:
+        """Its paths but those in ``keep``, which it no longer has."""
+        with self._lock:
+            taken = [p for p in self.paths if p not in keep]
+            self.paths = [p for p in self.paths if p in keep]
+        return taken
+
+
 class _Written:
-    """Paths that one application wrote, the bucketed tables among them, and how to remove them after it stopped."""
+    """The folder of one application, its bucketed tables, and how to remove them after it stopped."""
 
     def __init__(self, spark: SparkSession):
         self.root = f"{shared_dir(spark)}/normgraph/{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
+        self.spark = spark
         self.jvm = spark.sparkContext._jvm
         self.conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self.paths: list[str] = []
+        self.lasting = Scope()
+        self.scopes: list[Scope] = [self.lasting]
         self.tables: dict[str, str] = {}
         where = self.jvm.org.apache.hadoop.fs.Path(self.root)
         files = where.getFileSystem(self.conf)
@@ -31,8 +54,24 @@ class _Written:
         where = self.jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.conf).delete(where, True)
 
+    def remove(self, spark: SparkSession, paths: list[str]) -> None:
+        for path in paths:
+            if path in self.tables:
+                spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(path)}")
+            self.delete(path)
+
+    def drop_tables(self) -> None:
+        """A catalog may outlive the application: it keeps no table of this one."""
+        for path, table in list(self.tables.items()):
+            with contextlib.suppress(Exception):  # the session has stopped
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+                del self.tables[path]
+
 
 _written: dict[str, _Written] = {}
+_lock = threading.RLock()
+#: The scope of the call that runs in this thread; each thread begins without one.
+_scope: ContextVar[Scope | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,18 +96,60 @@ def shared_dir(spark: SparkSession) -> str:
 
 def _of(spark: SparkSession) -> _Written:
     application = spark.sparkContext.applicationId
-    if application not in _written:
-        if not _written:
-            atexit.register(release_all)
-        _written[application] = _Written(spark)
-    return _written[application]
+    with _lock:
+        if application not in _written:
+            if not _written:
+                atexit.register(release_all)
+            _written[application] = _Written(spark)
+        return _written[application]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is removed when the driver ends."""
+    """A fresh path in the shared folder; it belongs to the running scope, or else lasts until the driver ends."""
     own = _of(spark)
-    own.paths.append(f"{own.root}/{name}-{uuid.uuid4().hex}")
-    return own.paths[-1]
+    path = f"{own.root}/{name}-{uuid.uuid4().hex}"
+    (_scope.get() or own.lasting).add(path)
+    return path
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession, keep: bool = True, lasting: bool = False) -> Iterator[Scope]:
+    """What is written in this thread while this lasts belongs together.
+
+    An error removes all of it, and so does a good end unless ``keep``: then the
+    enclosing scope gets it, or the application where there is none or
+    ``lasting`` asks for it.  Other threads' tables are never touched.
+    """
+    own, within = _of(spark), _scope.get()
+    here = Scope(within)
+    with _lock:
+        own.scopes.append(here)
+    token = _scope.set(here)
+    try:
+        yield here
+    except BaseException:
+        keep = False
+        raise
+    finally:
+        _scope.reset(token)
+        paths = here.take()
+        if keep:
+            (own.lasting if lasting or within is None else within).add(*paths)
+        with _lock:
+            own.scopes.remove(here)
+        if not keep:
+            own.remove(spark, paths)
+
+
+def scoped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``query(spark, ...)`` which leaves nothing behind when it fails."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args, **kwargs) -> DataFrame:
+        with scope(spark):
+            return query(spark, *args, **kwargs)
+
+    return run
 
 
 def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
@@ -83,23 +164,38 @@ def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """``make()`` materialized; every table written on the way to it is removed at once."""
-    before = written(spark)
-    out = materialize(make(), name)
-    release(spark, keep=before | {_of(spark).paths[-1]})
-    return out
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame], codec: str | None = None) -> DataFrame:
+    """``make()`` materialized; every table written on the way to it is removed at once, also when it fails."""
+    path = new_path(spark, name)
+    with scope(spark, keep=False):
+        df = make()
+        df.write.parquet(path, compression=codec)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_ordered: dict[str, tuple[int, str]] = {}
 
 
 @contextlib.contextmanager
 def ordered_buckets(spark: SparkSession) -> Iterator[None]:
-    """While this lasts, bucketed tables of one file a bucket are read as sorted as they are; the session's setting comes back."""
-    had = spark.conf.get(_ORDERED_BUCKETS)
-    spark.conf.set(_ORDERED_BUCKETS, "true")
+    """While this lasts, bucketed tables of one file a bucket are read as sorted as they are.
+
+    The last thread of a session that leaves gives its setting back.
+    """
+    key = str(spark._jsparkSession.sessionUUID())
+    with _lock:
+        users, had = _ordered.get(key) or (0, spark.conf.get(_ORDERED_BUCKETS))
+        _ordered[key] = users + 1, had
+        spark.conf.set(_ORDERED_BUCKETS, "true")
     try:
         yield
     finally:
-        spark.conf.set(_ORDERED_BUCKETS, had)
+        with _lock:
+            users, had = _ordered.pop(key)
+            if users > 1:
+                _ordered[key] = users - 1, had
+            else:
+                spark.conf.set(_ORDERED_BUCKETS, had)
 
 
 def materialize_bucketed(df: DataFrame, name: str, keys: tuple[str, ...], buckets: int) -> tuple[DataFrame, str]:
@@ -120,23 +216,22 @@ def materialize_bucketed(df: DataFrame, name: str, keys: tuple[str, ...], bucket
 
 
 def release(spark: SparkSession, keep: set[str] = frozenset()) -> None:
-    """Remove every intermediate table written so far but those in ``keep``."""
+    """Remove what this thread's scope wrote but what is in ``keep``; outside of any scope, what lasts."""
     own = _written.get(spark.sparkContext.applicationId)
-    for path in [p for p in own.paths if p not in keep] if own else ():
-        if path in own.tables:
-            spark.sql(f"DROP TABLE IF EXISTS {own.tables.pop(path)}")
-        own.delete(path)
-        own.paths.remove(path)
+    if own:
+        own.remove(spark, (_scope.get() or own.lasting).take(keep))
 
 
 def written(spark: SparkSession) -> set[str]:
     """Paths of the intermediate tables that are still there."""
     own = _written.get(spark.sparkContext.applicationId)
-    return set(own.paths) if own else set()
+    with _lock:
+        return {p for s in own.scopes for p in s.paths} if own else set()
 
 
 def release_all() -> None:
     """At the driver's end: the sessions may have stopped, their JVM hasn't."""
     for own in _written.values():
+        own.drop_tables()
         with contextlib.suppress(Exception):  # a driver that was killed leaves this to the JVM
             own.delete(own.root)
