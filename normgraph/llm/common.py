@@ -6,13 +6,15 @@ import contextlib
 import ctypes
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normgraph.storage import materialize, new_path, release, shared_dir, written
+from normgraph.storage import materialize, new_path, release, scope, scoped, settled, shared_dir, written
 
-__all__ = ["arrow_map", "free_name", "lean", "materialize", "new_path", "release", "shared_dir", "text_or_empty", "weighted_lookup", "written"]
+__all__ = ["arrow_map", "free_name", "lean", "materialize", "new_path", "release", "scope", "scoped", "settled", "shared_dir", "text_or_empty", "weighted_lookup", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -42,12 +44,31 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def slices(batch: pa.RecordBatch, limit: int = ARROW_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose texts have about ``limit`` bytes; a longer row stands alone."""
+    if batch.nbytes <= limit or batch.num_rows < 2:
+        yield batch
+        return
+    sizes = np.full(batch.num_rows, 16, np.int64)
+    rest = batch.nbytes
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            own = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+            sizes += own
+            rest -= int(own.sum())
+    sizes += max(0, rest) // batch.num_rows  # other columns: alike in every row
+    number = (np.cumsum(sizes) - 1) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+    for s, e in zip(cuts, cuts[1:]):
+        yield batch.slice(s, e - s)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for mapInArrow, giving memory back when its task ends."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(part for batch in batches for part in slices(batch))
         finally:
             give_back()
 
@@ -57,13 +78,9 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow, giving memory back when a task ends.
 
-    Batches go by bytes, so that long texts fit beside the executor's heap.  A
-    limit that the session was given, in whatever unit, stays as it is; where it
-    has none, Spark's default of 64 MB gives way to ARROW_BYTES.
+    Kernels get batches of about ARROW_BYTES, whatever the session's limits on
+    batches are; those stay as they are.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if name not in conf.getAll:
-        conf.set(name, f"{ARROW_BYTES}b")
     return df.mapInArrow(lean(run), schema)
 
 

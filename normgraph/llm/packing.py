@@ -10,6 +10,7 @@ the pieces of the same length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,7 +41,9 @@ class WordIds:
     The tokenizer drops white space before its merges, so a text's ids are its
     chunks' ids in a row.  It also splits letters from punctuation and
     lower-cases, so a plain word with punctuation after it is looked up as the
-    lower-cased word and the punctuation.  Words in use are remembered.
+    lower-cased word and the punctuation.  Words in use are remembered.  A
+    special token's string in a text gives that token, as the tokenizer has it:
+    such chunks, and texts with one that holds white space, go to it whole.
     """
 
     #: White space when texts are split, but ordinary characters for the tokenizer.
@@ -51,7 +54,9 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        whole = [self.SEPARATORS, *(re.escape(t) for t in added if len(t.split()) != 1 or t.strip() != t)]
+        self.apart, self.plain_words = "|".join(whole), not any(all(c.isalpha() or c in self.PUNCTUATION for c in t) for t in added)
         self.model = self.tokenizer.model
         to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelling = str.maketrans({c: to_bytes.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xA1, 0x100)) if c.isalpha()})
@@ -77,7 +82,7 @@ class WordIds:
     def chunk(self, chunk: str) -> bytes:
         head = chunk.rstrip(self.PUNCTUATION)
         # Latin-1 letters have one lower-case letter each, whatever stands around them
-        if head.isalpha() and max(head) <= "\xff":
+        if self.plain_words and head.isalpha() and max(head) <= "\xff":
             ids = self.word(head.lower())
             return ids + self.word(chunk[len(head) :]) if len(head) < len(chunk) else ids
         return self.direct(chunk)
@@ -88,7 +93,7 @@ class WordIds:
         Chunks are told apart and counted in columns: only distinct ones are
         looked up one by one.
         """
-        has = pc.match_substring_regex(texts, self.SEPARATORS)
+        has = pc.match_substring_regex(texts, self.apart)
         odd = np.flatnonzero(has.to_numpy(zero_copy_only=False)).tolist()
         plain = pc.if_else(has, "", texts) if odd else texts
         words = pc.utf8_split_whitespace(plain)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from normgraph.llm import chat_format, decontaminate, exact_dedup, importance, infilling, license_scan, line_dedup, minhash, packing, secret_scan, sentencepiece_codec, topk_search, toxicity
+from normgraph.llm.common import scoped
 
 QUERIES = {
     "op1_license_scan": (license_scan.op1_license_scan, license_scan.SQL),
@@ -22,7 +23,7 @@ QUERIES = {
 
 
 def queries() -> dict:
-    return {name: f for name, (f, _) in QUERIES.items()}
+    return {name: scoped(f) for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

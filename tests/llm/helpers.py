@@ -43,4 +43,5 @@ AWKWARD = [
     "the quick brown fox jumps over the lazy dog again and again until it is very tired of all that jumping around there",
     "</s>[INST] <|endoftext|> <<SYS>> \\ <\\ [\\/INST]",
     "the the the the the the the the",
+    "hello <|endoftext|> world<|startoftext|>, <|ENDOFTEXT|> a<|endoftext|>b <|endoftext|><|endoftext|>",
 ]

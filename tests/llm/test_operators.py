@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,7 +261,6 @@ def test_packing_ids_and_bins(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     texts = AWKWARD + AWKWARD
     got = packing.pack_documents(clashing(documents(spark, texts)), packing.tokenizer_path(), capacity=512).collect()
     expected = {}
@@ -273,6 +273,27 @@ def test_packing_ids_and_bins(spark):
     check_bins([(r.sequence_id, r.offset, r.length) for r in got], 512)
 
 
+def test_packing_with_added_tokens_of_any_kind():
+    """Tokens of letters, of punctuation and with white space, beside those of the file."""
+    from tokenizers import AddedToken, Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    tokenizer.add_tokens(["naïve", "!", AddedToken("two  words", normalized=False), " lead"])
+    texts = ["a naïve two  words! x", "two words lead lead! naïves", "two\u2028words <|endoftext|>\x1cend", "", *[t or "" for t in AWKWARD]]
+    ids, at = packing.WordIds(tokenizer.to_str()).of(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("rows", [1, 7])
+def test_arrow_kernels_get_small_batches(rows):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(rows)), pa.array(["x" * (10 * k) for k in range(rows)]), pa.array([[1.0] * k for k in range(rows)])], names=["a", "b", "c"])
+    for limit in (1, 50, 10**6):
+        parts = list(common.slices(batch, limit))
+        assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+        assert len(parts) == {1: rows, 10**6: 1}.get(limit, len(parts))
+
+
 def check_bins(rows, capacity):
     bins = {}
     for s, o, n in rows:
@@ -452,7 +473,7 @@ def test_arrow_limit_of_the_session_stays(spark):
             assert spark.conf.get(name) == limit
         spark.conf.unset(name)
         assert common.arrow_map(spark.range(10), same, "id long").count() == 10
-        assert spark.conf.get(name) == f"{common.ARROW_BYTES}b"
+        assert spark.conf.get(name) == had
     finally:
         spark.conf.set(name, had)
 

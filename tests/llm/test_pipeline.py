@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from normgraph.llm import packing, secret_scan, toxicity
 from normgraph.storage import written
+from tests.conftest import rows_of
 from tests.llm.helpers import clashing, documents
 from tests.llm.test_operators import brute_near, check_bins
 
@@ -55,7 +56,6 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     before = written(spark)
     got = corpus_pipeline.run(spark, sf_dir).collect()
     expected = {}
@@ -114,3 +114,40 @@ def test_pipeline_leaves_only_its_last_tables(spark, sf_dir):
 
 def test_order_of_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "secret_scan", "packing"]
+
+
+def test_operators_in_threads_of_one_session(spark, sf_dir):
+    """Each leaves its own tables alone, and a failed one nothing; the session's settings stay."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from normgraph.llm.queries import queries
+    from normgraph.storage import release, scope, scoped, written
+
+    names = ["op8_minhash_dedup", "op4_secret_scan", "op9_line_dedup"]
+    found = queries() | {"pipeline": corpus_pipeline.run}
+    with scope(spark, keep=False):
+        alone = {n: rows_of(found[n](spark, sf_dir)) for n in names}
+    before, settings = written(spark), dict(spark.conf.getAll)
+
+    def failing(name):
+        def fail(s, d):
+            found[name](s, d).count()
+            raise ValueError("stop")
+
+        return scoped(fail)
+
+    def work(task):
+        name, fails = task
+        try:
+            return rows_of((failing(name) if fails else found[name])(spark, sf_dir))
+        except ValueError:
+            return None
+
+    tasks = [(n, False) for n in [*names, "pipeline"]] + [(n, True) for n in [*names, "pipeline"]]
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(work, tasks))
+    assert got[:3] == [alone[n] for n in names] and got[3] and got[4:] == [None] * 4
+    assert dict(spark.conf.getAll) == settings
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("normgraph_")]
+    release(spark, keep=before)
+    assert written(spark) == before
