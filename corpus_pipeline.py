@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normgraph.llm import line_dedup, minhash, packing, secret_scan, toxicity
-from normgraph.llm.common import BROADCAST_ROWS, materialize, new_path, release, text_or_empty, written
+from normgraph.llm.common import BROADCAST_ROWS, materialize, new_path, release, scope, text_or_empty
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -86,11 +86,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs, others = spark.read.parquet(f"{sf_dir}/documents.parquet"), written(spark)
-    for name, stage in STAGES[:-1]:
-        path = new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        release(spark, keep=others | {path})  # what this stage and the one before it wrote
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over ``documents``; what a stage wrote on its way goes when it has ended, a stage's rows when the next one has them."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    with scope(spark) as here:
+        for name, stage in STAGES[:-1]:
+            path = new_path(spark, f"stage-{name}")
+            with scope(spark, keep=False):
+                stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                release(spark, keep=set(here.paths) - {before})
+            before = path
+        return STAGES[-1][1](spark, docs, sf_dir)
