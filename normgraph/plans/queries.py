@@ -13,7 +13,7 @@ from normgraph.operators.ranking import global_rank, head, newest_first, top
 from normgraph.operators.similarity import pair_percentile, pair_statistics, threshold_sweep
 from normgraph.plans import pipeline
 from normgraph.plans.tables import LEVELS, MASTER_SQL, NATIONS_SQL, PATHS_SQL, candidates, edges_of, master, nations, provisions, read, scored
-from normgraph.sources import INCIDENT_SCHEMA, generate_incidents, incident_text, literal_between, localized, parse_log, read_graph, read_incidents, registry_incidents, sinks
+from normgraph.sources import INCIDENT_SCHEMA, extract_pages, extract_texts, generate_incidents, incident_text, literal_between, localized, parse_log, read_graph, read_incidents, registry_incidents, sinks
 from normgraph.storage import materialize, new_path, scoped
 
 QUERIES: dict[str, tuple] = {}
@@ -812,6 +812,34 @@ def explore_split(spark, d):
     return text.explore_provisions(bodies).select("doc", "title", F.md5("content").alias("content"))
 
 
+# --- documents ----------------------------------------------------------------
+
+_TURNS = """WITH t AS (
+  SELECT CAST(conv_id AS VARCHAR) || '.pdf' AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS page, coalesce(text, '') AS text FROM conversations
+)"""
+
+
+def pdf_files(spark, d):
+    """(path, content): conversations as PDF files with a page for each turn, shown in UTF-16 codes; they have no cross-reference."""
+    turn = F.struct("turn", "role", F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-16BE")).alias("codes"))
+    convs = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    numbered = F.transform("turns", lambda t, k: F.concat(F.format_string("%d 0 obj <</Type /Page /Contents %d 0 R>> endobj\n%d 0 obj <<>> stream\nBT /F 1 Tf <", 10 + 2 * k, 11 + 2 * k, 11 + 2 * k), t["codes"], F.lit("> Tj ET\nendstream endobj\n")))
+    kids = F.array_join(F.transform("turns", lambda t, k: F.format_string("%d 0 R", 10 + 2 * k)), " ")
+    head = F.format_string("%%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type /Pages /Kids [%s] /Resources <</Font <</F 3 0 R>>>>>> endobj\n3 0 obj <</Type /Font /Subtype /Type0 /ToUnicode 4 0 R>> endobj\n4 0 obj <<>> stream\n1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange\nendstream endobj\n", kids)
+    return convs.select(F.concat(F.col("conv_id").cast("string"), F.lit(".pdf")).alias("path"), F.concat(head, F.array_join(numbered, "")).cast("binary").alias("content"))
+
+
+@query("pdf_pages", _TURNS + " SELECT path, CAST(page AS INTEGER) AS page, text, false AS damaged FROM t")
+def pdf_pages(spark, d):
+    return extract_pages(pdf_files(spark, d))
+
+
+@query("pdf_first_pages", _TURNS + " SELECT path, coalesce(string_agg(text || chr(10), '' ORDER BY page) FILTER (page <= 2 AND text <> ''), '') AS text, false AS damaged FROM t GROUP BY path")
+def pdf_first_pages(spark, d):
+    """Texts under a limit of two pages."""
+    return extract_texts(pdf_files(spark, d), max_pages=2)
+
+
 @query("literal_between", "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages")
 def literal(spark, d):
     return read(spark, d, "pages").select("page_id", literal_between(F.col("html"), "<title>", "</title>").alias("title"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from normgraph.functions.tables import ATTACKS, CITIES, INSTITUTIONS, SEED_INCIDENTS, YEARS
 from normgraph.functions.text import DEFAULT_YEAR, base_name, class_from_path, node_id, split_provisions, year_from_name
 from normgraph.model import Graph
+from normgraph.sources.pdf import page_texts
 
 INCIDENT_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
@@ -73,36 +74,76 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Data
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", "content")
 
 
-class MissingExtractor(RuntimeError):
-    """There is no way to read such files: this must not pass for empty texts."""
+def document_pages(content: bytes, max_pages: int | None = None) -> Iterator[str | None]:
+    """Default extractor: the pages of a PDF file, or of UTF-8 text at form feeds; None for a damaged page.
+
+    No more than ``max_pages`` are read.
+    """
+    if content[:1024].lstrip().startswith(b"%PDF"):
+        yield from page_texts(content, max_pages)
+    else:
+        yield from content.decode("utf-8").split("\f")[:max_pages]
+
+
+def extract_pages(files: DataFrame, extractor: Callable[[bytes, int | None], Iterable[str | None]] = document_pages, max_pages: int | None = None) -> DataFrame:
+    """(path, page, text, damaged), a row for each page from 1 on, as it is read.
+
+    A damaged page has an empty text; where a file can't be read any further a
+    damaged row stands for the rest of it (page 1 if it can't be read at all).
+    A null content counts as damaged, an empty file has one empty page.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, content in enumerate(batch.column(1)):
+                rows: list[tuple[int, str, bool]] = []
+                for row in _pages(content.as_py(), extractor, max_pages):
+                    rows.append(row)
+                    if len(rows) >= PAGES_AT_ONCE:
+                        yield _page_rows(batch.column(0), k, rows)
+                        rows = []
+                if rows:
+                    yield _page_rows(batch.column(0), k, rows)
+
+    return files.select("path", "content").mapInArrow(run, "path string, page int, text string, damaged boolean")
+
+
+#: Pages that are handed on together.
+PAGES_AT_ONCE = 64
+
+
+def _pages(content: bytes | None, extractor: Callable, max_pages: int | None) -> Iterator[tuple[int, str, bool]]:
+    number = 0
+    try:
+        for text in extractor(content, max_pages):
+            number += 1
+            yield number, text or "", text is None
+    except ImportError:
+        raise  # no way to read such files: this must not pass for empty texts
+    except Exception:  # a damaged file costs its own provisions, not the job
+        yield number + 1, "", True
 
 
-def plain_text(content: bytes, max_pages: int | None = None) -> list[str]:
-    """Default extractor: UTF-8 text with pages split at form feeds; for PDF files another one has to be passed."""
-    if content.startswith(b"%PDF"):
-        raise MissingExtractor("no PDF extractor is installed: pass one to extract_texts")
-    return content.decode("utf-8").split("\f")[:max_pages]
+def _page_rows(paths: pa.Array, k: int, rows: list[tuple[int, str, bool]]) -> pa.RecordBatch:
+    page, text, damaged = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array([paths[k].as_py()] * len(rows), pa.string()), pa.array(page, pa.int32()), pa.array(text, pa.string()), pa.array(damaged, pa.bool_())], names=["path", "page", "text", "damaged"])
 
 
-def extract_texts(files: DataFrame, extractor: Callable[[bytes, int | None], list[str]] = plain_text, max_pages: int | None = None) -> DataFrame:
+def extract_texts(files: DataFrame, extractor: Callable[[bytes, int | None], Iterable[str | None]] = document_pages, max_pages: int | None = None) -> DataFrame:
     """(path, text, damaged): non-empty pages, each followed by a line end.
 
-    A file that the extractor fails on has an empty text and is marked as
-    damaged; without an extractor for its kind the job fails.
+    A file that the extractor fails on, at the start or later on, is marked as
+    damaged and has the pages before; so is one with a damaged page, which has
+    all others.  Without a way to read such files at all the job fails.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, damaged = [], []
             for content in batch.column(1):
-                try:
-                    texts.append("".join(p + "\n" for p in extractor(content.as_py(), max_pages) if p))
-                    damaged.append(False)
-                except (MissingExtractor, ImportError):
-                    raise
-                except Exception:  # a damaged file costs its own provisions, not the job
-                    texts.append("")
-                    damaged.append(True)
+                pages = list(_pages(content.as_py(), extractor, max_pages))
+                texts.append("".join(t + "\n" for _, t, _ in pages if t))
+                damaged.append(any(d for _, _, d in pages))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(damaged, pa.bool_())], names=["path", "text", "damaged"])
 
     return files.select("path", "content").mapInArrow(run, "path string, text string, damaged boolean")

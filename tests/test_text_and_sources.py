@@ -134,12 +134,16 @@ def test_renaming_skips_names_already_taken(spark):
         assert [r.new_id for r in ident.rename_incidents(df).orderBy("ord").collect()] == renamed([(i, b) for i, _, _, b in rows])
 
 
-def test_a_pdf_without_an_extractor_is_an_error(spark, tmp_path):
+def test_other_extractors(spark, tmp_path):
     import pytest
 
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7 ...")
-    with pytest.raises(Exception, match="no PDF extractor"):
-        sources.extract_texts(sources.list_files(spark, str(tmp_path))).collect()
+
+    def none(content, most):
+        raise ImportError("no such library")
+
+    with pytest.raises(Exception, match="no such library"):
+        sources.extract_texts(sources.list_files(spark, str(tmp_path)), none).collect()
     pages = lambda content, most: ["one", "", "two", "three"][:most]
     got = sources.extract_texts(sources.list_files(spark, str(tmp_path)), pages).first()
     assert (got.text, got.damaged) == ("one\ntwo\nthree\n", False)
@@ -149,8 +153,9 @@ def test_a_pdf_without_an_extractor_is_an_error(spark, tmp_path):
 def test_a_damaged_file_is_marked(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"\xff\xfe\xff")
     (tmp_path / "b.pdf").write_bytes(b"<html>Page not found</html>")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-1.7 ...")
     got = {r.path.rsplit("/", 1)[-1]: (r.text, r.damaged) for r in sources.extract_texts(sources.list_files(spark, str(tmp_path))).collect()}
-    assert got == {"a.pdf": ("", True), "b.pdf": ("<html>Page not found</html>\n", False)}
+    assert got == {"a.pdf": ("", True), "b.pdf": ("<html>Page not found</html>\n", False), "c.pdf": ("", True)}
 
 
 def test_fixed_decimals_are_those_of_python(spark):
