@@ -9,10 +9,11 @@ from normgraph.model import INCIDENT, Graph
 from normgraph.operators import graph as g
 from normgraph.operators import registry, report, tfidf
 from normgraph.operators.centrality import betweenness
+from normgraph.operators.growth import GrowingGraph
 from normgraph.operators.ranking import global_rank, head, newest_first, top
 from normgraph.operators.similarity import pair_percentile, pair_statistics, threshold_sweep
 from normgraph.plans import pipeline
-from normgraph.plans.tables import LEVELS, MASTER_SQL, NATIONS_SQL, PATHS_SQL, candidates, edges_of, master, nations, provisions, read, scored
+from normgraph.plans.tables import LEVELS, MASTER_SQL, NATIONS_SQL, NODES_SQL, PATHS_SQL, candidates, edges_of, master, nations, provisions, read, scored
 from normgraph.sources import INCIDENT_SCHEMA, extract_pages, extract_texts, generate_incidents, incident_text, literal_between, localized, parse_log, read_graph, read_incidents, registry_incidents, sinks
 from normgraph.storage import materialize, new_path, scoped
 
@@ -249,6 +250,24 @@ def components(spark, d):
     return report.components(master(spark, d))
 
 
+_GROWN = f"""WITH RECURSIVE {NODES_SQL}, e AS (
+  SELECT a.ord AS ao, b.ord AS bo, list_cosine_similarity(a.e, b.e) AS score FROM n a JOIN n b ON a.ord < b.ord AND a.grp <> b.grp WHERE list_cosine_similarity(a.e, b.e) >= {LEVELS['cross']}
+), x AS (SELECT ao AS id, bo AS other FROM e UNION ALL SELECT bo, ao FROM e),
+r(id, c) AS (SELECT DISTINCT id, id FROM x UNION SELECT x.other, r.c FROM r JOIN x ON x.id = r.id WHERE r.c < x.other), cc AS (SELECT id, min(c) AS component FROM r GROUP BY id)"""
+
+
+@query("edges_grown", _GROWN + " SELECT ao AS src, bo AS dst, round(score, 6) AS score, component FROM e JOIN cc ON cc.id = ao")
+def edges_grown(spark, d):
+    """Links between groups in a graph that takes its rows in three batches, each row with its component."""
+    rows = provisions(spark, d).select("ord", "group", "vector")
+    graph = GrowingGraph(spark, new_path(spark, "grown"), LEVELS["cross"])
+    turn = F.pmod(F.xxhash64("ord"), F.lit(10))
+    for batch in (turn < 8, turn == 8, turn == 9):
+        graph.add(rows.where(batch))
+    label = graph.components().select(F.col("node").alias("src"), "component")
+    return graph.edges().join(label, "src").select("src", "dst", r6("score").alias("score"), "component")
+
+
 _SUMMARY = ", z AS (SELECT component, count(*) AS size FROM cc GROUP BY component) SELECT count(*) AS n_components, max(size) AS largest, coalesce((SELECT size FROM z ORDER BY size DESC, component LIMIT 1 OFFSET 1), 0) AS second, count(*) FILTER (size = 1) AS n_single FROM z"
 
 
