@@ -46,9 +46,14 @@ def induced(graph: Graph, keep: Column) -> Graph:
     return Graph(nodes, edges.select(*graph.edges.columns))
 
 
-def class_subgraph(graph: Graph, prefix: str) -> Graph:
-    """Nodes whose classification (group, where it has none) starts with ``prefix``."""
-    return induced(graph, F.coalesce("classification", "group").startswith(prefix))
+def class_subgraph(graph: Graph, prefix: str, by_group: bool = True) -> Graph:
+    """Nodes whose classification starts with ``prefix``.
+
+    A node without one goes by its group, or with ``by_group`` unset by an empty
+    text, which only an empty prefix fits.
+    """
+    other = F.col("group") if by_group else F.lit("")
+    return induced(graph, F.coalesce("classification", other, F.lit("")).startswith(prefix))
 
 
 def typed_subgraph(graph: Graph, edge_type: str) -> Graph:
@@ -114,12 +119,12 @@ def inspector(graph: Graph, first: int = 5) -> DataFrame:
     return degrees(graph).join(listed, "id", "left").select("id", "degree", F.coalesce("neighbours", F.lit("")).alias("neighbours"), F.greatest(F.col("degree") - first, F.lit(0)).alias("more"))
 
 
-def incident_context(graph: Graph) -> DataFrame:
-    """(id, n_warrants, context): the non-incident neighbours of each incident."""
+def incident_context(graph: Graph, line: Column | None = None, separator: str = "\n") -> DataFrame:
+    """(id, n_warrants, context): the non-incident neighbours of each incident, by ``line`` (their label)."""
     inc = graph.nodes.where(F.col("group") == INCIDENT).select("id", F.col("label").alias("incident"))
     near = neighbours(graph).where(F.coalesce("other_group", F.lit("")) != INCIDENT).join(inc.select("id"), "id", "left_semi")
-    listed = near.groupBy("id").agg(F.count(F.lit(1)).alias("n_warrants"), F.array_sort(F.collect_list(F.struct("ord", "label"))).alias("x"))
-    text = F.array_join(F.transform("x", lambda e: e["label"]), "\n")
+    listed = near.groupBy("id").agg(F.count(F.lit(1)).alias("n_warrants"), F.array_sort(F.collect_list(F.struct("ord", (F.col("label") if line is None else line).alias("label")))).alias("x"))
+    text = F.array_join(F.transform("x", lambda e: e["label"]), separator)
     return inc.join(listed, "id", "left").select("id", F.coalesce("n_warrants", F.lit(0)).alias("n_warrants"), F.coalesce(text, F.lit("")).alias("context"))
 
 

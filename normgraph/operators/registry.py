@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normgraph.functions.prompts import ARGUMENT_PROMPT, COMPLIANCE_PROMPT, KIND_NAMES, NO_DESCRIPTION, NO_REGULATIONS, SECTOR_NAMES
 from normgraph.functions.tables import COMPLIANCE
 
 # Sectors with their coverage scores (constants, not derived from
@@ -87,3 +88,29 @@ def prompt(template: str, fields: dict[str, Column]) -> Column:
     for name, value in fields.items():
         out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
     return out
+
+
+def _named(value: Column, names: dict[str, str]) -> Column:
+    """The name of a key, or the key itself."""
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[value], value)
+
+
+def compliance_prompts(requests: DataFrame, rules: DataFrame, sector: str = "sector", kind: str = "kind", description: str = "description") -> DataFrame:
+    """``requests`` with ``prompt``, which lists the rules of their sector (those of ``other`` where it is unknown or null).
+
+    Unknown kinds and sectors stand as they are; a null or empty description has
+    a text of its own.  Rules are few, so they are broadcast.
+    """
+    lines = rule_lines(rules.withColumnRenamed("sector", "_use"), "_use").withColumnRenamed("lines", "_lines")
+    known = F.broadcast(rules.select(F.col("sector").alias("_known")).distinct())
+    asked = requests.join(known, F.col(sector) == F.col("_known"), "left").withColumn("_use", F.coalesce("_known", F.lit(OTHER)))
+    filled = asked.join(F.broadcast(lines), "_use")
+    told = F.when(F.coalesce(F.col(description), F.lit("")) == "", F.lit(NO_DESCRIPTION)).otherwise(F.col(description))
+    text = prompt(COMPLIANCE_PROMPT, {"sector": _named(F.col(sector), SECTOR_NAMES), "kind": _named(F.col(kind), KIND_NAMES), "rules": F.col("_lines"), "description": told})
+    return filled.withColumn("prompt", text).drop("_known", "_use", "_lines")
+
+
+def argument_prompts(incidents: DataFrame) -> DataFrame:
+    """(id, prompt) of (id, text, n_warrants, context) rows: an incident's facts beside the regulations that were found for it."""
+    found = F.when(F.coalesce("context", F.lit("")) == "", F.lit(NO_REGULATIONS)).otherwise(F.col("context"))
+    return incidents.select("id", prompt(ARGUMENT_PROMPT, {"count": F.col("n_warrants"), "incident": F.col("text"), "regulations": found}).alias("prompt"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from normgraph.functions import bands, ident, tables, text, translate
+from normgraph.functions import prompts as prompts_text
 from normgraph.model import INCIDENT, Graph
 from normgraph.operators import graph as g
 from normgraph.operators import registry, report, tfidf
@@ -151,6 +152,24 @@ def subgraph_natl_degrees(spark, d):
     return g.degrees(g.class_subgraph(master(spark, d), "Natl:")).select("id", "degree")
 
 
+_BARE = MASTER_SQL + ", b AS (SELECT id, grp, CASE WHEN ord % 3 > 0 THEN cls END AS cls, CASE WHEN ord % 2 = 0 THEN 'Intl: ' || grp ELSE grp END AS own FROM g)"
+
+
+@query("subgraph_without_classification", _BARE + """ SELECT 'by group' AS kind, count(*) AS n_nodes, (SELECT count(*) FROM e WHERE src IN (SELECT id FROM b WHERE starts_with(coalesce(cls, own), 'Intl:')) AND dst IN (SELECT id FROM b WHERE starts_with(coalesce(cls, own), 'Intl:'))) AS n_edges FROM b WHERE starts_with(coalesce(cls, own), 'Intl:')
+UNION ALL SELECT 'by class', count(*), (SELECT count(*) FROM e WHERE src IN (SELECT id FROM b WHERE starts_with(cls, 'Intl:')) AND dst IN (SELECT id FROM b WHERE starts_with(cls, 'Intl:'))) FROM b WHERE starts_with(cls, 'Intl:')""")
+def subgraph_without_classification(spark, d):
+    """A third of the nodes has no classification, and goes by its group or by nothing."""
+    m = master(spark, d)
+    group = F.when(F.col("ord") % 2 == 0, F.concat(F.lit("Intl: "), "group")).otherwise(F.col("group"))
+    bare = Graph(m.nodes.withColumns({"classification": F.when(F.col("ord") % 3 > 0, F.col("classification")), "group": group}), m.edges)
+    out = None
+    for kind, by_group in (("by group", True), ("by class", False)):
+        part = g.class_subgraph(bare, "Intl:", by_group)
+        row = part.nodes.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n_nodes")).crossJoin(F.broadcast(part.edges.agg(F.count(F.lit(1)).alias("n_edges"))))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("subgraph_cross", MASTER_SQL + " SELECT n.id, count(x.other) AS degree FROM n LEFT JOIN x ON x.id = n.id AND x.kind = 'cross' GROUP BY n.id")
 def subgraph_cross(spark, d):
     return g.degrees(g.typed_subgraph(master(spark, d), "cross_jurisdiction")).select("id", "degree")
@@ -635,9 +654,15 @@ def registry_search_text(spark, d):
     return registry.search(read(spark, d, "documents"), "LICENSE", ("text", "source")).select("doc_id")
 
 
-@query("sector_status", "SELECT * FROM (VALUES ('fintech', 38, 1, 2, 3, 'medium'), ('facial', 22, 0, 2, 3, 'low'), ('ecommerce', 29, 1, 2, 3, 'low'), ('content', 35, 0, 3, 3, 'medium'), ('judicial', 18, 1, 1, 3, 'low')) AS t(sector, score, covered, partial, gap, band)")
+_SECTOR_KEYS = ("fintech", "facial", "ecommerce", "content", "judicial", "health")
+
+
+@query("sector_status", f"""SELECT s.*, (SELECT count(*) FROM customer WHERE ({_listed(_SECTOR_KEYS)})[c_custkey % {len(_SECTOR_KEYS)} + 1] = s.sector) AS n_asked
+FROM (VALUES ('fintech', 38, 1, 2, 3, 'medium'), ('facial', 22, 0, 2, 3, 'low'), ('ecommerce', 29, 1, 2, 3, 'low'), ('content', 35, 0, 3, 3, 'medium'), ('judicial', 18, 1, 1, 3, 'low')) AS s(sector, score, covered, partial, gap, band)""")
 def sector_status(spark, d):
-    return registry.sectors(spark).drop("title")
+    """Cards of the sectors, each with how many customers ask for it."""
+    asked = read(spark, d, "customer").groupBy(_pick(_SECTOR_KEYS, "c_custkey").alias("sector")).agg(F.count(F.lit(1)).alias("n_asked"))
+    return registry.sectors(spark).drop("title").join(F.broadcast(asked), "sector", "left").withColumn("n_asked", F.coalesce("n_asked", F.lit(0)))
 
 
 @query("status_counts", "SELECT toxic, count(*) FILTER (quality = 1) AS n_1, count(*) FILTER (quality = 0) AS n_0 FROM labels GROUP BY toxic")
@@ -686,16 +711,48 @@ def prompts(spark, d):
     return read(spark, d, "pages").select("page_id", registry.prompt("Which rule covers {url}?", {"url": F.col("url")}).alias("prompt"))
 
 
-@query("rule_prompts", f"""SELECT sector, 'Sektor: ' || sector || chr(10) || string_agg('- [' || upper(status) || '] ' || title || ': ' || desc_, chr(10) ORDER BY ord) AS prompt FROM (VALUES {_RULES}) AS r(sector, status, title, desc_, recom, ord) GROUP BY sector""")
+def _sql_prompt(template: str, fields: dict[str, str]) -> str:
+    out = _quoted(template)
+    for name, value in fields.items():
+        out = f"replace({out}, '{{{name}}}', {value})"
+    return out
+
+
+def _sql_named(value: str, names: dict[str, str]) -> str:
+    return f"CASE {value} {' '.join(f'WHEN {_quoted(k)} THEN {_quoted(v)}' for k, v in names.items())} ELSE {value} END"
+
+
+_ASKED = ("fintech", "facial", "health", "elsewhere")
+_KINDS = ("generative", "nlp", "unheard of")
+
+
+@query("rule_prompts", f"""WITH r AS (
+  SELECT sector, string_agg('- [' || upper(status) || '] ' || title || ': ' || desc_, chr(10) ORDER BY ord) AS rules FROM (VALUES {_RULES}) AS r(sector, status, title, desc_, recom, ord) GROUP BY sector
+), c AS (SELECT c_custkey, c_name, ({_listed(_ASKED)})[c_custkey % 4 + 1] AS s, ({_listed(_KINDS)})[c_custkey % 3 + 1] AS k FROM customer)
+SELECT c_custkey, {_sql_prompt(prompts_text.COMPLIANCE_PROMPT, {"sector": _sql_named("s", prompts_text.SECTOR_NAMES), "kind": _sql_named("k", prompts_text.KIND_NAMES), "rules": "rules", "description": f"CASE WHEN c_custkey % 5 = 0 THEN {_quoted(prompts_text.NO_DESCRIPTION)} ELSE c_name END"})} AS prompt
+FROM c JOIN r ON r.sector = CASE s WHEN 'elsewhere' THEN 'other' ELSE s END""")
 def rule_prompts(spark, d):
-    lines = registry.rule_lines(registry.compliance_rules(spark))
-    return lines.select("sector", registry.prompt("Sektor: {sector}\n{rules}", {"sector": F.col("sector"), "rules": F.col("lines")}).alias("prompt"))
+    """Every customer's request with the rules of its sector."""
+    asked = read(spark, d, "customer").select("c_custkey", _pick(_ASKED, "c_custkey").alias("sector"), _pick(_KINDS, "c_custkey").alias("kind"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_name")).alias("description"))
+    return registry.compliance_prompts(asked, registry.compliance_rules(spark)).select("c_custkey", "prompt")
 
 
-@query("seed_incidents", f"SELECT * FROM (VALUES {', '.join(f'({_quoted(r[0])}, {_quoted(r[1])}, {_quoted(r[3][5])}, {_quoted(r[4])}, CAST({r[5]} AS INTEGER), {_quoted(r[6])})' for r in tables.SEED_INCIDENTS)}) AS t(id, narrative, nexus, severity, year, type)")
+@query("argument_prompts", MASTER_SQL + f""", w AS (
+  SELECT x.id, count(*) AS n, string_agg('[' || o.label || ']: ' || o.label, chr(10) || chr(10) ORDER BY x.ord) AS regs FROM x JOIN n o ON o.id = x.other JOIN n i ON i.id = x.id WHERE i.side = 'inc' AND o.side <> 'inc' GROUP BY x.id
+) SELECT n.id, {_sql_prompt(prompts_text.ARGUMENT_PROMPT, {"count": "CAST(coalesce(w.n, 0) AS VARCHAR)", "incident": "n.label", "regulations": f"coalesce(w.regs, {_quoted(prompts_text.NO_REGULATIONS)})"})} AS prompt FROM n LEFT JOIN w USING (id) WHERE n.side = 'inc'""")
+def argument_prompts(spark, d):
+    """Every incident of the master graph with the regulations that similarity found for it."""
+    m = master(spark, d)
+    found = g.incident_context(m, F.concat(F.lit("["), "label", F.lit("]: "), "label"), "\n\n")
+    return registry.argument_prompts(found.join(m.nodes.select("id", F.col("label").alias("text")), "id"))
+
+
+@query("seed_incidents", f"""SELECT s_suppkey, t.* FROM supplier JOIN (SELECT row_number() OVER () - 1 AS k, * FROM (VALUES {', '.join(f'({_quoted(r[0])}, {_quoted(r[1])}, {_quoted(r[3][5])}, {_quoted(r[4])}, CAST({r[5]} AS INTEGER), {_quoted(r[6])})' for r in tables.SEED_INCIDENTS)}) AS t(id, narrative, nexus, severity, year, type)) AS t ON t.k = s_suppkey % {len(tables.SEED_INCIDENTS)}""".replace("t.* FROM", "t.id, t.narrative, t.nexus, t.severity, t.year, t.type FROM"))
 def seed_incidents(spark, d):
+    """Suppliers, each with one of the incidents that are always there."""
     first = registry_incidents(spark).where(~F.col("id").startswith("incident-auto-"))
-    return first.select("id", F.col("peristiwa_hukum_kronologi").alias("narrative"), F.col("pemetaan_fakta_hukum.nexus_kausalitas").alias("nexus"), "severity", "year", "type")
+    rows = first.select(F.col("ord").alias("k"), "id", F.col("peristiwa_hukum_kronologi").alias("narrative"), F.col("pemetaan_fakta_hukum.nexus_kausalitas").alias("nexus"), "severity", "year", "type")
+    return read(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % len(tables.SEED_INCIDENTS)).alias("k")).join(F.broadcast(rows), "k").drop("k")
 
 
 @query("facts_joined", "SELECT p_partkey, concat_ws(' ', p_name, CASE WHEN p_partkey % 2 = 0 THEN 'q' END, CAST(p_size AS VARCHAR), 'b', 'c', 'd', 'f') AS text FROM part")
@@ -719,13 +776,13 @@ def client_errors(spark, d):
     return sinks.log_lines(_errors(spark, d), "t")
 
 
-@query("log_file", "SELECT '[t] ERROR: ' || event_type || ' ' || event_id AS value FROM events UNION ALL SELECT '[t] ERROR: ' || event_type || ' ' || event_id FROM events")
+@query("log_file", f"SELECT unnest(string_split(substr(x.line, 1, length(x.line) - 1) || chr(10), chr(10))) AS value FROM (SELECT {_LOGGED} AS line FROM events) x, range(2)")
 def log_file(spark, d):
-    """Two appends to a log, read back."""
+    """Two appends to a log, read back line by line."""
     path = new_path(spark, "log")
     for _ in range(2):
         sinks.append_log(_errors(spark, d), path, "t")
-    return spark.read.text(path).where(F.col("value").startswith("[t]"))
+    return spark.read.text(path)
 
 
 @query("html_escaped", "SELECT page_id, replace(replace(html, '<', '&lt;'), '>', '&gt;') AS html FROM pages")
@@ -864,9 +921,18 @@ def literal(spark, d):
     return read(spark, d, "pages").select("page_id", literal_between(F.col("html"), "<title>", "</title>").alias("title"))
 
 
-@query("generator", None)
+def _sql_drawn(salt: int, values) -> str:
+    return f"({_listed(values)})[CAST('0x' || md5('42:{salt}:' || s_suppkey)[1:8] AS BIGINT) % {len(values)} + 1]"
+
+
+@query("generator", f"""WITH p AS (
+  SELECT s_suppkey, {_sql_drawn(1, [a[0] for a in tables.ATTACKS])} AS type, {_sql_drawn(2, tables.INSTITUTIONS)} || ' ' || {_sql_drawn(3, tables.CITIES)} AS place, CAST({_sql_drawn(4, [str(y) for y in tables.YEARS])} AS INTEGER) AS year FROM supplier
+) SELECT 'incident-auto-' || s_suppkey AS id, CASE type {' '.join(f'WHEN {_quoted(a[0])} THEN {_quoted(a[2])}' for a in tables.ATTACKS)} END || ' milik instansi ' || place || '.' AS narrative,
+  'Masyarakat pengguna layanan dan pejabat ' || place || '.' AS victim, CASE type {' '.join(f'WHEN {_quoted(a[0])} THEN {_quoted(a[1])}' for a in tables.ATTACKS)} END AS severity, year, type FROM p""")
 def generator(spark, d):
-    return generate_incidents(spark)
+    """A synthetic incident for each supplier."""
+    rows = generate_incidents(spark, numbers=read(spark, d, "supplier").select(F.col("s_suppkey").alias("n")))
+    return rows.select("id", F.col("peristiwa_hukum_kronologi").alias("narrative"), F.col("pemetaan_fakta_hukum.subjek_korban").alias("victim"), "severity", "year", "type")
 
 
 # --- TF-IDF -------------------------------------------------------------------

@@ -181,13 +181,19 @@ def seed_incidents(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*row, k) for k, row in enumerate(SEED_INCIDENTS)], ORDERED_INCIDENTS)
 
 
-def generate_incidents(spark: SparkSession, rows: int = 95, seed: int = 42) -> DataFrame:
-    """Synthetic incidents as ``read_incidents`` gives them, the same for the same seed."""
+def generate_incidents(spark: SparkSession, rows: int = 95, seed: int = 42, numbers: DataFrame | None = None) -> DataFrame:
+    """Synthetic incidents as ``read_incidents`` gives them, the same for the same seed.
+
+    There is one for each of 1 to ``rows``, or for each ``n`` of ``numbers``.
+    What is drawn follows from the digest of seed, draw and number.
+    """
 
     def pick(salt: int, values: tuple) -> Column:
-        return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.xxhash64("n", F.lit(seed), F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
+        digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit(salt), F.col("n").cast("string")).cast("binary"))
+        drawn = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (drawn % len(values) + 1).cast("int"))
 
-    base = spark.range(1, rows + 1).select(F.col("id").alias("n"))
+    base = spark.range(1, rows + 1).select(F.col("id").alias("n")) if numbers is None else numbers.select(F.col("n").cast("long").alias("n"))
     drawn = base.select("n", pick(1, tuple(k for k, _, _ in ATTACKS)).alias("type"), F.concat_ws(" ", pick(2, INSTITUTIONS), pick(3, CITIES)).alias("place"), pick(4, YEARS).alias("year"))
     kind = F.col("type")
     of_kind = lambda k: F.element_at(F.create_map(*[F.lit(x) for a in ATTACKS for x in (a[0], a[k])]), kind)

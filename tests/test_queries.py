@@ -95,8 +95,10 @@ def test_betweenness_on_the_provision_network(spark, sf_dir):
 
 
 def test_generator_is_the_same_for_the_same_seed(spark, sf_dir):
-    a = rows_of(plans.queries()["generator"](spark, sf_dir))
-    assert len(a) == 95 and a == rows_of(plans.queries()["generator"](spark, sf_dir))
+    from normgraph.sources import generate_incidents
+
+    a = rows_of(generate_incidents(spark))
+    assert len(a) == 95 and a == rows_of(generate_incidents(spark)) != rows_of(generate_incidents(spark, seed=43))
 
 
 def test_entry_has_a_flagship_query(spark):
