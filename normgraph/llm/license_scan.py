@@ -1,19 +1,21 @@
 """License scans by an exact set-similarity join with templates.
 
-Text blocks are windows of BLOCK words, one every half window, so that any
-notice of up to half a window lies within one; a template of more words than
-that has windows of twice its words.  A block meets a template when it
-holds at least THRESHOLD of the template's distinct words.  Words are ordered by
-their frequency over all documents, rarest first; then, with need = the words
-that have to be shared,
-
-* prefix filter: one of the template's first |T| - need + 1 words must be among
-  the block's first |B| - need + 1;
-* length filter: |B| >= need;
-* positional filter: what follows both places must leave need words in common.
-
-Words of no template can't be shared, so a block's set leaves them out; this
-keeps all three filters exact.
+Text blocks are all windows of BLOCK words, one beginning at each word; a
+template of more than half of that has windows of twice its words.  A block
+meets a template when it holds at least THRESHOLD of the template's distinct
+words.  Words are ordered by their frequency over all documents, rarest first;
+then, with need = the words that have to be shared,
+
+* prefix filter: one of the template's first |T| - need + 1 words must be in the
+  block, so only blocks around such words are looked at: they make stretches of
+  text, and a stretch holds all blocks that have its prefix words;
+* length filter: a stretch has need of the template's words at least;
+* positional filter: what stands before and after a prefix word, in the template
+  and in the stretch, must leave need words in common.
+
+A stretch that is left has its blocks' words counted by sliding over it, one
+word in and one out.  Words of no template can't be shared, so they are left
+out; this keeps all three filters exact.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normgraph.llm.common import LOWER, UPPER, arrow_map
+from normgraph.llm.words import TABLE
 
 #: Contract: phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -49,9 +52,6 @@ TEMPLATES = (
 THRESHOLD = Fraction(9, 10)
 BLOCK = 64
 
-#: Bytes that are no word characters become spaces, A-Z become a-z.
-TABLE = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(TABLE).split()
@@ -61,12 +61,9 @@ def template_sets(templates=TEMPLATES) -> list[tuple[str, frozenset[bytes]]]:
     return [(label, frozenset(words_of(text.encode()))) for label, text in templates]
 
 
-def windows_of(templates, block: int) -> dict[int, list[int]]:
-    """Places of the templates by the windows they are sought in: ``block`` words, twice its own for a longer one."""
-    found: dict[int, list[int]] = {}
-    for t, (_, text) in enumerate(templates):
-        found.setdefault(max(block, 2 * len(words_of(text.encode()))), []).append(t)
-    return found
+def windows_of(templates, block: int) -> list[int]:
+    """Words of the windows that each template is sought in: ``block``, twice its own for a longer one."""
+    return [max(block, 2 * len(words_of(text.encode()))) for _, text in templates]
 
 
 def need_of(size: int, threshold: Fraction = THRESHOLD) -> int:
@@ -88,50 +85,77 @@ def word_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[byte
 
 
 class TemplateIndex:
-    """Templates' words by global order and an inverted index of their prefixes."""
+    """Templates' words by global order, their prefixes, and the windows they are sought in."""
 
-    def __init__(self, templates, frequencies: dict[bytes, int], threshold: Fraction = THRESHOLD):
+    def __init__(self, templates, frequencies: dict[bytes, int], threshold: Fraction = THRESHOLD, widths: list[int] | None = None):
         vocabulary = sorted({w for _, s in templates for w in s}, key=lambda w: (frequencies.get(w, 0), w))
         self.order = {w: k for k, w in enumerate(vocabulary)}
         self.templates, self.prefix = [], {}
         for t, (label, words) in enumerate(templates):
             ranked, need = sorted(self.order[w] for w in words), need_of(len(words), threshold)
-            self.templates.append((label, frozenset(ranked), len(ranked), need))
-            for i, w in enumerate(ranked[: len(ranked) - need + 1]):
-                self.prefix.setdefault(w, []).append((t, i))
-        self.least = min((need for *_, need in self.templates), default=0)
+            self.templates.append((label, {w: i for i, w in enumerate(ranked)}, need, widths[t] if widths else BLOCK))
+            for w in ranked[: len(ranked) - need + 1]:
+                self.prefix.setdefault(w, []).append(t)
         #: A text without any of these words has no block that meets a template.
         self.rare = frozenset(w for w, k in self.order.items() if k in self.prefix)
 
-    def met(self, block: set[int]) -> Iterator[tuple[str, float]]:
-        """(label, containment) of the templates that a block's words meet."""
-        ranked, size = sorted(block), len(block)
-        if size < self.least:
-            return
-        tried = set()
-        for j, w in enumerate(ranked[: size - self.least + 1]):
-            for t, i in self.prefix.get(w, ()):
-                if t in tried:
-                    continue
-                label, words, n, need = self.templates[t]
-                if size < need or j > size - need or 1 + min(n - i - 1, size - j - 1) + min(i, j) < need:
-                    continue
-                tried.add(t)
-                shared = len(words.intersection(block))
-                if shared >= need:
-                    yield label, shared / n
-
-
-def blocks_of(words: list[bytes], order: dict[bytes, int], block: int) -> dict[int, set[int]]:
-    """Windows of ``block`` words, one every half, as sets of template words."""
-    half, found = block // 2, {}
-    for at, w in enumerate(words):
-        k = order.get(w)
-        if k is not None:
-            found.setdefault(at // half, set()).add(k)
-            if at >= half:
-                found.setdefault(at // half - 1, set()).add(k)
-    return found
+    def met(self, words: list[bytes]) -> Iterator[tuple[str, float]]:
+        """(label, largest containment) of the templates that a block of ``words`` meets."""
+        places: dict[int, list[int]] = {}
+        for at, w in enumerate(words):
+            k = self.order.get(w)
+            if k is not None:
+                places.setdefault(k, []).append(at)
+        starts: dict[int, list[int]] = {}
+        for k in places.keys() & self.prefix.keys():
+            for t in self.prefix[k]:
+                starts.setdefault(t, []).extend(places[k])
+        for t, around in starts.items():
+            label, ranks, need, width = self.templates[t]
+            own = sorted((at, i) for k, i in ranks.items() for at in places.get(k, ()))
+            shared = max((self._most(stretch, len(ranks), need, width) for stretch in _stretches(own, sorted(around), width)), default=0)
+            if shared >= need:
+                yield label, shared / len(ranks)
+
+    @staticmethod
+    def _most(stretch: list[tuple[int, int]], n: int, need: int, width: int) -> int:
+        """The most distinct words of one template in a window of a stretch, 0 if the filters rule it out."""
+        there = sorted({i for _, i in stretch})
+        if len(there) < need:  # length
+            return 0
+        # position: words before and after a prefix word that both may have
+        if all(1 + min(n - i - 1, len(there) - j - 1) + min(i, j) < need for j, i in enumerate(there) if i < n - need + 1):
+            return 0
+        inside, most, first = Counter(), 0, 0
+        for at, i in stretch:
+            inside[i] += 1
+            while stretch[first][0] <= at - width:
+                gone = stretch[first][1]
+                inside[gone] -= 1
+                if not inside[gone]:
+                    del inside[gone]
+                first += 1
+            most = max(most, len(inside))
+        return most
+
+
+def _stretches(places: list[tuple[int, int]], around: list[int], width: int) -> Iterator[list[tuple[int, int]]]:
+    """``places`` within a window of each of ``around``, both ordered; windows that overlap go together."""
+    low = 0
+    at = 0
+    while at < len(around):
+        begin, end = around[at] - width + 1, around[at] + width - 1
+        while at + 1 < len(around) and around[at + 1] - width + 1 <= end:
+            at += 1
+            end = around[at] + width - 1
+        at += 1
+        while low < len(places) and places[low][0] < begin:
+            low += 1
+        high = low
+        while high < len(places) and places[high][0] <= end:
+            high += 1
+        yield places[low:high]
+        low = high
 
 
 def phrase_places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) -> list[tuple[int, str]]:
@@ -164,8 +188,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = template_sets(templates)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     frequencies = word_frequencies(rows, frozenset(w for _, s in sets for w in s))
-    indexes = [(size, TemplateIndex([sets[t] for t in places], frequencies, threshold)) for size, places in windows_of(templates, block).items()]
+    index = TemplateIndex(sets, frequencies, threshold, windows_of(templates, block))
     sought = [(words_of(p.encode()), label) for p, label in phrases]
+    sought = [(p, label) for p, label in sought if p]  # one without words stands nowhere
     ends = frozenset(p[-1] for p, _ in sought)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,13 +202,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 places = [] if ends.isdisjoint(distinct) else phrase_places(words, sought)
                 score, base = float(bool(places)), {label for _, label in places}
                 labels = set(base)
-                for size, index in indexes:
-                    if index.rare.isdisjoint(distinct):
-                        continue
-                    for words_in in blocks_of(words, index.order, size).values():
-                        for label, share in index.met(words_in):
-                            labels.add(label)
-                            score = max(score, share)
+                if not index.rare.isdisjoint(distinct):
+                    for label, share in index.met(words):
+                        labels.add(label)
+                        score = max(score, share)
                 starts = [at for at, _ in places]
                 out.append((len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score))
             columns = list(zip(*out)) if out else [()] * 7
@@ -199,10 +221,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """Every block against every template, without filters."""
+    """Every block that begins with a template's word against the template, without filters."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     words = ", ".join(f"({t}, {quote(w.decode())})" for t, (_, s) in enumerate(template_sets()) for w in sorted(s))
-    sizes = ", ".join(f"({t}, {quote(label)}, {len(s)}, {need_of(len(s))})" for t, (label, s) in enumerate(template_sets()))
+    sizes = ", ".join(f"({t}, {quote(label)}, {len(s)}, {need_of(len(s))}, {width})" for t, ((label, s), width) in enumerate(zip(template_sets(), windows_of(TEMPLATES, BLOCK))))
     phrase = ", ".join(f"({quote(p)}, {quote(label)}, {len(p.split())})" for p, label in PHRASES)
     return rf"""
 WITH d AS (
@@ -212,13 +234,14 @@ WITH d AS (
 b AS (
   SELECT rid, label, i - 1 AS place FROM (SELECT rid, w, unnest(generate_series(1, len(w))) AS i FROM d WHERE len(w) > 0), p
   WHERE array_to_string(w[i : i + k - 1], ' ') = phrase
-), v AS (SELECT * FROM (VALUES {words}) AS v(t, word)), z AS (SELECT * FROM (VALUES {sizes}) AS z(t, label, size, need)),
+), v AS (SELECT * FROM (VALUES {words}) AS v(t, word)), z AS (SELECT * FROM (VALUES {sizes}) AS z(t, label, size, need, width)),
 u AS (SELECT rid, unnest(w) AS word, unnest(generate_series(0, len(w) - 1)) AS place FROM d WHERE len(w) > 0),
-k AS (
-  SELECT rid, word, place // {BLOCK // 2} AS block FROM u WHERE word IN (SELECT word FROM v)
-  UNION SELECT rid, word, place // {BLOCK // 2} - 1 FROM u WHERE word IN (SELECT word FROM v) AND place >= {BLOCK // 2}
-), m AS (
-  SELECT rid, label, shared / size AS share FROM (SELECT rid, block, t, count(*) AS shared FROM k JOIN v USING (word) GROUP BY ALL) JOIN z USING (t) WHERE shared >= need
+c AS (SELECT rid, t FROM u JOIN v USING (word) JOIN z USING (t) GROUP BY rid, t, need HAVING count(DISTINCT word) >= need),
+k AS (SELECT rid, t, word, place, width, place // width AS part FROM u JOIN v USING (word) JOIN z USING (t) JOIN c USING (rid, t)),
+m AS (
+  SELECT rid, label, shared / size AS share FROM (
+    SELECT a.rid, a.t, a.place, count(DISTINCT b.word) AS shared FROM (SELECT *, unnest([part, part + 1]) AS near FROM k) a JOIN k b ON a.rid = b.rid AND a.t = b.t AND b.part = a.near AND b.place >= a.place AND b.place < a.place + a.width GROUP BY ALL
+  ) JOIN z USING (t) WHERE shared >= need
 ), bb AS (
   SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY rid
 ), ll AS (
