@@ -2,11 +2,10 @@
 
 Every assistant turn becomes an example of its own: all preceding turns are its
 context, written out before it, and only that reply is trainable.  Written out,
-the examples of a conversation grow with the square of its turns.  So a
-conversation's contexts are written out until they come to WRITTEN characters;
-a later example's context is given by reference: it is the text of the
-conversation's rows before it, one after the other (``whole_examples`` writes
-those out too).  Turns after the last reply form a last row without a trainable part.
+the examples of a conversation grow with the square of its turns; a context of
+any length is written in parts of a bounded size, so no row and no batch grows
+with it.  Turns after the last reply form a last example without a trainable
+part.
 """
 
 from __future__ import annotations
@@ -31,12 +30,12 @@ START, SEP, END = "<|turn|>", "<|text|>", "<|end|>"
 #: backslash between them keeps a text from holding one.
 CONTROL = r"(<)(?=[|/<A-Za-z])|(\[)(?=[/A-Z])|(\\)"
 TRAINABLE = "assistant"
-#: Characters up to which the contexts of one conversation are written out.
-WRITTEN = 8_000_000
+#: Characters of a context's part.
+PART = 1_000_000
 #: Characters after which rows are handed on.
 BATCH_CHARS = 4_000_000
 
-EXAMPLES = "example long, context string, text string, context_chars long, loss_start long, loss_end long"
+EXAMPLES = "example long, part int, context string, text string, context_chars long, loss_start long, loss_end long"
 
 
 def escape(text: str) -> str:
@@ -48,79 +47,87 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
-def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", written: int = WRITTEN) -> DataFrame:
-    """(conv, example, context, text, context_chars, loss_start, loss_end), one row per assistant turn.
-
-    An example is its context (all preceding turns; null once a conversation's
-    contexts came to ``written`` characters) and text, which follows it: the
-    turns since the last reply and the reply itself.  context_chars are the code
-    points of the context, written out or not; loss_start and loss_end bound the
-    reply inside text (both null in a last row without one).  A null text or
-    role counts as empty; turns are ordered by turn (null first), then role and
-    text, so repeated turns all stay.  Rows with a null conversation form one.
-    Extra columns are ignored; an empty table gives an empty result.  A
-    conversation is formatted in one task, in one pass that never holds more of
-    it than ``written`` characters and its turns since the last reply.
+def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part: int = PART) -> DataFrame:
+    """(conv, example, part, context, text, context_chars, loss_start, loss_end), one example per assistant turn.
+
+    An example is its context (all preceding turns) and then its text: the turns
+    since the last reply and the reply itself.  A context of ``part`` characters
+    or more comes in rows of ``part`` characters each, from part 0 on; the last
+    row has the rest of it and the text, which is null in the others.
+    context_chars are the code points of the whole context; loss_start and
+    loss_end bound the reply inside text (both null in a last example without
+    one, and in all rows without a text).  A null text or role counts as empty;
+    turns are ordered by turn (null first), then role and text, so repeated
+    turns all stay.  Rows with a null conversation form one.  Extra columns are
+    ignored; an empty table gives an empty result.  A conversation is formatted
+    in one task, in one pass that holds its text once.
     """
     spark = turns.sparkSession
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv").sortWithinPartitions("conv", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, at = _Nothing, _Conversation(written)
+        conv, at = _Nothing, _Conversation(part)
         out: list[tuple] = []
         size = 0
-        for batch in batches:
-            for c, role, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
-                if c != conv:
-                    out += ((conv, *row) for row in at.rest())
-                    conv, at = c, _Conversation(written)
-                row = at.turn(role, text)
-                if row:
-                    out.append((conv, *row))
-                    size += len(row[1] or "") + len(row[2])
-                    if size > BATCH_CHARS:
-                        yield _batch(out, names, types)
-                        out, size = [], 0
-        out += ((conv, *row) for row in at.rest())
+
+        def examples() -> Iterator[tuple]:
+            nonlocal conv, at
+            for batch in batches:
+                for c, role, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+                    if c != conv:
+                        yield from at.rest()
+                        conv, at = c, _Conversation(part)
+                    yield from at.turn(role, text)
+            yield from at.rest()
+
+        for row in examples():
+            out.append((conv, *row))
+            size += len(row[2]) + len(row[3] or "")
+            if size > BATCH_CHARS:
+                yield _batch(out, names, types)
+                out, size = [], 0
         yield _batch(out, names, types)
 
     kind = rows.schema["conv"].dataType
-    names = ["conv", "example", "context", "text", "context_chars", "loss_start", "loss_end"]
-    types = [_arrow(kind), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["conv", "example", "part", "context", "text", "context_chars", "loss_start", "loss_end"]
+    types = [_arrow(kind), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
     return arrow_map(ordered, run, f"conv {kind.simpleString()}, {EXAMPLES}").withColumnRenamed("conv", conv_col)
 
 
 class _Conversation:
     """One conversation's examples, turn by turn."""
 
-    def __init__(self, written: int):
-        self.example, self.context_chars, self.left = 0, 0, written
-        self.context: str | None = ""
+    def __init__(self, part: int):
+        self.example, self.context_chars, self.part = 0, 0, part
+        self.full: list[str] = []  # the context so far, in whole parts
+        self.tail = ""
         self.parts: list[str] = []
         self.length = 0
 
-    def turn(self, role: str, text: str) -> tuple | None:
-        """The example that this turn completes."""
+    def turn(self, role: str, text: str) -> Iterator[tuple]:
+        """The rows of the example that this turn completes, if it does."""
         head, body = f"{START}{escape(role)}{SEP}", escape(text)
         self.parts += head, body, END
         start = self.length + len(head)
         self.length = start + len(body) + len(END)
-        return self.close(start, start + len(body)) if role == TRAINABLE else None
+        if role == TRAINABLE:
+            yield from self.close(start, start + len(body))
 
-    def close(self, start: int | None, end: int | None) -> tuple:
+    def close(self, start: int | None, end: int | None) -> Iterator[tuple]:
         text = "".join(self.parts)
-        self.left -= self.context_chars
-        if self.left < 0:
-            self.context = None
-        row = (self.example, self.context, text, self.context_chars, start, end)
-        if self.context is not None:
-            self.context += text
+        for k, piece in enumerate(self.full):
+            yield self.example, k, piece, None, self.context_chars, None, None
+        yield self.example, len(self.full), self.tail, text, self.context_chars, start, end
+        whole = self.tail + text
+        cut = len(whole) // self.part * self.part
+        self.full += [whole[at : at + self.part] for at in range(0, cut, self.part)]
+        self.tail = whole[cut:]
         self.example, self.context_chars, self.parts, self.length = self.example + 1, self.context_chars + self.length, [], 0
-        return row
 
-    def rest(self) -> list[tuple]:
-        return [self.close(None, None)] if self.parts else []
+    def rest(self) -> Iterator[tuple]:
+        if self.parts:
+            yield from self.close(None, None)
 
 
 class _Nothing:
@@ -139,17 +146,17 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 
 def whole_examples(examples: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """All examples with their context written out: (conv, example, text, loss_start, loss_end).
+    """All examples as one text each: (conv, example, text, loss_start, loss_end).
 
-    Contexts that are given by reference are put together from the rows before,
-    so this is for conversations short enough to be written once for each reply.
+    An example of one row is taken as it is; the parts of a longer one are put
+    together, so this is for examples that one value can hold.
     """
-    given = F.col("context").isNotNull()
-    there = examples.where(given).select(conv_col, "example", F.concat("context", "text").alias("text"), "context_chars", "loss_start", "loss_end")
-    a, b = examples.where(~given).alias("a"), examples.alias("b")
-    joined = a.join(b, F.col(f"a.{conv_col}").eqNullSafe(F.col(f"b.{conv_col}")) & (F.col("b.example") <= F.col("a.example")))
-    grouped = joined.groupBy(F.col(f"a.{conv_col}").alias(conv_col), F.col("a.example").alias("example"), F.col("a.context_chars").alias("context_chars"), F.col("a.loss_start").alias("loss_start"), F.col("a.loss_end").alias("loss_end")).agg(F.array_sort(F.collect_list(F.struct(F.col("b.example").alias("k"), F.col("b.text").alias("t")))).alias("parts"))
-    made = grouped.select(conv_col, "example", F.array_join(F.transform("parts", lambda x: x["t"]), "").alias("text"), "context_chars", "loss_start", "loss_end")
+    columns = [conv_col, "example", "text", "context_chars", "loss_start", "loss_end"]
+    single = (F.col("part") == 0) & F.col("text").isNotNull()
+    there = examples.where(single).withColumn("text", F.concat("context", "text")).select(*columns)
+    part = F.struct("part", F.concat("context", F.coalesce("text", F.lit(""))).alias("t"))
+    grouped = examples.where(~single).groupBy(conv_col, "example").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max("context_chars").alias("context_chars"), F.max("loss_start").alias("loss_start"), F.max("loss_end").alias("loss_end"))
+    made = grouped.withColumn("text", F.array_join(F.transform("parts", lambda x: x["t"]), "")).select(*columns)
     every = there.unionByName(made)
     return every.select(conv_col, "example", "text", *[(F.col(c) + F.col("context_chars")).alias(c) for c in ("loss_start", "loss_end")])
 
@@ -157,33 +164,66 @@ def whole_examples(examples: DataFrame, conv_col: str = "conv_id") -> DataFrame:
 DIGEST = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def read_back(examples: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+class _Before:
+    """What precedes an example, as the length and digest of each of its parts."""
+
+    def __init__(self, part: int):
+        self.part, self.chars, self.full = part, 0, []
+        self.size, self.digest = 0, hashlib.sha256()
+
+    @property
+    def last(self) -> int:
+        return len(self.full)
+
+    def piece(self, number: int) -> tuple[int, str]:
+        return (self.part, self.full[number]) if number < len(self.full) else (self.size, self.digest.hexdigest())
+
+    def add(self, text: str) -> None:
+        self.chars += len(text)
+        at = 0
+        while at < len(text):
+            take = text[at : at + self.part - self.size]
+            self.digest.update(take.encode())
+            self.size, at = self.size + len(take), at + len(take)
+            if self.size == self.part:
+                self.full.append(self.digest.hexdigest())
+                self.size, self.digest = 0, hashlib.sha256()
+
+
+def read_back(examples: DataFrame, conv_col: str = "conv_id", part: int = PART) -> DataFrame:
     """Per conversation what its formatted examples say: turns and trainable text.
 
-    A written context is read whole where it lies and goes on as its digest and
-    length, so it is never shuffled: it must be what precedes the example, whose
-    turns beyond it are the conversation's next ones.  What is under the loss
-    mask is trainable.  Hashes are fed in one pass over ordered rows, so a very
-    long conversation is never held together.  formatted_chars is the length of
-    all examples with their contexts.
+    Each part of a context is read where it lies and goes on as its digest and
+    length, so it is never shuffled: the parts must be what precedes the
+    example, whose turns beyond them are the conversation's next ones.  What is
+    under the loss mask is trainable.  Hashes are fed in one pass over ordered
+    rows; of a long conversation only a digest for each part of ``part``
+    characters is held.  formatted_chars is the length of all examples with
+    their contexts.
     """
     spark = examples.sparkSession
     digest = F.sha2(F.col("context").cast("binary"), 256)
-    rows = examples.select(F.col(conv_col).alias("conv"), "example", digest.alias("context"), F.char_length("context").cast("long").alias("length"), "text", "context_chars", "loss_start", "loss_end")
-    ordered = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv").sortWithinPartitions("conv", "example")
+    rows = examples.select(F.col(conv_col).alias("conv"), "example", "part", digest.alias("context"), F.char_length("context").cast("long").alias("length"), "text", "context_chars", "loss_start", "loss_end")
+    ordered = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv").sortWithinPartitions("conv", "example", "part")
     turn = re.compile(re.escape(START) + "(.*?)" + re.escape(SEP) + "(.*?)" + re.escape(END), re.DOTALL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, state, before, known = _Nothing, None, hashlib.sha256(), 0
+        conv, state, before, next_part = _Nothing, None, _Before(part), 0
         for batch in batches:
             out = []
-            for c, example, context, length, text, chars, start, end in zip(*(x.to_pylist() for x in batch.columns)):
+            for c, example, number, context, length, text, chars, start, end in zip(*(x.to_pylist() for x in batch.columns)):
                 if c != conv:
+                    if next_part:
+                        raise ValueError("a conversation's last example has no end")
                     if state:
                         out.append((conv, *closed(state)))
-                    conv, state, before, known = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0], hashlib.sha256(), 0
-                if chars != known or (context is not None and (length != chars or context != before.hexdigest())):
+                    conv, state, before, next_part = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0], _Before(part), 0
+                if chars != before.chars or number != next_part or (length, context) != before.piece(number) or (text is None) != (number < before.last):
                     raise ValueError(f"the context of example {example} isn't what precedes it")
+                next_part += 1
+                if text is None:
+                    continue
+                next_part = 0
                 for m in turn.finditer(text):
                     state[0] += 1
                     state[1].update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
@@ -192,9 +232,10 @@ def read_back(examples: DataFrame, conv_col: str = "conv_id") -> DataFrame:
                     state[2] += len(reply)
                     state[3].update(reply.encode())
                 state[4] += chars + len(text)
-                before.update(text.encode())
-                known += len(text)
+                before.add(text)
             yield _batch(out, names, types)
+        if next_part:
+            raise ValueError("a conversation's last example has no end")
         if state:
             yield _batch([(conv, *closed(state))], names, types)
 
