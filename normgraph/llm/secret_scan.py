@@ -113,24 +113,37 @@ def paths_of(versions: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def scan_unseen(versions: DataFrame, paths: DataFrame, ledger: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Ledger rows of the blobs that ``ledger`` lacks under this rule version, one for each, found or not."""
-    blobs = paths.groupBy("blob").agg(F.min("path").alias("rep"))
+    """Ledger rows of the blobs that ``ledger`` lacks under this rule version, one for each, found or not.
+
+    One row of each unseen blob is scanned, however often it repeats.  A path
+    that one row has names its blob, so rows are chosen by path and no text is
+    hashed again; rows without a path, or with one that several rows have, are
+    hashed, and the first of each blob taken.
+    """
+    alone = paths.where(F.col("path").isNotNull()).groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.min("blob").alias("blob")).where("rows = 1")
+    blobs = paths.select("blob").distinct().join(alone.groupBy("blob").agg(F.min("path").alias("rep")), "blob", "left")
     if ledger is not None:
         blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
     unseen = materialize(blobs, "unseen")
-    texts = versions.select(F.col(id_col).alias("path"), F.col(text_col).alias("_text"), blob_of(text_col).alias("blob"))
-    # One row of each unseen blob is scanned.  Where the rows to skip are few
-    # they are broadcast, so that no text is shuffled; else the rows to take are
-    # joined by an ordinary shuffle.
-    skip = paths.join(unseen, (paths["blob"] == unseen["blob"]) & paths["path"].eqNullSafe(unseen["rep"]), "left_anti").distinct()
-    skip = materialize(skip.withColumnsRenamed({"path": "_p", "blob": "_b"}), "skipped")
-    if skip.count() <= broadcast_rows:
-        chosen = texts.join(F.broadcast(skip), (F.col("blob") == F.col("_b")) & F.col("path").eqNullSafe(F.col("_p")), "left_anti")
+    texts = versions.select(F.col(id_col).alias("path"), F.col(text_col).alias("_text"))
+    want = unseen.where(F.col("rep").isNotNull()).select(F.col("rep").alias("_p"))
+    # Where the paths to skip are few they are broadcast, so that no text is
+    # shuffled; else the paths to take are joined by an ordinary shuffle.
+    skip = paths.where(F.col("path").isNotNull()).select(F.col("path").alias("_p")).distinct().join(want, "_p", "left_anti")
+    skip = materialize(skip, "skipped")
+    if skip.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        chosen = texts.where(F.col("path").isNotNull()).join(F.broadcast(skip), F.col("path") == F.col("_p"), "left_anti")
     else:
-        want = unseen.withColumnsRenamed({"blob": "_b", "rep": "_p"})
-        chosen = texts.join(want, (F.col("blob") == F.col("_b")) & F.col("path").eqNullSafe(F.col("_p")), "left_semi")
-    found = materialize(find_secrets(chosen.select("blob", "_text"), "_text", rules).dropDuplicates(["blob"]), "found")
-    new = unseen.select("blob").join(found, "blob", "left")
+        chosen = texts.join(want.hint("merge"), F.col("path") == F.col("_p"), "left_semi")
+    found = find_secrets(chosen.select(F.col("path").alias("blob"), "_text"), "_text", rules).withColumnRenamed("blob", "rep")
+    found = unseen.where(F.col("rep").isNotNull()).join(found, "rep").select("blob", "found")
+    others = unseen.where(F.col("rep").isNull()).select("blob")
+    if not others.isEmpty():
+        shared = paths.join(others, "blob", "left_semi").select(F.col("path").alias("_p")).distinct()
+        rows = texts.join(shared, F.col("path").eqNullSafe(F.col("_p")), "left_semi").select(blob_of("_text").alias("blob"), "_text")
+        first = rows.join(others, "blob", "left_semi").dropDuplicates(["blob"])
+        found = found.unionByName(find_secrets(first, "_text", rules))
+    new = unseen.select("blob").join(materialize(found, "found"), "blob", "left")
     return new.select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("found", F.array().cast(T.ArrayType(FOUND))).alias("found"))
 
 
