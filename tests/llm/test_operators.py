@@ -193,6 +193,23 @@ def test_secret_query_scans_no_blob_twice(spark, sf_dir, monkeypatch):
     assert ledger.count() == ledger.select("blob").distinct().count() == blobs < docs.count()
 
 
+def test_repeated_rows_are_scanned_once(spark, tmp_path, monkeypatch):
+    """Rows of one id and text, rows without an id, and ids of several texts."""
+    scanned = []
+
+    def counted(blobs, *args, was=secret_scan.find_secrets):
+        scanned.append(blobs.count())
+        return was(blobs, *args)
+
+    monkeypatch.setattr(secret_scan, "find_secrets", counted)
+    secret = "password=abcdefgh1"
+    docs = documents(spark, [secret] * 300 + ["nothing"] * 50 + ["token=0123456789", secret, "x", "x", None], [7] * 300 + [None] * 50 + [8, 8, 9, 10, None])
+    found = secret_scan.scan_versions([docs, docs], f"{tmp_path}/ledger")
+    assert scanned == [1, 4, 0]  # x by a row of its own; the secrets, nothing and the empty text by the first of each; then none
+    assert found.count() == 2 * docs.count() and found.where("size(found) > 0").count() == 2 * 302
+    assert spark.read.parquet(f"{tmp_path}/ledger").count() == 5
+
+
 def test_secret_scan_without_the_broadcast(spark, tmp_path):
     docs = documents(spark, AWKWARD + AWKWARD)
     found = []
@@ -581,15 +598,26 @@ def brute_examples(rows):
     return out
 
 
-@pytest.mark.parametrize("written", [0, 500, chat_format.WRITTEN])
-def test_chat_examples_written_out(spark, written):
-    examples = chat_format.format_chats(clashing(chats(spark)), written=written)
+@pytest.mark.parametrize("part", [1, 500, chat_format.PART])
+def test_chat_examples_written_out(spark, part):
+    """Contexts of many parts and of one; no row holds more of a context than a part."""
+    turns = chats(spark) if part > 1 else chats(spark).where("conv_id < 4 OR turn < 9")
+    examples = common.materialize(chat_format.format_chats(clashing(turns), part=part), "examples")
     got = {(r.conv_id, r.example): (r.text, None if r.loss_start is None else r.text[r.loss_start : r.loss_end]) for r in chat_format.whole_examples(examples).collect()}
-    assert got == brute_examples([tuple(r) for r in chats(spark).collect()])
-    contexts = examples.where("context IS NOT NULL").count()
-    assert contexts == examples.count() if written > 500 else contexts < examples.count()
-    whole = chat_format.format_chats(chats(spark))
-    assert rows_of(chat_format.read_back(examples)) == rows_of(chat_format.read_back(whole))
+    assert got == brute_examples([tuple(r) for r in turns.collect()])
+    assert examples.where(F.char_length("context") > part).count() == 0
+    assert rows_of(chat_format.read_back(examples, part=part)) == rows_of(chat_format.read_back(chat_format.format_chats(turns)))
+
+
+def test_chat_conversation_of_very_many_turns(spark):
+    """Each of 2,000 examples has its whole context, 120 million characters together."""
+    turns = spark.range(4000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id) AS text")
+    examples = common.materialize(chat_format.format_chats(turns, part=20_000), "examples", codec="zstd")
+    whole = examples.agg(F.sum(F.char_length("context") + F.coalesce(F.char_length("text"), F.lit(0)))).first()[0]
+    found = chat_format.read_back(examples, part=20_000).first()
+    assert (found.n_turns, found.formatted_chars) == (4000, whole) and whole > 120_000_000
+    last = chat_format.whole_examples(examples.where("example = 1999")).first()
+    assert last.text.count(chat_format.START) == 4000 and last.text[last.loss_start : last.loss_end] == "turn 3999"
 
 
 def test_chat_contexts_that_do_not_fit_are_told(spark):
@@ -598,6 +626,10 @@ def test_chat_contexts_that_do_not_fit_are_told(spark):
     for bad in (wrong, examples.where("example <> 0")):  # a context of other text, and a row that is missing
         with pytest.raises(Exception, match="isn't what precedes it"):
             chat_format.read_back(bad).collect()
+    parts = common.materialize(chat_format.format_chats(chats(spark), part=100), "parts")
+    for bad in ("part <> 1", "example <> 3 OR text IS NULL", "text IS NOT NULL", "example < 9 OR text IS NULL"):  # a part, parts of one example, all parts, ends that are missing
+        with pytest.raises(Exception, match="isn't what precedes it|has no end"):
+            chat_format.read_back(parts.where(bad), part=100).collect()
 
 
 def test_chat_escapes(spark):
@@ -623,6 +655,38 @@ def test_license_templates_by_brute_force(spark):
     assert got[texts.index(AWKWARD[17])].n_base == 4
 
 
+def test_a_stretched_notice_is_found_wherever_it_stands(spark):
+    notice = license_scan.words_of(dict(license_scan.TEMPLATES)["mit-grant"].encode())
+    stretched = " x y ".join(w.decode() for w in notice)
+    texts = ["x " * k + stretched + " y" * 70 for k in range(64)]
+    got = license_scan.license_scan(documents(spark, texts)).collect()
+    assert {r.labels for r in got} == {"mit-grant"} and {r.score for r in got} == {1.0}
+
+
+@pytest.mark.parametrize("block", [3, 8, 64])
+def test_license_blocks_by_brute_force(spark, block):
+    """Every window of every text against every template, without filters."""
+    rng = np.random.RandomState(block)
+    pool = "a b c d e f g h i j k l m n".split()
+    templates = tuple((f"t{k % 4}", " ".join(pool[j] for j in rng.randint(len(pool), size=n))) for k, n in enumerate((1, 2, 3, 4, 5, 7, 9, 12))) + (("none", " -- "),)
+    texts = [" ".join((pool + ["x"] * 10)[j] for j in rng.randint(len(pool) + 10, size=rng.randint(0, 60))) for _ in range(60)] + [None, ""]
+    phrases = (("a b", "ab"), (" ... ", "no words"))
+    got = {r.doc_id: r for r in license_scan.license_scan(documents(spark, texts), phrases=phrases, templates=templates, threshold=license_scan.Fraction(3, 4), block=block).collect()}
+    for k, text in enumerate(texts):
+        words = (text or "").split()
+        labels, score = set(), 0.0
+        for label, t in templates:
+            own = set(license_scan.words_of(t.encode()))
+            width = max(block, 2 * len(license_scan.words_of(t.encode())))
+            for at in range(len(words)):
+                share = len({w.encode() for w in words[at : at + width]} & own) / len(own) if own else 0
+                if 4 * share >= 3:
+                    labels.add(label)
+                    score = max(score, share)
+        n_base = sum(words[at : at + 2] == ["a", "b"] for at in range(len(words)))
+        assert (got[k].labels, got[k].score, got[k].n_base) == (",".join(sorted(labels | ({"ab"} if n_base else set()))), 1.0 if n_base else score, n_base)
+
+
 def test_license_templates_longer_than_a_window(spark):
     long = " ".join(f"w{k}" for k in range(100))
     templates = (("long", long), ("short", "alpha beta gamma"))
