@@ -4,10 +4,16 @@ Shortest paths are counted from each source level by level (Brandes).  A graph
 of at most ``BROADCAST_EDGES`` adjacent pairs is broadcast and sources are dealt
 to tasks; a larger one is never broadcast: its levels are joins of a distributed
 (source, node) frontier.
+
+``betweenness_estimate`` samples pairs of nodes instead and stops as soon as all
+nodes' estimates are within the asked error.  A pair's shortest paths are found
+from both ends at once, so a sample looks at the neighbourhoods of two nodes,
+not at the graph.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,15 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from normgraph.model import Graph
-from normgraph.storage import materialize
+from normgraph.operators.ranking import global_rank
+from normgraph.storage import materialize, settled
 
 #: Adjacent pairs (both directions) of a graph that is broadcast: 32 MB.
 BROADCAST_EDGES = 4_000_000
+#: Rows of a frontier that are broadcast to the pairs they are joined with.
+FRONTIER_ROWS = 200_000
 #: Sources that the dashboard's convention starts from.
 DASHBOARD_SOURCES = 200
 
 
-def _pairs(graph: Graph, multi: bool) -> DataFrame:
+def adjacent_pairs(graph: Graph, multi: bool) -> DataFrame:
     """(u, v) by node ord, both directions; parallel edges stay if ``multi``."""
     place = graph.nodes.select("id", F.col("ord").alias("o"))
     e = graph.edges.join(place.withColumnsRenamed({"id": "src", "o": "u"}), "src").join(place.withColumnsRenamed({"id": "dst", "o": "v"}), "dst").select("u", "v")
@@ -124,10 +133,119 @@ def betweenness(graph: Graph, convention: str = "networkx", max_sources: int = D
         raise ValueError(convention)
     n = graph.nodes.count()
     multi = convention == "dashboard"
-    pairs = materialize(_pairs(graph, multi), "pairs")
+    pairs = materialize(adjacent_pairs(graph, multi), "pairs")
     sources, scale = graph.nodes.select("ord"), 1.0
     if multi and n > max_sources:
         sources, scale = sources.orderBy("ord").limit(max_sources), n / max_sources
     sums = _by_broadcast(graph.nodes.sparkSession, pairs, sources) if pairs.limit(broadcast_edges + 1).count() <= broadcast_edges else _by_joins(pairs, sources)
     norm = scale / ((n - 1) * (n - 2) / 2 if multi else (n - 1) * (n - 2)) if n > 2 else 0.0
     return graph.nodes.join(sums, "ord", "left").select("id", "ord", (F.coalesce("carried", F.lit(0.0)) * norm).alias("betweenness"))
+
+
+class _End:
+    """One end of the drawn pairs: levels of (sample, node, paths) and the steps (sample, u, v) between them."""
+
+    def __init__(self, draws: DataFrame, end: str, pairs: DataFrame):
+        self.pairs, self.steps = pairs, []
+        self.levels = [materialize(draws.select("sample", F.col(end).alias("node"), F.lit(1.0).alias("paths")), "pair-ends")]
+        self.seen = self.levels[0].select("sample", "node")
+
+    def go_on(self, active: DataFrame) -> bool:
+        """The next level of the samples of ``active``; whether there is one."""
+        front = self.levels[-1].join(active, "sample", "left_semi")
+        few = front.limit(FRONTIER_ROWS + 1).count() <= FRONTIER_ROWS
+        step = self.pairs.join(F.broadcast(front) if few else front.hint("merge"), F.col("u") == F.col("node")).select("sample", "u", "v", "paths")
+        step = materialize(step.join(self.seen.withColumnRenamed("node", "v"), ["sample", "v"], "left_anti"), "pair-steps")
+        level = materialize(step.groupBy("sample", F.col("v").alias("node")).agg(F.sum("paths").alias("paths")), "pair-level")
+        self.steps.append(step.select("sample", "u", "v"))
+        self.levels.append(level)
+        self.seen = self.seen.unionByName(level.select("sample", "node"))
+        return not level.isEmpty()
+
+    def back(self, shares: DataFrame, depth: int) -> list[DataFrame]:
+        """Shares of the nodes of all levels below ``depth``, from those of the nodes there."""
+        out = []
+        for k in range(depth - 1, 0, -1):
+            below = shares.join(self.levels[k + 1].withColumnRenamed("paths", "pv"), ["sample", "node"]).select("sample", F.col("node").alias("v"), "share", "pv")
+            step = self.steps[k].join(below, ["sample", "v"]).withColumnRenamed("u", "node").join(self.levels[k], ["sample", "node"])
+            shares = materialize(step.groupBy("sample", "node").agg(F.sum(F.col("share") * F.col("paths") / F.col("pv")).alias("share")), "pair-shares")
+            out.append(shares)
+        return out
+
+
+def pair_dependencies(pairs: DataFrame, draws: DataFrame) -> DataFrame:
+    """(sample, node, share): which share of a drawn pair's shortest paths runs through a node.
+
+    ``pairs`` has adjacent (u, v) in both directions, ``draws`` (sample, s, t)
+    with s <> t.  Ends don't count; a pair without a path has no rows.
+    """
+    return settled(draws.sparkSession, "pair-dependencies", lambda: _pair_dependencies(pairs, draws))
+
+
+def _pair_dependencies(pairs: DataFrame, draws: DataFrame) -> DataFrame:
+    ends = _End(draws, "s", pairs), _End(draws, "t", pairs)
+    active, found = draws.select("sample"), []
+    for turn in range(2**31):
+        if not ends[turn % 2].go_on(active):
+            break
+        a, b = (len(e.levels) - 1 for e in ends)
+        # all shortest paths of a pair whose levels meet for the first time run through the nodes where they do
+        meet = ends[0].levels[a].join(ends[1].levels[b].withColumnRenamed("paths", "others"), ["sample", "node"]).join(active, "sample", "left_semi")
+        whole = meet.groupBy("sample").agg(F.sum(F.col("paths") * F.col("others")).alias("whole"))
+        shares = materialize(meet.join(whole, "sample").select("sample", "node", (F.col("paths") * F.col("others") / F.col("whole")).alias("share")), "pair-meetings")
+        found += [shares, *ends[0].back(shares, a), *ends[1].back(shares, b)]
+        active = materialize(active.join(shares.select("sample").distinct(), "sample", "left_anti"), "pair-active")
+        if active.isEmpty():
+            break
+    every = found[0] if found else draws.select("sample", F.col("s").alias("node"), F.lit(0.0).alias("share")).limit(0)
+    for part in found[1:]:
+        every = every.unionByName(part)
+    return every.join(draws.select("sample", F.explode(F.array("s", "t")).alias("node")), ["sample", "node"], "left_anti")
+
+
+def _half_width(samples: int, variance: float, chance: float) -> float:
+    """How far a mean of ``samples`` shares may lie from the expected one but with probability ``chance``: the better of two bounds (each gets half of it), Hoeffding's and the empirical Bernstein one."""
+    hoeffding = math.sqrt(math.log(4 / chance) / (2 * samples))
+    bernstein = math.sqrt(2 * variance * math.log(8 / chance) / samples) + 7 * math.log(8 / chance) / (3 * (samples - 1))
+    return min(hoeffding, bernstein)
+
+
+def betweenness_estimate(graph: Graph, error: float = 0.05, confidence: float = 0.9, seed: int = 0, batch: int = 1024) -> DataFrame:
+    """(id, ord, betweenness, error, samples) of every node.
+
+    Pairs of nodes are drawn until, with probability ``confidence`` at least, no
+    node's estimate is further than ``error`` from the ``networkx`` betweenness.
+    Batches double; the k-th look takes 1 / (k (k + 1)) of the chance to err, so
+    looking again and again costs nothing.  The columns error and samples say
+    what was reached.  Fewer than three nodes give 0.
+    """
+    spark = graph.nodes.sparkSession
+    n = graph.nodes.count()
+    if n < 3:
+        return graph.nodes.select("id", "ord", F.lit(0.0).alias("betweenness"), F.lit(0.0).alias("error"), F.lit(0).cast("long").alias("samples"))
+
+    def sampled() -> DataFrame:
+        pairs = materialize(adjacent_pairs(graph, False), "pairs")
+        places = materialize(global_rank(graph.nodes.select("ord", F.lit(0).alias("all")), F.col("all"), "place").select("ord", "place"), "places")
+        draw, samples, sums, look = np.random.RandomState(seed), 0, None, 0
+        while True:
+            look += 1
+            size = max(batch, samples)
+            first = draw.randint(0, n, size)
+            second = (first + 1 + draw.randint(0, n - 1, size)) % n
+            drawn = spark.createDataFrame([(samples + k, int(a) + 1, int(b) + 1) for k, (a, b) in enumerate(zip(first, second))], "sample long, a long, b long")
+            ends = F.broadcast(drawn.select("sample", F.explode(F.array(F.struct(F.lit("s").alias("end"), F.col("a").alias("place")), F.struct(F.lit("t").alias("end"), F.col("b").alias("place")))).alias("x")).select("sample", "x.*"))
+            draws = materialize(places.join(ends, "place").groupBy("sample").agg(*[F.max(F.when(F.col("end") == x, F.col("ord"))).alias(x) for x in ("s", "t")]), "draws")
+            new = pair_dependencies(pairs, draws).groupBy(F.col("node").alias("ord")).agg(F.sum("share").alias("one"), F.sum(F.col("share") * F.col("share")).alias("two"))
+            sums = materialize(new if sums is None else sums.unionByName(new).groupBy("ord").agg(F.sum("one").alias("one"), F.sum("two").alias("two")), "sums")
+            samples += size
+            variance = sums.agg(F.coalesce(F.max((F.col("two") - F.col("one") * F.col("one") / samples) / (samples - 1)), F.lit(0.0))).first()[0]
+            # shares are of n (n - 1) ordered pairs, betweenness is of the (n - 1) (n - 2) that a node is no end of
+            reached = _half_width(samples, max(variance, 0.0), (1 - confidence) / (look * (look + 1)) / n) * n / (n - 2)
+            if reached <= error:
+                return sums.select("ord", (F.col("one") / samples * n / (n - 2)).alias("betweenness"), F.lit(reached).alias("error"), F.lit(samples).cast("long").alias("samples"))
+
+    found = settled(spark, "betweenness-estimate", sampled)
+    said = found.select("error", "samples").limit(1).collect()
+    reached, samples = said[0] if said else (error, 0)
+    return graph.nodes.join(found.select("ord", "betweenness"), "ord", "left").select("id", "ord", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"), F.lit(reached).alias("error"), F.lit(samples).cast("long").alias("samples"))

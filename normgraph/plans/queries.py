@@ -9,7 +9,7 @@ from normgraph.functions import prompts as prompts_text
 from normgraph.model import INCIDENT, Graph
 from normgraph.operators import graph as g
 from normgraph.operators import registry, report, tfidf
-from normgraph.operators.centrality import betweenness
+from normgraph.operators.centrality import adjacent_pairs, betweenness, betweenness_estimate, pair_dependencies
 from normgraph.operators.growth import GrowingGraph
 from normgraph.operators.ranking import global_rank, head, newest_first, top
 from normgraph.operators.similarity import pair_percentile, pair_statistics, threshold_sweep
@@ -311,6 +311,17 @@ def betweenness_distributed(spark, d):
     return betweenness(nations(spark, d), broadcast_edges=0).select("id", r6("betweenness").alias("betweenness"))
 
 
+@query("betweenness_by_pairs", NATIONS_SQL + PATHS_SQL + " SELECT id, round(bc, 6) AS betweenness FROM bc")
+def betweenness_by_pairs(spark, d):
+    """From the shares of all ordered pairs of nations, searched from both ends."""
+    n = nations(spark, d)
+    ords, pairs = n.nodes.select("ord"), materialize(adjacent_pairs(n, False), "pairs")
+    draws = materialize(ords.withColumnRenamed("ord", "s").join(F.broadcast(ords.withColumnRenamed("ord", "t")), F.col("s") != F.col("t")).withColumn("sample", F.col("s") * 1000 + F.col("t")), "draws")
+    shares = pair_dependencies(pairs, draws).groupBy(F.col("node").alias("ord")).agg(F.sum("share").alias("total"))
+    size = ords.agg(((F.count(F.lit(1)) - 1) * (F.count(F.lit(1)) - 2)).alias("pairs"))
+    return n.nodes.join(shares, "ord", "left").crossJoin(F.broadcast(size)).select("id", r6(F.coalesce("total", F.lit(0.0)) / F.col("pairs")).alias("betweenness"))
+
+
 @query("betweenness_dashboard", NATIONS_SQL + PATHS_SQL + " SELECT id, round(2 * bc, 6) AS betweenness FROM bc")
 def betweenness_dashboard(spark, d):
     return betweenness(nations(spark, d), "dashboard").select("id", r6("betweenness").alias("betweenness"))
@@ -370,6 +381,12 @@ def betweenness_distributed_provisions(spark, d):
     return betweenness(master(spark, d), broadcast_edges=0).select("id", r6("betweenness").alias("betweenness"))
 
 
+@query("betweenness_estimated_provisions", None)
+def betweenness_estimated_provisions(spark, d):
+    """Estimates from sampled pairs, within the error that they say."""
+    return betweenness_estimate(master(spark, d))
+
+
 @query("betweenness_dashboard_provisions", None)
 def betweenness_dashboard_provisions(spark, d):
     return betweenness(master(spark, d), "dashboard").select("id", r6("betweenness").alias("betweenness"))

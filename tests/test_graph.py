@@ -193,3 +193,42 @@ def test_rows_do_not_depend_on_input_order(spark):
     mixed = Graph(graph.nodes.orderBy(F.rand(1)), graph.edges.orderBy(F.rand(2)))
     for f in (g.degrees, report.clusters, report.node_metrics, g.neighbour_labels):
         assert rows_of(f(graph)) == rows_of(f(mixed))
+
+
+def random_graph(spark, n, chance, seed):
+    import random
+
+    pick = random.Random(seed)
+    edges = [(a, b) for a in range(n) for b in range(a) if pick.random() < chance]
+    # two cliques that a bridge joins, and nodes without an edge
+    edges += [(n + a, n + b) for a in range(6) for b in range(a)] + [(n + 6 + a, n + 6 + b) for a in range(6) for b in range(a)] + [(n, n + 6)]
+    nodes = spark.createDataFrame([(f"n{k}", k, f"n{k}", "g", "c", 2000) for k in range(n + 14)], "id string, ord long, label string, `group` string, classification string, year int")
+    links = spark.createDataFrame([(f"n{a}", f"n{b}", "t", 1.0, k) for k, (a, b) in enumerate(edges)], "src string, dst string, type string, weight double, ord long")
+    return Graph(nodes, links)
+
+
+def test_shares_of_all_pairs_are_betweenness(spark, monkeypatch):
+    """Every ordered pair drawn once, frontiers not broadcast: the mean share is the exact value."""
+    from normgraph.operators import centrality
+
+    monkeypatch.setattr(centrality, "FRONTIER_ROWS", 0)
+    graph = random_graph(spark, 16, 0.18, 3)
+    n = 30
+    draws = spark.createDataFrame([(a * n + b, a, b) for a in range(n) for b in range(n) if a != b], "sample long, s long, t long")
+    shares = centrality.pair_dependencies(centrality.adjacent_pairs(graph, False), draws)
+    got = {r.node: r.total / ((n - 1) * (n - 2)) for r in shares.groupBy("node").agg(F.sum("share").alias("total")).collect()}
+    want = {r.ord: r.betweenness for r in betweenness(graph).collect()}
+    assert {k: got.get(k, 0.0) for k in want} == pytest.approx(want, abs=1e-12) and max(want.values()) > 0.04
+
+
+def test_estimates_are_within_their_error(spark):
+    from normgraph.operators import centrality
+
+    graph = random_graph(spark, 40, 0.2, 1)
+    want = {r.id: r.betweenness for r in betweenness(graph).collect()}
+    found = centrality.betweenness_estimate(graph, error=0.2, seed=1, batch=100).collect()
+    assert len(found) == len(want) and len({r.samples for r in found}) == 1
+    assert all(abs(r.betweenness - want[r.id]) <= r.error for r in found) and 0 < found[0].error <= 0.2
+    assert found[0].samples < 54 * 53
+    tiny = Graph(graph.nodes.limit(2), graph.edges.limit(0))
+    assert [r.betweenness for r in centrality.betweenness_estimate(tiny).collect()] == [0.0, 0.0]
