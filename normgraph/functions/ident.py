@@ -89,8 +89,11 @@ def rename_incidents(incidents: DataFrame, id_col: str = "id", text_col: str = "
     """Incidents with ``new_id``: generated ids become institution-year, in lower case.
 
     Rows are taken in order; the second, third, ... one of a name gets -2, -3,
-    ..., without names that a fixed id further up already has.
+    ..., without names that a fixed id further up already has.  A name may have
+    any number of rows: no task takes all of them.
     """
+    from normgraph.operators.ranking import running_sums
+
     auto = F.col(id_col).startswith(prefix)
     code = F.coalesce(institution_code(institution(F.col(text_col))), F.concat(F.lit("AUTO-"), F.element_at(F.split(F.col(id_col), "-"), -1)))
     named = incidents.withColumn("_auto", auto).withColumn("_base", F.when(auto, F.lower(F.concat_ws("-", code, F.coalesce(F.col(year_col), F.lit(2024)).cast("string")))).otherwise(F.col(id_col)))
@@ -99,8 +102,7 @@ def rename_incidents(incidents: DataFrame, id_col: str = "id", text_col: str = "
     stem = F.regexp_extract("_base", r"^(.+)-([1-9]\d{0,8})$", 1)
     places = F.when(F.col("_auto"), F.array(F.struct(F.col("_base").alias("base"), F.lit(0).alias("k")))).when(tail >= 2, F.array(F.struct(F.col("_base").alias("base"), F.lit(1).alias("k")), F.struct(stem.alias("base"), tail.alias("k")))).otherwise(F.array(F.struct(F.col("_base").alias("base"), F.lit(1).alias("k"))))
     rows = named.select(F.col(ord_col).alias("_at"), F.explode(places).alias("p")).select("_at", "p.base", "p.k")
-    upto = Window.partitionBy("base").orderBy("_at", "k").rowsBetween(Window.unboundedPreceding, 0)
-    counted = rows.withColumn("nth", F.sum((F.col("k") == 0).cast("int")).over(upto))
+    counted = running_sums(rows, "base", ("_at", "k"), (F.col("k") == 0).cast("long"), "nth")
     taken = counted.where("k > 0").groupBy("base").agg(F.array_sort(F.collect_set(F.struct("k", "_at", "nth"))).alias("taken"))
     # a number counts as taken unless generated names had reached it before the fixed id came
     none = F.array().cast("array<struct<k:int,_at:bigint,nth:bigint>>")

@@ -32,6 +32,28 @@ def global_rank(df: DataFrame, by: Column, name: str = "rank", tie: str = "ord")
     return dealt.join(F.broadcast(offsets), "_range").withColumn(name, (F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_base") + 1).cast("long")).drop("_place", "_range", "_base")
 
 
+def running_sums(df: DataFrame, key: str, order: tuple[str, ...], value: Column, name: str = "upto") -> DataFrame:
+    """``df`` with the sum of ``value`` over a key's rows up to each one, however many rows a key has.
+
+    Rows are dealt by ranges of key and order, so that a key of very many rows
+    lies in several ranges; sums are made within key and range, and what a key
+    has in the ranges before is added.  Only keys that go on from one range into
+    the next have such rows, one at most for each range, so they are broadcast.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = (key, *order)
+    dealt = df.withColumn("_value", value).repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id())
+    dealt = materialize(dealt, "segments").withColumn("_range", F.shiftright("_place", 33))
+    inside = Window.partitionBy("_range", key).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    ends = dealt.groupBy("_range", key).agg(F.sum("_value").alias("_sum"))
+    several = ends.groupBy(key).agg(F.count(F.lit(1)).alias("_ranges")).where("_ranges > 1").select(F.col(key).alias("_key"))
+    spread = ends.join(several, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = spread.select(F.col("_range").alias("_r"), F.col(key).alias("_key"), F.sum("_sum").over(before).alias("_base"))
+    summed = dealt.withColumn(name, F.sum("_value").over(inside)).join(F.broadcast(bases), (F.col("_range") == F.col("_r")) & F.col(key).eqNullSafe(F.col("_key")), "left")
+    return summed.withColumn(name, F.col(name) + F.coalesce("_base", F.lit(0))).drop("_value", "_place", "_range", "_r", "_key", "_base")
+
+
 def value_at(df: DataFrame, by: str, share: float, tie: str = "ord") -> DataFrame:
     """One row (value): ``by`` at 0-based place floor(share * rows) of the descending order, 0 without such a row."""
     ranks = global_rank(df.select(by, tie), F.col(by), "_rank", tie)

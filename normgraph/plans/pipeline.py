@@ -115,15 +115,19 @@ def csv_sections(graph: Graph) -> list[tuple[str, DataFrame]]:
 
 
 def run(spark: SparkSession, graph: Graph, folder: str) -> DataFrame:
-    """Write every graph, report and export below ``folder``; returns the audit.  Any failure stops the run."""
+    """Write every graph, report and export, which take ``folder``'s place together; returns the audit.
+
+    Any failure stops the run and leaves the folder as it was.
+    """
     graphs = subgraphs(graph)
-    for name, x in graphs.items():
-        if name == "gap":
-            sinks.write_contraction(x, f"{folder}/{name}")
-        else:
-            sinks.write_graph(x, f"{folder}/{name}", "Degree" if name == "legal" else "Degree Semantik", name == "legal")
-    for name, tables in report_tables(graphs).items():
-        text = sinks.markdown_report(name, tables)
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/reports/{name}")
-    sinks.write_csv_sections(csv_sections(graph), f"{folder}/csv")
+    with sinks.published(spark, folder) as staged:
+        for name, x in graphs.items():
+            if name == "gap":
+                sinks.write_contraction(x, f"{staged}/{name}")
+            else:
+                sinks.write_graph(x, f"{staged}/{name}", "Degree" if name == "legal" else "Degree Semantik", name == "legal")
+        for name, tables in report_tables(graphs).items():
+            text = sinks.markdown_report(name, tables)
+            spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{staged}/reports/{name}")
+        sinks.write_csv_sections(csv_sections(graph), f"{staged}/csv")
     return sinks.audit(spark, graphs)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,7 @@ from normgraph.functions import bands
 from normgraph.model import Graph
 from normgraph.operators.graph import degrees, with_ends
 from normgraph.sources import exists
+from normgraph.storage import materialize
 
 #: Nodes and edges of a graph that one document may hold.
 DOCUMENT_ROWS = 1_000_000
@@ -165,3 +168,67 @@ def audit_graphs(spark: SparkSession, paths: list[str]) -> DataFrame:
         row = spark.createDataFrame([(p, there, *counts)], "path string, present boolean, n_nodes long, n_edges long")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+MANIFEST = "_manifest"
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    files = where(old).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.rename(where(old), where(new)):
+        raise OSError(f"{old} can't become {new}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def file_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, bytes, sha256) of the files below a folder, by path inside it, but for the manifest and hidden ones."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    name = F.element_at(F.split("path", F.lit(f"/{folder.rstrip('/').rsplit('/', 1)[-1]}/"), 2), 2)
+    return files.select(name.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where(~F.col("path").startswith(f"{MANIFEST}/"))
+
+
+@contextlib.contextmanager
+def published(spark: SparkSession, folder: str) -> Iterator[str]:
+    """A folder beside ``folder`` to write all outputs to; at a good end it takes its place, with a manifest.
+
+    Until then the former outputs stay as they are, whatever happens.  They are
+    put aside for the moment of the exchange; a driver that dies in it leaves
+    them there, and the next run puts them back first.
+    """
+    folder = folder.rstrip("/")
+    staged, aside = f"{folder}.staged-{uuid.uuid4().hex}", f"{folder}.former"
+    if exists(spark, aside):
+        if exists(spark, folder):
+            _delete(spark, aside)
+        else:
+            _rename(spark, aside, folder)
+    try:
+        yield staged
+        materialize(file_digests(spark, staged), "manifest").coalesce(1).write.json(f"{staged}/{MANIFEST}")
+    except BaseException:
+        _delete(spark, staged)
+        raise
+    had = exists(spark, folder)
+    if had:
+        _rename(spark, folder, aside)
+    try:
+        _rename(spark, staged, folder)
+    except BaseException:
+        if had:
+            _rename(spark, aside, folder)
+        raise
+    if had:
+        _delete(spark, aside)
+
+
+def audit_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, bytes, state): ``intact``, ``changed`` or ``missing`` files of a published folder, and ``unlisted`` ones."""
+    listed = spark.read.schema("path string, bytes long, sha256 string").json(f"{folder}/{MANIFEST}")
+    there = file_digests(spark, folder).select("path", F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha256"))
+    state = F.when(F.col("_sha256").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted").when(F.col("sha256") == F.col("_sha256"), "intact").otherwise("changed")
+    return listed.join(there, "path", "full").select("path", F.coalesce("_bytes", "bytes").alias("bytes"), state.alias("state"))

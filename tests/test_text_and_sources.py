@@ -203,3 +203,51 @@ def test_sizes_of_outputs(spark, tmp_path):
     (tmp_path / "x").write_text("12345")
     got = [(r.present, r.bytes) for r in sinks.audit_files(spark, [f"{tmp_path}/x", f"{tmp_path}/y"]).collect()]
     assert got == [(True, 5), (False, None)]
+
+
+def test_running_sums_of_a_key_in_many_ranges(spark):
+    from normgraph.operators.ranking import running_sums
+
+    df = spark.range(20_000).selectExpr("if(id % 10 < 8, 'hot', if(id % 10 = 8, concat('k', id % 300), null)) AS key", "(id * 7919) % 20000 AS at", "id % 3 AS v")
+    found = running_sums(df, "key", ("at",), F.col("v")).collect()
+    upto = {}
+    for r in sorted(found, key=lambda r: (r.key or "", r.at)):
+        upto[r.key] = upto.get(r.key, 0) + r.v
+        assert r.upto == upto[r.key]
+    assert len(found) == 20_000
+
+
+def test_a_name_of_very_many_rows(spark):
+    """Numbers stay those of the order, and no task takes a third of the rows' name together."""
+    df = spark.range(60_000).selectExpr("concat('incident-auto-', id) AS id", "'Serangan milik instansi Pemkot Malang.' AS text", "2024 AS year", "id AS ord")
+    got = ident.rename_incidents(df)
+    assert got.where("new_id <> if(ord = 0, 'pemkot-malang-2024', concat('pemkot-malang-2024-', ord + 1))").count() == 0
+    counted = got.groupBy("new_id").count()
+    assert counted.count() == 60_000
+
+
+def test_outputs_are_published_together(spark, tmp_path):
+    import pytest
+
+    folder = str(tmp_path / "out")
+    with sinks.published(spark, folder) as staged:
+        spark.range(3).write.json(f"{staged}/a")
+        spark.range(2).write.json(f"{staged}/deep/b")
+    states = lambda: sorted((r.path.rsplit("/", 1)[0], r.state) for r in sinks.audit_manifest(spark, folder).collect() if ".json" in r.path)
+    first = states()
+    assert {s for _, s in first} == {"intact"} and {p for p, _ in first} == {"a", "deep/b"}
+    for wrong in (ZeroDivisionError, KeyboardInterrupt):
+        with pytest.raises(wrong), sinks.published(spark, folder) as staged:
+            spark.range(9).write.json(f"{staged}/a")
+            raise wrong
+        assert states() == first and spark.read.json(f"{folder}/a").count() == 3
+    (tmp_path / "out").rename(tmp_path / "out.former")  # a driver that died in the exchange
+    with sinks.published(spark, folder) as staged:
+        assert states() == first
+        spark.range(5).write.json(f"{staged}/c")
+    assert {p for p, _ in states()} == {"c"} and sorted(x.name for x in tmp_path.iterdir()) == ["out"]
+    part = next((tmp_path / "out" / "c").glob("*.json"))
+    part.with_name(f".{part.name}.crc").unlink()
+    part.write_text("{}")
+    (tmp_path / "out" / "c" / "more.json").write_text("{}")
+    assert [s for _, s in states()].count("changed") == 1 and [s for _, s in states()].count("unlisted") == 1
