@@ -2,8 +2,12 @@
 
 Shortest paths are counted from each source level by level (Brandes).  A graph
 of at most ``BROADCAST_EDGES`` adjacent pairs is broadcast and sources are dealt
-to tasks; a larger one is never broadcast: its levels are joins of a distributed
-(source, node) frontier.
+to tasks.  A larger one never passes the driver: it is cut into biconnected
+blocks, whose nodes weigh as much as what hangs on them.  Pairs that are parted
+by a node follow from those weights alone; the others are counted inside blocks:
+several small blocks in a task, a larger one with a batch of its sources each,
+and one of more than ``BLOCK_PAIRS`` pairs by joins of a distributed (source,
+node) frontier.
 
 ``betweenness_estimate`` samples pairs of nodes instead and stops as soon as all
 nodes' estimates are within the asked error.  A pair's shortest paths are found
@@ -22,11 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from normgraph.model import Graph
+from normgraph.operators.blocks import blocks
 from normgraph.operators.ranking import global_rank
 from normgraph.storage import materialize, settled
 
-#: Adjacent pairs (both directions) of a graph that is broadcast: 32 MB.
-BROADCAST_EDGES = 4_000_000
+#: Adjacent pairs (both directions) of a graph that is broadcast: 4 MB.
+BROADCAST_EDGES = 250_000
+#: Adjacent pairs of a block that one task holds (about 100 MB), and of small blocks that share a task.
+BLOCK_PAIRS, SHARED_PAIRS = 2_000_000, 65_536
+#: Pairs that a task walks along, over all of its sources.
+STEPS = 1_000_000_000
 #: Rows of a frontier that are broadcast to the pairs they are joined with.
 FRONTIER_ROWS = 200_000
 #: Sources that the dashboard's convention starts from.
@@ -41,9 +50,9 @@ def adjacent_pairs(graph: Graph, multi: bool) -> DataFrame:
     return both if multi else both.distinct()
 
 
-def _dependencies(sources: np.ndarray, start: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
-    """Sum over sources of what each node carries of their shortest paths."""
-    total = np.zeros(n)
+def _dependencies(sources: np.ndarray, start: np.ndarray, ends: np.ndarray, n: int, weight: np.ndarray | float = 1.0, starts: np.ndarray | None = None) -> np.ndarray:
+    """Sum over sources of what each node carries of their shortest paths; a node counts ``weight`` times as a target and ``starts`` times as a source."""
+    total, weight = np.zeros(n), np.broadcast_to(weight, n)
     for s in sources:
         depth, paths = np.full(n, -1), np.zeros(n)
         depth[s], paths[s] = 0, 1.0
@@ -61,9 +70,9 @@ def _dependencies(sources: np.ndarray, start: np.ndarray, ends: np.ndarray, n: i
             level = np.unique(v[new])
         carried = np.zeros(n)
         for u, v in reversed(levels):
-            carried += np.bincount(u, weights=paths[u] / paths[v] * (1 + carried[v]), minlength=n)
+            carried += np.bincount(u, weights=paths[u] / paths[v] * (weight[v] + carried[v]), minlength=n)
         carried[s] = 0
-        total += carried
+        total += carried if starts is None else carried * starts[s]
     return total
 
 
@@ -91,11 +100,11 @@ def _by_broadcast(spark, pairs: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def _by_joins(pairs: DataFrame, sources: DataFrame) -> DataFrame:
-    """The same sums with (source, node) frontiers as tables."""
+    """The same sums with (source, node) frontiers as tables: ``pairs`` has the weight of v, ``sources`` how often each counts (starts)."""
     seen = materialize(sources.select(F.col("ord").alias("s"), F.col("ord").alias("x"), F.lit(0).alias("d"), F.lit(1.0).alias("paths")), "bfs")
     level, steps = seen, []
     while True:
-        step = level.join(pairs, F.col("x") == F.col("u")).select("s", F.col("u"), F.col("v"), F.col("paths").alias("pu"))
+        step = level.join(pairs, F.col("x") == F.col("u")).select("s", F.col("u"), F.col("v"), "weight", F.col("paths").alias("pu"))
         step = step.join(seen.select("s", F.col("x").alias("v")), ["s", "v"], "left_anti")
         step = materialize(step, "bfs-step")
         if step.isEmpty():
@@ -111,23 +120,74 @@ def _by_joins(pairs: DataFrame, sources: DataFrame) -> DataFrame:
             below = below.join(carried.select("s", F.col("x").alias("v"), "c"), ["s", "v"], "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
         else:
             below = below.withColumn("c", F.lit(0.0))
-        carried = materialize(step.join(below, ["s", "v"]).groupBy("s", F.col("u").alias("x")).agg(F.sum(F.col("pu") / F.col("pv") * (1 + F.col("c"))).alias("c")), "bfs-carried")
+        carried = materialize(step.join(below, ["s", "v"]).groupBy("s", F.col("u").alias("x")).agg(F.sum(F.col("pu") / F.col("pv") * (F.col("weight") + F.col("c"))).alias("c")), "bfs-carried")
         parts.append(carried.where("s <> x"))
     if not parts:
         return sources.select("ord", F.lit(0.0).alias("carried")).limit(0)
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
-    return whole.groupBy(F.col("x").alias("ord")).agg(F.sum("c").alias("carried"))
-
-
-def betweenness(graph: Graph, convention: str = "networkx", max_sources: int = DASHBOARD_SOURCES, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
+    return whole.join(sources.select(F.col("ord").alias("s"), "starts"), "s").groupBy(F.col("x").alias("ord")).agg(F.sum(F.col("c") * F.col("starts")).alias("carried"))
+
+
+def _inside_blocks(cell: pa.Table) -> pa.Table:
+    """(ord, carried) of a task's blocks: rows are their pairs, and their nodes where v is null."""
+    cell = cell.combine_chunks().sort_by("block")
+    names, values = [], []
+    if cell.num_rows:
+        block, node = cell["block"].to_numpy(), cell["v"].is_null().to_numpy()
+        batch, batches = cell["batch"][0].as_py(), cell["batches"][0].as_py()
+        u, v, weight, starts = (cell[c].fill_null(0).to_numpy() for c in ("u", "v", "weight", "starts"))
+        cuts = np.flatnonzero(np.diff(block)) + 1
+        for low, high in zip([0, *cuts], [*cuts, len(block)]):
+            here, there = low + np.flatnonzero(node[low:high]), low + np.flatnonzero(~node[low:high])
+            here = here[np.argsort(u[here])]
+            known = u[here]
+            a, b = np.searchsorted(known, u[there]), np.searchsorted(known, v[there])
+            first = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=len(known)))]).astype(np.int64)
+            sources = np.flatnonzero(starts[here])[batch::batches]
+            names.append(known)
+            values.append(_dependencies(sources, first, b[np.argsort(a, kind="stable")], len(known), weight[here].astype(float), starts[here].astype(float)))
+    return pa.table({"ord": pa.array(np.concatenate(names) if names else [], pa.int64()), "carried": pa.array(np.concatenate(values) if values else [], pa.float64())})
+
+
+def _by_blocks(pairs: DataFrame, sources: DataFrame, block_pairs: int) -> DataFrame:
+    """The same sums from biconnected blocks."""
+    found = blocks(pairs, sources.select(F.col("ord").alias("node")))
+    # sources beyond a node, seen from one of its blocks, times the targets that aren't on their side
+    parted = found.members.select(F.col("node").alias("ord"), ((F.col("total_starts") - F.col("starts")).cast("double") * (F.col("weight") - 1)).alias("carried"))
+    nodes = found.members.groupBy("block").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("starts") > 0).alias("sources")).where("nodes > 2")
+    sizes = materialize(found.pairs.groupBy("block").agg(F.count(F.lit(1)).alias("size")).join(nodes, "block"), "block-sizes")
+    small, large = F.col("size") <= min(SHARED_PAIRS, block_pairs), F.col("size") <= block_pairs
+    told = sizes.agg(F.coalesce(F.sum(F.when(small, F.col("size"))), F.lit(0)), F.count_if(~large)).first()
+    bins = -(-told[0] // SHARED_PAIRS) or 1
+    dealt = sizes.where(large).select("block", F.when(small, -1 - F.pmod(F.xxhash64("block"), F.lit(bins))).otherwise(F.col("block")).alias("task"), F.when(small, F.lit(1)).otherwise(F.ceil(F.col("size") * F.col("sources") / STEPS).cast("int")).alias("batches"))
+    none = F.lit(None).cast("long")
+    rows = found.pairs.select("block", "u", "v", none.alias("weight"), none.alias("starts")).unionByName(found.members.select("block", F.col("node").alias("u"), none.alias("v"), "weight", "starts"))
+    rows = rows.join(dealt, "block").withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)))
+    sums = [parted, rows.groupBy("task", "batch").applyInArrow(_inside_blocks, "ord long, carried double")]
+    if told[1]:
+        # a node is another one in each of its blocks, so that no path leaves a block
+        giant = sizes.where(~large).select("block")
+        of = lambda x: F.struct("block", F.col(x).alias("node"))
+        weights = found.members.select("block", F.col("node").alias("v"), F.col("weight").cast("double").alias("weight"))
+        inner = materialize(found.pairs.join(giant, "block", "left_semi").join(weights, ["block", "v"]).select(of("u").alias("u"), of("v").alias("v"), "weight"), "giant-pairs")
+        starting = found.members.where("starts > 0").join(giant, "block", "left_semi").select(of("node").alias("ord"), "starts")
+        sums.append(_by_joins(inner, starting).select(F.col("ord.node").alias("ord"), "carried"))
+    whole = sums[0]
+    for part in sums[1:]:
+        whole = whole.unionByName(part)
+    return whole.groupBy("ord").agg(F.sum("carried").alias("carried"))
+
+
+def betweenness(graph: Graph, convention: str = "networkx", max_sources: int = DASHBOARD_SOURCES, broadcast_edges: int = BROADCAST_EDGES, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """(id, ord, betweenness) of every node.
 
     ``networkx``: simple graph, all sources, each unordered pair once,
     normalised.  ``dashboard``: parallel edges count as paths of their own, only
     the first ``max_sources`` nodes are sources if there are more (scaled up),
     and ordered pairs aren't halved.  Graphs of fewer than three nodes give 0.
+    Bounds on what is broadcast and on what a task holds change no result.
     """
     if convention not in ("networkx", "dashboard"):
         raise ValueError(convention)
@@ -137,7 +197,11 @@ def betweenness(graph: Graph, convention: str = "networkx", max_sources: int = D
     sources, scale = graph.nodes.select("ord"), 1.0
     if multi and n > max_sources:
         sources, scale = sources.orderBy("ord").limit(max_sources), n / max_sources
-    sums = _by_broadcast(graph.nodes.sparkSession, pairs, sources) if pairs.limit(broadcast_edges + 1).count() <= broadcast_edges else _by_joins(pairs, sources)
+    spark = graph.nodes.sparkSession
+    if pairs.limit(broadcast_edges + 1).count() <= broadcast_edges:
+        sums = _by_broadcast(spark, pairs, sources)
+    else:
+        sums = settled(spark, "betweenness", lambda: _by_blocks(pairs, sources, block_pairs))
     norm = scale / ((n - 1) * (n - 2) / 2 if multi else (n - 1) * (n - 2)) if n > 2 else 0.0
     return graph.nodes.join(sums, "ord", "left").select("id", "ord", (F.coalesce("carried", F.lit(0.0)) * norm).alias("betweenness"))
 

@@ -308,6 +308,11 @@ def betweenness_batch(spark, d):
 @query("betweenness_distributed", NATIONS_SQL + PATHS_SQL + " SELECT id, round(bc, 6) AS betweenness FROM bc")
 def betweenness_distributed(spark, d):
     """The same without broadcasting the graph."""
+    return betweenness(nations(spark, d), broadcast_edges=0, block_pairs=0).select("id", r6("betweenness").alias("betweenness"))
+
+
+@query("betweenness_by_blocks", NATIONS_SQL + PATHS_SQL + " SELECT id, round(bc, 6) AS betweenness FROM bc")
+def betweenness_by_blocks(spark, d):
     return betweenness(nations(spark, d), broadcast_edges=0).select("id", r6("betweenness").alias("betweenness"))
 
 
@@ -378,6 +383,11 @@ def betweenness_provisions(spark, d):
 
 @query("betweenness_distributed_provisions", None)
 def betweenness_distributed_provisions(spark, d):
+    return betweenness(master(spark, d), broadcast_edges=0, block_pairs=0).select("id", r6("betweenness").alias("betweenness"))
+
+
+@query("betweenness_by_blocks_provisions", None)
+def betweenness_by_blocks_provisions(spark, d):
     return betweenness(master(spark, d), broadcast_edges=0).select("id", r6("betweenness").alias("betweenness"))
 
 

@@ -77,7 +77,7 @@ def test_betweenness_on_the_provision_network(spark, sf_dir):
     assert n == 500
     want = {x: c / ((n - 1) * (n - 2)) for x, c in carried(near, nodes).items()}
     assert max(want.values()) > 0
-    for name in ("betweenness_provisions", "betweenness_distributed_provisions"):
+    for name in ("betweenness_provisions", "betweenness_distributed_provisions", "betweenness_by_blocks_provisions"):
         assert {r.id: r.betweenness for r in q[name](spark, sf_dir).collect()} == pytest.approx(want, abs=1e-6)
     scale = n / 200 * 2 / ((n - 1) * (n - 2))
     want = {x: c * scale for x, c in carried(near, nodes[:200]).items()}
