@@ -998,9 +998,7 @@ def tfidf_sweep_documents(spark, d):
     """Pairs of documents whose names, source and id, differ in their prefix."""
     docs = read(spark, d, "documents")
     name = F.concat_ws("_", F.coalesce("source", F.lit("")), F.col("doc_id").cast("string"))
-    weights = materialize(tfidf.tfidf(docs, "doc_id", "text"), "tfidf")
-    prefixes = docs.select(F.col("doc_id").alias("id"), tfidf.document_prefix(name).alias("prefix"))
-    return tfidf.cross_prefix_sweep(weights, prefixes)
+    return tfidf.document_sweep(docs, "text", tfidf.document_prefix(name))
 
 
 @query("document_prefix", "SELECT c_custkey, split_part(substr('a' || (c_custkey % 3) || '_' || c_name, 1, 15), '_', 1) AS prefix FROM customer")
