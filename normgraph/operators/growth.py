@@ -94,7 +94,7 @@ class GrowingGraph:
         name = f"{self.path}/batch-{len(parts)}-{uuid.uuid4().hex}"
         part = {k: f"{name}/{k}" for k in ("rows", "blocks", "edges", "labels")}
         with scope(self.spark, keep=False):
-            fresh = rows.select("ord", "group", "vector").dropDuplicates(["ord"]).join(self.rows().select("ord"), "ord", "left_anti")
+            fresh = rows.select("ord", "group", F.col("vector").cast("array<double>").alias("vector")).dropDuplicates(["ord"]).join(self.rows().select("ord"), "ord", "left_anti")
             old = None
             for earlier in map(self._side, parts):
                 if len(earlier.rings.low):  # a batch without rows has no blocks
