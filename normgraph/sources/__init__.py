@@ -48,12 +48,12 @@ def read_graph(spark: SparkSession, path: str, lang: str = "") -> Graph:
 
 
 def read_incidents(spark: SparkSession, path: str, lang: str = "") -> DataFrame:
-    """Incidents of a document, by language suffix; a missing file gives none, rows without facts are left out."""
+    """Incidents of a document, or of a folder's documents, by language suffix; a missing file gives none, rows without facts are left out."""
     path = localized(path, lang)
     if not exists(spark, path):
         return spark.createDataFrame([], T.StructType([*INCIDENT_SCHEMA.fields, T.StructField("ord", T.LongType())]))
-    doc = spark.read.schema(T.StructType([T.StructField("incidents", T.ArrayType(INCIDENT_SCHEMA))])).option("multiLine", True).json(path)
-    rows = doc.select(F.posexplode("incidents").alias("ord", "i")).select("i.*", F.col("ord").cast("long").alias("ord"))
+    doc = spark.read.schema(T.StructType([T.StructField("first", T.LongType()), T.StructField("incidents", T.ArrayType(INCIDENT_SCHEMA))])).option("multiLine", True).json(path)
+    rows = doc.select("first", F.posexplode("incidents").alias("ord", "i")).select("i.*", (F.coalesce("first", F.lit(0).cast("long")) + F.col("ord")).alias("ord"))
     return rows.where(F.col("pemetaan_fakta_hukum").isNotNull())
 
 

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from normgraph.functions import bands
 from normgraph.model import Graph
 from normgraph.operators.graph import degrees, with_ends
+from normgraph.operators.ranking import global_rank
 from normgraph.sources import exists
 from normgraph.storage import materialize
 
 #: Nodes and edges of a graph that one document may hold.
 DOCUMENT_ROWS = 1_000_000
+#: Incidents of a document where there are several.
+PART_ROWS = 50_000
 #: Code points that mark a UTF-8 file for spreadsheets.
 BOM = "﻿"
 
@@ -137,7 +140,16 @@ def incident_document(incidents: DataFrame) -> DataFrame:
 
 
 def write_incidents(incidents: DataFrame, path: str) -> None:
-    incident_document(incidents).coalesce(1).write.mode("overwrite").text(path)
+    """One document, or of more incidents than one may hold several, a file each, with the place of its first one (``first``)."""
+    if incidents.limit(DOCUMENT_ROWS + 1).count() <= DOCUMENT_ROWS:
+        incident_document(incidents).coalesce(1).write.mode("overwrite").text(path)
+        return
+    names = [c for c in incidents.columns if c != "ord"]
+    place = F.col("_nth") - 1
+    ranked = global_rank(incidents.withColumn("_all", F.lit(0)), F.col("_all"), "_nth").select((place - place % PART_ROWS).alias("first"), F.struct(place.alias("place"), F.struct(*names).alias("x")).alias("row"))
+    listed = ranked.groupBy("first").agg(F.array_sort(F.collect_list("row")).alias("a"))
+    documents = listed.select(F.to_json(F.struct("first", F.transform("a", lambda r: r["x"]).alias("incidents"))).alias("value"))
+    documents.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def audit(spark: SparkSession, graphs: dict[str, Graph]) -> DataFrame:

@@ -251,3 +251,16 @@ def test_outputs_are_published_together(spark, tmp_path):
     part.write_text("{}")
     (tmp_path / "out" / "c" / "more.json").write_text("{}")
     assert [s for _, s in states()].count("changed") == 1 and [s for _, s in states()].count("unlisted") == 1
+
+
+def test_incidents_of_several_documents(spark, tmp_path, monkeypatch):
+    """More incidents than one document may hold come back whole and in order."""
+    rows = sources.generate_incidents(spark, 23).withColumn("ord", F.col("ord") - 1)
+    want = [tuple(r) for r in rows.orderBy("ord").drop("ord").collect()]
+    monkeypatch.setattr(sinks, "DOCUMENT_ROWS", 10)
+    monkeypatch.setattr(sinks, "PART_ROWS", 4)
+    sinks.write_incidents(rows, f"{tmp_path}/many")
+    back = sources.read_incidents(spark, f"{tmp_path}/many")
+    got = back.orderBy("ord").collect()
+    assert [tuple(r)[:-1] for r in got] == want and [r.ord for r in got] == list(range(23))
+    assert len(list((tmp_path / "many").glob("part-*"))) == 6
