@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,41 @@ def test_betweenness_by_blocks(spark, monkeypatch, held):
         sums = carried(near, range(30))
         got = {r.ord: r.betweenness for r in centrality.betweenness(graph, "dashboard", 30, broadcast_edges=0, block_pairs=bound).collect()}
         assert got == pytest.approx({k: sums[k] * n / 30 * 2 / ((n - 1) * (n - 2)) for k in range(n)})
+
+
+def random_graph():
+    rng = random.Random(5)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(90)] + [(50 + k, 51 + k) for k in range(5)]
+    near = defaultdict(Counter)
+    for a, b in edges:
+        if a != b:
+            near[a][b] += 1
+            near[b][a] += 1
+    return near
+
+
+@pytest.mark.parametrize("levels", [1, 12])
+def test_sources_together(monkeypatch, levels):
+    """Several sources at once give what searches one by one give, which go on where there are too many levels."""
+    monkeypatch.setattr(centrality, "TOGETHER", 4)
+    monkeypatch.setattr(centrality, "LEVELS", levels)
+    monkeypatch.setattr(centrality, "ADDED", 50)
+    near = random_graph()
+    names = sorted(near)
+    lists = [[names.index(y) for y in sorted(near[x]) for _ in range(near[x][y])] for x in names]
+    start = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    got = centrality._dependencies(np.arange(len(names)), start, np.concatenate(lists), len(names))
+    want = carried(near, names)
+    assert got.tolist() == pytest.approx([want[x] for x in names])
+
+
+def test_sums_by_parts(spark, monkeypatch):
+    """No task holds the graph: parts of seven nodes, batches of five sources, several components."""
+    monkeypatch.setattr(centrality, "PART", 7)
+    monkeypatch.setattr(centrality, "SOURCES", 5)
+    near = random_graph()
+    pairs = spark.createDataFrame([(x, y) for x in near for y in near[x] for _ in range(near[x][y])], "u long, v long")
+    nodes = spark.createDataFrame([(x, 1.0, float(x % 9 == 0)) for x in sorted(near)], "ord long, weight double, starts double")
+    want = carried(near, [x for x in near if x % 9 == 0])
+    got = {r.ord: r.carried for r in centrality._by_parts(pairs, nodes).collect()}
+    assert {x: got.get(x, 0.0) for x in near} == pytest.approx({x: float(want[x]) for x in near})
