@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,13 +65,21 @@ CITY_CODES = {
 INSTITUTION_PATTERN = r"(?i)milik instansi\s+(.+?)(?:\.|$)"
 
 
+def _once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of a value that is worked out once, however often ``made`` names it."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
 def institution(text: Column) -> Column:
     """What follows the phrase that names an institution, null without it."""
     return F.nullif(F.regexp_replace(strip(F.regexp_extract(text, INSTITUTION_PATTERN, 1)), r"\.+$", ""), F.lit(""))
 
 
 def city_code(city: Column) -> Column:
-    plain = strip(city)
+    return _once(strip(city), _city_code)
+
+
+def _city_code(plain: Column) -> Column:
     known = F.create_map(*[F.lit(x) for c, code in CITY_CODES.items() for x in (c.lower(), code)])
     rest = F.when(plain == "", F.lit("UNK")).otherwise(F.substring(F.upper(plain), 1, 8))
     return F.coalesce(F.element_at(known, F.lower(plain)), rest)
@@ -78,7 +87,10 @@ def city_code(city: Column) -> Column:
 
 def institution_code(name: Column) -> Column:
     """Code of the institution's kind and city; other names give two words' first five letters."""
-    plain = strip(name)
+    return _once(strip(name), _institution_code)
+
+
+def _institution_code(plain: Column) -> Column:
     words = F.slice(F.split(plain, r"(?U)\s+"), 1, 2)
     other = F.array_join(F.transform(words, lambda w: F.upper(F.substring(w, 1, 5))), "-")
     cases = reduce(lambda acc, x: F.when(plain.startswith(x[0]), F.concat(F.lit(x[1] + "-"), city_code(F.replace(plain, F.lit(x[0]), F.lit(""))))) if acc is None else acc.when(plain.startswith(x[0]), F.concat(F.lit(x[1] + "-"), city_code(F.replace(plain, F.lit(x[0]), F.lit(""))))), INSTITUTIONS, None)
