@@ -4,8 +4,8 @@ Each batch of rows is dealt to blocks once; the blocks are kept in a ledger.  A
 new batch meets itself and the blocks that are there, skipping cells as any
 similarity join does, and old rows never meet each other again.  All batches have
 the first one's pivots, so that their blocks can be told apart.  Components are
-merged: links between old labels, or from new nodes to them, are few beside all
-edges, and only they go through a components job.
+merged: each task's links become one a node at most, and only what they join of
+old labels and new nodes goes through a components job.
 
 A version is a small file that names its parts; it is written last and put in
 place by one rename, so that a batch that fails leaves the former version whole.
@@ -20,18 +20,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normgraph.operators.components import connected_components
-from normgraph.operators.similarity import BLOCK, Dealt, Rings, cell_counts, dealt, dealt_pairs
-from normgraph.storage import scope
+from normgraph.operators.components import connected_components, forest
+from normgraph.operators.similarity import Dealt, Rings, block_rows, cell_counts, dealt, dealt_pairs, kind_of
+from normgraph.storage import materialize, scope
 
 EDGES, LABELS = "src long, dst long, score double", "node long, component long"
-ROWS = "ord long, `group` string, vector array<double>, block int"
+ROWS = "ord long, `group` string, vector array<{}>, block int"
 
 
 class GrowingGraph:
     """The graph of all pairs with a cosine of at least ``threshold``, in the folder ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str, threshold: float, cross_group: bool = True, block: int = BLOCK):
+    def __init__(self, spark: SparkSession, path: str, threshold: float, cross_group: bool = True, block: int | None = None):
         self.spark, self.path, self.threshold, self.cross_group, self.block = spark, path.rstrip("/"), threshold, cross_group, block
         self._at = spark._jvm.org.apache.hadoop.fs.Path
         self._files = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -63,15 +63,24 @@ class GrowingGraph:
     def _read(self, schema: str, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _side(self, part: dict) -> Dealt:
+    def _rows(self, part: dict, kind: str) -> DataFrame:
+        """One batch's rows, its vectors as ``kind``; they are kept as single numbers where they came so."""
+        rows = self._read(ROWS.format(part.get("kind", "double")), [part["rows"]])
+        return rows.withColumn("vector", F.col("vector").cast(f"array<{kind}>"))
+
+    def _side(self, part: dict, kind: str) -> Dealt:
         """One batch's rows and blocks; a ledger has as many rows as there are blocks and pivots."""
         pivots, rings = (self.spark.read.parquet(f"{part['blocks']}/{x}").orderBy("k").collect() for x in ("pivots", "rings"))
         low, high = (np.array([r[c] for r in rings], float).reshape(len(rings), len(pivots)) for c in ("low", "high"))
-        return Dealt(self._read(ROWS, [part["rows"]]), Rings(np.array([r.pivot for r in pivots], float).reshape(len(pivots), -1) if pivots else np.empty((0, 0)), low, high))
+        return Dealt(self._rows(part, kind), Rings(np.array([r.pivot for r in pivots], float).reshape(len(pivots), -1) if pivots else np.empty((0, 0)), low, high))
 
     def rows(self) -> DataFrame:
         """(ord, group, vector) of all rows that take part."""
-        return self._read(ROWS, [p["rows"] for p in self._parts()]).drop("block")
+        found = self._read(ROWS.format("double"), [])
+        for kind in ("float", "double"):
+            if paths := [p["rows"] for p in self._parts() if p.get("kind", "double") == kind]:
+                found = found.unionByName(self._read(ROWS.format(kind), paths).withColumn("vector", F.col("vector").cast("array<double>")))
+        return found.drop("block")
 
     def edges(self) -> DataFrame:
         """(src, dst, score), src < dst: what a join of all rows gives."""
@@ -94,25 +103,30 @@ class GrowingGraph:
         name = f"{self.path}/batch-{len(parts)}-{uuid.uuid4().hex}"
         part = {k: f"{name}/{k}" for k in ("rows", "blocks", "edges", "labels")}
         with scope(self.spark, keep=False):
-            fresh = rows.select("ord", "group", F.col("vector").cast("array<double>").alias("vector")).dropDuplicates(["ord"]).join(self.rows().select("ord"), "ord", "left_anti")
+            part["kind"] = kind_of(rows)
+            kind = "float" if all(p.get("kind", "double") == "float" for p in [*parts, part]) else "double"
+            there = self.rows()
+            fresh = rows.select("ord", "group", F.col("vector").cast(f"array<{part['kind']}>").alias("vector")).dropDuplicates(["ord"]).join(there.select("ord"), "ord", "left_anti")
+            fresh = materialize(fresh, "fresh")
+            block = self.block or block_rows(fresh, there.count() + fresh.count())
             old = None
-            for earlier in map(self._side, parts):
+            for earlier in (self._side(p, kind) for p in parts):
                 if len(earlier.rings.low):  # a batch without rows has no blocks
                     old = earlier if old is None else old.with_blocks_of(earlier)
-            side = dealt(fresh, self.block, old.rings.pivots if old is not None else None)
+            side = dealt(fresh, block, old.rings.pivots if old is not None else None)
             side.rows.write.parquet(part["rows"])
             pivots = [(k, p.tolist()) for k, p in enumerate(side.rings.pivots)]
             self.spark.createDataFrame(pivots, "k int, pivot array<double>").coalesce(1).write.parquet(f"{part['blocks']}/pivots")
             rings = [(k, low.tolist(), high.tolist()) for k, (low, high) in enumerate(zip(side.rings.low, side.rings.high))]
             self.spark.createDataFrame(rings, "k int, low array<double>, high array<double>").coalesce(1).write.parquet(f"{part['blocks']}/rings")
-            side = Dealt(self._read(ROWS, [part["rows"]]), side.rings)
+            side = Dealt(self._rows(part, kind), side.rings)
             found = dealt_pairs(side, None, self.threshold, self.cross_group)
             met, skipped = cell_counts(side, None, self.threshold)
             if old is not None:
                 found = found.unionByName(dealt_pairs(old, side, self.threshold, self.cross_group))
                 more = cell_counts(old, side, self.threshold)
                 met, skipped = met + more[0], skipped + more[1]
-            found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "score").write.parquet(part["edges"])
+            found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "score").write.parquet(part["edges"], compression="zstd")
             self._merged(self._read(EDGES, [part["edges"]])).write.parquet(part["labels"])
         self._publish([*parts, part])
         return met, skipped
@@ -120,7 +134,8 @@ class GrowingGraph:
     def _merged(self, links: DataFrame) -> DataFrame:
         """Labels after ``links``: old labels that they connect become one, the smallest."""
         old = self.components()
-        named = links
+        # what is dealt from here on grows with nodes and tasks, not with links
+        named = materialize(forest(links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))).toDF("src", "dst"), "forest")
         for end in ("src", "dst"):
             label = old.select(F.col("node").alias(end), F.col("component").alias(f"{end}_label"))
             named = named.join(label, end, "left").withColumn(f"{end}_label", F.coalesce(f"{end}_label", end))

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from normgraph.operators import similarity
+from normgraph.operators import growth, similarity
 from normgraph.operators.components import connected_components
 from normgraph.operators.growth import GrowingGraph
 from normgraph.operators.similarity import Pairs, cell_counts, dealt, pair_percentile, similar_pairs
@@ -106,3 +107,20 @@ def test_a_batch_that_fails_leaves_the_former_version(spark, tmp_path, monkeypat
     assert graph.version() == 1 and sorted(map(tuple, graph.edges().collect())) == before
     graph.add(spark.createDataFrame(rows[40:], SCHEMA))
     assert {(r.src, r.dst) for r in graph.edges().collect()} == by_hand(rows, None, 0.7)
+
+
+def test_a_grown_graph_deals_no_links_and_keeps_single_numbers(spark, tmp_path, monkeypatch):
+    """Of very many links few are dealt for components, and vectors of single numbers are kept as such, also beside double ones."""
+    rows = [r for r in clustered(400, seed=4, clusters=2)]
+    single = spark.createDataFrame(rows, SCHEMA).withColumn("vector", F.col("vector").cast("array<float>"))
+    kinds = [single.where("ord % 3 = 0"), single.where("ord % 3 = 1"), spark.createDataFrame([r for r in rows if r[0] % 3 == 2], SCHEMA)]
+    graph, dealt_links, whole = GrowingGraph(spark, str(tmp_path / "graph"), 0.5, block=64), [], growth.connected_components
+    monkeypatch.setattr(growth, "connected_components", lambda e, *a: (dealt_links.append(e.count()), whole(e, *a))[1])
+    for batch in kinds:
+        graph.add(batch)
+    assert [spark.read.parquet(p["rows"]).schema["vector"].dataType.elementType.simpleString() for p in graph._parts()] == ["float", "float", "double"]
+    every = single.withColumn("vector", F.col("vector").cast("array<double>")).where("ord % 3 <> 2").unionByName(kinds[2])
+    want = {(r.src, r.dst) for r in similar_pairs(Pairs(every, 0.5)).collect()}
+    assert {(r.src, r.dst) for r in graph.edges().collect()} == want and graph.edges().count() == len(want) > 20_000
+    assert {tuple(r) for r in graph.components().collect()} == {tuple(r) for r in whole(graph.edges(), "src", "dst").collect()}
+    assert sum(dealt_links) < len(want) / 4
