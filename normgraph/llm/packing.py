@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,14 +22,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from normgraph.llm.common import arrow_map, materialize
+from normgraph.llm.common import arrow_map, give_back, materialize, slices
 
 CAPACITY = 4096
 EOS = 1
 #: Bytes of texts whose chunks are told apart together, about.
-PART_BYTES = 12_000_000
-#: Words whose ids a worker remembers at least when it forgets others, and the longest one it does.
+PART_BYTES = 2_000_000
+#: Words whose ids a worker remembers at most, or else those of its last part, and the longest one it does.
 MEMO, MEMO_CHARS = 100_000, 48
+#: Words that are Python objects at a time.
+RUN = 10_000
 #: Pieces of one length that are ranked in one task, about.
 SHARD_ROWS = 500_000
 
@@ -36,12 +39,13 @@ PIECES = "id {id}, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds:
-    """Ids of white-space-free chunks as little-endian bytes, each computed once.
+    """Ids of white-space-free chunks, each computed once.
 
     The tokenizer drops white space before its merges, so a text's ids are its
     chunks' ids in a row.  It also splits letters from punctuation and
     lower-cases, so a plain word with punctuation after it is looked up as the
-    lower-cased word and the punctuation.  Words in use are remembered.  A
+    lower-cased word and the punctuation.  Words in use are remembered, in
+    columns: as Python objects they would take four times the memory.  A
     special token's string in a text gives that token, as the tokenizer has it:
     such chunks, and texts with one that holds white space, go to it whole.
     """
@@ -49,6 +53,8 @@ class WordIds:
     #: White space when texts are split, but ordinary characters for the tokenizer.
     SEPARATORS = "[\x1c-\x1f]"
     PUNCTUATION = ".,;:!?"
+    #: Latin-1 letters: they have one lower-case letter each, whatever stands around them.
+    LETTERS = "[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+"
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -60,52 +66,65 @@ class WordIds:
         self.model = self.tokenizer.model
         to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelling = str.maketrans({c: to_bytes.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xA1, 0x100)) if c.isalpha()})
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def direct(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def word(self, word: str) -> bytes:
-        """Ids of lower-case Latin-1 letters, or of punctuation: what the merges get as one word."""
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.older.pop(word, None)
-            if ids is None:
-                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word.translate(self.spelling))])
-            if len(word) <= MEMO_CHARS:
-                if len(self.words) >= MEMO:
-                    self.words, self.older = {}, self.words  # words in use come back from there
-                self.words[word] = ids
-        return ids
-
-    def chunk(self, chunk: str) -> bytes:
-        head = chunk.rstrip(self.PUNCTUATION)
-        # Latin-1 letters have one lower-case letter each, whatever stands around them
-        if self.plain_words and head.isalpha() and max(head) <= "\xff":
-            ids = self.word(head.lower())
-            return ids + self.word(chunk[len(head) :]) if len(head) < len(chunk) else ids
-        return self.direct(chunk)
+        self.words = pa.array([], pa.string())
+        self.ids = pa.array([], pa.list_(pa.uint32()))
+
+    def direct(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def word(self, word: str) -> list[int]:
+        """Ids of lower-case Latin-1 letters or of punctuation, which the merges get as one word, or of another chunk."""
+        if self.plain_words and (re.fullmatch(self.LETTERS, word) or not word.strip(self.PUNCTUATION)):
+            return [t.id for t in self.model.tokenize(word.translate(self.spelling))] if word else []
+        return self.direct(word)
+
+    def remembered(self, words: pa.Array) -> pa.ListArray:
+        """Ids of distinct ``words``; only those not in memory are looked up one by one."""
+        found = pc.index_in(words, value_set=self.words)
+        fresh = words.filter(found.is_null())
+        ids, ends = array("I"), array("i", [0])
+        for at in range(0, len(fresh), RUN):
+            for word in fresh.slice(at, RUN).to_pylist():
+                ids.extend(self.word(word))
+                ends.append(len(ids))
+        table = pa.concat_arrays([self.ids, pa.ListArray.from_arrays(pa.array(np.asarray(ends, "i4")), pa.array(np.asarray(ids, "u4")))])
+        place = found.fill_null(-1).to_numpy().copy()
+        place[place < 0] = len(self.words) + np.arange(len(fresh))
+        out = table.take(pa.array(place))
+        new, new_ids = (pa.concat_arrays([self.words, fresh]), table) if len(table) <= MEMO else (words, out)
+        short = pc.less_equal(pc.utf8_length(new), MEMO_CHARS)
+        self.words, self.ids = new.filter(short), new_ids.filter(short)
+        return out
+
+    def chunks(self, chunks: pa.Array) -> pa.ListArray:
+        """Ids of distinct ``chunks``, each as a word and the punctuation after it."""
+        if self.plain_words:
+            plain = pc.match_substring_regex(chunks, f"^{self.LETTERS}[{self.PUNCTUATION}]*$")
+            word = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(chunks, self.PUNCTUATION)), chunks)
+            after = pc.if_else(plain, pc.replace_substring_regex(chunks, f"^{self.LETTERS}", ""), "")
+        else:
+            word, after = chunks, pa.array([""] * len(chunks), pa.string())
+        coded = pa.concat_arrays([word, after]).dictionary_encode()
+        place = coded.indices.to_numpy().reshape(2, -1).T.ravel()
+        halves = self.remembered(coded.dictionary).take(pa.array(place))
+        return pa.ListArray.from_arrays(pa.array(halves.offsets.to_numpy()[::2].copy()), halves.values)
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` in a row, and where each text's begin and end.
 
         Chunks are told apart and counted in columns: only distinct ones are
-        looked up one by one.
+        looked up.
         """
         has = pc.match_substring_regex(texts, self.apart)
         odd = np.flatnonzero(has.to_numpy(zero_copy_only=False)).tolist()
-        plain = pc.if_else(has, "", texts) if odd else texts
-        words = pc.utf8_split_whitespace(plain)
+        words = pc.utf8_split_whitespace(pc.if_else(has, "", texts) if odd else texts)
+        ends = words.offsets.to_numpy() - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
-        ends = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
-        known = [self.chunk(c) if c else b"" for c in coded.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
-        table = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(known), dtype="<u4")))
-        ids = table.take(coded.indices).flatten().to_numpy(zero_copy_only=False)
-        at = np.concatenate([[0], np.cumsum(sizes[coded.indices.to_numpy(zero_copy_only=False)])])[ends]
+        del words  # as large as the texts
+        taken = self.chunks(coded.dictionary).take(coded.indices)
+        ids, at = taken.values.to_numpy(zero_copy_only=False), taken.offsets.to_numpy()[ends].astype(np.int64)
         for k in reversed(odd):
-            own = np.frombuffer(self.direct(texts[k].as_py()), dtype="<u4")
+            own = np.asarray(self.direct(texts[k].as_py()), dtype="<u4")
             ids = np.concatenate([ids[: at[k]], own, ids[at[k] :]])
             at[k + 1 :] += len(own)
         return ids, at
@@ -114,7 +133,9 @@ class WordIds:
 @lru_cache(maxsize=1)
 def word_ids(tokenizer_json: str) -> WordIds:
     """One memory for all tasks of a worker process."""
-    return WordIds(tokenizer_json)
+    ids_of = WordIds(tokenizer_json)
+    give_back()  # parsing takes more than the tokenizer
+    return ids_of
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, eos: int = EOS) -> DataFrame:
@@ -128,10 +149,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         for whole in batches:
             if not whole.num_rows:
                 continue
-            ends = np.cumsum(pc.binary_length(whole.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // PART_BYTES
-            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), whole.num_rows]
-            for s, e in zip(cuts, cuts[1:]):
-                yield cut_part(ids_of, whole.slice(s, e - s))
+            for part in slices(whole, PART_BYTES):
+                yield cut_part(ids_of, part)
 
     def cut_part(ids_of: WordIds, batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, bounds = ids_of.of(batch.column(1).fill_null(""))

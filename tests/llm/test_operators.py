@@ -290,6 +290,32 @@ def test_packing_ids_and_bins(spark):
     check_bins([(r.sequence_id, r.offset, r.length) for r in got], 512)
 
 
+def test_packing_holds_words_in_columns():
+    """A worker's memory of words and its parts stay small however many distinct words come."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz\u00e9"))
+    texts = [" ".join("".join(letters[rng.integers(0, 27, 6)]) + ("", ",", "?!")[k % 3] for k in range(500)) for _ in range(500)]
+    texts += ["Stra\u00dfe, \u00c9T\u00c9! \u00aa\u00ba\u00b5. \u0130x, ... don't (Foo) <s> \u00d7 \u00f7, \u03a3\u03a3. " + "Word" * 20, "", " \n", *texts[:3]]
+    rows = pa.RecordBatch.from_arrays([pa.array(texts * 2)], names=["text"])
+    ids_of = packing.WordIds(open(packing.tokenizer_path(), encoding="utf-8").read())
+    before, got = pa.total_allocated_bytes(), []
+    tracemalloc.start()
+    try:
+        for part in common.slices(rows, packing.PART_BYTES):
+            ids, at = ids_of.of(part.column(0))
+            got += [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(at, at[1:])]
+        kept, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    del part, ids, at
+    columns = pa.total_allocated_bytes() - before
+    whole = ids_of.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert got == 2 * [zlib.crc32(np.asarray(e.ids, dtype="<u4").tobytes()) for e in whole]
+    assert kept < 2_000_000 and most < 16_000_000 and columns < 20_000_000
+
+
 def test_packing_with_added_tokens_of_any_kind():
     """Tokens of letters, of punctuation and with white space, beside those of the file."""
     from tokenizers import AddedToken, Tokenizer
