@@ -125,6 +125,15 @@ def test_contraction_keeps_cross_group_edges(spark):
     assert {r.id: r.value for r in small.nodes.collect()} == {"x": 10, "y": 10, "z": 10}
 
 
+def test_contraction_of_edges_that_bring_their_ends_numbers(spark):
+    graph = make(spark, "abcdef", ["ab", "ac", "bd", "ec", "fa"], dict(zip("abcdef", "zzyyxx")))
+    place = {x: k for k, x in enumerate("abcdef")}
+    numbered = spark.createDataFrame([(*r, place[r.src], place[r.dst]) for r in graph.edges.collect()], "src string, dst string, type string, weight double, ord long, a long, b long")
+    for edges in (graph.edges, numbered):
+        small = g.contract(Graph(graph.nodes, edges))
+        assert {(r.src, r.dst): (r.weight, r.type, r.ord) for r in small.edges.collect()} == {("z", "y"): (2.0, "link", 1), ("y", "x"): (1.0, "link", 3), ("z", "x"): (1.0, "link", 4)}
+
+
 def test_warrants(spark):
     classes = {"r": "Natl: a", "s": "Intl: b", "t": "Other", "i": INCIDENT, "j": INCIDENT, "k": INCIDENT, "l": INCIDENT}
     graph = make(spark, "rstijkl", ["ri", "si", "jr", "tk"], classes=classes)
