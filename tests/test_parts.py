@@ -24,6 +24,12 @@ def test_matrices_come_back_and_are_small(kind):
     assert len(shut) < {"zeros": x.nbytes / 50, "counts": x.nbytes / 3, "levels": x.nbytes / 8}.get(kind, x.nbytes + 64)
 
 
+def test_shares_of_few_values_are_dealt_as_places():
+    x = 1 / np.random.RandomState(6).randint(1, 60, (4096, 50))
+    shut = centrality._shut(x)
+    assert np.array_equal(centrality._open(pa.scalar(shut, pa.binary()), 50), x) and len(shut) < x.nbytes / 9
+
+
 def test_only_pairs_that_a_level_needs_are_walked(monkeypatch):
     rng = np.random.RandomState(2)
     v = np.sort(rng.randint(0, 60, 900))
@@ -34,6 +40,30 @@ def test_only_pairs_that_a_level_needs_are_walked(monkeypatch):
     assert np.allclose(centrality._along(u, v, rows, to), want) and sum(walked) < 300
 
 
+@pytest.mark.parametrize(("has", "asks"), [(0.02, 0.9), (0.9, 0.02), (0.0, 0.9), (0.9, 0.0)])
+def test_few_numbers_go_along_their_own_pairs(monkeypatch, has, asks):
+    """No whole rows are added up where few of their numbers aren't 0, or few places are asked for."""
+    rng = np.random.RandomState(4)
+    v = np.sort(rng.randint(0, 50, 1200))
+    u, rows, to = rng.randint(0, 70, 1200), np.where(rng.rand(70, 40) < has, rng.rand(70, 40), 0.0), rng.rand(50, 40) < asks
+    want = centrality._added(np.zeros((50, 40)), u, v, rows) * to
+    monkeypatch.setattr(centrality, "ADDED", 64)
+    monkeypatch.setattr(centrality, "_added", lambda *_: pytest.fail("whole rows"))
+    assert np.allclose(centrality._along(u, v, rows, to), want)
+
+
+@pytest.mark.parametrize("share", [0.0127, 0.5])
+def test_cells_of_pairs_come_back_and_are_small(share):
+    rng = np.random.RandomState(5)
+    size = 2048
+    at = np.flatnonzero(rng.rand(size * size) < share)
+    at = np.concatenate([at, at[:9]])  # parallel pairs stay
+    v, u = np.divmod(rng.permutation(at), size)
+    shut = centrality._cell(u, v, size)
+    back_u, back_v = centrality._of_cell(pa.scalar(shut, pa.binary()), size)
+    assert np.array_equal(back_v * size + back_u, np.sort(at)) and len(shut) < 1.25 * len(at)
+
+
 def test_roles_list_no_neighbours(spark, sf_dir, monkeypatch):
     """Roles and uncertainty need no lists, which grow with the links."""
 
