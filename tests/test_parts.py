@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from normgraph import plans
 from normgraph.operators import centrality, components, report
 from normgraph.plans import tables
 
@@ -83,3 +84,16 @@ def test_links_of_a_task_become_one_a_node():
     stars = {(a, b) for r in out for a, b in zip(r["u"].to_pylist(), r["v"].to_pylist())}
     assert len(stars) <= 300 and {b for _, b in stars} <= {0, 1, 2} and all(a % 3 == b for a, b in stars)
     assert not sum(r.num_rows for r in components._forest(iter([])))
+
+
+def test_full_table_takes_paths_from_all_nodes(spark, sf_dir):
+    """Of 500 nodes, not of the dashboard's first 200; both conventions agree but for the factor, since no edges are parallel."""
+    q = plans.queries()
+    want = {r.id: r.betweenness for r in q["betweenness_provisions"](spark, sf_dir).collect()}
+    table = {r.id: r for r in q["full_node_table_provisions"](spark, sf_dir).collect()}
+    assert {x: r.bc for x, r in table.items()} == pytest.approx({x: 2 * c for x, c in want.items()}, abs=2e-6)
+    ranked = sorted(table, key=lambda x: table[x].rank_bc)
+    assert [table[x].bc for x in ranked] == sorted((r.bc for r in table.values()), reverse=True)
+    high, middle = (table[ranked[int(len(ranked) * share)]].bc for share in (0.1, 0.3))
+    assert {x for x, r in table.items() if r.role == "KUNCI"} >= {x for x, r in table.items() if r.bc > high}
+    assert {x for x, r in table.items() if r.role == "Periferal"} >= {x for x, r in table.items() if r.bc < middle}
