@@ -6,7 +6,7 @@ import pytest
 
 from normgraph import plans
 from normgraph.operators import centrality, components, report
-from normgraph.plans import tables
+from normgraph.plans import pipeline, tables
 
 
 @pytest.mark.parametrize("kind", ["zeros", "counts", "shares", "large", "levels", "none"])
@@ -97,3 +97,16 @@ def test_full_table_takes_paths_from_all_nodes(spark, sf_dir):
     high, middle = (table[ranked[int(len(ranked) * share)]].bc for share in (0.1, 0.3))
     assert {x for x, r in table.items() if r.role == "KUNCI"} >= {x for x, r in table.items() if r.bc > high}
     assert {x for x, r in table.items() if r.role == "Periferal"} >= {x for x, r in table.items() if r.bc < middle}
+
+
+def test_sections_keep_no_neighbours(spark, sf_dir, monkeypatch):
+    """Lists of neighbours are made for the rows that show them, and not written between."""
+    kept, materialize = [], pipeline.materialize
+    monkeypatch.setattr(pipeline, "materialize", lambda df, name: kept.append(df.columns) or materialize(df, name))
+    sections = dict(pipeline.csv_sections(tables.master(spark, sf_dir)))
+    assert kept and not any("neighbours" in c for c in kept)
+    every = {r.id: r.neighbours for r in sections["nodes"].collect()}
+    assert len(every) == 500 and sections["nodes"].columns[-1] == "neighbours"
+    for name in ("degree", "betweenness"):
+        assert len(rows := {r.id: r.neighbours for r in sections[name].collect()}) == 50
+        assert rows == {x: every[x] for x in rows} and all(rows.values())
